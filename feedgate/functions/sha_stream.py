@@ -1,0 +1,127 @@
+"""SHA-256 that can stop in one task and go on in another.
+
+The standard library cannot hand over a half-finished digest. Where OpenSSL's classic
+interface is present its context is read and restored; otherwise blocks are compressed here.
+Both exchange the same portable state.
+"""
+
+from __future__ import annotations
+
+import ctypes
+import ctypes.util
+import struct
+
+_WORDS = struct.Struct(">8I")
+_STATE = struct.Struct(">8IQ")
+
+
+def _fractions(roots: int, count: int) -> list[int]:
+    """First 32 bits of the fractional parts of roots of the first primes."""
+    primes, candidate = [], 2
+    while len(primes) < count:
+        if all(candidate % p for p in primes):
+            primes.append(candidate)
+        candidate += 1
+    out = []
+    for p in primes:
+        scaled, low, high = p << (32 * roots), 0, p << 33
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if middle**roots <= scaled else (low, middle - 1)
+        out.append(low & 0xFFFFFFFF)
+    return out
+
+
+_INITIAL = _fractions(2, 8)
+_ROUND = _fractions(3, 64)
+
+
+def _compress(words: list[int], block: bytes) -> list[int]:
+    mask = 0xFFFFFFFF
+    w = list(struct.unpack(">16I", block))
+    for t in range(16, 64):
+        x, y = w[t - 15], w[t - 2]
+        s0 = (x >> 7 | x << 25) ^ (x >> 18 | x << 14) ^ (x >> 3)
+        s1 = (y >> 17 | y << 15) ^ (y >> 19 | y << 13) ^ (y >> 10)
+        w.append((w[t - 16] + (s0 & mask) + w[t - 7] + (s1 & mask)) & mask)
+    a, b, c, d, e, f, g, h = words
+    for t in range(64):
+        s1 = ((e >> 6 | e << 26) ^ (e >> 11 | e << 21) ^ (e >> 25 | e << 7)) & mask
+        t1 = h + s1 + ((e & f) ^ (~e & g)) + _ROUND[t] + w[t]
+        s0 = ((a >> 2 | a << 30) ^ (a >> 13 | a << 19) ^ (a >> 22 | a << 10)) & mask
+        t2 = s0 + ((a & b) ^ (a & c) ^ (b & c))
+        h, g, f, e, d, c, b, a = g, f, e, (d + t1) & mask, c, b, a, (t1 + t2) & mask
+    return [(x + y) & mask for x, y in zip(words, (a, b, c, d, e, f, g, h))]
+
+
+class _Context(ctypes.Structure):
+    _fields_ = [
+        ("h", ctypes.c_uint32 * 8),
+        ("low", ctypes.c_uint32),
+        ("high", ctypes.c_uint32),
+        ("data", ctypes.c_uint8 * 64),
+        ("num", ctypes.c_uint),
+        ("size", ctypes.c_uint),
+    ]
+
+
+def _openssl():
+    name = ctypes.util.find_library("crypto")
+    try:
+        library = ctypes.CDLL(name) if name else None
+        update = library.SHA256_Update
+        init = library.SHA256_Init
+    except (OSError, AttributeError):
+        return None
+    update.argtypes = [ctypes.c_void_p, ctypes.c_void_p, ctypes.c_size_t]
+    init.argtypes = [ctypes.c_void_p]
+    return init, update
+
+
+_LIBRARY = _openssl()
+
+
+class Sha256:
+    """A digest with a portable ``state``: eight words, byte count, unprocessed tail."""
+
+    def __init__(self, state: bytes | None = None, native: bool = True):
+        self._native = _LIBRARY if native else None
+        self._words, self._count, self._tail = list(_INITIAL), 0, b""
+        if state is not None:
+            *self._words, self._count = _STATE.unpack_from(state)
+            self._tail = state[_STATE.size :]
+
+    def update(self, data) -> None:
+        if self._native is not None:
+            self._update_native(data)
+            return
+        pending = self._tail + bytes(data)
+        self._count += len(pending) - len(self._tail)
+        whole = len(pending) - len(pending) % 64
+        for at in range(0, whole, 64):
+            self._words = _compress(self._words, pending[at : at + 64])
+        self._tail = pending[whole:]
+
+    def _update_native(self, data) -> None:
+        init, update = self._native
+        context, data = _Context(), bytes(data)
+        init(ctypes.byref(context))
+        context.h[:] = self._words
+        bits = self._count * 8
+        context.low, context.high = bits & 0xFFFFFFFF, bits >> 32
+        context.data[: len(self._tail)] = self._tail
+        context.num = len(self._tail)
+        update(ctypes.byref(context), data, len(data))
+        self._words, self._count = list(context.h), self._count + len(data)
+        self._tail = bytes(context.data[: context.num])
+
+    @property
+    def state(self) -> bytes:
+        return _STATE.pack(*self._words, self._count) + self._tail
+
+    def hexdigest(self) -> str:
+        padding = b"\x80" + b"\0" * ((55 - self._count) % 64) + struct.pack(">Q", self._count * 8)
+        words, block = self._words, self._tail + padding
+        for at in range(0, len(block), 64):
+            words = _compress(words, block[at : at + 64])
+        return _WORDS.pack(*words).hex()

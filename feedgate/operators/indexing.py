@@ -14,11 +14,11 @@ def index_column(name: str, spec: FieldSpec) -> str:
     return f"idx_{spec.kind}_{name}"
 
 
-def index_value(name: str, spec: FieldSpec, document: Column) -> Column:
+def index_value(name: str, spec: FieldSpec, document: Column, kind: str | None = None) -> Column:
     """A top-level member of a parsed payload as a typed value."""
     mark = "'" if '"' in name else '"'
     member = F.try_variant_get(document, f"$[{mark}{name}{mark}]", "variant")
-    value = F.try_variant_get(member, "$", _TYPES[spec.kind])
+    value = F.try_variant_get(member, "$", kind or _TYPES[spec.kind])
     if spec.kind in ("string", "scalar"):
         # Filters on untyped scalars compare text with text.
         return F.when(F.schema_of_variant(member) == "STRING", value)
