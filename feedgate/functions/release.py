@@ -169,86 +169,126 @@ _NO_REPORTS = f"CAST(array() AS {REPORTS_TYPE})"
 
 @dataclass(frozen=True)
 class Place:
-    """Where the facts about one value live: columns outside arrays, variables inside."""
+    """Columns with the facts about one declared value outside arrays."""
 
     value: str
     shape: str
     scalar: str
     members: str
     elements: str
-    children: dict | None = None
+
+
+@dataclass
+class _Slot:
+    """Columns shared by the collections: at most one declared path of each uses a slot."""
+
+    name: str
+    level: int
+    paths: dict[str, tuple[str, ...]]
+    kinds: dict[str, str]
+
+    def users(self, *kinds: str) -> list[str]:
+        return [c for c, kind in self.kinds.items() if kind in kinds]
 
 
 class Compiler:
-    """Expressions for every collection of a specification set."""
+    """Expressions for every collection of a specification set.
+
+    A document belongs to one collection, so the columns of the places are not made per
+    collection: the n-th declared path of a level uses the n-th slot of that level in every
+    collection. Their number is that of the widest specification.
+    """
 
     def __init__(self, specs: SpecSet):
         self.specs = specs
         self._fresh = (f"x{n}" for n in itertools.count())
-        self._paths: dict[tuple[str, ...], str] = {}
-        self._uses: dict[tuple[str, ...], set[str]] = {}
-        for spec in specs.values():
-            self._collect((), spec.fields)
-
-    def _collect(self, at: tuple[str, ...], fields) -> None:
-        for name, spec in fields.items():
+        self._slots: list[_Slot] = []
+        self._slot_of: dict[tuple[str, tuple[str, ...]], _Slot] = {}
+        for collection, spec in specs.items():
+            by_level: dict[int, list[tuple[tuple[str, ...], FieldSpec]]] = {}
+            self._walk((), spec.fields, by_level)
+            for level, nodes in by_level.items():
+                for at, (path, node) in enumerate(nodes):
+                    self._place_in(collection, level, at, path, node)
+
+    def _walk(self, at, fields, by_level) -> None:
+        for name, spec in sorted(fields.items()):
             path = (*at, name)
-            self._paths.setdefault(path, f"_p{len(self._paths)}")
-            use = spec.kind if spec.kind in ("object", "array") else "scalar"
-            self._uses.setdefault(path, set()).add(use)
+            by_level.setdefault(len(path), []).append((path, spec))
             if spec.kind == "object":
-                self._collect(path, spec.allow)
+                self._walk(path, spec.allow, by_level)
+
+    def _place_in(self, collection, level: int, at: int, path, spec: FieldSpec) -> None:
+        name = f"_p{level}_{at}"
+        slot = next((slot for slot in self._slots if slot.name == name), None)
+        if slot is None:
+            slot = _Slot(name, level, {}, {})
+            self._slots.append(slot)
+        slot.paths[collection] = path
+        slot.kinds[collection] = spec.kind if spec.kind in ("object", "array") else "scalar"
+        self._slot_of[collection, path] = slot
 
     # -- columns for places outside arrays
 
     def with_places(self, frame: DataFrame) -> DataFrame:
         """Add the facts about every declared place below ``_v``."""
-        for level in range(1, 1 + max(map(len, self._paths))):
-            paths = [path for path in self._paths if len(path) == level]
-            values, facts, scalars = [], [], []
-            for path in paths:
-                column, uses = self._paths[path], self._uses[path]
-                parent = self._paths.get(path[:-1], "_v")
-                values.append(f"{_member(parent if level == 1 else parent + '_v', path[-1])} AS {column}_v")
-                facts.append(f"schema_of_variant({column}_v) AS {column}_s")
-                if "object" in uses:
-                    facts.append(f"{_map(column + '_v')} AS {column}_m")
-                if "array" in uses:
-                    facts.append(f"{_array(column + '_v')} AS {column}_a")
-                if "scalar" in uses:
-                    scalars.append((f"{_plain(column + '_v', column + '_s')} AS {column}_x", column))
-            frame = frame.selectExpr("*", *values)
-            frame = frame.selectExpr("*", *facts)
-            frame = frame.selectExpr("*", *[text for text, _ in scalars])
-            frame = frame.selectExpr(
-                "*", *[f"{_scalar(c + '_x', c + '_s')} AS {c}_t" for _, c in scalars]
-            )
+        for level in range(1, 1 + max(slot.level for slot in self._slots)):
+            values, facts, plain, scalars = [], [], [], []
+            for slot in (slot for slot in self._slots if slot.level == level):
+                c = slot.name
+                values.append(f"{self._case(slot.paths, self._fetch)} AS {c}_v")
+                for users, build, suffix in (
+                    (slot.users("scalar"), "schema_of_variant({})".format, "s"),
+                    (slot.users("object"), _map, "m"),
+                    (slot.users("array"), _array, "a"),
+                ):
+                    if len(users) == len(self.specs):
+                        facts.append(f"{build(c + '_v')} AS {c}_{suffix}")
+                    elif users:
+                        names = ", ".join(map(quote, users))
+                        facts.append(f"IF(collection IN ({names}), {build(c + '_v')}, NULL) AS {c}_{suffix}")
+                if slot.users("scalar"):
+                    plain.append(f"{_plain(c + '_v', c + '_s')} AS {c}_x")
+                    scalars.append(f"{_scalar(c + '_x', c + '_s')} AS {c}_t")
+            for step in (values, facts, plain, scalars):
+                if step:
+                    frame = frame.selectExpr("*", *step)
         return frame
 
-    def _place(self, path: tuple[str, ...]) -> Place:
-        c = self._paths[path]
+    def _fetch(self, collection: str, path: tuple[str, ...]) -> str:
+        parent = "_v" if len(path) == 1 else self._slot_of[collection, path[:-1]].name + "_v"
+        return _member(parent, path[-1])
+
+    def _case(self, by_collection: dict, build) -> str:
+        if len(set(by_collection.values())) == 1 and len(by_collection) == len(self.specs):
+            return build(*next(iter(by_collection.items())))
+        cases = " ".join(f"WHEN {quote(c)} THEN {build(c, x)}" for c, x in by_collection.items())
+        return f"CASE collection {cases} END"
+
+    def _place(self, collection: str, path: tuple[str, ...]) -> Place:
+        c = self._slot_of[collection, path].name
         return Place(f"{c}_v", f"{c}_s", f"{c}_t", f"{c}_m", f"{c}_a")
 
     # -- payload text
 
     def payload(self, collection: str) -> str:
-        return self._members_text(self.specs[collection].fields, (), None)
+        return self._members_text(self.specs[collection].fields, collection, (), None)
 
-    def _members_text(self, allow, path, value: str | None) -> str:
+    def _members_text(self, allow, collection, path, value: str | None) -> str:
         parts = []
         for name in canonical_order(allow):
-            if path is not None:
-                child = self._keep(allow[name], (*path, name))
+            if collection is not None:
+                child = self._keep(allow[name], collection, (*path, name))
             else:
                 child = self._keep_bound(allow[name], _member(value, name))
             label = json.dumps(name, ensure_ascii=False) + ":"
             parts.append(f"concat({quote(label)}, {child})")
         return f"concat('{{', concat_ws(',', {', '.join(parts)}), '}}')"
 
-    def _keep(self, spec: FieldSpec, path: tuple[str, ...]) -> str:
-        place = self._place(path)
+    def _keep(self, spec: FieldSpec, collection: str, path: tuple[str, ...]) -> str:
+        place = self._place(collection, path)
         if spec.kind == "object":
-            text = self._members_text(spec.allow, path, None)
+            text = self._members_text(spec.allow, collection, path, None)
             return f"IF({place.members} IS NOT NULL, {text}, NULL)"
         if spec.kind == "array":
             return self._items_text(spec.items, place.elements)
@@ -270,7 +310,7 @@ class Compiler:
         if spec.kind == "object":
 
             def body(v: str) -> str:
-                return f"IF({_map(v)} IS NOT NULL, {self._members_text(spec.allow, None, v)}, NULL)"
+                return f"IF({_map(v)} IS NOT NULL, {self._members_text(spec.allow, None, (), v)}, NULL)"
 
             return self._let(value, body)
         return self._let(
@@ -286,9 +326,10 @@ class Compiler:
     # -- reports
 
     def reports(self, collection: str) -> str:
-        return self._members_reports(self.specs[collection].fields, (), "_v", "_m", "")
+        fields = self.specs[collection].fields
+        return self._members_reports(fields, collection, (), "_v", "_m", "")
 
-    def _members_reports(self, allow, path, value: str, members: str, prefix: str) -> str:
+    def _members_reports(self, allow, collection, path, value: str, members: str, prefix: str) -> str:
         """Reports of one object level in key order, each key's own reports together.
 
         ``prefix`` is a SQL expression, or empty at the top of the document.
@@ -307,35 +348,39 @@ class Compiler:
         known = []
         for name in names:
             where = at(quote(name))
-            if path is not None:
-                reports = self._drop(allow[name], (*path, name), where)
+            if collection is not None:
+                reports = self._drop(allow[name], collection, (*path, name), where)
             else:
                 reports = self._drop_bound(allow[name], _member(value, name), where)
             known.append(f"named_struct('k', {quote(name)}, 'r', {reports})")
         entry, full = next(self._fresh), next(self._fresh)
         return (
-            f"flatten(transform(array_sort(concat(CAST({strangers} AS {KEYED_TYPE}), "
+            f"flatten(transform(sort_array(concat(CAST({strangers} AS {KEYED_TYPE}), "
             f"filter(CAST(array({', '.join(known)}) AS {KEYED_TYPE}), {full} -> size({full}.r) > 0))), "
             f"{entry} -> {entry}.r))"
         )
 
-    def _drop(self, spec: FieldSpec, path: tuple[str, ...], where: str) -> str:
-        place = self._place(path)
-        mismatch = f"array({_report(where, 'type_mismatch', spec.kind, kind_sql(place.shape))})"
-        absent = f"{place.shape} IS NULL"
+    def _mismatch(self, where: str, expected: str, value: str) -> str:
+        found = self._let(f"schema_of_variant({value})", kind_sql)
+        return f"array({_report(where, 'type_mismatch', expected, found)})"
+
+    def _drop(self, spec: FieldSpec, collection: str, path: tuple[str, ...], where: str) -> str:
+        place = self._place(collection, path)
+        mismatch = self._mismatch(where, spec.kind, place.value)
         if spec.kind == "object":
-            inner = self._members_reports(spec.allow, path, place.value, place.members, where)
-            return (
-                f"CASE WHEN {absent} THEN {_NO_REPORTS} WHEN {place.members} IS NULL "
-                f"THEN {mismatch} ELSE {inner} END"
+            fits = f"{place.members} IS NOT NULL"
+            inner = self._members_reports(
+                spec.allow, collection, path, place.value, place.members, where
             )
-        if spec.kind == "array":
+        elif spec.kind == "array":
+            fits = f"{place.elements} IS NOT NULL"
             inner = self._items_reports(spec.items, place.elements, where)
-            return (
-                f"CASE WHEN {absent} THEN {_NO_REPORTS} WHEN {place.elements} IS NULL "
-                f"THEN {mismatch} ELSE {inner} END"
-            )
-        return f"IF({absent} OR {_fits(spec.kind, place.shape)}, {_NO_REPORTS}, {mismatch})"
+        else:
+            fits, inner = _fits(spec.kind, place.shape), _NO_REPORTS
+        return (
+            f"CASE WHEN {place.value} IS NULL THEN {_NO_REPORTS} WHEN {fits} THEN {inner} "
+            f"ELSE {mismatch} END"
+        )
 
     def _items_reports(self, items: FieldSpec, elements: str, where: str) -> str:
         item, index = next(self._fresh), next(self._fresh)
@@ -343,27 +388,29 @@ class Compiler:
         return f"flatten(transform({elements}, ({item}, {index}) -> {inner}))"
 
     def _drop_bound(self, spec: FieldSpec, value: str, where: str) -> str:
-        def body(v: str, s: str) -> str:
-            mismatch = f"array({_report(where, 'type_mismatch', spec.kind, kind_sql(s))})"
-            absent = f"{s} IS NULL"
+        """Reports for a value inside an array."""
+
+        def body(v: str) -> str:
             if spec.kind == "object":
-                inner = self._let(
-                    _map(v), lambda m: self._members_reports(spec.allow, None, v, m, where)
-                )
-                fits = f"startswith({s}, 'OBJECT<')"
+                inner = self._let(_map(v), lambda m: self._present(m, spec, v, where))
             elif spec.kind == "array":
-                inner = self._let(_array(v), lambda a: self._items_reports(spec.items, a, where))
-                fits = f"startswith({s}, 'ARRAY<')"
+                inner = self._let(_array(v), lambda a: self._present(a, spec, v, where))
             else:
-                inner, fits = _NO_REPORTS, _fits(spec.kind, s)
-            return (
-                f"CASE WHEN {absent} THEN {_NO_REPORTS} WHEN {fits} THEN {inner} "
-                f"ELSE {mismatch} END"
-            )
+                inner = self._let(
+                    f"schema_of_variant({v})",
+                    lambda s: f"IF({_fits(spec.kind, s)}, {_NO_REPORTS}, "
+                    f"{self._mismatch(where, spec.kind, v)})",
+                )
+            return f"IF({v} IS NULL, {_NO_REPORTS}, {inner})"
 
-        return self._let(
-            value, lambda v: self._let(f"schema_of_variant({v})", lambda s: body(v, s))
-        )
+        return self._let(value, body)
+
+    def _present(self, inner: str, spec: FieldSpec, value: str, where: str) -> str:
+        if spec.kind == "object":
+            reports = self._members_reports(spec.allow, None, (), value, inner, where)
+        else:
+            reports = self._items_reports(spec.items, inner, where)
+        return f"IF({inner} IS NOT NULL, {reports}, {self._mismatch(where, spec.kind, value)})"
 
     # -- ids
 

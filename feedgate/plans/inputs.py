@@ -90,6 +90,13 @@ SPECS = SpecSet.parse(
     ]
 )
 
+TEXTS = ("text.de", "text.en", "text.es", "text.fr")
+
+
+def only(*names: str) -> SpecSet:
+    return SpecSet(SPECS[name] for name in names)
+
+
 _FIXED_TIME = "2024-01-01 00:00:00"
 
 
@@ -330,11 +337,11 @@ def vector_docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _BUILDERS = {
-    "part": part_ops,
-    "event": event_ops,
-    "order": order_ops,
-    "line": line_ops,
-    "document": document_ops,
+    "part": (part_ops, only("catalog.product")),
+    "event": (event_ops, only("user.activity")),
+    "order": (order_ops, only("sales.order")),
+    "line": (line_ops, only("sales.line")),
+    "document": (document_ops, only(*TEXTS)),
 }
 _written: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -343,6 +350,7 @@ def records(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The record table of one input, written on first use and then read like any other."""
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _written:
-        ops = _BUILDERS[name](spark, folder)
-        _written[key] = save(apply_ops(None, ops, SPECS).records, f"records-{name}")
+        build, specs = _BUILDERS[name]
+        applied = apply_ops(None, build(spark, folder), specs)
+        _written[key] = save(applied.records, f"records-{name}")
     return _written[key]
