@@ -181,7 +181,6 @@ def exact_result(specs: SpecSet | None, collection: Column, text: Column, needed
     """Struct of :data:`EXACT_TYPE` for the rows where ``needed`` holds, NULL elsewhere."""
     by_name = dict(specs) if specs is not None else {}
 
-    @F.pandas_udf("string")
     def run(names: pd.Series, texts: pd.Series) -> pd.Series:
         return pd.Series(
             [
@@ -193,4 +192,6 @@ def exact_result(specs: SpecSet | None, collection: Column, text: Column, needed
             dtype=object,
         )
 
-    return F.from_json(run(F.when(needed, collection), F.when(needed, text)), EXACT_TYPE)
+    # Marked so that the optimizer does not copy it, and all it depends on, into filters.
+    decided = F.pandas_udf(run, "string").asNondeterministic()
+    return F.from_json(decided(F.when(needed, collection), F.when(needed, text)), EXACT_TYPE)

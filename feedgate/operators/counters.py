@@ -24,8 +24,8 @@ def dropped_totals(judged: DataFrame, refused: DataFrame | None = None) -> DataF
         )
         reached = F.col("code").isNull() | (F.col("code") == "payload_too_large")
         judged = judged.filter(prepared & reached)
-    fields = judged.select("collection", F.explode("dropped").alias("_report"))
-    return fields.groupBy(
+    fields = judged.select("collection", F.explode_outer("dropped").alias("_report"))
+    return fields.filter(F.col("_report").isNotNull()).groupBy(
         "collection",
         label_path(F.col("_report.path")).alias("field"),
         F.col("_report.reason").alias("reason"),

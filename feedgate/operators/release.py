@@ -91,22 +91,17 @@ def release(documents: DataFrame, specs: SpecSet) -> DataFrame:
 def dropped_fields(released: DataFrame, *carry: str) -> DataFrame:
     """One row per removed field, with the record it was removed from."""
     carry = carry or ("source", "collection", "id")
-    return released.select(
-        *carry, F.posexplode("dropped").alias("position", "_report")
-    ).select(*carry, "position", "_report.*")
+    exploded = released.select(*carry, F.posexplode_outer("dropped").alias("position", "_report"))
+    return exploded.filter(F.col("position").isNotNull()).select(*carry, "position", "_report.*")
 
 
 def coverage(released: DataFrame) -> DataFrame:
     """Per collection, how many documents lost nothing."""
-    complete = F.size("dropped") == 0
-    return (
-        released.filter(F.col("doc_state") == "object")
-        .groupBy("collection")
-        .agg(
-            F.count(F.lit(1)).alias("documents"),
-            F.count_if(complete).alias("complete"),
-            F.count_if(~complete).alias("incomplete"),
-        )
+    kept_all = F.size("dropped") == 0
+    return released.groupBy("collection").agg(
+        F.count_if(F.col("dropped").isNotNull()).alias("documents"),
+        F.count_if(F.col("dropped").isNotNull() & kept_all).alias("complete"),
+        F.count_if(F.col("dropped").isNotNull() & ~kept_all).alias("incomplete"),
     )
 
 

@@ -99,7 +99,7 @@ line_texts AS (
 line_documents AS (
   SELECT doc_id, source, len(lines) AS n_lines,
     '{"lines":[' || array_to_string(list_transform(lines,
-      lambda line, at: '{"n":' || (at - 1) || ',"text":' || to_json(line)::VARCHAR || '}'), ',') || ']}' AS payload
+      lambda line, pos: '{"n":' || (pos - 1) || ',"text":' || to_json(line)::VARCHAR || '}'), ',') || ']}' AS payload
   FROM line_texts)"""
 
 _ROW = "source, collection, id, seq, payload, content_hash, payload_bytes"
@@ -203,8 +203,8 @@ SELECT CAST(doc_id AS VARCHAR) AS doc_id, 0 AS position, 'id' AS path, 'unknown_
   CAST(NULL AS VARCHAR) AS expected, CAST(NULL AS VARCHAR) AS found
 FROM documents
 UNION ALL
-SELECT CAST(doc_id AS VARCHAR), CAST(at + 1 AS INTEGER), 'lines[' || at || '].size', 'unknown_key', NULL, NULL
-FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS at FROM documents)""",
+SELECT CAST(doc_id AS VARCHAR), CAST(pos + 1 AS INTEGER), 'lines[' || pos || '].size', 'unknown_key', NULL, NULL
+FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)""",
     "field_coverage": """
 SELECT 'catalog.product' AS collection, count(*) AS documents, CAST(0 AS BIGINT) AS complete, count(*) AS incomplete FROM part
 UNION ALL SELECT 'sales.order', count(*), 0, count(*) FROM orders""",
@@ -250,10 +250,10 @@ FROM page""",
     "byte_budget_pages": f"""
 WITH {_DOCUMENTS},
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY source, collection ORDER BY seq) AS at,
+  SELECT *, row_number() OVER (PARTITION BY source, collection ORDER BY seq) AS pos,
     sum(payload_bytes) OVER (PARTITION BY source, collection ORDER BY seq) AS spent
   FROM document_rows),
-page AS (SELECT * FROM ranked WHERE at <= 20 AND (at = 1 OR spent <= 40000)),
+page AS (SELECT * FROM ranked WHERE pos <= 20 AND (pos = 1 OR spent <= 40000)),
 ends AS (
   SELECT source, collection, max(seq) AS last_seq, count(*) AS kept FROM page GROUP BY ALL),
 totals AS (SELECT source, collection, least(count(*), 20) AS offered FROM document_rows GROUP BY ALL)
@@ -264,17 +264,17 @@ FROM page JOIN ends USING (source, collection) JOIN totals USING (source, collec
 WITH RECURSIVE {_DOCUMENTS},
 ranked AS MATERIALIZED (
   SELECT source, collection, seq, CAST(payload_bytes AS BIGINT) AS size,
-    row_number() OVER (PARTITION BY source, collection ORDER BY seq) AS at
+    row_number() OVER (PARTITION BY source, collection ORDER BY seq) AS pos
   FROM document_rows),
 steps AS (
-  SELECT source, collection, seq, size, at, CAST(1 AS BIGINT) AS page, CAST(1 AS BIGINT) AS held, size AS spent
-  FROM ranked WHERE at = 1
+  SELECT source, collection, seq, size, pos, CAST(1 AS BIGINT) AS page, CAST(1 AS BIGINT) AS held, size AS spent
+  FROM ranked WHERE pos = 1
   UNION ALL
-  SELECT r.source, r.collection, r.seq, r.size, r.at,
+  SELECT r.source, r.collection, r.seq, r.size, r.pos,
     CASE WHEN s.held = 10 OR s.spent + r.size > 30000 THEN s.page + 1 ELSE s.page END,
     CASE WHEN s.held = 10 OR s.spent + r.size > 30000 THEN 1 ELSE s.held + 1 END,
     CASE WHEN s.held = 10 OR s.spent + r.size > 30000 THEN r.size ELSE s.spent + r.size END
-  FROM steps s JOIN ranked r ON r.source = s.source AND r.collection = s.collection AND r.at = s.at + 1)
+  FROM steps s JOIN ranked r ON r.source = s.source AND r.collection = s.collection AND r.pos = s.pos + 1)
 SELECT source, collection, page, count(*) AS records, CAST(sum(size) AS BIGINT) AS bytes,
   min(seq) AS first_seq, max(seq) AS last_seq,
   CASE WHEN count(*) = 10 OR page < max(page) OVER (PARTITION BY source, collection) THEN max(seq) END AS next_cursor
@@ -305,8 +305,8 @@ SELECT source, collection, count(*), {_CHECKSUM}, max(seq) FROM part_rows GROUP
     "digest_listing": f"""
 WITH {_DOCUMENTS},
 page AS (
-  SELECT source, collection, id, content_hash, row_number() OVER (PARTITION BY source, collection ORDER BY id) AS at
-  FROM document_rows QUALIFY at <= 12)
+  SELECT source, collection, id, content_hash, row_number() OVER (PARTITION BY source, collection ORDER BY id) AS pos
+  FROM document_rows QUALIFY pos <= 12)
 SELECT source, collection, id, content_hash,
   CASE WHEN count(*) OVER (PARTITION BY source, collection) = 12
     THEN max(id) OVER (PARTITION BY source, collection) END AS next_cursor
@@ -333,13 +333,13 @@ SELECT *, '{{"id":"' || id || '","seq":' || seq || ',"deleted":' || CASE WHEN de
 FROM served""",
     "served_pages": f"""
 WITH {_DOCUMENTS},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source, collection ORDER BY seq) AS at FROM document_rows),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source, collection ORDER BY seq) AS pos FROM document_rows),
 tops AS (SELECT source, collection, max(seq) AS top FROM document_rows GROUP BY ALL),
 page AS (
   SELECT source, collection, count(*) AS n, max(seq) AS last_seq,
     string_agg('{{"id":"' || id || '","seq":' || seq || ',"ingested_at":"2024-01-01T00:00:00.000000Z","content_hash":"'
       || content_hash || '","payload":' || payload || '}}', ',' ORDER BY seq) AS listed
-  FROM ranked WHERE at <= 5 GROUP BY ALL)
+  FROM ranked WHERE pos <= 5 GROUP BY ALL)
 SELECT source, collection, '{{"records":[' || listed || '],"next_cursor":'
   || CASE WHEN n = 5 THEN CAST(last_seq AS VARCHAR) ELSE 'null' END || ',"max_seq":' || top || '}}' AS body
 FROM page JOIN tops USING (source, collection)""",
