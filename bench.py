@@ -54,7 +54,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     with contextlib.redirect_stdout(sys.stderr):
         # The record tables that reads start from are written before the clock starts.
-        for name in ("part", "event", "order", "document"):
+        for name in ("part", "event", "order", "line", "document"):
             inputs.records(spark, folder, name).count()
         times = {}
         for name in HEADLINE:

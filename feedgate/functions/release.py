@@ -29,7 +29,6 @@ from feedgate.spec import FieldSpec, SpecSet
 MARK = "\u0000"
 REPORT_TYPE = "struct<path:string,reason:string,expected:string,found:string>"
 REPORTS_TYPE = f"array<{REPORT_TYPE}>"
-KEYED_TYPE = f"array<struct<k:string,r:{REPORTS_TYPE}>>"
 
 # Numbers Spark already prints the canonical way: at most 15 digits, no exponent needed.
 _SHORT = r"\A(?!-0\z)-?(?:[1-9][0-9]{0,14}|0|(?!0\.000000)(?=.{1,16}\z)[0-9]+\.[0-9]*[1-9])\z"
@@ -72,7 +71,7 @@ def suspicious(text: Column) -> Column:
     return (
         (text.contains("\\u") & text.rlike(lone))
         | (brackets >= MAX_JSON_DEPTH)
-        | text.rlike(r"[0-9][eE]\+?[0-9]{3}|[0-9]{300}")
+        | text.rlike(r"[0-9](?:[eE]\+?[0-9]{3}|[0-9]{299})")
     )
 
 
@@ -184,6 +183,7 @@ class _Slot:
 
     name: str
     level: int
+    at: int
     paths: dict[str, tuple[str, ...]]
     kinds: dict[str, str]
 
@@ -222,7 +222,7 @@ class Compiler:
         name = f"_p{level}_{at}"
         slot = next((slot for slot in self._slots if slot.name == name), None)
         if slot is None:
-            slot = _Slot(name, level, {}, {})
+            slot = _Slot(name, level, at, {}, {})
             self._slots.append(slot)
         slot.paths[collection] = path
         slot.kinds[collection] = spec.kind if spec.kind in ("object", "array") else "scalar"
@@ -231,32 +231,46 @@ class Compiler:
     # -- columns for places outside arrays
 
     def with_places(self, frame: DataFrame) -> DataFrame:
-        """Add the facts about every declared place below ``_v``."""
+        """Add the facts about every declared place below ``_v``.
+
+        Values, shapes and texts of a level are arrays with one element per slot, so that one
+        expression treats them all and the generated code stays small.
+        """
         for level in range(1, 1 + max(slot.level for slot in self._slots)):
-            values, facts, plain, scalars = [], [], [], []
-            for slot in (slot for slot in self._slots if slot.level == level):
-                c = slot.name
-                values.append(f"{self._case(slot.paths, self._fetch)} AS {c}_v")
-                for users, build, suffix in (
-                    (slot.users("scalar"), "schema_of_variant({})".format, "s"),
-                    (slot.users("object"), _map, "m"),
-                    (slot.users("array"), _array, "a"),
-                ):
-                    if len(users) == len(self.specs):
-                        facts.append(f"{build(c + '_v')} AS {c}_{suffix}")
-                    elif users:
-                        names = ", ".join(map(quote, users))
-                        facts.append(f"IF(collection IN ({names}), {build(c + '_v')}, NULL) AS {c}_{suffix}")
-                if slot.users("scalar"):
-                    plain.append(f"{_plain(c + '_v', c + '_s')} AS {c}_x")
-                    scalars.append(f"{_scalar(c + '_x', c + '_s')} AS {c}_t")
-            for step in (values, facts, plain, scalars):
-                if step:
-                    frame = frame.selectExpr("*", *step)
+            slots = [slot for slot in self._slots if slot.level == level]
+            values = ", ".join(self._case(slot.paths, self._fetch) for slot in slots)
+            scalars = ", ".join(
+                self._for(slot.users("scalar"), f"_v{level}[{at}]") for at, slot in enumerate(slots)
+            )
+            containers = []
+            for at, slot in enumerate(slots):
+                for kind, build in (("object", _map), ("array", _array)):
+                    users = slot.users(kind)
+                    if users:
+                        value = self._for(users, build(f"_v{level}[{at}]"))
+                        containers.append(f"{value} AS {slot.name}_{kind}")
+            frame = frame.selectExpr("*", f"array({values}) AS _v{level}")
+            frame = frame.selectExpr(
+                "*",
+                f"transform(array({scalars}), v -> schema_of_variant(v)) AS _s{level}",
+                *containers,
+            )
+            plain = f"zip_with(_v{level}, _s{level}, (v, s) -> {_plain('v', 's')})"
+            frame = frame.selectExpr("*", f"{plain} AS _x{level}")
+            text = f"zip_with(_x{level}, _s{level}, (x, s) -> {_scalar('x', 's')})"
+            frame = frame.selectExpr("*", f"{text} AS _t{level}")
         return frame
 
+    def _for(self, users: list[str], value: str) -> str:
+        """The value for documents of some collections, NULL for the others."""
+        if len(users) == len(self.specs):
+            return value
+        if not users:
+            return "CAST(NULL AS VARIANT)"
+        return f"IF(collection IN ({', '.join(map(quote, users))}), {value}, NULL)"
+
     def _fetch(self, collection: str, path: tuple[str, ...]) -> str:
-        parent = "_v" if len(path) == 1 else self._slot_of[collection, path[:-1]].name + "_v"
+        parent = "_v" if len(path) == 1 else self._place(collection, path[:-1]).value
         return _member(parent, path[-1])
 
     def _case(self, by_collection: dict, build) -> str:
@@ -266,8 +280,9 @@ class Compiler:
         return f"CASE collection {cases} END"
 
     def _place(self, collection: str, path: tuple[str, ...]) -> Place:
-        c = self._slot_of[collection, path].name
-        return Place(f"{c}_v", f"{c}_s", f"{c}_t", f"{c}_m", f"{c}_a")
+        slot = self._slot_of[collection, path]
+        at = f"{slot.level}[{slot.at}]"
+        return Place(f"_v{at}", f"_s{at}", f"_t{at}", f"{slot.name}_object", f"{slot.name}_array")
 
     # -- payload text
 
@@ -355,8 +370,8 @@ class Compiler:
             known.append(f"named_struct('k', {quote(name)}, 'r', {reports})")
         entry, full = next(self._fresh), next(self._fresh)
         return (
-            f"flatten(transform(sort_array(concat(CAST({strangers} AS {KEYED_TYPE}), "
-            f"filter(CAST(array({', '.join(known)}) AS {KEYED_TYPE}), {full} -> size({full}.r) > 0))), "
+            f"flatten(transform(sort_array(concat({strangers}, "
+            f"filter(array({', '.join(known)}), {full} -> size({full}.r) > 0))), "
             f"{entry} -> {entry}.r))"
         )
 

@@ -25,7 +25,7 @@ from feedgate.plans import inputs
 from feedgate.plans.apply import apply_ops, judge
 from feedgate.plans.inputs import only
 from feedgate.sources import envelopes
-from feedgate.sources.scratch import new_path
+from feedgate.sources.scratch import new_path, save
 from feedgate.sources.table import RecordTable
 from feedgate.streaming.apply import apply_stream, feed_stream
 
@@ -119,7 +119,7 @@ def atomic_batch_gate(spark: SparkSession, folder: str) -> DataFrame:
     ops = inputs.document_ops(spark, folder).withColumns(
         {"batch_id": F.col("source"), "ord": F.col("batch_seq").cast("int")}
     )
-    judged = judge(ops, TEXTS, max_payload_bytes=28_000)
+    judged = save(judge(ops, TEXTS, max_payload_bytes=28_000), "judged")
     return gates.batch_verdicts(judged, max_ops=52).select("batch_id", "ord", "status", "code")
 
 
@@ -182,7 +182,7 @@ def _applied_events(spark: SparkSession, folder: str):
 
 
 def _event_outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    judged = judge(inputs.event_ops(spark, folder), ACTIVITY)
+    judged = save(judge(inputs.event_ops(spark, folder), ACTIVITY), "judged")
     ops = judged.select(
         "source", "collection", F.col("record_id").alias("id"), "batch_id", "batch_seq", "ord", "op",
         F.when(F.col("op") == "upsert", F.col("content_hash")).alias("content_hash"),
@@ -322,7 +322,7 @@ def collection_checksum(spark: SparkSession, folder: str) -> DataFrame:
 
 def chained_checksum(spark: SparkSession, folder: str) -> DataFrame:
     rows = inputs.records(spark, folder, "line")
-    return summary.collection_checksums(rows, small=1000, piece_rows=20_000)
+    return summary.collection_checksums(rows, small=1000, piece_rows=40_000)
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -375,9 +375,8 @@ def served_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def dropped_totals(spark: SparkSession, folder: str) -> DataFrame:
     ops = inputs.line_documents(spark, folder)
-    judged = judge(ops, LINES, max_payload_bytes=20_000).withColumn("batch_id", F.col("source")).withColumn(
-        "ord", F.col("batch_seq").cast("int")
-    )
+    by_source = {"batch_id": F.col("source"), "ord": F.col("batch_seq").cast("int")}
+    judged = save(judge(ops.withColumns(by_source), LINES, max_payload_bytes=20_000), "judged")
     refused = gates.batch_verdicts(judged)
     parts = judge(inputs.part_ops(spark, folder), PRODUCT)
     return counters.dropped_totals(judged, refused).unionByName(counters.dropped_totals(parts))
