@@ -119,7 +119,7 @@ def atomic_batch_gate(spark: SparkSession, folder: str) -> DataFrame:
     ops = inputs.document_ops(spark, folder).withColumns(
         {"batch_id": F.col("source"), "ord": F.col("batch_seq").cast("int")}
     )
-    judged = save(judge(ops, TEXTS, max_payload_bytes=28_000), "judged")
+    judged = save(judge(ops, TEXTS, max_payload_bytes=10_000), "judged")
     return gates.batch_verdicts(judged, max_ops=52).select("batch_id", "ord", "status", "code")
 
 

@@ -326,7 +326,9 @@ def vector_docs(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     payload = F.to_json(
         F.struct(
-            F.col("vec_id").alias("id"), F.col("embedding").alias("values"), F.col("label")
+            F.col("vec_id").alias("id"),
+            F.col("embedding").cast("array<double>").alias("values"),
+            F.col("label"),
         )
     )
     return _ops(

@@ -169,7 +169,7 @@ WITH sized AS (
   SELECT source, doc_id, strlen('{"chars":' || n_chars || ',"text":' || to_json(text)::VARCHAR || '}') AS size
   FROM documents),
 batches AS (
-  SELECT source, count(*) AS n, min(doc_id) FILTER (WHERE size > 28000) AS first_bad
+  SELECT source, count(*) AS n, min(doc_id) FILTER (WHERE size > 10000) AS first_bad
   FROM sized GROUP BY source)
 SELECT source AS batch_id, CASE WHEN n <= 52 THEN CAST(first_bad AS INTEGER) END AS ord,
   CAST(CASE WHEN n > 52 THEN 400 ELSE 413 END AS INTEGER) AS status,
@@ -213,6 +213,27 @@ SELECT CAST(doc_id AS VARCHAR) AS id, payload, sha256(payload) AS content_hash,
   CAST(strlen(payload) AS INTEGER) AS payload_bytes
 FROM (SELECT doc_id, '{"chars":' || n_chars || ',"id":' || doc_id || ',"lang":"' || lang || '","text":'
         || to_json(text)::VARCHAR || '}' AS payload FROM documents)""",
+    "exact_numbers": """
+WITH numbers AS (
+  SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos
+  FROM embeddings),
+texts AS (
+  SELECT *, x::VARCHAR AS t, CASE WHEN x < 0 THEN '-' ELSE '' END AS sign,
+    replace(replace(split_part(x::VARCHAR, 'e-', 1), '.', ''), '-', '') AS digits,
+    TRY_CAST(split_part(x::VARCHAR, 'e-', 2) AS INTEGER) AS power
+  FROM numbers),
+canonical AS (
+  SELECT vec_id, label, pos, CASE
+      WHEN x = 0 THEN '0'
+      WHEN power IS NULL THEN regexp_replace(t, '[.]0$', '')
+      WHEN power <= 6 THEN sign || '0.' || repeat('0', power - 1) || digits
+      WHEN strlen(digits) = 1 THEN sign || digits || 'e-' || power
+      ELSE sign || substr(digits, 1, 1) || '.' || substr(digits, 2) || 'e-' || power END AS number
+  FROM texts),
+payloads AS (
+  SELECT vec_id, '{"label":' || any_value(label) || ',"values":[' || string_agg(number, ',' ORDER BY pos) || ']}' AS payload
+  FROM canonical GROUP BY vec_id)
+SELECT CAST(vec_id AS VARCHAR) AS doc_id, payload, sha256(payload) AS content_hash FROM payloads""",
     "outcome_detection": f"WITH {_EVENTS} SELECT batch_id, ord, id, op, outcome FROM outcomes",
     "sequence_assignment": f"""
 WITH {_EVENTS}
