@@ -8,7 +8,6 @@ Both exchange the same portable state.
 from __future__ import annotations
 
 import ctypes
-import ctypes.util
 import struct
 
 _WORDS = struct.Struct(">8I")
@@ -66,16 +65,16 @@ class _Context(ctypes.Structure):
 
 
 def _openssl():
-    name = ctypes.util.find_library("crypto")
-    try:
-        library = ctypes.CDLL(name) if name else None
-        update = library.SHA256_Update
-        init = library.SHA256_Init
-    except (OSError, AttributeError):
-        return None
-    update.argtypes = [ctypes.c_void_p, ctypes.c_void_p, ctypes.c_size_t]
-    init.argtypes = [ctypes.c_void_p]
-    return init, update
+    for name in ("libcrypto.so.3", "libcrypto.so.1.1", "libcrypto.so", "libcrypto.dylib"):
+        try:
+            library = ctypes.CDLL(name)
+            update, init = library.SHA256_Update, library.SHA256_Init
+        except (OSError, AttributeError):
+            continue
+        update.argtypes = [ctypes.c_void_p, ctypes.c_void_p, ctypes.c_size_t]
+        init.argtypes = [ctypes.c_void_p]
+        return init, update
+    return None
 
 
 _LIBRARY = _openssl()
