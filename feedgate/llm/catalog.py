@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedgate.llm import mixing, url_filter
+from feedgate.llm import mixing, simhash, url_filter
 from feedgate.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,11 +24,16 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, folder, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op2_url_filters": op2_url_filters,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
