@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from feedgate.llm import mixing, simhash, url_filter
+from feedgate.llm import contamination, mixing, quality_rules, simhash, url_filter
 from feedgate.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,19 @@ def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination.contamination(F.col("text"), table(spark, folder, "benchmark"))
+    rows = table(spark, folder, "documents").select("doc_id", found.alias("r"))
+    return rows.select("doc_id", "r.n_words", "r.n_hit", "r.n_items", "r.items_sha256", "r.contaminated")
+
+
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    ordered = quality_rules.cascade_order(docs, quality_rules.METHOD_RULES)
+    rows = docs.select("doc_id", quality_rules.verdicts(F.col("text"), ordered).alias("v"))
+    return rows.select("doc_id", "v.*")
+
+
 def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -35,5 +49,7 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_url_filters": op2_url_filters,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_quality_rules": op6_quality_rules,
     "op10_source_mixing": op10_source_mixing,
 }
