@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedgate.llm import contamination, mixing, quality_rules, simhash, url_filter
+from feedgate.llm import contamination, mixing, pii, quality_rules, simhash, url_filter
 from feedgate.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,21 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "v.*")
 
 
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit_selector(docs)).select("doc_id", F.col("__spans").alias("found"))
+    base = F.filter("found", lambda s: s["kind"].isin(*pii.BASE))
+    counts = [
+        F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.written(base), 256).alias("base_sha256"),
+        pii.written(F.col("found")).alias("spans"),
+    )
+
+
 def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -51,5 +66,6 @@ QUERIES: dict[str, Query] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op7_pii": op7_pii,
     "op10_source_mixing": op10_source_mixing,
 }
