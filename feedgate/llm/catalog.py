@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedgate.llm import contamination, mixing, pii, quality_rules, simhash, url_filter
-from feedgate.llm.common import table
+from feedgate.llm import chat_format, contamination, mixing, pii, quality_rules, simhash, url_filter
+from feedgate.llm.common import literal_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +57,24 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    names = ("conv_id", "turn", "role", "text")
+    turns = table(spark, folder, "conversations").select(*names)
+    turns = turns.unionByName(literal_rows(spark, names, extra, "conv_id:long,turn:long,role:string,text:string"))
+    rows = chat_format.read_back(chat_format.formatted(chat_format.packed(turns)))
+    line = F.array_join(F.transform("__turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return rows.select(
+        "conv_id",
+        F.size("__turns").cast("long").alias("n_turns"),
+        F.sha2(line, 256).alias("turns_sha256"),
+        F.length("__loss_text").cast("long").alias("loss_chars"),
+        F.sha2("__loss_text", 256).alias("loss_sha256"),
+        F.length("__formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -67,5 +85,6 @@ QUERIES: dict[str, Query] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_pii": op7_pii,
+    "op8_chat_format": op8_chat_format,
     "op10_source_mixing": op10_source_mixing,
 }
