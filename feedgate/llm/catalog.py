@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedgate.llm import chat_format, contamination, mixing, pii, quality_rules, simhash, url_filter
+from feedgate.llm import chat_format, contamination, mixing, pii, quality_rules, simhash, url_filter, warc
 from feedgate.llm.common import literal_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ URL_RULES = (
 )
 
 
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
 def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, folder, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
@@ -80,6 +84,7 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc": op1_warc,
     "op2_url_filters": op2_url_filters,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,

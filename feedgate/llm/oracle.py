@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from feedgate.llm.chat_format import CONTROL
+
 _OP2 = """
 WITH cut AS (
   SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -21,4 +23,75 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verd
 FROM parts LEFT JOIN best USING (n)
 """
 
-ORACLE: dict[str, str] = {"op2_url_filters": _OP2}
+_OP1 = """
+WITH rows AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(encode(coalesce(html, ''))) AS payload_digest
+  FROM pages
+), marked AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM rows
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM marked
+"""
+
+_OP6 = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), lines AS (
+  SELECT n, count(*) - count(DISTINCT line) AS dup, count(*) AS all_lines
+  FROM (SELECT n, unnest(string_split(text, chr(10))) AS line FROM t)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY n
+), windows AS (
+  SELECT n, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
+  FROM (SELECT n, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3)
+), twice AS (
+  SELECT n, i FROM (SELECT n, i, count(*) OVER (PARTITION BY n, a, b, c) AS times FROM windows) WHERE times > 1
+), repeated AS (
+  SELECT n, count(DISTINCT i + k) AS hit FROM twice, (VALUES (0), (1), (2)) AS s(k) GROUP BY n
+), counts AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+         coalesce(hit, 0) AS n_repeat_words, coalesce(all_lines, 0) AS all_lines,
+         len(list_filter(regexp_extract_all(text, '[^\s]+'), lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x)) AS capitals
+  FROM t LEFT JOIN lines USING (n) LEFT JOIN repeated USING (n)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > 3 * n_words OR 10 * capitals > 3 * n_words
+            OR 10 * n_dup_lines > 3 * all_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words) AS kept
+FROM counts
+"""
+
+_OP8 = """
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), escaped AS (
+  SELECT *, ESCAPED AS safe FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(12 + length(role) + 10 + length(safe) + 10)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+
+def _escaped(column: str) -> str:
+    sql = f"replace({column}, '\\', '\\\\')"
+    for control in CONTROL:
+        sql = f"replace({sql}, '{control}', '{control[0]}\\{control[1:]}')"
+    return sql
+
+
+ORACLE: dict[str, str] = {
+    "op1_warc": _OP1,
+    "op2_url_filters": _OP2,
+    "op6_quality_rules": _OP6,
+    "op8_chat_format": _OP8.replace("ESCAPED", _escaped("text")),
+}
