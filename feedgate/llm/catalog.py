@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedgate.llm import chat_format, contamination, mixing, pii, quality_rules, simhash, url_filter, warc
+from feedgate.llm import chat_format, contamination, mixing, pii, quality_rules, simhash, substrings, url_filter, warc
 from feedgate.llm.common import literal_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,13 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with passages that other documents have too; passages as first:words, comma-joined."""
+    found = substrings.repeated_passages(table(spark, folder, "documents"))
+    written = F.array_join(F.transform("passages", lambda p: F.concat_ws(":", p["first"], p["n"])), ",")
+    return found.select("doc_id", F.size("passages").cast("long").alias("n_passages"), "repeated_words", written.alias("passages"))
+
+
 def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -91,5 +98,6 @@ QUERIES: dict[str, Query] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_pii": op7_pii,
     "op8_chat_format": op8_chat_format,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
 }

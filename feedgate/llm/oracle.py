@@ -56,7 +56,7 @@ WITH t AS (
   SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
          coalesce(hit, 0) AS n_repeat_words, coalesce(all_lines, 0) AS all_lines,
-         len(list_filter(regexp_extract_all(text, '[^\s]+'), lambda x: length(x) > 1 AND upper(x) = x AND lower(x) <> x)) AS capitals
+         len(list_filter(w, lambda x: length(x) > 1 AND regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS capitals
   FROM t LEFT JOIN lines USING (n) LEFT JOIN repeated USING (n)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

@@ -80,8 +80,8 @@ class Counts:
 
     @cached_property
     def n_capital_words(self) -> int:
-        """Words with a capital letter and no small one, one-letter words left out."""
-        return sum(1 for word in self.text.split() if len(word) > 1 and word.isupper())
+        """Words with some of A-Z and none of a-z, one-byte words left out."""
+        return sum(1 for word in self.words if len(word) > 1 and word.isupper())
 
 
 @dataclass(frozen=True)
