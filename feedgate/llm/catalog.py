@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedgate.llm import chat_format, contamination, mixing, pii, quality_rules, simhash, substrings, url_filter, warc
+from feedgate.llm import chat_format, contamination, mixing, pii, quality_model, quality_rules, simhash, substrings, url_filter, warc
 from feedgate.llm.common import literal_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, folder, "pages"), url_filter.rules_frame(spark, URL_RULES))
 
 
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -93,6 +97,7 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_url_filters": op2_url_filters,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_quality_rules": op6_quality_rules,
