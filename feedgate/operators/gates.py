@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from feedgate.functions.idents import id_error, name_error
 from feedgate.functions.labels import digest_error
 from feedgate.limits import MAX_BATCH_OPS, MAX_PAYLOAD_BYTES
+from feedgate.sources.scratch import save
 from feedgate.spec import SpecSet
 
 # Reject codes with their status and what they tell the sender, in the order a
 # batch is judged. A batch-level code of a smaller rank hides every code of a larger one;
 # codes of the last rank are compared by the position of the operation.
 REJECTS = {
-    "unauthorized": (1, 401, "no usable credential"),
+    "unauthorized": (1, 401, "the credential is unknown or was withdrawn"),
     "invalid_path": (2, 400, "the collection name is not usable"),
-    "unknown_collection": (3, 404, "no such collection is declared"),
+    "unknown_collection": (3, 404, "no specification covers this collection"),
     "invalid_body": (4, 400, "the body is not a list of operations"),
     "body_too_large": (4, 413, "the body is too large"),
     "batch_too_large": (5, 400, "the batch carries too many operations"),
@@ -28,9 +29,6 @@ REJECTS = {
 }
 OPERATION_RANK = 6
 
-_BROADCAST_ROWS = 100_000
-
-
 def rank_of(code: Column) -> Column:
     return _lookup(code, 0).cast("int")
 
@@ -40,9 +38,9 @@ def _lookup(code: Column, field: int) -> Column:
     return F.element_at(F.create_map(*pairs), code)
 
 
-def small_side(frame: DataFrame, rows: int = _BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side of short rows only after counting it; leave larger ones to the planner."""
-    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+def sized(frame: DataFrame, label: str = "side") -> DataFrame:
+    """A side of short rows, written first: the planner then knows its bytes and broadcasts it or not."""
+    return save(frame, label)
 
 
 def identifier_gate(frame: DataFrame, column: str = "id", grammar: str = "id") -> DataFrame:
@@ -75,11 +73,11 @@ def attribute_source(ops: DataFrame, credentials: DataFrame) -> DataFrame:
     """Set ``source`` from the credential hash an operation came with, and from nothing else.
 
     Unknown and revoked credentials leave ``source`` NULL, which the envelope gate reports as
-    ``unauthorized``. Credentials are few, but that is counted, not assumed; beyond the bound
-    the join is an ordinary one, which adaptive execution splits for a hot credential.
+    ``unauthorized``. The credentials are broadcast if their bytes allow it; else the join is an
+    ordinary one, which adaptive execution splits for a hot credential.
     """
     usable = credentials.filter(F.col("revoked_at").isNull()).select("token_hash", "source")
-    return ops.drop("source").join(small_side(usable), "token_hash", "left").drop("token_hash")
+    return ops.drop("source").join(sized(usable, "credentials"), "token_hash", "left").drop("token_hash")
 
 
 def envelope_gate(
@@ -97,8 +95,14 @@ def envelope_gate(
     state = F.col("doc_state")
     has_payload = F.coalesce(state != "null", F.lit(False))
     record_id = F.when(upsert, F.coalesce("id", "doc_id")).otherwise(F.col("id"))
+    # Without its batch and place an operation cannot be ordered, nor its batch refused as a whole.
+    placed = F.lit(True)
+    for name in ("batch_id", "batch_seq", "ord"):
+        if name in released.columns:
+            placed = placed & F.col(name).isNotNull()
     bad_body = (
-        F.coalesce(~F.col("op").isin("upsert", "delete"), F.lit(True))
+        ~placed
+        | F.coalesce(~F.col("op").isin("upsert", "delete"), F.lit(True))
         | (F.col("id").isNotNull() & id_error(F.col("id")).isNotNull())
         | F.coalesce(state == "invalid", F.lit(False))
     )
@@ -127,7 +131,9 @@ def size_error(payload_bytes: Column, limit: int = MAX_PAYLOAD_BYTES) -> Column:
 def batch_verdicts(judged: DataFrame, max_ops: int = MAX_BATCH_OPS) -> DataFrame:
     """One row per refused batch: the code that refuses it and the position it was found at.
 
-    Counts and first errors combine before the exchange, so a batch of any size is cheap.
+    Two operations in the same place of a batch refuse it, because their order is unknown. Counts
+    and first errors combine before each exchange, and places are summed up before batches are, so
+    a batch of any size is cheap.
     """
     rank = rank_of(F.col("code"))
     at = F.when(rank == OPERATION_RANK, F.col("ord")).otherwise(F.lit(-1))
@@ -135,8 +141,15 @@ def batch_verdicts(judged: DataFrame, max_ops: int = MAX_BATCH_OPS) -> DataFrame
         F.col("code").isNotNull(),
         F.struct(rank.alias("rank"), at.alias("at"), F.col("ord"), F.col("code")),
     )
-    totals = judged.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("ops"), F.min(error).alias("first")
+    places = judged.groupBy("batch_id", "ord").agg(F.count(F.lit(1)).alias("n"), F.min(error).alias("first"))
+    twice = F.when(
+        F.col("n") > 1,
+        F.struct(
+            F.lit(REJECTS["invalid_body"][0]).alias("rank"), F.lit(-1).alias("at"), F.col("ord"), F.lit("invalid_body").alias("code")
+        ),
+    )
+    totals = places.groupBy("batch_id").agg(
+        F.sum("n").alias("ops"), F.min(F.least("first", twice)).alias("first")
     )
     too_many = (F.col("ops") > max_ops) & (
         F.col("first").isNull() | (F.col("first.rank") > REJECTS["batch_too_large"][0])
@@ -154,4 +167,5 @@ def batch_verdicts(judged: DataFrame, max_ops: int = MAX_BATCH_OPS) -> DataFrame
 
 def accept_batches(judged: DataFrame, refused: DataFrame) -> DataFrame:
     """Operations of batches in which nothing was wrong."""
-    return judged.join(refused.select("batch_id"), "batch_id", "left_anti")
+    verdicts = refused.select(F.col("batch_id").alias("_refused"))
+    return judged.join(verdicts, F.col("batch_id").eqNullSafe(F.col("_refused")), "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,14 +12,23 @@ from feedgate.spec import CollectionSpec, FieldSpec, SpecSet
 _TYPES = {"string": "string", "scalar": "string", "number": "double", "boolean": "boolean"}
 
 
+_PLAIN = re.compile(r"[a-z][a-z0-9_]*")
+
+
 def index_column(name: str, spec: FieldSpec) -> str:
-    return f"idx_{spec.kind}_{name}"
+    """A column name no other field has, in any letter case; field names are case-sensitive and free.
+
+    Names that are not plain go in as hex behind an underscore, with which no plain name begins.
+    """
+    return f"idx_{spec.kind}_{name if _PLAIN.fullmatch(name) else '_' + name.encode().hex()}"
 
 
 def index_value(name: str, spec: FieldSpec, document: Column, kind: str | None = None) -> Column:
     """A top-level member of a parsed payload as a typed value."""
-    mark = "'" if '"' in name else '"'
-    member = F.try_variant_get(document, f"$[{mark}{name}{mark}]", "variant")
+    if re.search(r"[\"'\\\[\]]", name):  # no path can hold these
+        member = F.try_element_at(F.try_variant_get(document, "$", "map<string,variant>"), F.lit(name))
+    else:
+        member = F.try_variant_get(document, f'$["{name}"]', "variant")
     value = F.try_variant_get(member, "$", kind or _TYPES[spec.kind])
     if spec.kind in ("string", "scalar"):
         # Filters on untyped scalars compare text with text.

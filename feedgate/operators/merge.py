@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedgate.limits import EMPTY_DOCUMENT, EMPTY_DOCUMENT_HASH
+from feedgate.operators.gates import sized
 
 KEY = ["source", "collection", "id"]
 
 # A key with more operations than this in one run is cut into blocks of batches.
 HOT_KEY_OPS = 500_000
 BATCHES_PER_BLOCK = 256
-# Keys touched by a small run are broadcast to thin out the base table before any exchange.
-BROADCAST_KEYS = 200_000
 
 
 def _outcome(previous: Column) -> Column:
@@ -36,12 +35,10 @@ def base_states(records: DataFrame) -> DataFrame:
     )
 
 
-def touched(records: DataFrame, ops: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """Base rows an operation addresses, found without an exchange when the run is small."""
-    keys = ops.select(*KEY)
-    if keys.limit(broadcast_keys + 1).count() <= broadcast_keys:
-        return records.join(F.broadcast(keys.distinct()), KEY, "left_semi")
-    return records
+def touched(records: DataFrame, ops: DataFrame) -> DataFrame:
+    """Base rows an operation addresses. The keys are written first, so that the planner knows
+    their size: a small run's keys are broadcast and thin out the base before any exchange."""
+    return records.join(sized(ops.select(*KEY).distinct(), "touched"), KEY, "left_semi")
 
 
 def hot_keys(ops: DataFrame, threshold: int = HOT_KEY_OPS) -> DataFrame:
@@ -54,7 +51,6 @@ def detect_outcomes(
     records: DataFrame | None = None,
     hot_threshold: int = HOT_KEY_OPS,
     batches_per_block: int = BATCHES_PER_BLOCK,
-    broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """Add ``outcome``: ``stored``, ``tombstoned`` or ``unchanged``, in order of arrival.
 
@@ -67,12 +63,13 @@ def detect_outcomes(
     taken from one short row per key and block.
     """
     columns = ops.columns
-    frame = ops
+    frame = ops.withColumn("_base", F.lit(False))
     if records is not None:
-        base = base_states(touched(records, ops, broadcast_keys))
-        frame = ops.unionByName(base, allowMissingColumns=True)
-    real = F.col("ord").isNotNull()
-    order = [F.col("batch_seq").asc_nulls_first(), F.col("ord").asc_nulls_first()]
+        base = base_states(touched(records, ops)).withColumn("_base", F.lit(True))
+        frame = frame.unionByName(base, allowMissingColumns=True)
+    real = ~F.col("_base")
+    # Batches of one number, which several collections may send, are ordered by name.
+    order = [F.col("_base").desc(), *(F.col(c).asc_nulls_first() for c in ("batch_seq", "batch_id", "ord"))]
     state = F.struct("op", "content_hash")
 
     hot = hot_keys(ops, hot_threshold)
@@ -85,13 +82,13 @@ def detect_outcomes(
         )
 
     marked = frame.join(hot.withColumn("_hot", F.lit(True)), KEY, "left")
-    block = F.coalesce(F.floor(F.col("batch_seq") / batches_per_block), F.lit(-1))
+    block = F.when(F.col("_base"), -1).otherwise(F.floor(F.col("batch_seq") / batches_per_block))
     blocked = marked.withColumn("_block", F.when(F.col("_hot"), block).otherwise(F.lit(0)))
     within = Window.partitionBy(*KEY, "_block").orderBy(*order)
     lagged = blocked.withColumn("_previous", F.lag(state).over(within))
 
     last = blocked.filter("_hot").groupBy(*KEY, "_block").agg(
-        F.max_by(state, F.struct(F.coalesce("batch_seq", F.lit(-1)), F.coalesce("ord", F.lit(-1)))).alias("_last")
+        F.max_by(state, F.struct("batch_seq", "batch_id", "ord")).alias("_last")
     )
     across = Window.partitionBy(*KEY).orderBy("_block")
     carried = last.select(*KEY, "_block", F.lag("_last").over(across).alias("_carried"))
@@ -118,7 +115,10 @@ def changed_records(numbered: DataFrame, staged: DataFrame) -> DataFrame:
     documents = staged.select(
         "batch_id", "ord", "payload", "content_hash", "payload_bytes", "arrived_at"
     )
-    joined = last_changes(numbered).join(documents, ["batch_id", "ord"], "left")
+    # The few short rows that won are written first: if they are small they are broadcast, and the
+    # payloads of operations that lost or changed nothing are never moved.
+    winners = sized(last_changes(numbered), "winners")
+    joined = winners.join(documents, ["batch_id", "ord"])
     delete = F.col("op") == "delete"
     return joined.select(
         *KEY,
@@ -131,15 +131,10 @@ def changed_records(numbered: DataFrame, staged: DataFrame) -> DataFrame:
     )
 
 
-def merge_records(records: DataFrame, changes: DataFrame, changed_rows: int | None = None) -> DataFrame:
+def merge_records(records: DataFrame, changes: DataFrame) -> DataFrame:
     """The record table after a run: untouched rows as they are, changed rows replaced.
 
     Untouched rows, usually nearly all, are not moved when the changed keys are few.
     """
-    keys = changes.select(*KEY)
-    if changed_rows is None:
-        changed_rows = keys.limit(BROADCAST_KEYS + 1).count()
-    if changed_rows <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
-    kept = records.join(keys, KEY, "left_anti")
+    kept = records.join(sized(changes.select(*KEY), "changed"), KEY, "left_anti")
     return kept.unionByName(changes, allowMissingColumns=True)

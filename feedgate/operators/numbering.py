@@ -41,7 +41,7 @@ def number_rows(frame: DataFrame, order: list[Column], column: str, label: str)
 def assign_sequence(outcomes: DataFrame, start: Column | int, label: str = "sequence") -> DataFrame:
     """Give every change the next feed position, in batch order; unchanged rows get none."""
     changed = F.col("outcome") != "unchanged"
-    order = [(~changed).asc(), F.col("batch_seq").asc(), F.col("ord").asc()]
+    order = [(~changed).asc(), *(F.col(c).asc() for c in ("batch_seq", "batch_id", "ord"))]
     numbered = number_rows(outcomes, order, "_number", label)
     start = F.lit(start) if isinstance(start, int) else start
     return numbered.select(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedgate.limits import clamp_bytes, clamp_records
-from feedgate.operators.gates import small_side
+from feedgate.operators.gates import sized
 from feedgate.operators.indexing import index_column, index_value
 from feedgate.operators.summary import COLLECTION, live
 from feedgate.spec import CollectionSpec, SpecError, check_field_name
@@ -90,7 +90,7 @@ def lookup(records: DataFrame, source: str, collection: str, id: str, served: bo
 def lookup_many(records: DataFrame, keys: DataFrame, served: bool = True) -> DataFrame:
     """The records of a key table; a small key table is broadcast, so records stay in place."""
     rows = live(records) if served else records
-    return rows.join(small_side(keys.select(*KEY).distinct()), KEY, "left_semi")
+    return rows.join(sized(keys.select(*KEY).distinct()), KEY, "left_semi")
 
 
 def listing(
@@ -145,7 +145,7 @@ def first_pages(
     """
     size = clamp_records(limit)
     if cursors is not None:
-        rows = rows.join(small_side(cursors), COLLECTION, "left").filter(
+        rows = rows.join(sized(cursors), COLLECTION, "left").filter(
             F.col("seq") > F.coalesce("cursor", F.lit(0))
         ).drop("cursor")
     rank = F.row_number().over(Window.partitionBy(*COLLECTION).orderBy("seq"))
@@ -198,16 +198,21 @@ def digest_page(
     )
 
 
-def first_digest_pages(records: DataFrame, limit: int | None = None) -> DataFrame:
-    """The first digest page of every collection at once."""
+def first_digest_pages(
+    records: DataFrame, limit: int | None = None, cursors: DataFrame | None = None
+) -> DataFrame:
+    """The next digest page of every collection at once, each after its own cursor, if it has one.
+
+    ``cursors`` has ``source, collection, after``.
+    """
     size = clamp_records(limit)
+    rows = live(records).select(*COLLECTION, "id", "content_hash")
+    if cursors is not None:
+        rows = rows.join(sized(cursors, "cursors"), COLLECTION, "left").filter(
+            F.col("id") > F.coalesce("after", F.lit(""))
+        ).drop("after")
     rank = F.row_number().over(Window.partitionBy(*COLLECTION).orderBy("id"))
-    page = (
-        live(records)
-        .select(*COLLECTION, "id", "content_hash")
-        .withColumn("_rank", rank)
-        .filter(F.col("_rank") <= size)
-    )
+    page = rows.withColumn("_rank", rank).filter(F.col("_rank") <= size)
     whole = Window.partitionBy(*COLLECTION)
     full = F.count(F.lit(1)).over(whole) == size
     return page.withColumn("next_cursor", F.when(full, F.max("id").over(whole))).drop("_rank")

@@ -5,15 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedgate.operators.gates import small_side
+from feedgate.operators.gates import sized
 from feedgate.operators.merge import KEY
 
 
 def newest(changes: DataFrame) -> DataFrame:
-    """The newest change per key; combines before the exchange, so a busy key is no burden."""
-    rest = [c for c in changes.columns if c not in KEY]
-    latest = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), "seq").alias("_row")
-    return changes.groupBy(*KEY).agg(latest).select(*KEY, "_row.*")
+    """The newest change per key, once.
+
+    Which position is newest is an aggregate of short rows; the rows themselves are only filtered by
+    it. The short table is written first, so that a small one is broadcast.
+    """
+    places = changes.groupBy(*KEY, "seq").agg(F.count(F.lit(1)).alias("_n"))
+    latest = places.groupBy(*KEY).agg(F.max(F.struct("seq", "_n")).alias("_last")).select(*KEY, "_last.*")
+    latest = sized(latest, "newest")
+    at = [*KEY, "seq"]
+    once = changes.join(latest.filter(F.col("_n") == 1), at, "left_semi")
+    repeated = latest.filter(F.col("_n") > 1)
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(changes.join(repeated, at, "left_semi").dropDuplicates(KEY))
 
 
 def fold_feed(replica: DataFrame | None, changes: DataFrame) -> DataFrame:
@@ -24,7 +34,7 @@ def fold_feed(replica: DataFrame | None, changes: DataFrame) -> DataFrame:
     """
     if replica is None:
         return newest(changes).filter(F.col("deleted_at").isNull())
-    keys = small_side(changes.select(*KEY).distinct())
+    keys = sized(changes.select(*KEY).distinct(), "mentioned")
     untouched = replica.join(keys, KEY, "left_anti")
     met = replica.join(keys, KEY, "left_semi")
     folded = newest(met.unionByName(changes, allowMissingColumns=True))

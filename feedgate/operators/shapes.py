@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedgate.functions.labels import rfc3339
-from feedgate.operators.gates import small_side
+from feedgate.operators.gates import sized
 from feedgate.operators.summary import COLLECTION, max_positions
 
 
@@ -56,7 +56,7 @@ def page_bodies(pages: DataFrame, records: DataFrame, change: bool = False) -> D
         F.array_sort(F.collect_list(F.struct("seq", "_body"))).alias("_rows"),
         F.max("next_cursor").alias("next_cursor"),
     )
-    positions = small_side(max_positions(records))
+    positions = sized(max_positions(records))
     name = "changes" if change else "records"
     listed = F.array_join(F.transform("_rows", lambda row: row["_body"]), ",")
     return gathered.join(positions, COLLECTION, "left").select(
@@ -78,3 +78,41 @@ def manifest_bodies(manifests: DataFrame) -> DataFrame:
             F.coalesce("max_seq", F.lit(0)).cast("string"), F.lit("}"),
         ).alias("body"),
     )
+
+
+def digest_bodies(pages: DataFrame) -> DataFrame:
+    """One JSON document per digest page; a page is bounded by its record count."""
+    entry = F.concat(
+        F.lit('{"id":'), _text(F.col("id")), F.lit(',"content_hash":'), _text(F.col("content_hash")), F.lit("}")
+    )
+    gathered = pages.groupBy(*COLLECTION).agg(
+        F.array_sort(F.collect_list(F.struct("id", entry.alias("entry")))).alias("_rows"),
+        F.max("next_cursor").alias("_next"),
+    )
+    listed = F.array_join(F.transform("_rows", lambda row: row["entry"]), ",")
+    return gathered.select(
+        *COLLECTION,
+        F.concat(
+            F.lit('{"records":['), listed, F.lit('],"next_cursor":'),
+            F.coalesce(_text(F.col("_next")), F.lit("null")), F.lit("}"),
+        ).alias("body"),
+    )
+
+
+def answers(results: DataFrame, rejects: DataFrame) -> DataFrame:
+    """What the sender of each operation, or of each refused batch, is told, as JSON.
+
+    ``results`` comes from ``Applied.results()``. Operations: batch_id, ord, status 200 and the
+    outcome with what was dropped. Refused batches: the position that refused it, status and error.
+    """
+    told = F.struct(
+        F.col("id"), F.col("op"), F.col("outcome"), F.col("seq"),
+        F.transform(
+            F.filter(F.coalesce("dropped", F.array()), lambda d: d.isNotNull()),
+            lambda d: F.struct(d["path"].alias("path"), d["reason"].alias("reason"), d["expected"].alias("expected"), d["found"].alias("found")),
+        ).alias("dropped"),
+    )
+    done = results.select("batch_id", "ord", F.lit(200).alias("status"), F.to_json(told).alias("body"))
+    error = F.struct(F.struct("code", "message").alias("error"))
+    refused = rejects.select("batch_id", "ord", "status", F.to_json(error).alias("body"))
+    return done.unionByName(refused)

@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedgate.functions.sha_stream import Sha256
-from feedgate.operators.gates import small_side
-from feedgate.operators.numbering import number_rows
-from feedgate.sources.scratch import save
+from feedgate.operators.gates import sized
 
 COLLECTION = ["source", "collection"]
 
 # SHA-256 of "[]", the checksum of a collection without live records.
 EMPTY_CHECKSUM = "4f53cda18c2baa0c0354bb5f9a3ecbe5ed12ab4d8e11ba873c2f11161202b945"
 
-# Collections up to this many live records are hashed by one native aggregate.
-SMALL_COLLECTION = 100_000
-# Larger ones are hashed piece by piece, each piece by a task of its own.
-PIECE_ROWS = 4_000_000
+# Buckets of ids that are digested apart.
+BUCKETS = 4096
 
 
 def _pair() -> Column:
@@ -34,105 +32,80 @@ def live(records: DataFrame) -> DataFrame:
     return records.filter(F.col("deleted_at").isNull())
 
 
-def collection_checksums(
-    records: DataFrame, small: int = SMALL_COLLECTION, piece_rows: int = PIECE_ROWS
-) -> DataFrame:
+def collection_checksums(records: DataFrame) -> DataFrame:
     """Per collection the SHA-256 over its live ``[id, hash]`` pairs in id order.
 
-    The digest is defined over one byte string per collection, so its bytes have to be taken
-    in order. Collections of a counted, small size are put together by an aggregate. Of
-    larger ones no task ever sees more than a piece: all pieces are sorted and rendered in
-    parallel, then hashed one after the other, each going on from the state left by the one
-    before, while different collections advance together.
+    The digest is defined over one byte string per collection, so its bytes have to be taken in order:
+    one task per collection, over sorted rows, in constant memory. ``bucket_digests`` is the parallel
+    form for large collections.
     """
-    pairs = live(records).select(*COLLECTION, "id", "content_hash")
-    counts = pairs.groupBy(*COLLECTION).agg(F.count(F.lit(1)).alias("_rows"))
-    large = counts.filter(F.col("_rows") > small)
-    if large.isEmpty():
-        return _small_checksums(pairs)
-    large = small_side(large)
-    rest = _small_checksums(pairs.join(large, COLLECTION, "left_anti"))
-    return rest.unionByName(_chained_checksums(pairs.join(large, COLLECTION), piece_rows))
-
-
-def _small_checksums(pairs: DataFrame) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("id", _pair().alias("pair"))))
-    text = F.array_join(F.transform(ordered, lambda entry: entry["pair"]), ",")
-    return pairs.groupBy(*COLLECTION).agg(
-        F.sha2(F.concat(F.lit("["), text, F.lit("]")), 256).alias("checksum")
-    )
+    pairs = live(records).select(*COLLECTION, "id", F.concat(F.lit(","), _pair()).alias("_text"))
+    return _digests(pairs, COLLECTION, "checksum")
+
 
+def bucket_digests(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """``source, collection, bucket, digest`` of the live ``[id, hash]`` pairs of each bucket of ids.
 
-def _chained_checksums(pairs: DataFrame, piece_rows: int) -> DataFrame:
-    numbered = number_rows(pairs, [F.col(c).asc() for c in (*COLLECTION, "id")], "_n", "checksum")
-    first = small_side(numbered.groupBy(*COLLECTION).agg(F.min("_n").alias("_first")))
-    at = F.col("_n") - F.col("_first")
-    joiner = F.when(at == 0, F.lit("[")).otherwise(F.lit(","))
-    pieces = save(
-        numbered.join(first, COLLECTION).select(
-            *COLLECTION,
-            "_n",
-            F.concat(joiner, _pair()).alias("_text"),
-            (at == F.col("_rows") - 1).alias("_last"),
-            F.floor(at / piece_rows).cast("int").alias("_piece"),
-        ),
-        "checksum-pieces",
-        "_piece",
+    A record's bucket is a hash of its id, so buckets are alike in size, are digested in parallel, and
+    two tables that differ in a few records differ in as many buckets.
+    """
+    bucket = F.conv(F.substring(F.sha2("id", 256), 1, 8), 16, 10).cast("long") % buckets
+    pairs = live(records).select(
+        *COLLECTION, bucket.alias("bucket"), "id", F.concat(F.lit(","), _pair()).alias("_text")
     )
-    waves = pieces.agg(F.max("_piece")).first()[0]
-    states = None
-    done = None
-    for wave in range(waves + 1):
-        part = pieces.filter(F.col("_piece") == wave).drop("_piece")
-        if states is None:
-            part = part.withColumn("_state", F.lit(None).cast("binary"))
-        else:
-            part = part.join(states, COLLECTION)
-        sorted_part = part.repartition(*COLLECTION).sortWithinPartitions(*COLLECTION, "_n")
-        after = save(
-            sorted_part.mapInArrow(
-                _hash_runs, "source string, collection string, _state binary, checksum string"
-            ),
-            "checksum-states",
-        )
-        finished = after.filter(F.col("checksum").isNotNull()).drop("_state")
-        done = finished if done is None else done.unionByName(finished)
-        states = small_side(after.filter(F.col("checksum").isNull()).drop("checksum"))
-    return done
-
-
-def _hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Advance the digest of every collection over its sorted texts, whole batches at a time."""
-    names = ["source", "collection", "_state", "checksum"]
-    current, digest, ended = None, None, False
-
-    def result():
-        if ended:
+    return _digests(pairs, [*COLLECTION, "bucket"], "digest")
+
+
+def bucketed_checksums(digests: DataFrame) -> DataFrame:
+    """One digest per collection over its bucket digests; at most as many as there are buckets."""
+    ordered = F.array_sort(F.collect_list(F.struct("bucket", "digest")))
+    text = F.array_join(F.transform(ordered, lambda e: F.concat_ws(":", e["bucket"], e["digest"])), ",")
+    return digests.groupBy(*COLLECTION).agg(F.sha2(text, 256).alias("digest"))
+
+
+def _digests(pairs: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """SHA-256 of the comma-joined texts of each group, in id order, as a JSON array."""
+    kinds = {field.name: field.dataType.simpleString() for field in pairs.schema}
+    ordered = pairs.repartition(*keys).sortWithinPartitions(*keys, "id").select(*keys, "_text")
+    schema = ", ".join([*(f"{key} {kinds[key]}" for key in keys), f"{name} string"])
+    return ordered.mapInArrow(_hasher(keys, name), schema)
+
+
+def _hasher(keys: list[str], name: str):
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, digest, kinds = None, None, []
+
+        def result() -> pa.RecordBatch:
             digest.update(b"]")
-        row = [[current[0]], [current[1]], [None if ended else digest.state],
-               [digest.hexdigest() if ended else None]]
-        types = [pa.string(), pa.string(), pa.binary(), pa.string()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(value, kind) for value, kind in zip(row, types)], names
-        )
-
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        column = {name: batch.column(at) for at, name in enumerate(batch.schema.names)}
-        keys = list(zip(column["source"].to_pylist(), column["collection"].to_pylist()))
-        edges = [0, *(at for at in range(1, len(keys)) if keys[at] != keys[at - 1]), len(keys)]
-        texts = column["_text"].cast(pa.large_binary())
-        for start, end in zip(edges, edges[1:]):
-            if keys[start] != current:
-                if current is not None:
-                    yield result()
-                current, digest = keys[start], Sha256(column["_state"][start].as_py())
-            run = pa.concat_arrays([texts.slice(start, end - start)])
-            digest.update(b"".join(run.to_pylist()))
-            ended = column["_last"][end - 1].as_py()
-    if current is not None:
-        yield result()
+            values = [*([value] for value in current), [digest.hexdigest()]]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, [*kinds, pa.string()])], [*keys, name])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(key) for key in keys]
+            kinds = [column.type for column in columns]
+            changed = np.zeros(batch.num_rows, bool)
+            for column in columns:
+                same = pc.equal(column[1:], column[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+                changed[1:] |= ~same
+            edges = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
+            texts = batch.column("_text").cast(pa.large_binary())
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :]
+            data = memoryview(texts.buffers()[2])
+            for start, end in zip(edges, edges[1:]):
+                key = [column[start].as_py() for column in columns]
+                part = data[offsets[start] : offsets[end]]
+                if key != current:
+                    if current is not None:
+                        yield result()
+                    current, digest = key, hashlib.sha256(b"[")
+                    part = part[1:]  # the first text has no comma before it
+                digest.update(part)
+        if current is not None:
+            yield result()
+
+    return hashed
 
 
 def max_positions(records: DataFrame) -> DataFrame:
@@ -140,14 +113,12 @@ def max_positions(records: DataFrame) -> DataFrame:
     return records.groupBy(*COLLECTION).agg(F.max("seq").alias("max_seq"))
 
 
-def manifests(
-    records: DataFrame, small: int = SMALL_COLLECTION, piece_rows: int = PIECE_ROWS
-) -> DataFrame:
+def manifests(records: DataFrame) -> DataFrame:
     """Live count, checksum and highest position of every collection."""
     totals = records.groupBy(*COLLECTION).agg(
         F.count_if(F.col("deleted_at").isNull()).alias("count"), F.max("seq").alias("max_seq")
     )
-    checksums = collection_checksums(records, small, piece_rows)
+    checksums = collection_checksums(records)
     return totals.join(checksums, COLLECTION, "left").select(
         *COLLECTION,
         "count",
@@ -168,7 +139,7 @@ def drift_report(
     theirs = digests.select(*COLLECTION, "id", F.col("content_hash").alias("_theirs"))
     if checksums is not None:
         equal = collection_checksums(records).join(checksums, [*COLLECTION, "checksum"], "left_semi")
-        equal = small_side(equal.select(*COLLECTION))
+        equal = sized(equal.select(*COLLECTION))
         ours = ours.join(equal, COLLECTION, "left_anti")
         theirs = theirs.join(equal, COLLECTION, "left_anti")
     joined = ours.join(theirs, [*COLLECTION, "id"], "full_outer")

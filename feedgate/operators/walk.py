@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedgate.limits import clamp_bytes, clamp_records
-from feedgate.operators.gates import small_side
+from feedgate.operators.gates import sized
 from feedgate.operators.numbering import number_rows
 from feedgate.operators.summary import COLLECTION
 from feedgate.sources.scratch import save
@@ -64,7 +64,7 @@ def page_walk(
     )
     # A block holds at least a page, so an overhang reaches only into the block that follows.
     width = F.greatest(F.lit(max(block_rows, limit)), F.ceil(F.col("_rows") / max_blocks))
-    bounds = small_side(bounds.withColumn("_width", width))
+    bounds = sized(bounds.withColumn("_width", width))
     place = F.col("_n") - F.col("_first")
     placed = numbered.join(bounds, COLLECTION).select(
         *COLLECTION,
@@ -104,7 +104,7 @@ def page_walk(
     starts = tables.groupBy(*COLLECTION).applyInPandas(
         entries, "source string, collection string, _block long, _entry long"
     )
-    entered = blocks.join(small_side(save(starts, "walk-entries")), [*COLLECTION, "_block"])
+    entered = blocks.join(save(starts, "walk-entries"), [*COLLECTION, "_block"])
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
@@ -131,7 +131,7 @@ def page_walk(
     earlier = per_block.select(
         *COLLECTION, "_block", F.coalesce(F.sum("_pages").over(before), F.lit(0)).alias("_earlier")
     )
-    return opened.join(small_side(earlier), [*COLLECTION, "_block"]).select(
+    return opened.join(sized(earlier), [*COLLECTION, "_block"]).select(
         *COLLECTION,
         "seq",
         F.col("_size").alias("payload_bytes"),
@@ -153,7 +153,7 @@ def page_summary(
         F.min("seq").alias("first_seq"),
         F.max("seq").alias("last_seq"),
     )
-    last = small_side(per_page.groupBy(*COLLECTION).agg(F.max("page").alias("_last")))
+    last = sized(per_page.groupBy(*COLLECTION).agg(F.max("page").alias("_last")))
     more = (F.col("page") < F.col("_last")) | (F.col("records") == clamp_records(limit))
     return (
         per_page.join(last, COLLECTION)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +46,8 @@ def judge(
 class Applied:
     """Everything a run produces."""
 
-    records: DataFrame
-    """The record table afterwards."""
+    before: DataFrame | None
+    """The record table the run began with."""
     changes: DataFrame
     """The rows written by this run, one per changed key: its part of the change feed."""
     outcomes: DataFrame
@@ -56,6 +57,11 @@ class Applied:
     staged: DataFrame
     """Every operation as judged, with its drop report."""
 
+    @cached_property
+    def records(self) -> DataFrame:
+        """The record table afterwards; nothing is done for it unless it is asked for."""
+        return self.changes if self.before is None else merge.merge_records(self.before, self.changes)
+
     def results(self) -> DataFrame:
         """What a sender is told: outcomes together with the fields that were dropped."""
         reports = self.staged.select("batch_id", "ord", "dropped")
@@ -72,12 +78,11 @@ def apply_ops(
     max_batch_ops: int = MAX_BATCH_OPS,
     max_payload_bytes: int = MAX_PAYLOAD_BYTES,
     hot_threshold: int = merge.HOT_KEY_OPS,
-    broadcast_keys: int = merge.BROADCAST_KEYS,
 ) -> Applied:
     """Judge, release, hash and merge operations into a record table.
 
-    ``batch_seq`` orders batches and must differ between them; ``ord`` orders the operations
-    of one batch. Two intermediate tables are written: the judged operations, read once for
+    ``batch_seq`` orders batches, ``batch_id`` those of one number; ``ord`` orders the operations
+    of one batch. An operation without any of them refuses its batch. Two intermediate tables are written: the judged operations, read once for
     their short columns and once for the payloads that win, and the numbered outcomes.
     ``start`` is the highest position used so far, looked up in ``records`` if not given.
     """
@@ -93,12 +98,9 @@ def apply_ops(
         "op",
         F.when(F.col("op") == "upsert", F.col("content_hash")).alias("content_hash"),
     )
-    outcomes = merge.detect_outcomes(
-        accepted, records, hot_threshold=hot_threshold, broadcast_keys=broadcast_keys
-    )
+    outcomes = merge.detect_outcomes(accepted, records, hot_threshold=hot_threshold)
     if start is None:
         start = 0 if records is None else records.agg(F.max("seq")).first()[0] or 0
     numbered = assign_sequence(outcomes, start)
     changes = with_index_columns(merge.changed_records(numbered, staged), specs)
-    after = changes if records is None else merge.merge_records(records, changes)
-    return Applied(after, changes, numbered.drop("content_hash"), rejects, staged)
+    return Applied(records, changes, numbered.drop("content_hash"), rejects, staged)

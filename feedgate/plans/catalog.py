@@ -230,6 +230,58 @@ def _event_table(spark: SparkSession, folder: str) -> RecordTable:
     return kept
 
 
+def stream_onto_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the events as a batch commit, the rest as three micro-batches and a restart that finds nothing."""
+    ops = inputs.event_ops(spark, folder)
+    last = ops.agg(F.max("batch_seq")).first()[0]
+    kept = RecordTable(spark, new_path(spark, "table"), ACTIVITY)
+    part = F.floor(F.col("batch_seq") * 6 / (last + 1))
+    kept.commit(apply_ops(None, ops.filter(part < 3), ACTIVITY, start=0).changes)
+    path, state = new_path(spark, "lines"), new_path(spark, "state")
+    for number in (3, 4, 5, 6):
+        if number < 6:
+            envelopes.write_lines(ops.filter(part == number), path)
+        apply_stream(envelopes.stream_lines(spark, path), kept, state).awaitTermination()
+    kept.compact()
+    return kept.read().select(*FEED_COLUMNS, F.col("deleted_at").isNotNull().alias("deleted"))
+
+
+def faulty_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of lines of which every fifth lacks places, repeats one, or lacks its own name."""
+    path = new_path(spark, "lines")
+    batch, at = F.col("batch_seq") % 5, F.col("ord")
+    ops = inputs.event_ops(spark, folder)
+    ops = ops.withColumns(
+        {
+            "ord": F.when((batch == 1) & (at == 7), None).when((batch == 2) & (at == 8), 7).otherwise(at).cast("int"),
+            "batch_id": F.when(~((batch == 3) & (at == 9)), F.col("batch_id")),
+        }
+    )
+    envelopes.write_lines(ops, path)
+    applied = apply_ops(None, envelopes.read_lines(spark, path), ACTIVITY)
+    refused = applied.rejects.select("batch_id", "ord", "code", F.lit(0).cast("long").alias("done"))
+    done = applied.outcomes.groupBy("batch_id").agg(F.count("*").alias("done"))
+    none = {"ord": F.lit(None).cast("int"), "code": F.lit(None).cast("string")}
+    return refused.unionByName(done.withColumns(none))
+
+
+def batch_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of two collections, of which some are no list, have a stray key, trailing text, or are too large."""
+    path = inputs.batch_files(spark, folder)
+    specs = only("catalog.product", "sales.order")
+    ops = envelopes.read_batches(spark, f"{path}/*/*.json", source="erp", max_body_bytes=inputs.BODY_BYTES)
+    applied = apply_ops(None, ops, specs)
+    name = F.regexp_extract("batch_id", r"([^/]+/\d+)\.json$", 1).alias("file")
+    refused = applied.rejects.select(name, "code", F.lit(0).cast("long").alias("stored"))
+    stored = applied.outcomes.filter("outcome = 'stored'").groupBy("batch_id").agg(F.count("*").alias("stored"))
+    return refused.unionByName(stored.select(name, F.lit(None).cast("string").alias("code"), "stored"))
+
+
+def ingest_answers(spark: SparkSession, folder: str) -> DataFrame:
+    applied = _applied_events(spark, folder)
+    return shapes.answers(applied.results(), applied.rejects).select("batch_id", "ord", "status", "body")
+
+
 def streaming_apply(spark: SparkSession, folder: str) -> DataFrame:
     rows = _event_table(spark, folder).read()
     return rows.select(*FEED_COLUMNS, F.col("deleted_at").isNotNull().alias("deleted"))
@@ -294,6 +346,13 @@ def change_feed(spark: SparkSession, folder: str) -> DataFrame:
     return page.select(*FEED_COLUMNS, F.col("deleted_at").isNotNull().alias("deleted"), "next_cursor")
 
 
+def change_feed_page(spark: SparkSession, folder: str) -> DataFrame:
+    """A page that is full, so that it offers a cursor."""
+    rows = inputs.records(spark, folder, "event")
+    page = reads.changes(rows, ACTIVITY["user.activity"], "app", since=10, limit=10)
+    return page.select(*FEED_COLUMNS, F.col("deleted_at").isNotNull().alias("deleted"), "next_cursor")
+
+
 def change_feed_stream(spark: SparkSession, folder: str) -> DataFrame:
     kept, out = _event_table(spark, folder), new_path(spark, "feed")
     writer = feed_stream(kept).writeStream.format("parquet").option("path", f"{out}/rows")
@@ -309,6 +368,16 @@ def replica_fold(spark: SparkSession, folder: str) -> DataFrame:
     return replica.fold_feed(None, feed).select(*FEED_COLUMNS)
 
 
+def replica_catch_up(spark: SparkSession, folder: str) -> DataFrame:
+    """A replica of the first orders meets a feed of changes and of deletions, part of it twice."""
+    before = inputs.records(spark, folder, "order")
+    moved = inputs.order_ops(spark, folder, run=2)
+    gone = inputs.order_removals(spark, folder)
+    feed = apply_ops(before, moved.unionByName(gone), ORDERS).changes
+    again = feed.filter(F.col("seq") % 3 == 0)
+    return replica.fold_feed(before, feed.unionByName(again)).select(*FEED_COLUMNS)
+
+
 def max_position(spark: SparkSession, folder: str) -> DataFrame:
     both = inputs.records(spark, folder, "event").select("source", "collection", "seq").unionByName(
         inputs.records(spark, folder, "document").select("source", "collection", "seq")
@@ -322,7 +391,11 @@ def collection_checksum(spark: SparkSession, folder: str) -> DataFrame:
 
 def chained_checksum(spark: SparkSession, folder: str) -> DataFrame:
     rows = inputs.records(spark, folder, "line")
-    return summary.collection_checksums(rows, small=1000, piece_rows=40_000)
+    return summary.collection_checksums(rows)
+
+
+def bucket_digest(spark: SparkSession, folder: str) -> DataFrame:
+    return summary.bucket_digests(inputs.records(spark, folder, "line"), buckets=64)
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -334,6 +407,24 @@ def digest_listing(spark: SparkSession, folder: str) -> DataFrame:
     return reads.first_digest_pages(inputs.records(spark, folder, "document"), limit=12)
 
 
+def digest_listing_after(spark: SparkSession, folder: str) -> DataFrame:
+    """The second digest page of every collection, as served bodies."""
+    rows = inputs.records(spark, folder, "document")
+    first = reads.first_digest_pages(rows, limit=3)
+    cursors = first.groupBy("source", "collection").agg(F.max("next_cursor").alias("after"))
+    return shapes.digest_bodies(reads.first_digest_pages(rows, limit=3, cursors=cursors.dropna()))
+
+
+def manifest_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    return shapes.manifest_bodies(manifest(spark, folder))
+
+
+def complete_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Field coverage where some collections lose nothing."""
+    mixed = inputs.mixed_ops(spark, folder).filter("payload IS NOT NULL")
+    return coverage(release(mixed, ACTIVITY)).unionByName(coverage(release(inputs.event_ops(spark, folder), ACTIVITY)))
+
+
 def drift_report(spark: SparkSession, folder: str) -> DataFrame:
     """Our orders against a sender whose urgent orders moved on and whose list is its own."""
     moved = release(inputs.order_ops(spark, folder, run=2), ORDERS)
@@ -398,7 +489,9 @@ QUERIES: dict[str, Query] = {
         filtered_listing, byte_budget_pages, page_walk, change_feed, change_feed_stream,
         replica_fold, max_position, collection_checksum, chained_checksum, manifest,
         digest_listing, drift_report, freshness_check, served_changes, served_pages,
-        dropped_totals, outcome_totals,
+        dropped_totals, outcome_totals, stream_onto_table, faulty_lines, batch_files, ingest_answers,
+        change_feed_page, digest_listing_after, manifest_bodies, complete_documents, bucket_digest,
+        replica_catch_up,
     )
 }
 

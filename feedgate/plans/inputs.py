@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedgate.operators.numbering import number_rows
 from feedgate.plans.apply import apply_ops
-from feedgate.sources.scratch import save
+from feedgate.sources.scratch import file_system, new_path, save
 from feedgate.spec import SpecSet
 
 SPECS = SpecSet.parse(
@@ -255,6 +255,57 @@ def order_ops(spark: SparkSession, folder: str, run: int = 1) -> DataFrame:
     )
 
 
+def order_removals(spark: SparkSession, folder: str) -> DataFrame:
+    """Deletions of all orders of low priority, in batches behind those of the second run."""
+    orders = table(spark, folder, "orders").filter("o_orderpriority = '5-LOW'")
+    return _ops(
+        orders,
+        source=F.lit("erp"),
+        collection=F.lit("sales.order"),
+        batch=F.floor(F.col("o_orderkey") / 500) + 1_000_000_000,
+        ord=F.col("o_orderkey") % 500,
+        op=F.lit("delete"),
+        id=F.col("o_orderkey"),
+        payload=None,
+    )
+
+
+#: Size limit of the files below; one kind of fault exceeds it.
+BODY_BYTES = 300_000
+
+
+def batch_files(spark: SparkSession, folder: str) -> str:
+    """A folder of ``<collection>/<batch_seq>.json`` files, each a JSON array of operations.
+
+    Of every seven files one is not an array, one has a stray key, one trailing text, one is too large.
+    """
+    path = new_path(spark, "batches")
+    ops = part_ops(spark, folder).unionByName(order_ops(spark, folder)).withColumn("place", F.col("batch_seq") % 7)
+    stray = F.when((F.col("place") == 2) & (F.col("ord") == 3), F.lit(',"note":1')).otherwise("")
+    envelope = F.concat(F.lit('{"op":"upsert"'), stray, F.lit(',"payload":'), F.col("payload"), F.lit("}"))
+    listed = ops.groupBy("collection", "batch_seq", "place").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", envelope.alias("e")))), lambda x: x["e"]), ",").alias("list")
+    )
+    body = F.concat(F.lit("["), F.col("list"), F.lit("]"))
+    text = (
+        F.when(F.col("place") == 1, F.concat(F.lit('{"ops":'), body, F.lit("}")))
+        .when(F.col("place") == 3, F.concat(body, F.lit(" x")))
+        .when(F.col("place") == 4, F.concat(body, F.repeat(F.lit(" "), BODY_BYTES)))
+        .otherwise(body)
+    )
+    rows = listed.select("collection", "batch_seq", text.alias("value"))
+    rows.write.partitionBy("collection", "batch_seq").text(f"{path}-parts")
+    # Spark names its files itself; they are given the names of the layout, without being read.
+    found, system = file_system(spark, f"{path}-parts/*/*/part-*")
+    for status in system.globStatus(found) or []:
+        where = str(status.getPath()).split("/")
+        collection, number = (part.split("=", 1)[1] for part in where[-3:-1])
+        target, _ = file_system(spark, f"{path}/{collection}/{number}.json")
+        system.mkdirs(target.getParent())
+        system.rename(status.getPath(), target)
+    return path
+
+
 def line_ops(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines, whose keys repeat; numbered in the order of all their columns."""
     lines = table(spark, folder, "lineitem")

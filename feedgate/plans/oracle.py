@@ -379,4 +379,66 @@ UNION ALL SELECT 'catalog.product', 'grade', 'type_mismatch', count(*) FROM part
     "outcome_totals": f"""
 WITH {_EVENTS}
 SELECT 'user.activity' AS collection, outcome, count(*) AS total FROM outcomes GROUP BY outcome""",
+    "stream_onto_table": _EVENT_STATE,
+    "faulty_lines": """
+WITH ops AS (
+  SELECT 'user.activity-' || (event_id // 100) AS batch, (event_id // 100) % 5 AS kind, event_id % 100 AS place FROM events),
+marks AS (
+  SELECT batch, kind, count(*) AS n, bool_or(kind = 1 AND place = 7) AS unplaced,
+    bool_or(kind = 2 AND place = 7) AND bool_or(kind = 2 AND place = 8) AS twice, count(*) FILTER (kind = 3 AND place = 9) AS unnamed
+  FROM ops GROUP BY batch, kind)
+SELECT batch AS batch_id, CAST(CASE WHEN twice THEN 7 END AS INTEGER) AS ord, 'invalid_body' AS code, CAST(0 AS BIGINT) AS done
+FROM marks WHERE unplaced OR twice
+UNION ALL SELECT batch, NULL, NULL, n - unnamed FROM marks WHERE NOT unplaced AND NOT twice AND n > unnamed
+UNION ALL SELECT NULL, 9, 'invalid_body', 0 FROM marks HAVING sum(unnamed) > 0""",
+    "batch_files": """
+WITH files AS (
+  SELECT 'catalog.product' AS collection, p_partkey // 500 AS n, count(*) AS stored, bool_or(p_partkey % 500 = 3) AS third
+  FROM part GROUP BY n
+  UNION ALL SELECT 'sales.order', o_orderkey // 500, count(*), bool_or(o_orderkey % 500 = 3) FROM orders GROUP BY 2),
+judged AS (
+  SELECT collection || '/' || n AS file, stored, CASE WHEN n % 7 IN (1, 3) OR (n % 7 = 2 AND third) THEN 'invalid_body'
+      WHEN n % 7 = 4 THEN 'payload_too_large' END AS code FROM files)
+SELECT file, code, CASE WHEN code IS NULL THEN stored ELSE 0 END AS stored FROM judged""",
+    "ingest_answers": f"""
+WITH {_EVENTS}
+SELECT o.batch_id, o.ord, CAST(200 AS INTEGER) AS status,
+  '{{"id":"' || o.id || '","op":"' || o.op || '","outcome":"' || o.outcome || '"'
+    || CASE WHEN n.seq IS NULL THEN '' ELSE ',"seq":' || n.seq END || ',"dropped":['
+    || CASE WHEN o.op = 'upsert' THEN '{{"path":"user","reason":"unknown_key"}}' ELSE '' END || ']}}' AS body
+FROM outcomes o LEFT JOIN numbered n USING (event_id)""",
+    "change_feed_page": f"""
+WITH {_EVENTS},
+page AS (SELECT * FROM event_rows WHERE seq > 10 ORDER BY seq LIMIT 10)
+SELECT {_ROW}, deleted, CASE WHEN (SELECT count(*) FROM page) = 10 THEN (SELECT max(seq) FROM page) END AS next_cursor
+FROM page""",
+    "digest_listing_after": f"""
+WITH {_DOCUMENTS},
+ranked AS (
+  SELECT source, collection, id, content_hash, row_number() OVER (PARTITION BY source, collection ORDER BY id) AS pos
+  FROM document_rows),
+page AS (SELECT * FROM ranked WHERE pos BETWEEN 4 AND 6
+  UNION ALL SELECT * FROM ranked WHERE (source, collection) IN
+    (SELECT (source, collection) FROM ranked GROUP BY source, collection HAVING count(*) < 3))
+SELECT source, collection, '{{"records":[' || string_agg('{{"id":"' || id || '","content_hash":"' || content_hash || '"}}', ',' ORDER BY id)
+  || '],"next_cursor":' || CASE WHEN count(*) = 3 THEN '"' || max(id) || '"' ELSE 'null' END || '}}' AS body
+FROM page GROUP BY source, collection""",
+    "manifest_bodies": f"""
+WITH {_EVENTS}, {_PARTS},
+sums AS (
+  SELECT source, collection, count(*) AS n, {_CHECKSUM} AS checksum, (SELECT max(seq) FROM event_rows) AS top
+  FROM event_rows WHERE NOT deleted GROUP BY source, collection
+  UNION ALL SELECT source, collection, count(*), {_CHECKSUM}, max(seq) FROM part_rows GROUP BY source, collection)
+SELECT source, collection, '{{"count":' || n || ',"checksum":"' || checksum || '","max_seq":' || top || '}}' AS body FROM sums""",
+    "complete_documents": """
+SELECT 'user.activity' AS collection, count(*) AS documents, count(*) AS complete, CAST(0 AS BIGINT) AS incomplete
+FROM events WHERE event_type IN ('click', 'signup', 'purchase')
+UNION ALL SELECT 'user.activity', count(*), 0, count(*) FROM events WHERE event_type <> 'error'""",
+    "bucket_digest": f"""
+WITH {_LINES}, hashed AS (
+  SELECT *, sha256(payload) AS content_hash, CAST('0x' || substr(sha256(id), 1, 8) AS BIGINT) % 64 AS bucket FROM line_rows)
+SELECT source, collection, bucket, {_CHECKSUM} AS digest FROM hashed GROUP BY source, collection, bucket""",
+    "replica_catch_up": f"""
+WITH {_ORDERS}
+SELECT {_HASHED} FROM order_rows JOIN orders ON id = CAST(o_orderkey AS VARCHAR) WHERE o_orderpriority <> '5-LOW'""",
 }

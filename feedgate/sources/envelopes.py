@@ -24,8 +24,8 @@ _LINE_TYPE = (
 _OVERFLOW = 'Infinity"'
 
 
-def _problem(text: Column, allowed: list[str], tree: Column, overflow: Column) -> Column:
-    """``invalid_body`` for unknown keys, wrong member types, or text Spark read leniently."""
+def _problem(text: Column, allowed: list[str], tree: Column, overflow: Column, required: tuple[str, ...] = ()) -> Column:
+    """``invalid_body`` for unknown keys, missing places, wrong member types, or text Spark read leniently."""
     kinds = [
         F.schema_of_variant(F.try_variant_get(tree, f"$.{name}", "variant")) for name in ("op", "id")
     ]
@@ -38,6 +38,8 @@ def _problem(text: Column, allowed: list[str], tree: Column, overflow: Column) -
         | F.coalesce(~id_kind.isin("STRING", "VOID"), F.lit(False))
         | F.coalesce(overflow, F.lit(False))
     )
+    for name in required:
+        bad = bad | F.col(f"_e.{name}").isNull()
     return F.when(bad, F.lit("invalid_body"))
 
 
@@ -56,13 +58,16 @@ def read_batches(
 ) -> DataFrame:
     """Batch files as operations, ``ord`` being the position in the array.
 
-    Files are named ``…<collection>/<batch_seq>.json`` unless ``collection`` is given. A file
+    Files are named ``…<collection>/<batch_seq>.json`` unless ``collection`` is given; one whose name
+    is no number is ordered by its time. Files of equal number are ordered by path, their ``batch_id``. A file
     over the size limit is reported without being read; one that is not an array of envelopes
     is reported as well. Both show up as a single row with ``envelope_error``.
     """
     files = spark.read.format("binaryFile").load(path).select(
         F.col("path").alias("batch_id"),
-        F.regexp_extract("path", r"(\d+)\.json$", 1).try_cast("long").alias("batch_seq"),
+        F.coalesce(
+            F.regexp_extract("path", r"(\d+)\.json$", 1).try_cast("long"), F.unix_micros("modificationTime")
+        ).alias("batch_seq"),
         F.lit(source).cast("string").alias("source"),
         (
             F.lit(collection) if collection else F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
@@ -126,6 +131,7 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
             _LINE + _ENVELOPE,
             F.col("_tree"),
             F.col("_e.payload").contains(_OVERFLOW) & ~F.col("_line").contains(_OVERFLOW),
+            ("batch_id", "batch_seq", "ord"),
         ).alias("envelope_error"),
     )
 
@@ -143,12 +149,14 @@ def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def write_lines(ops: DataFrame, path: str) -> None:
-    """Operations as line-delimited JSON that :func:`read_lines` reads back."""
+    """Operations as line-delimited JSON that :func:`read_lines` reads back; a batch is in one file, in order."""
     fields = [c for c in (*_LINE, "op", "id") if c in ops.columns]
     head = F.to_json(F.struct(*[F.col(c) for c in fields]))
     line = F.when(F.col("payload").isNull(), head).otherwise(
         F.concat(F.expr("left(_head, length(_head) - 1)"), F.lit(',"payload":'), F.col("payload"), F.lit("}"))
     )
-    ops.withColumn("_head", head).select(
+    # A batch has one number, so its rows fall into one range.
+    placed = ops.repartitionByRange("batch_seq", "batch_id").sortWithinPartitions("batch_seq", "batch_id", "ord")
+    placed.withColumn("_head", head).select(
         F.when(F.col("payload").isNull(), F.col("_head")).otherwise(line).alias("value")
     ).write.mode("append").text(path)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _local_folders: dict[str, str] = {}
+_scopes = threading.local()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -25,7 +29,32 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/feedgate/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/feedgate/{label}-{uuid.uuid4().hex}"
+    for begun in getattr(_scopes, "open", [])[-1:]:
+        begun.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scoped(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables this thread begins inside, when the block is left."""
+    _scopes.open = [*getattr(_scopes, "open", []), []]
+    try:
+        yield
+    finally:
+        for path in _scopes.open.pop():
+            delete(spark, path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop path object and its file system."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    found, system = file_system(spark, path)
+    system.delete(found, True)
 
 
 def save(frame: DataFrame, label: str, *partitions: str) -> DataFrame:

@@ -3,27 +3,32 @@
 ``<path>/base/v=<n>/``     whole table as of commit n, by source and collection, sorted by seq
 ``<path>/log/commit=<n>/`` rows written by commit n, one per changed key
 
-A folder counts once its ``_SUCCESS`` marker exists. Commits are numbered by their caller; a
-commit that is already there is skipped, so a replayed micro-batch does no harm. There is one
-writer at a time.
+A folder counts once its ``_SUCCESS`` marker exists. A commit is written aside, with its reports, and
+moved into place as a whole, so a reader sees all of it or nothing. Commits are numbered by the
+table. A commit made from a micro-batch carries that batch's name inside, and a batch that finds its
+name has been committed already. There is one writer at a time.
 
 A commit writes what changed and nothing else. Readers lay the newest logged row per key over
-the base; ``compact`` writes a new base when the log has grown.
+the base; ``compact`` writes a new base when the log has grown, and ``expire`` removes what no
+reader needs any more.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedgate.operators.gates import small_side
+from feedgate.operators.gates import sized
 from feedgate.operators.indexing import with_index_columns
 from feedgate.operators.merge import KEY
 from feedgate.operators.replica import newest
 from feedgate.plans.apply import RECORD
+from feedgate.sources.scratch import delete, file_system
 from feedgate.spec import SpecSet
 
 
@@ -35,23 +40,27 @@ class RecordTable:
 
     # -- what has been committed
 
-    def _finished(self, kind: str, prefix: str) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{prefix}=*/_SUCCESS")
-        system = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found = system.globStatus(hadoop) or []
-        numbers = [re.search(rf"{prefix}=(\d+)/_SUCCESS$", str(f.getPath())) for f in found]
-        return sorted(int(n.group(1)) for n in numbers if n)
+    def _found(self, pattern: str, taken: str) -> list[int]:
+        """The numbers that ``taken`` matches in the paths of a pattern."""
+        path, system = file_system(self.spark, f"{self.path}/{pattern}")
+        paths = [str(found.getPath()) for found in system.globStatus(path) or []]
+        return sorted(int(m.group(1)) for m in (re.search(taken, p) for p in paths) if m)
 
     def commits(self) -> list[int]:
         """Numbers of the commits in the log."""
-        return self._finished("log", "commit")
+        return self._found("log/commit=*/_SUCCESS", r"commit=(\d+)/_SUCCESS$")
 
     def bases(self) -> list[int]:
-        return self._finished("base", "v")
+        return self._found("base/v=*/_SUCCESS", r"v=(\d+)/_SUCCESS$")
 
     def last_commit(self) -> int:
         return max([0, *self.commits(), *self.bases()])
 
+    def committed(self, stream: str, batch: int) -> int | None:
+        """The commit a micro-batch of a stream was made into, if there is one."""
+        found = self._found(f"log/commit=*/_batch-{stream}-{batch}", r"commit=(\d+)/_batch-")
+        return found[0] if found else None
+
     # -- reading
 
     def _log(self, after: int, upto: int) -> DataFrame | None:
@@ -66,44 +75,77 @@ class RecordTable:
         log = self._log(after, self.last_commit() if upto is None else upto)
         return self.spark.createDataFrame([], self.schema) if log is None else log
 
-    def read(self, upto: int | None = None) -> DataFrame:
-        """The table as of a commit, the last one by default.
+    def read(self, upto: int | None = None, collections: Iterable[str] | None = None) -> DataFrame:
+        """The table as of a commit, the last one by default; of some collections, if they are named.
 
-        Keys logged since the base hide their base row. They are broadcast when counted to be
-        few, so that reading a large base moves none of it.
+        Keys logged since the base hide their base row. They are broadcast if their bytes allow it, so
+        that reading a large base moves none of it. Only folders of named collections are scanned.
         """
         upto = self.last_commit() if upto is None else upto
         base_at = max([n for n in self.bases() if n <= upto], default=0)
+        wanted = F.lit(True) if collections is None else F.col("collection").isin(list(collections))
         log = self._log(base_at, upto)
+        log = None if log is None else log.filter(wanted)
         current = self.spark.createDataFrame([], self.schema) if log is None else newest(log)
         current = current.select(self.schema.names)
         if not base_at:
             return current
-        base = self.spark.read.schema(self.schema).parquet(f"{self.path}/base/v={base_at}")
+        base = self.spark.read.schema(self.schema).parquet(f"{self.path}/base/v={base_at}").filter(wanted)
         if log is None:
             return base
-        changed = small_side(log.select(*KEY).distinct(), rows=200_000)
+        changed = sized(log.select(*KEY).distinct(), "logged")
         return base.join(changed, KEY, "left_anti").select(self.schema.names).unionByName(current)
 
     def max_seq(self) -> int:
-        """Highest position ever given out; a replaced row never has it."""
-        base_at = max(self.bases(), default=0)
-        rows = self.feed(base_at).select("seq")
-        if base_at:
-            base = self.spark.read.schema(self.schema).parquet(f"{self.path}/base/v={base_at}")
-            rows = rows.unionByName(base.select("seq"))
-        return rows.agg(F.max("seq")).first()[0] or 0
+        """Highest position ever given out; every commit and base has it in a name, so none is read."""
+        logged = self._found("log/commit=*/_seq-*", r"_seq-(\d+)$")
+        return max([0, *logged, *self._found("base/v=*/_seq-*", r"_seq-(\d+)$")])
+
+    def reports(self, kind: str) -> DataFrame | None:
+        """What runs reported next to their commits, for example ``rejects`` or ``results``."""
+        path, system = file_system(self.spark, f"{self.path}/log/commit=*/_reports/{kind}/_SUCCESS")
+        found = [str(f.getPath()).removesuffix("/_SUCCESS") for f in system.globStatus(path) or []]
+        return self.spark.read.parquet(*found) if found else None
 
     # -- writing
 
-    def commit(self, changes: DataFrame, number: int | None = None) -> int:
-        """Append one run's changes; a number already committed is left as it is."""
-        number = self.last_commit() + 1 if number is None else number
-        if number not in self.commits():
-            rows = changes.select(self.schema.names)
-            rows.write.mode("overwrite").parquet(f"{self.path}/log/commit={number}")
+    def _mark(self, folder: str, name: str) -> None:
+        path, system = file_system(self.spark, f"{folder}/{name}")
+        system.create(path).close()
+
+    def commit(
+        self,
+        changes: DataFrame,
+        *,
+        batch: tuple[str, int] | None = None,
+        reports: dict[str, DataFrame] | None = None,
+    ) -> int:
+        """Append one run's changes and reports as the next commit.
+
+        ``batch`` names the stream and micro-batch they come from; one that has been committed is left
+        as it is, and its number returned.
+        """
+        if batch is not None and (done := self.committed(*batch)) is not None:
+            return done
+        number, aside = self.last_commit() + 1, f"{self.path}/staging/{uuid.uuid4().hex}"
+        changes.select(self.schema.names).write.parquet(aside)
+        for kind, rows in (reports or {}).items():
+            rows.write.parquet(f"{aside}/_reports/{kind}")
+        written = self.spark.read.schema(self.schema).parquet(aside)
+        highest = written.agg(F.max("seq")).first()[0]
+        self._mark(aside, f"_seq-{max(highest or 0, self.max_seq())}")
+        if batch is not None:
+            self._mark(aside, f"_batch-{batch[0]}-{batch[1]}")
+        self._move(aside, f"{self.path}/log/commit={number}")
         return number
 
+    def _move(self, source: str, target: str) -> None:
+        start, system = file_system(self.spark, source)
+        end, _ = file_system(self.spark, target)
+        system.mkdirs(end.getParent())
+        if not system.rename(start, end):
+            raise OSError(f"{source} could not be moved to {target}")
+
     def compact(self) -> int:
         """Write the current state as a new base.
 
@@ -112,9 +154,38 @@ class RecordTable:
         """
         upto = self.last_commit()
         if upto not in self.bases():
-            order = ["source", "collection", "seq"]
+            order, aside = ["source", "collection", "seq"], f"{self.path}/staging/{uuid.uuid4().hex}"
             rows = self.read(upto).repartitionByRange(*order).sortWithinPartitions(*order)
-            rows.write.mode("overwrite").partitionBy("source", "collection").parquet(
-                f"{self.path}/base/v={upto}"
-            )
+            rows.write.partitionBy("source", "collection").parquet(aside)
+            self._mark(aside, f"_seq-{self.max_seq()}")
+            self._move(aside, f"{self.path}/base/v={upto}")
+        return upto
+
+    def expire(self, keep_bases: int = 2, keep_commits: int = 1000) -> None:
+        """Remove bases but the newest, and commits that a base covers but the newest, and what crashed.
+
+        Feed readers that lag by more commits than are kept have to start from a base. The newest
+        commits stay, so a stream's last micro-batch still finds its name.
+        """
+        bases, commits = self.bases(), self.commits()
+        covered = max(bases, default=0)
+        for number in bases[: -max(1, keep_bases)]:
+            delete(self.spark, f"{self.path}/base/v={number}")
+        for number in commits[: -max(1, keep_commits)]:
+            if number <= covered:
+                delete(self.spark, f"{self.path}/log/commit={number}")
+        delete(self.spark, f"{self.path}/staging")
+
+    def purge_tombstones(self, upto_seq: int) -> int:
+        """Write a base without the tombstones that every consumer has read, up to a position.
+
+        A later delete of such a record is unchanged, as one of a record that never was.
+        """
+        upto = self.last_commit() + 1
+        order, aside = ["source", "collection", "seq"], f"{self.path}/staging/{uuid.uuid4().hex}"
+        kept = self.read().filter(F.col("deleted_at").isNull() | (F.col("seq") > upto_seq))
+        rows = kept.repartitionByRange(*order).sortWithinPartitions(*order)
+        rows.write.partitionBy("source", "collection").parquet(aside)
+        self._mark(aside, f"_seq-{self.max_seq()}")
+        self._move(aside, f"{self.path}/base/v={upto}")
         return upto

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from feedgate.plans.apply import apply_ops
+from feedgate.sources.scratch import scoped
 from feedgate.sources.table import RecordTable
 
-# Commits between two rewrites of the base.
-COMPACT_EVERY = 64
-
 
 def apply_stream(
     ops: DataFrame,
@@ -19,27 +19,43 @@ def apply_stream(
     credentials: DataFrame | None = None,
     *,
     available_now: bool = True,
-    compact_every: int = COMPACT_EVERY,
     on_applied=None,
 ) -> StreamingQuery:
     """Run the ingest job on every micro-batch and commit what it changes.
 
-    The commit number is the micro-batch number, so a batch replayed after a failure finds its
-    commit and is skipped. A whole ingest batch has to arrive in one micro-batch: files are the
-    unit of arrival, and a batch lives in one file.
+    A commit carries the stream's own id, from its checkpoint, and the micro-batch's number: one that
+    is replayed after a failure finds its commit and is skipped, and other streams or earlier batches
+    on the same table are never mistaken for it. The rejects and results of a micro-batch are part of
+    its commit (``table.reports``), so they survive whatever happens after it; ``on_applied`` is a
+    convenience on top. A whole ingest batch has to arrive in one micro-batch: files are the unit of
+    arrival, and a batch lives in one file. Compaction is left to a job of its own.
+
+    Only collections that the micro-batch names are read, and what a step writes in between is removed
+    at its end.
     """
+    spark = table.spark
+    names: list[str] = []
+
+    def stream_id() -> str:
+        if not names:
+            [line] = spark.read.text(f"{checkpoint}/metadata").head(1)
+            names.append(json.loads(line[0])["id"])
+        return names[0]
 
     def step(batch: DataFrame, number: int) -> None:
-        commit = number + 1
-        if commit in table.commits():
+        stream = stream_id()
+        if table.committed(stream, number) is not None:
             return
-        before = table.read()
-        applied = apply_ops(before, batch, table.specs, credentials, start=table.max_seq())
-        table.commit(applied.changes, commit)
-        if on_applied is not None:
-            on_applied(applied, commit)
-        if compact_every and commit % compact_every == 0:
-            table.compact()
+        with scoped(spark):
+            met = batch.select("collection").distinct()
+            met = [row[0] for row in met.filter(met.collection.isin(list(table.specs))).collect()]
+            applied = apply_ops(
+                table.read(collections=met), batch, table.specs, credentials, start=table.max_seq()
+            )
+            reports = {"rejects": applied.rejects, "results": applied.results()}
+            commit = table.commit(applied.changes, batch=(stream, number), reports=reports)
+            if on_applied is not None:
+                on_applied(applied, commit)
 
     writer = ops.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     if available_now:
@@ -47,12 +63,13 @@ def apply_stream(
     return writer.start()
 
 
-def feed_stream(table: RecordTable, commits_per_trigger: int | None = None) -> DataFrame:
+def feed_stream(table: RecordTable, files_per_trigger: int | None = None) -> DataFrame:
     """The change feed as a stream: every commit's rows as they are appended to the log.
 
-    A consumer's streaming checkpoint plays the part of its cursor.
+    A commit is moved into the log as a whole, so none is seen half written. A consumer's streaming
+    checkpoint plays the part of its cursor.
     """
     reader = table.spark.readStream.schema(table.schema)
-    if commits_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", commits_per_trigger)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(f"{table.path}/log/commit=*")

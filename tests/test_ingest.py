@@ -1,6 +1,7 @@
 """Gates, batch verdicts, sources, the record table and streams."""
 
 import json
+import os
 import random
 from datetime import datetime
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from feedgate.operators import counters, gates
 from feedgate.operators.replica import fold_feed
 from feedgate.plans.apply import apply_ops
-from feedgate.sources import envelopes
+from feedgate.sources import envelopes, scratch
 from feedgate.sources.table import RecordTable
 from feedgate.spec import SpecError, SpecSet
 from feedgate.streaming.apply import apply_stream, feed_stream
@@ -148,8 +149,9 @@ def test_table_commits_and_compaction(spark, tmp_path):
     for run in range(4):
         ops = random_ops(rng, 80, first_batch=run * 10)
         applied = apply_ops(table.read(), frame(spark, ops), SPECS, start=table.max_seq())
-        number = table.commit(applied.changes)
-        assert table.commit(applied.changes.limit(0), number) == number  # a replay changes nothing
+        number = table.commit(applied.changes, batch=("s", run), reports={"rejects": applied.rejects})
+        assert table.commit(applied.changes.limit(0), batch=("s", run)) == number  # a replay changes nothing
+        assert table.committed("s", run) == number and table.committed("t", run) is None
         model.run(ops)
         assert snapshot(table.read()) == model_rows(model)
         if run == 1:
@@ -158,6 +160,58 @@ def test_table_commits_and_compaction(spark, tmp_path):
     assert table.commits() == [1, 2, 3, 4] and table.bases() == [2]
     replica = fold_feed(None, table.feed())
     assert snapshot(replica) == {k: v for k, v in model_rows(model).items() if not v[1]}
+    assert table.max_seq() == model.seq and table.reports("rejects").isEmpty() and table.reports("none") is None
+    only = table.read(collections=["a.one"])
+    assert snapshot(only) == {k: v for k, v in model_rows(model).items() if k[1] == "a.one"}
+    table.compact()
+    table.expire(keep_bases=1, keep_commits=1)
+    assert table.commits() == [4] and table.bases() == [4]
+    assert snapshot(table.read()) == model_rows(model) and table.max_seq() == model.seq
+    table.purge_tombstones(10**9)
+    assert snapshot(table.read()) == {k: v for k, v in model_rows(model).items() if not v[1]}
+    assert table.last_commit() == 5 and table.max_seq() == model.seq
+
+
+def test_scan_of_one_collection_reads_no_other(spark, tmp_path):
+    table = RecordTable(spark, str(tmp_path / "t"), SPECS)
+    table.commit(apply_ops(None, frame(spark, random_ops(random.Random(1), 60)), SPECS, start=0).changes)
+    table.compact()
+    rows = table.read(collections=["b.two"])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "b.two" in plan.split("PartitionFilters: [")[1][:80]
+
+
+def test_stream_commits_are_its_own(spark, tmp_path):
+    """A table with history, two streams, replays, and a report that outlives a failing consumer."""
+    table, model = RecordTable(spark, str(tmp_path / "t"), SPECS), Table(SPECS)
+    first = random_ops(random.Random(5), 40)
+    model.run(first)
+    table.commit(apply_ops(None, frame(spark, first), SPECS, start=0).changes)
+    for number, name in enumerate(("one", "two")):
+        ops = random_ops(random.Random(6 + number), 40, first_batch=100 * (number + 1))
+        bad = [{**ops[0], "batch_id": f"bad-{name}", "batch_seq": 900 + number, "op": "bogus"}]
+        model.run(ops)
+        envelopes.write_lines(frame(spark, ops + bad), str(tmp_path / name))
+
+        def fail(*_):
+            raise RuntimeError("the consumer died")
+
+        stream = lambda: envelopes.stream_lines(spark, str(tmp_path / name))  # noqa: B023, E731
+        with pytest.raises(Exception, match="consumer died"):
+            apply_stream(stream(), table, str(tmp_path / f"cp-{name}"), on_applied=fail).awaitTermination(300)
+        apply_stream(stream(), table, str(tmp_path / f"cp-{name}")).awaitTermination(300)
+        assert snapshot(table.read()) == model_rows(model)
+    assert table.commits() == [1, 2, 3]
+    assert sorted(r.batch_id for r in table.reports("rejects").collect()) == ["bad-one", "bad-two"]
+    assert table.reports("results").count() == 80
+
+
+def test_intermediate_tables_go(spark, tmp_path):
+    with scratch.scoped(spark):
+        kept = scratch.save(spark.range(5), "gone")
+        path = kept.inputFiles()[0]
+        assert kept.count() == 5
+    assert not os.path.exists(path.removeprefix("file://").removeprefix("file:"))
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -171,10 +225,10 @@ def test_stream_equals_batch(spark, tmp_path):
     table = RecordTable(spark, str(tmp_path / "t"), SPECS)
     for _ in range(2):  # the second start finds nothing new
         stream = envelopes.stream_lines(spark, str(inbox), files_per_trigger=2)
-        query = apply_stream(stream, table, str(tmp_path / "cp"), compact_every=3)
+        query = apply_stream(stream, table, str(tmp_path / "cp"))
         query.awaitTermination(300)
         assert snapshot(table.read()) == model_rows(model)
-    assert len(table.commits()) == 4 and table.bases() == [3]
+    assert len(table.commits()) == 4
     query = feed_stream(table).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
         "checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     query.awaitTermination(120)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from feedgate.limits import EMPTY_DOCUMENT_HASH
 from feedgate.operators.merge import KEY, detect_outcomes
 from feedgate.operators.numbering import number_rows
+from feedgate.operators.replica import newest
 from feedgate.plans.apply import OPS, apply_ops
 from feedgate.spec import CollectionSpec, FieldSpec, SpecSet
 from model import Table
@@ -63,8 +64,8 @@ def answers(applied):
     return {(r.batch_id, r.ord): (r.outcome, r.seq) for r in applied.outcomes.collect()}
 
 
-@pytest.mark.parametrize("hot_threshold,broadcast_keys", [(10**6, 10**6), (25, 0)])
-def test_runs_match_the_model(spark, hot_threshold, broadcast_keys):
+@pytest.mark.parametrize("hot_threshold", [10**6, 25])
+def test_runs_match_the_model(spark, hot_threshold):
     rng = random.Random(3)
     table, records = Table(SPECS), None
     for run in range(2):
@@ -72,7 +73,7 @@ def test_runs_match_the_model(spark, hot_threshold, broadcast_keys):
         rng.shuffle(ops)
         applied = apply_ops(
             records, frame(spark, ops), SPECS,
-            hot_threshold=hot_threshold, broadcast_keys=broadcast_keys,
+            hot_threshold=hot_threshold,
         )
         assert answers(applied) == table.run(ops)
         assert snapshot(applied.records) == model_rows(table)
@@ -146,3 +147,34 @@ def test_merge_plan_has_one_exchange_on_the_key(spark):
     plan = detect_outcomes(ops, base.checkpoint())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(source") <= 2 and "CartesianProduct" not in plan
     assert "Window" in plan
+
+
+def test_operations_without_place_refuse_their_batch(spark):
+    ops = [op(1, 0, "a"), {**op(1, 1, "b"), "ord": None}, op(2, 0, "c"), {**op(2, 1, "d"), "batch_seq": None}, op(3, 0, "e")]
+    ops += [{**op(4, 0, "f"), "batch_id": None}, {**op(4, 1, "g", "bogus"), "batch_id": None}]
+    applied = apply_ops(None, frame(spark, ops), SPECS)
+    assert {(r.batch_id, r.code) for r in applied.rejects.collect()} == {(b, "invalid_body") for b in ("b1", "b2", None)}
+    assert [(r.batch_id, r.id) for r in applied.outcomes.collect()] == [("b3", "e")]
+    assert [r.id for r in applied.records.collect()] == ["e"]
+
+
+def test_repeated_places_refuse_their_batch(spark):
+    ops = [op(1, 0, "a"), op(1, 0, "b", payload='{"n":2}'), op(2, 0, "c")]
+    applied = apply_ops(None, frame(spark, ops), SPECS)
+    assert [(r.batch_id, r.ord, r.code) for r in applied.rejects.collect()] == [("b1", 0, "invalid_body")]
+    assert [r.id for r in applied.records.collect()] == ["c"]
+
+
+def test_batches_of_equal_number_are_ordered_by_name(spark):
+    ops = [{**op(1, 0, "a", payload='{"n":%d}' % n), "batch_id": name} for n, name in ((1, "x"), (2, "y"), (3, "z"))]
+    applied = apply_ops(None, frame(spark, ops[::-1]), SPECS)
+    assert [(r.batch_id, r.seq) for r in applied.outcomes.orderBy("seq").collect()] == [("x", 1), ("y", 2), ("z", 3)]
+    assert applied.records.first().payload == '{"n":3}'
+
+
+def test_newest_rows_carry_no_payload_through_a_sort(spark):
+    rows = apply_ops(None, frame(spark, random_ops(random.Random(4), 60)), SPECS).changes.checkpoint()
+    plan = newest(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "max_by" not in plan
+    twice = rows.unionByName(rows.filter("seq % 2 = 0"))
+    assert snapshot(newest(twice)) == snapshot(rows) and newest(twice).count() == rows.count()

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from feedgate.functions.exact import canonical
 from feedgate.functions.labels import label_path
-from feedgate.functions.sha_stream import Sha256
 from feedgate.limits import EMPTY_DOCUMENT_HASH, clamp_bytes, clamp_records
 from feedgate.operators import counters, freshness, integrity, reads, replica, shapes, summary, walk
 from feedgate.operators.indexing import with_index_columns
@@ -164,25 +163,12 @@ def test_first_pages(spark, stock):
     assert ids(reads.first_pages(stock, cursors=cursors)) == ["e", "d", "a"]
 
 
-def test_sha_state_travels():
-    data = random.Random(1).randbytes(1000)
-    for native in (True, False):
-        for cuts in ([0, 1, 63, 64, 65, 500, 1000], [0, 1000], [0, 55, 56, 119, 120, 1000]):
-            state = None
-            for start, end in zip(cuts, cuts[1:]):
-                digest = Sha256(state, native)
-                digest.update(data[start:end])
-                state, native = digest.state, not native
-            assert Sha256(state, native).hexdigest() == hashlib.sha256(data).hexdigest()
-    assert Sha256(None, False).hexdigest() == hashlib.sha256(b"").hexdigest()
-
-
 def checksum_model(pairs):
     text = canonical([[i, h] for i, h in sorted(pairs, key=lambda p: p[0].encode())])
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_checksums_native_and_chained(spark):
+def test_checksums_and_buckets(spark):
     rng = random.Random(8)
     rows = []
     for n in range(400):
@@ -194,9 +180,18 @@ def test_checksums_native_and_chained(spark):
         c: checksum_model([(r[2], r[5]) for r in rows if r[1] == c and r[8] is None])
         for c in ("c.one", "c.two", "c.dead")
     }
-    for small, piece in ((10**6, 10**6), (10, 7), (100, 50), (150, 10**6)):
-        got = {r.collection: r for r in summary.manifests(records, small, piece).collect()}
-        assert {c: got[c].checksum for c in got} == want
+    got = {r.collection: r for r in summary.manifests(records).collect()}
+    assert {c: got[c].checksum for c in got} == want
+    buckets = {}
+    for r in rows:
+        if r[8] is None:
+            number = int(hashlib.sha256(r[2].encode()).hexdigest()[:8], 16) % 8
+            buckets.setdefault((r[1], number), []).append((r[2], r[5]))
+    digests = summary.bucket_digests(records.repartition(5), buckets=8)
+    assert {(r.collection, r.bucket): r.digest for r in digests.collect()} == {k: checksum_model(v) for k, v in buckets.items()}
+    one = {r.collection: r.digest for r in summary.bucketed_checksums(digests).collect()}
+    text = ",".join(f"{n}:{checksum_model(v)}" for (c, n), v in sorted(buckets.items()) if c == "c.one")
+    assert one["c.one"] == hashlib.sha256(text.encode()).hexdigest()
     assert want["c.dead"] == summary.EMPTY_CHECKSUM == hashlib.sha256(b"[]").hexdigest()
     assert got["c.dead"]["count"] == 0 and got["c.dead"].max_seq == 999
 
