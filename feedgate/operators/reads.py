@@ -140,8 +140,8 @@ def first_pages(
 ) -> DataFrame:
     """The next page of every collection at once, each after its own cursor.
 
-    ``cursors`` has ``source, collection, cursor``. The rank limit is applied before the
-    exchange as well as after it, so no task receives more than a page from each sender task.
+    ``cursors`` has ``source, collection, cursor``. Short rows are ranked, the limit being applied
+    before the exchange as well as after it; then only the rows of the pages are fetched whole.
     """
     size = clamp_records(limit)
     if cursors is not None:
@@ -149,8 +149,10 @@ def first_pages(
             F.col("seq") > F.coalesce("cursor", F.lit(0))
         ).drop("cursor")
     rank = F.row_number().over(Window.partitionBy(*COLLECTION).orderBy("seq"))
-    page = rows.withColumn("_rank", rank).filter(F.col("_rank") <= size).drop("_rank")
-    return cut_pages(page, size, clamp_bytes(max_bytes))
+    short = rows.select(*COLLECTION, "seq", "payload_bytes")
+    page = short.withColumn("_rank", rank).filter(F.col("_rank") <= size).drop("_rank")
+    kept = sized(cut_pages(page, size, clamp_bytes(max_bytes)).drop("payload_bytes"), "page")
+    return rows.join(kept, [*COLLECTION, "seq"]).select(*rows.columns, "next_cursor")
 
 
 def cut_pages(page: DataFrame, size: int, budget: int) -> DataFrame:

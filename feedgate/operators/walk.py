@@ -2,10 +2,11 @@
 
 A page ends where the record count or the byte budget is used up, so where it starts depends
 on every page before it. But a page never holds more than ``limit`` records. A collection is
-therefore cut into blocks, and each block works out, for each of the ``limit`` places where a
-page might enter it, where that run of pages enters the next block. Following these short
-tables from block to block gives each block its real entry; a second pass over the blocks
-then cuts the pages.
+therefore cut into blocks of fixed size, and each block works out, for each of the ``limit`` places where a
+page might enter it, where that run of pages enters the next block. These short tables are
+composed, GROUP blocks at a time, up a tree; going down again, each group's entry gives the
+entries of its members, and in the end each block has its real one. A second pass over the blocks
+then cuts the pages. No task ever holds more than a block of rows or GROUP tables.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from feedgate.operators.summary import COLLECTION
 from feedgate.sources.scratch import save
 
 BLOCK_ROWS = 131_072
-# Blocks grow with the data, so that a collection never has more of them than this.
-MAX_BLOCKS = 4096
+# Tables that are composed in one step.
+GROUP = 64
 
 
 def _next_starts(sizes: np.ndarray, limit: int, budget: int) -> np.ndarray:
@@ -35,20 +36,32 @@ def _next_starts(sizes: np.ndarray, limit: int, budget: int) -> np.ndarray:
 
 
 def _exits(sizes: np.ndarray, own: int, limit: int, budget: int) -> list[int]:
-    following = _next_starts(sizes, limit, budget)[:own].tolist()
-    leaves = [0] * own
-    for row in range(own - 1, -1, -1):
-        target = following[row]
-        leaves[row] = target - own if target >= own else leaves[target]
+    """Where a run of pages entering at each of the first ``limit`` rows enters the next block."""
+    target = _next_starts(sizes, limit, budget)[:own]
+    while (inside := target < own).any():
+        target = np.where(inside, target[np.minimum(target, own - 1)], target)
+    leaves = (target - own).tolist()
     return (leaves[:limit] + [entry - own for entry in range(own, limit)])[:limit]
 
 
+def _opening(following: np.ndarray, own: int, entry: int) -> np.ndarray:
+    """Which of the block's own rows open a page, given the first that does."""
+    jump = np.append(np.minimum(following[:own], own), own)
+    opens = np.zeros(own + 1, bool)
+    opens[min(entry, own)] = True
+    while True:  # doubles the number of pages that are followed
+        opens[jump[np.flatnonzero(opens)]] = True
+        if (jump == own).all():
+            return opens[:own]
+        jump = jump[jump]
+
+
 def page_walk(
     rows: DataFrame,
     limit: int | None = None,
     max_bytes: int | None = None,
     block_rows: int = BLOCK_ROWS,
-    max_blocks: int = MAX_BLOCKS,
+    group: int = GROUP,
 ) -> DataFrame:
     """The page every row is served on when each collection is walked to its end.
 
@@ -59,19 +72,16 @@ def page_walk(
     slim = rows.select(*COLLECTION, "seq", F.col("payload_bytes").cast("long").alias("_size"))
     order = [F.col(c).asc() for c in (*COLLECTION, "seq")]
     numbered = number_rows(slim, order, "_n", "walk")
-    bounds = numbered.groupBy(*COLLECTION).agg(
-        F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_rows")
-    )
+    bounds = sized(numbered.groupBy(*COLLECTION).agg(F.min("_n").alias("_first")))
     # A block holds at least a page, so an overhang reaches only into the block that follows.
-    width = F.greatest(F.lit(max(block_rows, limit)), F.ceil(F.col("_rows") / max_blocks))
-    bounds = sized(bounds.withColumn("_width", width))
+    width = F.lit(max(block_rows, limit)).cast("long")
     place = F.col("_n") - F.col("_first")
     placed = numbered.join(bounds, COLLECTION).select(
         *COLLECTION,
         "seq",
         "_size",
-        F.floor(place / F.col("_width")).alias("_block"),
-        (place % F.col("_width")).alias("_at"),
+        F.floor(place / width).alias("_block"),
+        (place % width).alias("_at"),
     )
     overhang = placed.filter((F.col("_block") > 0) & (F.col("_at") < limit)).withColumns(
         {"_block": F.col("_block") - 1, "_own": F.lit(False)}
@@ -88,32 +98,18 @@ def page_walk(
              "_block": [first["_block"]], "_exits": [table]}
         )
 
-    # At most ``max_blocks`` short tables per collection.
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        at, found = 0, []
-        for table in pdf["_exits"]:
-            found.append(at)
-            at = int(table[at])
-        return pdf[["source", "collection", "_block"]].assign(_entry=found)
-
     grouped = blocks.groupBy(*COLLECTION, "_block")
     tables = grouped.applyInPandas(
         exits, "source string, collection string, _block long, _exits array<int>"
     )
-    starts = tables.groupBy(*COLLECTION).applyInPandas(
-        entries, "source string, collection string, _block long, _entry long"
-    )
-    entered = blocks.join(save(starts, "walk-entries"), [*COLLECTION, "_block"])
+    entered = blocks.join(_entries(save(tables, "walk-tables"), group), [*COLLECTION, "_block"])
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
         own = int(pdf["_own"].sum())
         following = _next_starts(pdf["_size"].to_numpy(), limit, budget)
-        opens, at = np.zeros(len(pdf), dtype=np.int64), int(pdf["_entry"].iloc[0])
-        while at < own:
-            opens[at] = 1
-            at = int(following[at])
+        opens = np.zeros(len(pdf), dtype=np.int64)
+        opens[:own] = _opening(following, own, int(pdf["_entry"].iloc[0]))
         pdf = pdf.assign(_opened=np.cumsum(opens))
         return pdf.loc[pdf["_own"], ["source", "collection", "_block", "seq", "_size", "_opened"]]
 
@@ -139,6 +135,43 @@ def page_walk(
     )
 
 
+def _entries(tables: DataFrame, group: int) -> DataFrame:
+    """``source, collection, _block, _entry``: where the walk enters each block."""
+    kind = "source string, collection string, _block long, "
+    levels = [tables]
+    while (levels[-1].agg(F.max("_block")).first()[0] or 0) > 0:
+        above = levels[-1].withColumn("_group", F.floor(F.col("_block") / group))
+        composed = above.groupBy(*COLLECTION, "_group").applyInPandas(_composed, kind + "_exits array<int>")
+        levels.append(save(composed, "walk-composed"))
+    known = levels[-1].select(*COLLECTION, "_block", F.lit(0).cast("long").alias("_entry"))
+    for below in reversed(levels[:-1]):
+        at = known.select(*COLLECTION, F.col("_block").alias("_group"), "_entry")
+        members = below.withColumn("_group", F.floor(F.col("_block") / group)).join(at, [*COLLECTION, "_group"])
+        known = save(members.groupBy(*COLLECTION, "_group").applyInPandas(_descended, kind + "_entry long"), "walk-entries")
+    return known
+
+
+def _composed(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("_block")
+    whole = None
+    for table in pdf["_exits"]:
+        table = np.asarray(table)
+        whole = table if whole is None else table[whole]
+    first = pdf.iloc[0]
+    return pd.DataFrame(
+        {"source": [first["source"]], "collection": [first["collection"]], "_block": [first["_group"]], "_exits": [whole.tolist()]}
+    )
+
+
+def _descended(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("_block")
+    at, found = int(pdf["_entry"].iloc[0]), []
+    for table in pdf["_exits"]:
+        found.append(at)
+        at = int(table[at])
+    return pdf[["source", "collection", "_block"]].assign(_entry=found)
+
+
 def page_summary(
     rows: DataFrame,
     limit: int | None = None,

@@ -31,7 +31,7 @@ from feedgate.streaming.apply import apply_stream, feed_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PRODUCT, ACTIVITY = only("catalog.product"), only("user.activity")
+PRODUCT, ACTIVITY = only("part.sheet"), only("user.activity")
 ORDERS, TEXTS = only("sales.order"), only(*inputs.TEXTS)
 LINES, VECTORS = only("text.lines"), only("vector")
 
@@ -268,7 +268,7 @@ def faulty_lines(spark: SparkSession, folder: str) -> DataFrame:
 def batch_files(spark: SparkSession, folder: str) -> DataFrame:
     """Files of two collections, of which some are no list, have a stray key, trailing text, or are too large."""
     path = inputs.batch_files(spark, folder)
-    specs = only("catalog.product", "sales.order")
+    specs = only("part.sheet", "sales.order")
     ops = envelopes.read_batches(spark, f"{path}/*/*.json", source="erp", max_body_bytes=inputs.BODY_BYTES)
     applied = apply_ops(None, ops, specs)
     name = F.regexp_extract("batch_id", r"([^/]+/\d+)\.json$", 1).alias("file")
@@ -316,7 +316,7 @@ def keyed_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def declared_filter(spark: SparkSession, folder: str) -> DataFrame:
-    spec = PRODUCT["catalog.product"]
+    spec = PRODUCT["part.sheet"]
     chosen = reads.parse_filter(spec, [("brand", "Brand#2"), ("size", "11.0")])
     rows = inputs.records(spark, folder, "part")
     return rows.filter(reads.filter_column(spec, chosen, rows.columns)).select(*FEED_COLUMNS)

@@ -13,7 +13,7 @@ from feedgate.spec import SpecSet
 SPECS = SpecSet.parse(
     [
         {
-            "collection": "catalog.product",
+            "collection": "part.sheet",
             "id": "$.id",
             "fields": {
                 "name": {"type": "string", "index": True},
@@ -21,10 +21,10 @@ SPECS = SpecSet.parse(
                 "size": {"type": "number", "index": True},
                 "cents": {"type": "number"},
                 "grade": {"type": "string"},
-                "attributes": {"type": "object", "allow": ["type", "shelf"]},
+                "traits": {"type": "object", "allow": ["type", "shelf"]},
             },
             "filters": ["name", "brand", "size"],
-            "sort": ["seq", "name"],
+            "sort": ["seq", "brand", "size"],
         },
         {
             "collection": "user.activity",
@@ -101,10 +101,8 @@ _FIXED_TIME = "2024-01-01 00:00:00"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table, spread over the cores if its file has fewer splits than there are cores."""
-    rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """A given table, as many splits as its files have."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def _ops(
@@ -148,7 +146,7 @@ def part_ops(spark: SparkSession, folder: str) -> DataFrame:
         cents("p_retailprice").alias("cents"),
         F.struct(
             F.col("p_type").alias("type"), F.col("p_size").alias("shelf"), F.lit(1).alias("bin")
-        ).alias("attributes"),
+        ).alias("traits"),
         (F.col("p_partkey") * 7).alias("internal_code"),
     ]
     graded = F.when(
@@ -157,7 +155,7 @@ def part_ops(spark: SparkSession, folder: str) -> DataFrame:
     return _ops(
         part,
         source=F.lit("erp"),
-        collection=F.lit("catalog.product"),
+        collection=F.lit("part.sheet"),
         batch=F.floor(F.col("p_partkey") / 500),
         ord=F.col("p_partkey") % 500,
         payload=graded,
@@ -393,7 +391,7 @@ def vector_docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _BUILDERS = {
-    "part": (part_ops, only("catalog.product")),
+    "part": (part_ops, only("part.sheet")),
     "event": (event_ops, only("user.activity")),
     "order": (order_ops, only("sales.order")),
     "line": (line_ops, only("sales.line")),

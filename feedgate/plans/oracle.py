@@ -7,13 +7,13 @@ from __future__ import annotations
 _PARTS = """
 parts AS (
   SELECT p_partkey, p_size, p_brand,
-    '{"attributes":{"shelf":' || p_size || ',"type":' || to_json(p_type)::VARCHAR || '},"brand":'
-      || to_json(p_brand)::VARCHAR || ',"cents":' || CAST(round(p_retailprice * 100) AS BIGINT)
+    '{"brand":' || to_json(p_brand)::VARCHAR || ',"cents":' || CAST(round(p_retailprice * 100) AS BIGINT)
       || CASE WHEN p_size % 2 = 0 THEN ',"grade":' || to_json(p_type)::VARCHAR ELSE '' END
-      || ',"name":' || to_json(p_name)::VARCHAR || ',"size":' || p_size || '}' AS payload
+      || ',"name":' || to_json(p_name)::VARCHAR || ',"size":' || p_size
+      || ',"traits":{"shelf":' || p_size || ',"type":' || to_json(p_type)::VARCHAR || '}}' AS payload
   FROM part),
 part_rows AS (
-  SELECT 'erp' AS source, 'catalog.product' AS collection, CAST(p_partkey AS VARCHAR) AS id,
+  SELECT 'erp' AS source, 'part.sheet' AS collection, CAST(p_partkey AS VARCHAR) AS id,
     row_number() OVER (ORDER BY p_partkey) AS seq, payload, sha256(payload) AS content_hash,
     CAST(strlen(payload) AS INTEGER) AS payload_bytes, p_brand, p_size
   FROM parts)"""
@@ -185,11 +185,11 @@ FROM hashed""",
 WITH {_PARTS} SELECT id AS doc_id, payload, content_hash, payload_bytes FROM part_rows""",
     "dropped_report": """
 WITH reports AS (
-  SELECT p_partkey, 'attributes.bin' AS path, 'unknown_key' AS reason, NULL AS expected, NULL AS found FROM part
+  SELECT p_partkey, 'traits.bin' AS path, 'unknown_key' AS reason, NULL AS expected, NULL AS found FROM part
   UNION ALL SELECT p_partkey, 'grade', 'type_mismatch', 'string', 'number' FROM part WHERE p_size % 2 <> 0
   UNION ALL SELECT p_partkey, 'id', 'unknown_key', NULL, NULL FROM part
   UNION ALL SELECT p_partkey, 'internal_code', 'unknown_key', NULL, NULL FROM part)
-SELECT 'erp' AS source, 'catalog.product' AS collection, CAST(p_partkey AS VARCHAR) AS doc_id,
+SELECT 'erp' AS source, 'part.sheet' AS collection, CAST(p_partkey AS VARCHAR) AS doc_id,
   CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY path) - 1 AS INTEGER) AS position,
   path, reason, CAST(expected AS VARCHAR) AS expected, CAST(found AS VARCHAR) AS found
 FROM reports""",
@@ -206,7 +206,7 @@ UNION ALL
 SELECT CAST(doc_id AS VARCHAR), CAST(pos + 1 AS INTEGER), 'lines[' || pos || '].size', 'unknown_key', NULL, NULL
 FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)""",
     "field_coverage": """
-SELECT 'catalog.product' AS collection, count(*) AS documents, CAST(0 AS BIGINT) AS complete, count(*) AS incomplete FROM part
+SELECT 'part.sheet' AS collection, count(*) AS documents, CAST(0 AS BIGINT) AS complete, count(*) AS incomplete FROM part
 UNION ALL SELECT 'sales.order', count(*), 0, count(*) FROM orders""",
     "content_fingerprint": """
 SELECT CAST(doc_id AS VARCHAR) AS id, payload, sha256(payload) AS content_hash,
@@ -372,10 +372,10 @@ counted AS (
   SELECT n_lines FROM line_documents JOIN stops USING (source) WHERE stop IS NULL OR doc_id <= stop)
 SELECT 'text.lines' AS collection, 'id' AS field, 'unknown_key' AS reason, count(*) AS total FROM counted
 UNION ALL SELECT 'text.lines', 'lines[].size', 'unknown_key', CAST(sum(n_lines) AS BIGINT) FROM counted
-UNION ALL SELECT 'catalog.product', 'attributes.bin', 'unknown_key', count(*) FROM part
-UNION ALL SELECT 'catalog.product', 'id', 'unknown_key', count(*) FROM part
-UNION ALL SELECT 'catalog.product', 'internal_code', 'unknown_key', count(*) FROM part
-UNION ALL SELECT 'catalog.product', 'grade', 'type_mismatch', count(*) FROM part WHERE p_size % 2 <> 0""",
+UNION ALL SELECT 'part.sheet', 'traits.bin', 'unknown_key', count(*) FROM part
+UNION ALL SELECT 'part.sheet', 'id', 'unknown_key', count(*) FROM part
+UNION ALL SELECT 'part.sheet', 'internal_code', 'unknown_key', count(*) FROM part
+UNION ALL SELECT 'part.sheet', 'grade', 'type_mismatch', count(*) FROM part WHERE p_size % 2 <> 0""",
     "outcome_totals": f"""
 WITH {_EVENTS}
 SELECT 'user.activity' AS collection, outcome, count(*) AS total FROM outcomes GROUP BY outcome""",
@@ -393,7 +393,7 @@ UNION ALL SELECT batch, NULL, NULL, n - unnamed FROM marks WHERE NOT unplaced AN
 UNION ALL SELECT NULL, 9, 'invalid_body', 0 FROM marks HAVING sum(unnamed) > 0""",
     "batch_files": """
 WITH files AS (
-  SELECT 'catalog.product' AS collection, p_partkey // 500 AS n, count(*) AS stored, bool_or(p_partkey % 500 = 3) AS third
+  SELECT 'part.sheet' AS collection, p_partkey // 500 AS n, count(*) AS stored, bool_or(p_partkey % 500 = 3) AS third
   FROM part GROUP BY n
   UNION ALL SELECT 'sales.order', o_orderkey // 500, count(*), bool_or(o_orderkey % 500 = 3) FROM orders GROUP BY 2),
 judged AS (

@@ -20,7 +20,7 @@ def test_every_query_has_its_sql():
 
 def test_flagship(spark):
     [row] = entry.entry(spark).collect()
-    assert (row.source, row.collection) == ("erp", "catalog.product") and row["count"] == row.max_seq
+    assert (row.source, row.collection) == ("erp", "part.sheet") and row["count"] == row.max_seq
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -274,3 +274,15 @@ def test_label_paths(spark):
     ]
     outcomes = spark.createDataFrame([("c", "stored"), ("c", "stored"), ("c", "unchanged")], "collection string, outcome string")
     assert {(r.outcome, r.total) for r in counters.outcome_totals(outcomes).collect()} == {("stored", 2), ("unchanged", 1)}
+
+
+def test_free_field_names_have_columns_of_their_own(spark):
+    names = ["SKU", "sku", "a b", "q\"uote", "ap'os", "ba`ck", "both\"'", "_53", "br[0]", "back\\slash", "ü"]
+    spec = CollectionSpec("c.one", ("id",), {n: FieldSpec.scalar("string", True) for n in names}, filters=tuple(names))
+    rows = [record(f"r{i}", i + 1, json.dumps({n: f"v{i}-{k}" for k, n in enumerate(names)})) for i in range(3)]
+    records = with_index_columns(table(spark, rows), spec)
+    assert len({c.lower() for c in records.columns}) == len(records.columns) == 9 + len(names)
+    for k, name in enumerate(names):
+        chosen = reads.parse_filter(spec, [(name, f"v1-{k}")])
+        for frame in (records, table(spark, rows)):
+            assert [r.id for r in frame.filter(reads.filter_column(spec, chosen, frame.columns)).collect()] == ["r1"]
