@@ -2,8 +2,8 @@
 
 Every source's words, its documents in a seeded order, are one stream cut into blocks of equal
 length. Sainte-Lague's highest quotients weight / (2 q + 1) turn the sources' target sizes into
-whole numbers of blocks. A source's quota is some full passes over its stream and a rest; the rest
-is divided over shards of consecutive blocks (equal shards, so each gets the floor or the ceiling
+whole numbers of blocks. A source's quota is some full passes over its stream and a rest of blocks,
+which is divided over shards of consecutive blocks (equal shards, so each gets the floor or the ceiling
 of its share) and in each shard a seeded permutation picks as many blocks. A document takes the
 words it has in picked blocks, plus its size for every full pass.
 
@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from feedgate.llm.common import WORD, quoted
 from feedgate.sources.scratch import save
 
-BLOCK_WORDS = 64
+BLOCK_WORDS = 32
 SHARD_BLOCKS = 1024
 BUCKET_WORDS = 65_536
 GROUP_BUCKETS = 1024
@@ -89,10 +89,22 @@ def plan_sources(
     wanted = targets(amounts, [weights[i % len(weights)] for i in range(len(names))], passes)
     blocks = [-(-amount // block) for amount in amounts]
     quotas = sainte_lague(wanted, round(sum(wanted) / block), [passes * n for n in blocks])
-    return [
-        (name, amount, target, n, quota // max(n, 1), quota % max(n, 1), max(1, -(-amount // BUCKET_WORDS)))
-        for name, amount, target, n, quota in zip(names, amounts, wanted, blocks, quotas)
-    ]
+    rows = []
+    for name, amount, target, n, quota in zip(names, amounts, wanted, blocks, quotas):
+        full, rest = passes_and_rest(quota, amount, passes, block)
+        rows.append((name, amount, target, n, full, rest, max(1, -(-amount // BUCKET_WORDS))))
+    return rows
+
+
+def passes_and_rest(quota: int, amount: int, passes: int, block: int) -> tuple[int, int]:
+    """Full passes over a source, and further blocks, that hold as many words as `quota` blocks.
+
+    A source's last block may be short, so passes are counted in words.
+    """
+    words = min(quota * block, passes * amount)
+    full = words // amount if amount else 0
+    rest = (2 * (words - full * amount) + block) // (2 * block)
+    return (full + 1, 0) if amount and rest >= -(-amount // block) else (full, rest)
 
 
 def words(text: Column) -> Column:

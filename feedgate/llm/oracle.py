@@ -62,7 +62,7 @@ WITH t AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > 3 * n_words OR 10 * capitals > 3 * n_words
-            OR 10 * n_dup_lines > 3 * all_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words) AS kept
+            OR 10 * n_dup_lines > 6 * all_lines OR word_chars > 20 * n_words OR word_chars < 2 * n_words) AS kept
 FROM counts
 """
 

@@ -99,7 +99,7 @@ BASE_RULES = (
 METHOD_RULES = (
     Rule("symbols", lambda c: 10 * c.n_symbols > 3 * c.n_words),
     Rule("capitals", lambda c: 10 * c.n_capital_words > 3 * c.n_words),
-    Rule("repeated_lines", lambda c: 10 * c.n_dup_lines > 3 * len(c.lines)),
+    Rule("repeated_lines", lambda c: 10 * c.n_dup_lines > 6 * len(c.lines)),
     Rule("word_length", lambda c: c.word_chars > 20 * c.n_words or c.word_chars < 2 * c.n_words),
 )
 

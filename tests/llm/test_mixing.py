@@ -59,8 +59,11 @@ def brute_mix(rows, block=mixing.BLOCK_WORDS, seed=mixing.SEED):
     quotas = dict(zip(names, brute_seats([targets[n] for n in names], round(sum(targets.values()) / block), [3 * blocks[n] for n in names])))
     out = {}
     for source in names:
-        n, quota = blocks[source], quotas[source]
-        full, rest = quota // max(n, 1), quota % max(n, 1)
+        n, total = blocks[source], min(quotas[source] * block, 3 * sizes[source])
+        full = total // sizes[source] if total else 0
+        rest = int((total - full * sizes[source]) / block + 0.5)
+        if n and rest >= n:
+            full, rest = full + 1, 0
         picked = set()
         for shard in range(-(-n // mixing.SHARD_BLOCKS)):
             first, after = shard * mixing.SHARD_BLOCKS, min((shard + 1) * mixing.SHARD_BLOCKS, n)
