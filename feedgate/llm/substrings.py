@@ -129,9 +129,10 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = save(rows.mapInArrow(_chunk_rows, _CHUNKS), "chunks")
-    owner = F.struct("id", "version")
+    # One number for a document, so that the counts stay fixed-width rows in a hash table.
+    owner = F.xxhash64("id", "version")
     counted = pieces.groupBy("d1", "d2").agg(F.min(owner).alias("low"), F.max(owner).alias("high"))
-    repeated = counted.where("NOT (low <=> high)").select(F.col("d1").alias("r1"), F.col("d2").alias("r2"))
+    repeated = counted.where("low <> high").select(F.col("d1").alias("r1"), F.col("d2").alias("r2"))
     repeated = save(repeated, "repeated-chunks")
     shared = pieces.join(repeated, (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2")), "left_semi")
     by_document = shared.groupBy("id", "version").agg(F.collect_set(F.struct("first", "n")).alias("found"))
