@@ -70,11 +70,24 @@ def suspicious(text: Column) -> Column:
     brackets = F.length(text) - F.length(F.translate(text, "[{", ""))
     return (
         (text.contains("\\u") & text.rlike(lone))
-        | (brackets >= MAX_JSON_DEPTH)
+        | F.when(brackets >= MAX_JSON_DEPTH, _nesting(text) >= MAX_JSON_DEPTH).otherwise(False)
         | text.rlike(r"[0-9](?:[eE]\+?[0-9]{3}|[0-9]{299})")
     )
 
 
+def _nesting(text: Column) -> Column:
+    """How deep the brackets of well-formed JSON go, those inside strings left out."""
+    outside = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', "")
+    brackets = F.split(F.regexp_replace(outside, r"[^\[\]{}]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(depth: Column, bracket: Column) -> Column:
+        now = depth["now"] + F.when(bracket.isin("[", "{"), 1).when(bracket.isin("]", "}"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(depth["most"], now).alias("most"))
+
+    return F.aggregate(brackets, start, step, lambda depth: depth["most"])
+
+
 def document_kind(value: Column, text: Column) -> Column:
     """Kind of a whole document; the first character settles the usual case cheaply."""
     return F.when(text.rlike(r"\A[ \t\r\n]*\{"), F.lit("object")).otherwise(
@@ -276,8 +289,7 @@ class Compiler:
     def _case(self, by_collection: dict, build) -> str:
         if len(set(by_collection.values())) == 1 and len(by_collection) == len(self.specs):
             return build(*next(iter(by_collection.items())))
-        cases = " ".join(f"WHEN {quote(c)} THEN {build(c, x)}" for c, x in by_collection.items())
-        return f"CASE collection {cases} END"
+        return self._branches({c: build(c, x) for c, x in by_collection.items()})
 
     def _place(self, collection: str, path: tuple[str, ...]) -> Place:
         slot = self._slot_of[collection, path]
@@ -455,5 +467,24 @@ class Compiler:
 
     def choose(self, build) -> str:
         """One expression that applies each declared collection's own expression."""
-        cases = " ".join(f"WHEN {quote(name)} THEN {build(name)}" for name in self.specs)
-        return f"CASE collection {cases} END"
+        expressions = {}
+        for name in self.specs:
+            self._fresh = (f"x{n}" for n in itertools.count())  # equal trees get equal names
+            expressions[name] = build(name)
+        return self._branches(expressions)
+
+    def _branches(self, expressions: dict[str, str]) -> str:
+        """Each collection's expression, those that read alike written once.
+
+        Equal field trees use the same slots and so read alike: however many collections share a
+        tree, the plan grows with the number of different trees.
+        """
+        users: dict[str, list[str]] = {}
+        for name, expression in expressions.items():
+            users.setdefault(expression, []).append(name)
+        if len(users) == 1 and len(expressions) == len(self.specs):
+            return next(iter(users))  # documents of other collections are not parsed at all
+        cases = " ".join(
+            f"WHEN collection IN ({', '.join(map(quote, names))}) THEN {expression}" for expression, names in users.items()
+        )
+        return f"CASE {cases} END"
