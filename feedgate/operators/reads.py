@@ -111,6 +111,43 @@ def listing(
     return _page(rows, after, limit, max_bytes)
 
 
+def sorted_listing(
+    records: DataFrame,
+    spec: CollectionSpec,
+    source: str,
+    field: str,
+    filters: Iterable[tuple[str, str]] = (),
+    after: tuple[str | float | bool, int] | None = None,
+    limit: int | None = None,
+) -> DataFrame:
+    """One page of live rows by a field declared for sorting, then by position; rows without it go last.
+
+    ``after`` is the value and position of the last row seen, from ``next_value`` and ``next_cursor``,
+    which are set on a full page.
+    """
+    if field not in spec.sort or field == "seq":
+        raise FilterError("not_sortable", field)
+    name = index_column(field, spec.fields[field])
+    value = F.col(name) if name in records.columns else index_value(field, spec.fields[field], F.try_parse_json("payload"))
+    rows = live(records).filter((F.col("source") == source) & (F.col("collection") == spec.collection))
+    rows = rows.filter(filter_column(spec, parse_filter(spec, filters), records.columns)).withColumn("_value", value)
+    if after is not None:
+        last, seq = F.lit(after[0]), F.lit(after[1])
+        missing = F.col("_value").isNull()
+        if after[0] is None:
+            rows = rows.filter(missing & (F.col("seq") > seq))
+        else:
+            rows = rows.filter(missing | (F.col("_value") > last) | ((F.col("_value") == last) & (F.col("seq") > seq)))
+    size = clamp_records(limit)
+    page = rows.orderBy(F.col("_value").asc_nulls_last(), "seq").limit(size)
+    whole = Window.partitionBy(*COLLECTION)
+    ends = F.max(F.struct(F.col("_value").isNull().alias("none"), F.col("_value").alias("value"), F.col("seq").alias("seq")))
+    page = page.withColumns({"_end": ends.over(whole), "_full": F.count(F.lit(1)).over(whole) == size})
+    return page.withColumns(
+        {"next_value": F.when(F.col("_full"), F.col("_end.value")), "next_cursor": F.when(F.col("_full"), F.col("_end.seq"))}
+    ).drop("_value", "_end", "_full")
+
+
 def changes(
     records: DataFrame,
     spec: CollectionSpec,

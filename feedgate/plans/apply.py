@@ -104,3 +104,23 @@ def apply_ops(
     numbered = assign_sequence(outcomes, start)
     changes = with_index_columns(merge.changed_records(numbered, staged), specs)
     return Applied(records, changes, numbered.drop("content_hash"), rejects, staged)
+
+
+def reproject(records: DataFrame, specs: SpecSet, *, start: int | None = None) -> Applied:
+    """Stored live rows released once more, after a specification has become narrower.
+
+    Rows that lose something are written again at new positions, the others stay as they are; running
+    it twice changes nothing the second time. Positions are unique, so they place the operations.
+    """
+    ops = records.filter(F.col("deleted_at").isNull()).select(
+        F.concat(F.lit("reproject-"), F.floor(F.col("seq") / MAX_BATCH_OPS)).alias("batch_id"),
+        F.floor(F.col("seq") / MAX_BATCH_OPS).cast("long").alias("batch_seq"),
+        (F.col("seq") % MAX_BATCH_OPS).cast("int").alias("ord"),
+        "source",
+        "collection",
+        F.lit("upsert").alias("op"),
+        "id",
+        "payload",
+        F.col("ingested_at").alias("arrived_at"),
+    )
+    return apply_ops(records, ops, specs, start=start)

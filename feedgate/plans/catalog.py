@@ -22,7 +22,7 @@ from feedgate.operators import (
 from feedgate.operators.numbering import assign_sequence
 from feedgate.operators.release import coverage, dropped_fields, fingerprint, release
 from feedgate.plans import inputs
-from feedgate.plans.apply import apply_ops, judge
+from feedgate.plans.apply import apply_ops, judge, reproject
 from feedgate.plans.inputs import only
 from feedgate.sources import envelopes
 from feedgate.sources.scratch import new_path, save
@@ -329,6 +329,19 @@ def filtered_listing(spark: SparkSession, folder: str) -> DataFrame:
     return page.select(*FEED_COLUMNS, "next_cursor")
 
 
+def sorted_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The second page of products by brand, each page being full."""
+    rows, spec = inputs.records(spark, folder, "part"), PRODUCT["part.sheet"]
+    last = reads.sorted_listing(rows, spec, "erp", "brand", limit=30).agg(F.max("next_value"), F.max("next_cursor")).first()
+    page = reads.sorted_listing(rows, spec, "erp", "brand", after=(last[0], last[1]), limit=30)
+    return page.select(*FEED_COLUMNS, "next_value", "next_cursor")
+
+
+def reprojection(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored orders under a specification that no longer releases their priority."""
+    return reproject(inputs.records(spark, folder, "order"), inputs.NARROWER).records.select(*FEED_COLUMNS)
+
+
 def byte_budget_pages(spark: SparkSession, folder: str) -> DataFrame:
     rows = inputs.records(spark, folder, "document")
     page = reads.first_pages(reads.live(rows), limit=20, max_bytes=40_000)
@@ -491,7 +504,7 @@ QUERIES: dict[str, Query] = {
         digest_listing, drift_report, freshness_check, served_changes, served_pages,
         dropped_totals, outcome_totals, stream_onto_table, faulty_lines, batch_files, ingest_answers,
         change_feed_page, digest_listing_after, manifest_bodies, complete_documents, bucket_digest,
-        replica_catch_up,
+        replica_catch_up, sorted_page, reprojection,
     )
 }
 

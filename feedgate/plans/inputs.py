@@ -90,6 +90,18 @@ SPECS = SpecSet.parse(
     ]
 )
 
+#: Orders as they may be declared later on.
+NARROWER = SpecSet.parse(
+    [
+        {
+            "collection": "sales.order",
+            "id": "$.key",
+            "fields": {"status": {"type": "string", "index": True}, "cents": {"type": "number"}},
+            "filters": ["status"],
+        }
+    ]
+)
+
 TEXTS = ("text.de", "text.en", "text.es", "text.fr")
 
 

@@ -441,4 +441,17 @@ SELECT source, collection, bucket, {_CHECKSUM} AS digest FROM hashed GROUP BY so
     "replica_catch_up": f"""
 WITH {_ORDERS}
 SELECT {_HASHED} FROM order_rows JOIN orders ON id = CAST(o_orderkey AS VARCHAR) WHERE o_orderpriority <> '5-LOW'""",
+    "sorted_page": f"""
+WITH {_PARTS},
+page AS (
+  SELECT * FROM part_rows QUALIFY row_number() OVER (ORDER BY p_brand, seq) BETWEEN 31 AND 60)
+SELECT {_ROW}, (SELECT max(p_brand) FROM page) AS next_value,
+  (SELECT arg_max(seq, (p_brand, seq)) FROM page) AS next_cursor
+FROM page""",
+    "reprojection": f"""
+WITH {_ORDERS}, kept AS (
+  SELECT 'erp' AS source, 'sales.order' AS collection, CAST(o.o_orderkey AS VARCHAR) AS id, n + first_seq AS seq,
+    '{{"cents":' || CAST(round(o_totalprice * 100) AS BIGINT) || ',"status":"' || o.o_orderstatus || '"}}' AS payload
+  FROM order_states s JOIN orders o USING (o_orderkey))
+SELECT {_HASHED} FROM kept""",
 }

@@ -10,7 +10,7 @@ from feedgate.limits import EMPTY_DOCUMENT_HASH
 from feedgate.operators.merge import KEY, detect_outcomes
 from feedgate.operators.numbering import number_rows
 from feedgate.operators.replica import newest
-from feedgate.plans.apply import OPS, apply_ops
+from feedgate.plans.apply import OPS, apply_ops, reproject
 from feedgate.spec import CollectionSpec, FieldSpec, SpecSet
 from model import Table
 
@@ -178,3 +178,13 @@ def test_newest_rows_carry_no_payload_through_a_sort(spark):
     assert "SortAggregate" not in plan and "max_by" not in plan
     twice = rows.unionByName(rows.filter("seq % 2 = 0"))
     assert snapshot(newest(twice)) == snapshot(rows) and newest(twice).count() == rows.count()
+
+
+def test_reprojection_writes_what_changes_and_settles(spark):
+    first = apply_ops(None, frame(spark, random_ops(random.Random(8), 80)), SPECS).records.checkpoint()
+    narrow = SpecSet(CollectionSpec(n, ("id",), {"sku": FieldSpec.scalar("string", True)}, filters=("sku",)) for n in ("a.one", "b.two"))
+    once = reproject(first, narrow)
+    rows = once.records.drop("idx_number_n").checkpoint()
+    alive = {(r.source, r.collection, r.id) for r in first.collect() if r.deleted_at is None}
+    assert {r.payload for r in rows.collect()} == {"{}"} and {tuple(r)[:3] for r in once.changes.collect()} == alive
+    assert reproject(rows, narrow).changes.isEmpty()

@@ -286,3 +286,22 @@ def test_free_field_names_have_columns_of_their_own(spark):
         chosen = reads.parse_filter(spec, [(name, f"v1-{k}")])
         for frame in (records, table(spark, rows)):
             assert [r.id for r in frame.filter(reads.filter_column(spec, chosen, frame.columns)).collect()] == ["r1"]
+
+
+def test_sorted_listing_reaches_every_row_once(spark):
+    spec = CollectionSpec("c.one", ("id",), {"sku": FieldSpec.scalar("string", True), "n": FieldSpec.scalar("number")}, sort=("seq", "sku"))
+    rows = [record(f"r{i}", i + 1, json.dumps({"sku": "bca"[i % 3]} if i % 4 else {}), deleted=i == 5) for i in range(23)]
+    plain = table(spark, rows)
+    want = sorted((r for r in rows if r[8] is None), key=lambda r: (json.loads(r[4]).get("sku") is None, json.loads(r[4]).get("sku") or "", r[3]))
+    for frame in (plain, with_index_columns(plain, spec)):
+        got, after = [], None
+        while True:
+            page = reads.sorted_listing(frame, spec, "erp", "sku", after=after, limit=4).collect()
+            got += [r.id for r in page]
+            if not page or page[0].next_cursor is None:
+                break
+            after = (page[0].next_value, page[0].next_cursor)
+        assert got == [r[2] for r in want]
+    for field in ("n", "seq", "nope"):
+        with pytest.raises(reads.FilterError):
+            reads.sorted_listing(plain, spec, "erp", field)
