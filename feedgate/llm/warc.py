@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -64,6 +65,11 @@ _CHUNK_FIELDS = pa.schema(
 )
 
 
+def _store(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder or file that Spark and executors share."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/(?!/)", "file:///", uri)))
+
+
 def _pieces(text: str) -> Iterator[bytes]:
     for at in range(0, len(text), _PIECE_CHARS):
         yield text[at : at + _PIECE_CHARS].encode("utf-8", "surrogatepass")
@@ -128,7 +134,7 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
     ready = joined.select("id", "url", "size", "digest", refers.alias("refers_to"), F.when(refers.isNull(), F.col("payload")).alias("payload"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
         store.create_dir(root, recursive=True)
         out, name, records = None, "", 0
 
@@ -243,7 +249,7 @@ def read_chunks(archives: DataFrame, *, chunk_bytes: int = CHUNK_BYTES) -> DataF
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (archive,) in arrow_rows(batches, "archive"):
-            store, path = fs.FileSystem.from_uri(archive)
+            store, path = _store(archive)
             held, size = [], 0
             with store.open_input_file(path) as raw, gzip.open(raw) as stream:
                 for row in read_archive(stream, archive, chunk_bytes):
