@@ -146,8 +146,8 @@ def mix(
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
     plan = spark.createDataFrame(
-        plan_sources(found, weights, passes, block),
-        "p_source string, source_size long, target double, n long, full long, rest long, buckets long",
+        [(number, *row) for number, row in enumerate(plan_sources(found, weights, passes, block))],
+        "s int, p_source string, source_size long, target double, n long, full long, rest long, buckets long",
     )
 
     def placed(frame: DataFrame) -> DataFrame:
@@ -159,27 +159,20 @@ def mix(
             "grp", F.expr(f"bucket div {GROUP_BUCKETS}")
         )
 
-    sums = placed(short).groupBy("__source", "grp", "bucket").agg(F.sum("__size").alias("in_bucket"))
+    # By number, not name: plain equality, so that window and join share one exchange of the rows.
+    sums = placed(short).groupBy("s", "grp", "bucket").agg(F.sum("__size").alias("in_bucket"))
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    groups = sums.groupBy("__source", "grp").agg(F.sum("in_bucket").alias("in_group"))
-    groups = groups.select(
-        F.col("__source").alias("g_source"),
-        F.col("grp").alias("g_grp"),
-        F.coalesce(F.sum("in_group").over(before("__source").orderBy("grp")), F.lit(0)).alias("group_start"),
+    groups = sums.groupBy("s", "grp").agg(F.sum("in_bucket").alias("in_group"))
+    group_start = F.coalesce(F.sum("in_group").over(before("s").orderBy("grp")), F.lit(0))
+    start = F.coalesce(F.sum("in_bucket").over(before("s", "grp").orderBy("bucket")), F.lit(0))
+    starts = (
+        sums.withColumn("start", start)
+        .join(groups.select("s", "grp", group_start.alias("group_start")), ["s", "grp"])
+        .select("s", "bucket", (F.col("start") + F.col("group_start")).alias("bucket_start"))
     )
-    starts = sums.withColumn(
-        "start", F.coalesce(F.sum("in_bucket").over(before("__source", "grp").orderBy("bucket")), F.lit(0))
-    ).join(groups, F.col("__source").eqNullSafe(F.col("g_source")) & (F.col("grp") == F.col("g_grp")))
-    starts = starts.select(
-        F.col("__source").alias("s_source"),
-        F.col("bucket").alias("s_bucket"),
-        (F.col("start") + F.col("group_start")).alias("bucket_start"),
-    )
-    within = before("__source", "bucket").orderBy("u", "h", "__id", "__size")
+    within = before("s", "bucket").orderBy("u", "h", "__id", "__size")
     ranked = placed(rows).withColumn("inside", F.coalesce(F.sum("__size").over(within), F.lit(0)))
-    located = ranked.join(
-        starts, F.col("__source").eqNullSafe(F.col("s_source")) & (F.col("bucket") == F.col("s_bucket"))
-    ).withColumn("at", F.col("bucket_start") + F.col("inside"))
+    located = ranked.join(starts, ["s", "bucket"]).withColumn("at", F.col("bucket_start") + F.col("inside"))
 
     return located.select(
         *(F.col(f"__keep_{i}").alias(name) for i, name in enumerate(kept)),
