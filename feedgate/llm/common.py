@@ -19,6 +19,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rows of an Arrow batch of texts, unless the session has a setting of its own.
+BATCH_ROWS = 1000
+_BATCH_SETTING, _SPARK_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python a thousand at a time: Spark's default of ten thousand is made for short rows."""
+    if spark.conf.get(_BATCH_SETTING) == _SPARK_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
 def ascii_lower(column):
     """Lower-cases A-Z and nothing else."""
     return F.translate(column, _UPPER, _UPPER.lower())

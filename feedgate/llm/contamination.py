@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedgate.llm.common import small_batches
+
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
 HIT_SHARE = 20
@@ -163,6 +165,7 @@ def contamination(
     share: int = HIT_SHARE,
 ) -> Column:
     """A RESULT struct for each text: words, hit words, items, verdict, and hit spans in code points."""
+    small_batches(benchmark.sparkSession)
     shared = benchmark.sparkSession.sparkContext.broadcast(_blocks(benchmark, item_col, text_col))
 
     @F.arrow_udf(RESULT)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedgate.llm.common import arrow_rows
+from feedgate.llm.common import arrow_rows, small_batches
 from feedgate.sources.scratch import save
 
 BUCKETS = 1 << 13
@@ -215,6 +215,7 @@ def score_documents(
 ) -> DataFrame:
     """id, held_out, score and predicted of every row; labels of held-out ids are never looked at."""
     held = lambda name: F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     vectors = word_vectors(rows)
     points = save(rows.select("id", pooled(F.col("text"), vectors).alias("x")), "pooled")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedgate.llm.common import quoted
+from feedgate.llm.common import quoted, small_batches
 
 SAMPLE_ROWS = 2000
 SAMPLE_SEED = 6
@@ -118,6 +118,7 @@ VERDICT = T.StructType(
 
 def cascade_order(docs: DataFrame, rules: Sequence[Rule], *, text_col: str = "text") -> list[Rule]:
     """The rules by rejections per second on a sample; in the given order where the sample is empty."""
+    small_batches(docs.sparkSession)
     rules = list(rules)
     rows = docs.count()
     sample = docs.select(F.col(text_col).alias("text")).sample(min(1.0, SAMPLE_ROWS / max(rows, 1)), SAMPLE_SEED)

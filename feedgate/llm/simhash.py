@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedgate.llm.common import lower_bytes
+from feedgate.llm.common import lower_bytes, small_batches
 from feedgate.llm.components import components
 from feedgate.sources.scratch import save
 
@@ -287,6 +287,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id (smallest id reachable by links) of every row."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp"))
     docs = save(docs, "fingerprints")
     first = save(docs.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")

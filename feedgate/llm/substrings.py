@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedgate.llm.common import arrow_rows, lower_bytes
+from feedgate.llm.common import arrow_rows, lower_bytes, small_batches
 from feedgate.sources.scratch import save
 
 REACH = 3
@@ -127,6 +127,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     id, passages (array of first word and number of words), repeated_words.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = save(rows.mapInArrow(_chunk_rows, _CHUNKS), "chunks")
     # One number for a document, so that the counts stay fixed-width rows in a hash table.

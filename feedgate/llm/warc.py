@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedgate.llm.common import arrow_rows
+from feedgate.llm.common import arrow_rows, small_batches
 from feedgate.sources.scratch import new_path, save
 
 MIN_REVISIT = 1000
@@ -118,6 +118,7 @@ def write_record(out: BinaryIO, name, url: str | None, text: str, size: int, dig
 def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes a record per row and returns the written list of archives: archive, records."""
     spark = pages.sparkSession
+    small_batches(spark)
     folder = new_path(spark, "warc")
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(
