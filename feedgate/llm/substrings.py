@@ -1,19 +1,23 @@
-"""Repeated passages by content-defined chunking with a gear rolling hash.
+"""Repeated passages: candidates by content-defined chunking with a gear rolling hash, decided by exact windows.
 
 A text's words, A-Z lower-cased and joined by single spaces, are one byte string. A gear hash
-h = 2 h + gear[byte] rolls over it, and is kept to the last 16 bytes. A word end is a cut
-where its hash is the smallest among the REACH words on either side, so cuts depend on the text near
-them alone: after an insertion, or in another document, the same passage is cut at the same places.
-Where a hash returns within REACH words the text repeats itself; there every word end is a cut, and a chunk's
-place in the run counts as part of it, so runs of a word are equal for as long as both last.
-
-Chunks are deduplicated by a 128-bit digest. A digest found in more than one document is repeated;
-repeated chunks that follow each other are a passage if they have at least PASSAGE words together.
-Digests are counted by partial aggregation, so a passage that a third of all documents share is one
-short row for each task; the join back to the chunks is one that adaptive execution splits.
-
-Defined results: null and wordless texts have no chunks. Rows with equal id and text are one
-document. Passages inside one document only are not reported. An empty table gives no rows.
+h = 2 h + gear[byte] rolls over it, and is kept to the last 16 bytes. A word end is a cut where its
+hash is the smallest (the last of equal ones) among some REACH word ends that follow each other, so a
+chunk has at most REACH words. A cut's key is a 128-bit digest of the SPAN words that end there.
+
+PASSAGE words hold REACH word ends that have SPAN words before them inside the passage. The smallest of
+these is a cut whose hash and key depend on the passage alone: two copies have a key in common, always.
+A key found in more than one document is a candidate and nothing more. Every window of PASSAGE words
+around it is digested, and windows found in more than one document are reported, joined where they
+overlap. So each reported word lies in PASSAGE words that another document has too, if not always the
+same document along one passage.
+
+Keys and windows are counted by partial aggregation, so a passage that a third of all documents share is
+one short row for each task; the joins back are ones that adaptive execution splits.
+
+Defined results: null texts and texts of fewer than PASSAGE words have no passages. Rows with equal id
+and text are one document. Passages inside one document only are not reported. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -28,26 +32,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedgate.llm.common import arrow_rows, lower_bytes, small_batches
-from feedgate.sources.scratch import save
+from feedgate.sources.scratch import new_path, save, scoped
 
-REACH = 3
-#: Words of a run of repeated chunks that are reported. Cuts lose some words at both ends of a passage.
-PASSAGE = 24
+#: Words of a passage: over fifty.
+PASSAGE = 51
+#: Words of a key, and word ends of which the smallest is a cut: a passage holds REACH keys.
+SPAN = 26
+REACH = PASSAGE - SPAN + 1
 _HASH_BYTES = 16
 
 _GEAR = np.random.default_rng(9).integers(0, 1 << 32, 256, dtype=np.uint32)
 
-_CHUNK_FIELDS = pa.schema(
-    [
-        ("id", pa.int64()),
-        ("version", pa.int64()),
-        ("first", pa.int32()),
-        ("n", pa.int32()),
-        ("d1", pa.int64()),
-        ("d2", pa.int64()),
-    ]
-)
-_CHUNKS = "id long, version long, first int, n int, d1 long, d2 long"
+_KEYS = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("after", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+_WINDOWS = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("first", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+_BATCH = 50_000
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
@@ -60,90 +58,150 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return rolled
 
 
-def cuts(joined: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of words (from 1) after which a chunk ends, and for each chunk its place in a run, else 0.
+def cuts(joined: bytes, ends: np.ndarray) -> np.ndarray:
+    """Numbers of words (from 1) after which a chunk ends; the last is the end of the text.
 
     `ends`: where each word ends in `joined`.
     """
     n = len(ends)
-    hashes = gear_hash(np.frombuffer(joined, np.uint8))[ends - 1]
-    lowest, again = np.ones(n, bool), np.zeros(n, bool)
-    for shift in range(1, REACH + 1):
-        lowest[shift:] &= hashes[shift:] < hashes[:-shift]
-        lowest[:-shift] &= hashes[:-shift] <= hashes[shift:]
-        again[shift:] |= hashes[shift:] == hashes[:-shift]
-    places = np.append(np.flatnonzero((lowest | again)[:-1]) + 1, n)
-    order = np.arange(n)
-    in_run = order - np.maximum.accumulate(np.where(again, -1, order))
-    return places, in_run[places - 1]
+    order = np.arange(n, dtype=np.uint64)
+    hashes = gear_hash(np.frombuffer(joined, np.uint8))[ends - 1].astype(np.uint64)
+    lowest, span = hashes << np.uint64(32) | np.uint64(0xFFFFFFFF) - order, 1
+    while span < REACH and len(lowest) > 1:
+        step = min(span, REACH - span, len(lowest) - 1)
+        lowest, span = np.minimum(lowest[:-step], lowest[step:]), span + step
+    places = np.unique(np.uint64(0xFFFFFFFF) - (lowest & np.uint64(0xFFFFFFFF))).astype(np.int64) + 1
+    return np.append(places[places < n], n)
+
+
+def _joined(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words as one byte string, and where each begins and ends in it."""
+    words = lower_bytes(text or "").split()
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    return b" ".join(words), ends - lengths, ends
+
+
+def _digests(joined: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A row of two numbers for each part of the byte string."""
+    digests = [xxhash.xxh3_128_digest(joined[i:j]) for i, j in zip(starts.tolist(), stops.tolist())]
+    return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
 
 
 def chunks(text: str | None) -> tuple[int, list[tuple[int, int, int, int]]]:
-    """A digest of the text, and (first word, words, digest, digest) of each chunk."""
-    words = lower_bytes(text or "").split()
-    if not words:
+    """A digest of the text, and (first word, words, key, key) of each chunk."""
+    joined, begins, ends = _joined(text)
+    if not len(ends):
         return 0, []
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    places, in_run = cuts(joined, ends)
-    starts = np.r_[0, ends[places[:-1] - 1] + 1].tolist()
-    stops = ends[places - 1].tolist()
-    firsts, result = [0, *places[:-1].tolist()], []
-    for first, after, start, stop, run in zip(firsts, places.tolist(), starts, stops, in_run.tolist()):
-        digest = xxhash.xxh3_128_digest(joined[start:stop], run)
-        result.append((first, after - first, *np.frombuffer(digest, "<i8").tolist()))
+    places = cuts(joined, ends)
+    firsts = np.r_[0, places[:-1]]
+    keys = _digests(joined, begins[np.maximum(places - SPAN, 0)], ends[places - 1])
+    result = list(zip(firsts.tolist(), (places - firsts).tolist(), keys[:, 0].tolist(), keys[:, 1].tolist()))
     return int(np.uint64(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))).view(np.int64)), result
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def windows(text: str, afters: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the windows that hold the SPAN words before one of these places, and their digests."""
+    joined, begins, ends = _joined(text)
+    firsts = np.unique(np.add.outer(np.asarray(afters, np.int64) - PASSAGE, np.arange(REACH)))
+    firsts = firsts[(firsts >= 0) & (firsts <= len(ends) - PASSAGE)]
+    return firsts, _digests(joined, begins[firsts], ends[firsts + PASSAGE - 1])
+
+
+def _batches(parts: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(id, version, numbers, digests) of each document as batches of many."""
     held: list[tuple] = []
-    for name, text in arrow_rows(batches, "id", "text"):
-        version, found = chunks(text)
-        held += [(name, version, *chunk) for chunk in found]
-        if len(held) >= 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _CHUNK_FIELDS)], schema=_CHUNK_FIELDS)
-            held = []
+    count = 0
+
+    def batch() -> pa.RecordBatch:
+        sizes = [len(numbers) for _, _, numbers, _ in held]
+        ids = pa.array([name for name, _, _, _ in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
+        versions = np.repeat(np.array([version for _, version, _, _ in held], np.int64), sizes)
+        numbers = np.concatenate([numbers for _, _, numbers, _ in held]).astype(np.int32)
+        digests = np.concatenate([digests for _, _, _, digests in held])
+        columns = [ids, *map(pa.array, (versions, numbers, np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1])))]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    for part in parts:
+        held.append(part)
+        count += len(part[2])
+        if count >= _BATCH:
+            yield batch()
+            held, count = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _CHUNK_FIELDS)], schema=_CHUNK_FIELDS)
+        yield batch()
+
+
+def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts() -> Iterator[tuple]:
+        for name, version, text in arrow_rows(batches, "id", "version", "text"):
+            found = np.array(chunks(text)[1], np.int64).reshape(-1, 4)
+            afters = found[:, 0] + found[:, 1]
+            if len(afters) and afters[-1] >= PASSAGE:
+                found, afters = found[afters >= SPAN], afters[afters >= SPAN]
+                yield name, version, afters, found[:, 2:]
+
+    return _batches(parts(), _KEYS)
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts() -> Iterator[tuple]:
+        for name, version, text, afters in arrow_rows(batches, "id", "version", "text", "afters"):
+            yield name, version, *windows(text, afters)
+
+    return _batches(parts(), _WINDOWS)
 
 
 _PASSAGES = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())]))
 
 
-def join_chunks(found: list[dict], least: int) -> list[tuple[int, int]]:
-    """Maximal runs of (first, n) chunks that follow each other, of at least so many words."""
+def join_windows(firsts: list[int]) -> list[tuple[int, int]]:
+    """First word and words of the longest stretches of windows that overlap."""
     runs: list[list[int]] = []
-    for first, n in sorted({(c["first"], c["n"]) for c in found}):
-        if runs and first == runs[-1][0] + runs[-1][1]:
-            runs[-1][1] += n
+    for first in sorted(firsts):
+        if runs and first < runs[-1][1]:
+            runs[-1][1] = first + PASSAGE
         else:
-            runs.append([first, n])
-    return [(first, n) for first, n in runs if n >= least]
+            runs.append([first, first + PASSAGE])
+    return [(first, after - first) for first, after in runs]
+
+
+def _of_two(rows: DataFrame, label: str) -> DataFrame:
+    """The rows whose digest more than one document has."""
+    # One number for a document, so that the counts stay fixed-width rows in a hash table.
+    owner = F.xxhash64("id", "version")
+    counted = rows.groupBy("d1", "d2").agg(F.min(owner).alias("low"), F.max(owner).alias("high"))
+    repeated = counted.where("low <> high").select(F.col("d1").alias("r1"), F.col("d2").alias("r2"))
+    repeated = save(repeated, label)
+    return rows.join(repeated, (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2")), "left_semi")
 
 
-def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = PASSAGE) -> DataFrame:
+def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document that shares passages with others.
 
     id, passages (array of first word and number of words), repeated_words.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    pieces = save(rows.mapInArrow(_chunk_rows, _CHUNKS), "chunks")
-    # One number for a document, so that the counts stay fixed-width rows in a hash table.
-    owner = F.xxhash64("id", "version")
-    counted = pieces.groupBy("d1", "d2").agg(F.min(owner).alias("low"), F.max(owner).alias("high"))
-    repeated = counted.where("low <> high").select(F.col("d1").alias("r1"), F.col("d2").alias("r2"))
-    repeated = save(repeated, "repeated-chunks")
-    shared = pieces.join(repeated, (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2")), "left_semi")
-    by_document = shared.groupBy("id", "version").agg(F.collect_set(F.struct("first", "n")).alias("found"))
+    rows = rows.select("id", F.xxhash64("text").alias("version"), "text")
+    place = new_path(spark, "windows")
+    with scoped(spark):
+        keys = save(rows.mapInArrow(_key_rows, "id long, version long, after int, d1 long, d2 long"), "keys")
+        candidates = _of_two(keys, "repeated-keys").groupBy("id", "version").agg(F.collect_set("after").alias("afters"))
+        candidates = save(candidates, "candidates").select(F.col("id").alias("c_id"), F.col("version").alias("c_version"), "afters")
+        around = rows.join(candidates, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("version") == F.col("c_version")))
+        around = around.select("id", "version", "text", "afters")
+        around.mapInArrow(_window_rows, "id long, version long, first int, d1 long, d2 long").write.parquet(place)
+    found = spark.read.schema("id long, version long, first int, d1 long, d2 long").parquet(place)
+    by_document = _of_two(found, "repeated-windows").groupBy("id", "version").agg(F.collect_set("first").alias("found"))
 
     @F.arrow_udf(_PASSAGES)
     def joined(found: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
-        lists = [[{"first": a, "n": n} for a, n in join_chunks(one, least)] for one in found.to_pylist()]
+        lists = [[{"first": a, "n": n} for a, n in join_windows(one)] for one in found.to_pylist()]
         return pa.array(lists, kind)
 
-    result = by_document.select(F.col("id").alias(id_col), joined("found").alias("passages")).where(F.size("passages") > 0)
+    result = by_document.select(F.col("id").alias(id_col), joined("found").alias("passages"))
     words = F.aggregate("passages", F.lit(0).cast("long"), lambda total, p: total + p["n"])
     return result.withColumn("repeated_words", words)

@@ -69,3 +69,27 @@ def test_planted_tables_against_all_windows(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id for r in s.repeated_passages(frame).collect()}
     assert len(want) > 10 and want <= got and len(got - want) <= 0.1 * len(docs)
+
+
+def shared_words(docs, n=51):
+    """Of each (id, text): the numbers of the words that lie in n words another document has too."""
+    split = {doc: s.lower_bytes(doc[1] or "").split() for doc in docs}
+    at = lambda doc: [(i, tuple(split[doc][i : i + n])) for i in range(len(split[doc]) - n + 1)]
+    owners = {}
+    for doc in split:
+        for _, window in at(doc):
+            owners.setdefault(window, set()).add(doc)
+    found = [(doc, {j for i, window in at(doc) if len(owners[window]) > 1 for j in range(i, i + n)}) for doc in split]
+    return sorted(((doc[0] is None, doc[0] or 0), sorted(held)) for doc, held in found if held)
+
+
+def reported_words(frame):
+    rows = [(r.doc_id, [j for p in r.passages for j in range(p[0], p[0] + p[1])], r.repeated_words) for r in s.repeated_passages(frame).collect()]
+    assert all(n == len(held) == len(set(held)) for _, held, n in rows)
+    return sorted(((name is None, name or 0), sorted(held)) for name, held, _ in rows)
+
+
+def test_planted_tables_word_by_word(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = shared_words({(r.doc_id, r.text) for r in frame.collect()})
+    assert len(want) > 10 and reported_words(frame) == want
