@@ -8,8 +8,8 @@ chunk has at most REACH words. A cut's key is a 128-bit digest of the SPAN words
 PASSAGE words hold REACH word ends that have SPAN words before them inside the passage. The smallest of
 these is a cut whose hash and key depend on the passage alone: two copies have a key in common, always.
 A key found in more than one document is a candidate and nothing more. Every window of PASSAGE words
-around it is digested, and windows found in more than one document are reported, joined where they
-overlap. So each reported word lies in PASSAGE words that another document has too, if not always the
+with such a cut as its smallest is digested, and windows found in more than one document are reported,
+joined where they overlap. So each reported word lies in PASSAGE words that another document has too, if not always the
 same document along one passage.
 
 Keys and windows are counted by partial aggregation, so a passage that a third of all documents share is
@@ -58,20 +58,24 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return rolled
 
 
-def cuts(joined: bytes, ends: np.ndarray) -> np.ndarray:
-    """Numbers of words (from 1) after which a chunk ends; the last is the end of the text.
+def smallest(joined: bytes, ends: np.ndarray) -> np.ndarray:
+    """Of each REACH word ends that follow each other, or of all of a shorter text: the one of the smallest hash.
 
     `ends`: where each word ends in `joined`.
     """
-    n = len(ends)
-    order = np.arange(n, dtype=np.uint64)
     hashes = gear_hash(np.frombuffer(joined, np.uint8))[ends - 1].astype(np.uint64)
-    lowest, span = hashes << np.uint64(32) | np.uint64(0xFFFFFFFF) - order, 1
+    # Of equal hashes the last: numbers count down in the low half.
+    lowest, span = hashes << np.uint64(32) | np.uint64(0xFFFFFFFF) - np.arange(len(ends), dtype=np.uint64), 1
     while span < REACH and len(lowest) > 1:
         step = min(span, REACH - span, len(lowest) - 1)
         lowest, span = np.minimum(lowest[:-step], lowest[step:]), span + step
-    places = np.unique(np.uint64(0xFFFFFFFF) - (lowest & np.uint64(0xFFFFFFFF))).astype(np.int64) + 1
-    return np.append(places[places < n], n)
+    return (np.uint64(0xFFFFFFFF) - (lowest & np.uint64(0xFFFFFFFF))).astype(np.int64)
+
+
+def cuts(joined: bytes, ends: np.ndarray) -> np.ndarray:
+    """Numbers of words (from 1) after which a chunk ends; the last is the end of the text."""
+    places = np.unique(smallest(joined, ends)) + 1
+    return np.append(places[places < len(ends)], len(ends))
 
 
 def _joined(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -101,10 +105,9 @@ def chunks(text: str | None) -> tuple[int, list[tuple[int, int, int, int]]]:
 
 
 def windows(text: str, afters: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the windows that hold the SPAN words before one of these places, and their digests."""
+    """First words of the windows whose own cut, the smallest of their REACH word ends, is one of these; their digests."""
     joined, begins, ends = _joined(text)
-    firsts = np.unique(np.add.outer(np.asarray(afters, np.int64) - PASSAGE, np.arange(REACH)))
-    firsts = firsts[(firsts >= 0) & (firsts <= len(ends) - PASSAGE)]
+    firsts = np.flatnonzero(np.isin(smallest(joined, ends)[SPAN - 1 :] + 1, afters))
     return firsts, _digests(joined, begins[firsts], ends[firsts + PASSAGE - 1])
 
 
@@ -184,7 +187,8 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("id", F.xxhash64("text").alias("version"), "text")
+    # So many words have as many characters, and one between each two.
+    rows = rows.where(F.length("text") >= 2 * PASSAGE - 1).select("id", F.xxhash64("text").alias("version"), "text")
     place = new_path(spark, "windows")
     with scoped(spark):
         keys = save(rows.mapInArrow(_key_rows, "id long, version long, after int, d1 long, d2 long"), "keys")

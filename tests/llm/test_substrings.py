@@ -93,3 +93,42 @@ def test_planted_tables_word_by_word(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = shared_words({(r.doc_id, r.text) for r in frame.collect()})
     assert len(want) > 10 and reported_words(frame) == want
+
+
+def test_passages_around_the_least_length(spark):
+    """51 words are found in any surroundings, 50 are not; neighbours from two documents are no passage."""
+    draw = random.Random(3)
+    rows = []
+    for i in range(1500):
+        passage = words(draw, 50 + i % 3)
+        for copy in (0, 1):
+            rows.append((2 * i + copy, " ".join(words(draw, draw.randint(0, 40)) + passage + words(draw, draw.randint(0, 40)))))
+    left, right = words(draw, 40), words(draw, 40)
+    rows += [(-1, " ".join(left + right)), (-2, " ".join(left)), (-3, " ".join(words(draw, 20) + right))]
+    short = [draw.choice("ab") for _ in range(300)]
+    rows += [(-4, " ".join(short)), (-5, " ".join(words(draw, 9) + short[100:151])), (-6, " ".join(short[200:250])), (-7, "ha " * 51), (-8, "ha " * 60), (-9, "ha " * 50), (None, "ha " * 51)]
+    want = shared_words(rows)
+    assert len(want) >= 2000
+    assert reported_words(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_a_copy_of_the_least_length_has_a_key_in_common():
+    draw = random.Random(4)
+    for _ in range(5000):
+        passage = words(draw, 51)
+        keys = [
+            {c[2:] for c in s.chunks(" ".join(words(draw, draw.randint(0, 30)) + passage + words(draw, draw.randint(0, 30))))[1]}
+            for _ in (0, 1)
+        ]
+        assert keys[0] & keys[1]
+
+
+def test_copies_that_runs_of_chunks_lost(spark):
+    """51 words in surroundings that left runs of repeated chunks fewer than 24 words."""
+    rows = []
+    for seed in (1292, 2074, 3016, 5231, 5744):
+        draw = random.Random(seed)
+        passage = words(draw, 51)
+        rows += [(len(rows) + copy, " ".join(words(draw, 20) + passage + words(draw, 20))) for copy in (0, 1)]
+    got = reported_words(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == [((False, i), list(range(20, 71))) for i in range(10)]
