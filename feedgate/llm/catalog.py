@@ -71,7 +71,11 @@ def op8_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     names = ("conv_id", "turn", "role", "text")
     turns = table(spark, folder, "conversations").select(*names)
     turns = turns.unionByName(literal_rows(spark, names, extra, "conv_id:long,turn:long,role:string,text:string"))
-    rows = chat_format.read_back(chat_format.formatted(chat_format.packed(turns)))
+    rows = chat_format.formatted(chat_format.packed(turns))
+    # Every packed record has a layout: one that has none was not read, and must not pass as a row of nulls.
+    unread = F.raise_error(F.concat(F.lit("record not read: conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    checked = F.when(F.col("__layout").isNull(), unread.cast("string")).otherwise(F.col("__formatted"))
+    rows = chat_format.read_back(rows.withColumn("__formatted", checked))
     line = F.array_join(F.transform("__turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return rows.select(
         "conv_id",

@@ -1,13 +1,14 @@
 """Chat formatting by schema fingerprints.
 
 A record is a JSON document of some layout. Its fingerprint is a hash of its nested field paths
-(types left out), and selects a declared mapping that turns prompt, instruction and message layouts
-into canonical turns of role and text. The template encloses each turn in markers; control strings
+(types left out), taken from the record without its texts, and selects a declared mapping that turns
+prompt, instruction and message layouts into canonical turns of role and text. The template encloses each turn in markers; control strings
 inside texts are broken by a backslash, backslashes are doubled, so reading back is exact. The loss
 mask is a list of spans, in code points of the formatted text: the text of each assistant turn.
 
 Everything is SQL functions. A conversation is one row of the result and thus one value in memory;
-work is shared out by conversation.
+work is shared out by conversation. No text is too long for the reader of JSON. What Spark cannot hold
+in one row, 2 GiB over the columns that are there together, ends the query with an error.
 
 Defined results: null texts and roles are empty; turns with equal numbers are ordered by role and
 text; a record of unknown layout has null layout, turns and formatted text, and is not dropped; a
@@ -32,41 +33,53 @@ _TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """Shape of the records of a layout, and the SQL expression that makes their turns from variant v."""
+    """Shape of the records of a layout, their schema, and the SQL expression that makes their turns from struct v."""
 
     name: str
     shape: str
+    schema: str
     turns: str
 
 
-def _listed(path: str, role: str, text: str, names: str = "") -> str:
-    found = f"variant_get(v, '$.{path}', 'array<struct<{role} string, {text} string>>')"
-    return f"transform({found}, x -> named_struct('role', {names or f'x.{role}'}, 'text', x.{text}))"
+def _listed(path: str, role: str, text: str, names: str = "") -> tuple[str, str]:
+    schema = f"{path} array<struct<{role}: string, {text}: string>>"
+    return schema, f"transform(v.{path}, x -> named_struct('role', {names or f'x.{role}'}, 'text', x.{text}))"
 
 
-def _single(*fields: tuple[str, str]) -> str:
-    parts = (f"named_struct('role', '{role}', 'text', variant_get(v, '$.{field}', 'string'))" for role, field in fields)
-    return f"array({', '.join(parts)})"
+def _single(*fields: tuple[str, str]) -> tuple[str, str]:
+    parts = (f"named_struct('role', '{role}', 'text', v.{field})" for role, field in fields)
+    return ", ".join(f"{field} string" for _, field in fields), f"array({', '.join(parts)})"
 
 
 LAYOUTS = (
-    Layout("messages", "OBJECT<messages: ARRAY<OBJECT<content, role>>>", _listed("messages", "role", "content")),
+    Layout("messages", "OBJECT<messages: ARRAY<OBJECT<content, role>>>", *_listed("messages", "role", "content")),
     Layout(
         "shared",
         "OBJECT<conversations: ARRAY<OBJECT<from, value>>>",
-        _listed(
+        *_listed(
             "conversations", "from", "value", "CASE x.from WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE x.from END"
         ),
     ),
-    Layout("prompt", "OBJECT<completion, prompt>", _single(("user", "prompt"), ("assistant", "completion"))),
-    Layout("question", "OBJECT<instruction, output>", _single(("user", "instruction"), ("assistant", "output"))),
+    Layout("prompt", "OBJECT<completion, prompt>", *_single(("user", "prompt"), ("assistant", "completion"))),
+    Layout("question", "OBJECT<instruction, output>", *_single(("user", "instruction"), ("assistant", "output"))),
     Layout(
         "instruction",
         "OBJECT<input, instruction, output>",
-        _single(("system", "instruction"), ("user", "input"), ("assistant", "output")),
+        *_single(("system", "instruction"), ("user", "input"), ("assistant", "output")),
     ),
 )
 
+#: A JSON string. Possessive, so that the matcher neither recurses nor goes back, however long it is.
+_STRING = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+_CORRUPT = "__corrupt"
+_READING = {"maxStringLen": str(2**31 - 1), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+
+
+def hollow(record: Column) -> Column:
+    """The JSON text with its string values emptied, and one left of equal flat objects that follow each other."""
+    emptied = F.regexp_replace(record, rf'(?s)("{_STRING}"[ \t\r\n]*+:)|("){_STRING}(")', "$1$2$3")
+    return F.regexp_replace(emptied, r"(\{[^{}\[\]]*+\})(?:,\1)++", "$1")
+
 
 def shape(record: Column) -> Column:
     """The nested field paths of a variant as text, in key order; scalar types left out."""
@@ -79,18 +92,25 @@ def fingerprint(shapes: Column) -> Column:
 
 
 def canonical_turns(records: DataFrame, *, json_col: str = "record", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
-    """`records` with __layout and __turns; both null where no layout has the record's fingerprint."""
-    parsed = records.withColumn("v", F.try_parse_json(json_col))
-    parsed = parsed.withColumn("__print", fingerprint(shape(F.col("v"))))
+    """`records` with __layout and __turns; both null where no layout has the record's fingerprint, or it is not JSON."""
+    parsed = records.withColumn("__print", fingerprint(shape(F.try_parse_json(hollow(F.col(json_col))))))
+    read = {
+        f"__v{i}": F.when(
+            F.col("__print") == fingerprint(F.lit(each.shape)),
+            F.from_json(json_col, f"{each.schema}, {_CORRUPT} string", _READING),
+        )
+        for i, each in enumerate(layouts)
+    }
+    parsed = parsed.withColumns(read)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
-    for each in layouts:
-        here = F.col("__print") == fingerprint(F.lit(each.shape))
+    for name, each in zip(read, layouts):
+        here = F.col(name).isNotNull() & F.col(name)[_CORRUPT].isNull()
         layout = F.when(here, each.name).otherwise(layout)
-        turns = F.when(here, F.expr(each.turns).cast(_TURNS)).otherwise(turns)
+        turns = F.when(here, F.expr(f"transform(array({name}), v -> {each.turns})[0]").cast(_TURNS)).otherwise(turns)
     filled = F.transform(
         turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))
     )
-    return parsed.withColumns({"__layout": layout, "__turns": filled}).drop("v", "__print")
+    return parsed.withColumns({"__layout": layout, "__turns": filled}).drop("__print", *read)
 
 
 def escape(text: Column) -> Column:

@@ -2,6 +2,8 @@ import hashlib
 import json
 from itertools import groupby
 
+from pyspark.sql import functions as F
+
 from feedgate.llm import chat_format as chat
 from feedgate.llm.catalog import QUERIES
 
@@ -77,3 +79,34 @@ def test_layouts(spark):
     assert rows[6]["__formatted"] is None
     plan = chat.read_back(chat.formatted(frame))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_texts_longer_than_the_json_reader_takes(spark, tmp_path):
+    """Over 20,000,000 characters in one text, in the layouts of single texts and of lists."""
+    long = F.concat(F.lit('"\\'), F.repeat(F.lit("x"), 20_000_001))
+    roles = [(1, 0, "user"), (1, 1, "assistant"), (2, 0, "user"), (2, 1, "assistant"), (2, 2, "user")]
+    frame = spark.createDataFrame(roles, "conv_id long, turn long, role string")
+    text = F.when(F.col("role") == "assistant", long).otherwise("hi")
+    frame.withColumn("text", text).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in QUERIES["op8_chat_format"](spark, str(tmp_path)).collect()}
+    said = '"\\' + "x" * 20_000_001
+    want = expected([(*r, said if r[2] == "assistant" else "hi") for r in roles])
+    for name in (1, 2):
+        r = got[name]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == want[name]
+
+
+def test_fingerprints_ignore_texts_and_see_broken_ones(spark):
+    good = [
+        '{"prompt": "a\\"b\\\\", "completion" : "{},{}: \\"messages\\":"}',
+        '{ "messages" : [{"role":"","content":"x"},{"role":"u","content":"y"}, {"content":"[","role":"]"}] }',
+    ]
+    bad = ['{"prompt": "a", "completion": "\\q"}', '{"prompt": "a", "completion": "c"', '{"{1},{1}": "a", "completion": "c"}', '{"prompt": "a"b", "completion": "c"}']
+    frame = spark.createDataFrame(list(enumerate(good + bad)), "id long, record string")
+    rows = chat.canonical_turns(frame).orderBy("id").collect()
+    assert [r["__layout"] for r in rows] == ["prompt", "messages", None, None, None, None]
+    assert [tuple(t) for t in rows[0]["__turns"]] == [("user", 'a"b\\'), ("assistant", '{},{}: "messages":')]
+    assert [tuple(t) for t in rows[1]["__turns"]] == [("", "x"), ("u", "y"), ("]", "[")]
+    many = spark.range(1).select(F.array_join(F.array_repeat(F.lit('{"role":"user","content":"some words"}'), 100_000), ",").alias("r"))
+    short = many.select(chat.hollow(F.concat(F.lit('{"messages":['), "r", F.lit("]}"))).alias("r")).first().r
+    assert short == '{"messages":[{"role":"","content":""}]}'
