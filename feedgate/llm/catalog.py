@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedgate.llm import chat_format, contamination, mixing, pii, quality_model, quality_rules, simhash, substrings, url_filter, warc
+from feedgate.llm import chat_format, contamination, licenses, mixing, pii, quality_model, quality_rules, simhash, substrings, url_filter, warc
 from feedgate.llm.common import literal_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,6 +98,12 @@ def op10_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", licenses.scan(F.col("text")).alias("r"))
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return rows.select("doc_id", *(f"r.{name}" for name in names))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_url_filters": op2_url_filters,
@@ -109,4 +115,5 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op11_license_scan": op11_license_scan,
 }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from feedgate.llm.chat_format import CONTROL
+from feedgate.llm.licenses import BASE_PHRASES, TEMPLATES
 
 _OP2 = """
 WITH cut AS (
@@ -82,6 +85,53 @@ FROM escaped GROUP BY conv_id
 """
 
 
+_OP11 = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS n, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), places AS (
+  SELECT n, doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS joined,
+         list_filter(range(len(w)), lambda i: w[i + 1] = 'mit' AND w[i + 2] = 'license') AS mit,
+         list_filter(range(len(w)), lambda i: w[i + 1] = 'apache' AND w[i + 2] = 'license') AS apache,
+         list_filter(range(len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS gpl
+  FROM t
+), patterns(label, confidence, pattern) AS (
+  VALUES PATTERNS
+), found AS (
+  SELECT n, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(confidence) AS score
+  FROM places JOIN patterns ON regexp_matches(joined, pattern) GROUP BY n
+)
+SELECT doc_id, len(w) AS n_words, len(mit) + len(apache) + len(gpl) AS n_base,
+       list_min(mit || apache || gpl) AS first_word, list_max(mit || apache || gpl) AS last_word,
+       array_to_string(list_filter(['apache', 'gpl', 'mit'], lambda x: (x = 'apache' AND len(apache) > 0)
+                       OR (x = 'gpl' AND len(gpl) > 0) OR (x = 'mit' AND len(mit) > 0)), ',') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM places LEFT JOIN found USING (n)
+"""
+
+
+def _pattern(template: str) -> str:
+    """The wording as a regular expression over words that each end in a space."""
+    pattern = " "
+    for piece in re.split(r"(<<[^<>]*>>)", template):
+        if piece == "<<beginOptional>>":
+            pattern += "(?:"
+        elif piece == "<<endOptional>>":
+            pattern += ")?"
+        elif piece.startswith("<<"):
+            pattern += "(?:[^ ]+ ){%s}" % re.search(r'words="(.*?)"', piece)[1].replace("-", ",")
+        else:
+            pattern += "".join(f"{word} " for word in re.findall("[a-z0-9]+", piece.lower()))
+    return pattern
+
+
+def _license_patterns() -> str:
+    rows = ((t.label, t.confidence, _pattern(t.text)) for t in (*BASE_PHRASES, *TEMPLATES))
+    return ", ".join(f"('{label}', {confidence}, '{pattern}')" for label, confidence, pattern in rows)
+
+
 def _escaped(column: str) -> str:
     sql = f"replace({column}, '\\', '\\\\')"
     for control in CONTROL:
@@ -94,4 +144,5 @@ ORACLE: dict[str, str] = {
     "op2_url_filters": _OP2,
     "op6_quality_rules": _OP6,
     "op8_chat_format": _OP8.replace("ESCAPED", _escaped("text")),
+    "op11_license_scan": _OP11.replace("PATTERNS", _license_patterns()),
 }
