@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedgate.llm import chat_format, contamination, licenses, mixing, pii, quality_model, quality_rules, simhash, substrings, url_filter, warc
+from feedgate.llm import chat_format, contamination, licenses, merkle, mixing, pii, quality_model, quality_rules, simhash, substrings, url_filter, vector_codes, warc
 from feedgate.llm.common import literal_rows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,14 @@ def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", *(f"r.{name}" for name in names))
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified(merkle.manifest(table(spark, folder, "documents")))
+
+
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc": op1_warc,
     "op2_url_filters": op2_url_filters,
@@ -116,4 +124,6 @@ QUERIES: dict[str, Query] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_source_mixing": op10_source_mixing,
     "op11_license_scan": op11_license_scan,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_vector_codes": op13_vector_codes,
 }

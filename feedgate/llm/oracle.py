@@ -132,6 +132,85 @@ def _license_patterns() -> str:
     return ", ".join(f"('{label}', {confidence}, '{pattern}')" for label, confidence, pattern in rows)
 
 
+def _merkle() -> str:
+    """Levels spelled out: 16 ** 6 leaves of a source, 16 ** 4 sources; a tree that is done passes its node on."""
+
+    def framed(column: str) -> str:
+        return f"coalesce(strlen({column}) || ':' || {column}, '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(framed, ("id", "source", "lang", "chars", text))) + ")"
+
+    def level(name: str, below: str, done: int) -> str:
+        joined = "string_agg(digest, '' ORDER BY p)"
+        return (
+            f"{name} AS (SELECT s, size, p // 16 AS p, CASE WHEN size > {done} THEN {joined} ELSE '' END AS run, "
+            f"CASE WHEN size > {done} THEN sha256({joined}) ELSE max(digest) END AS digest FROM {below} GROUP BY s, size, p // 16)"
+        )
+
+    def step(name: str, before: str, runs: str, tree: str, place: str, power: int) -> str:
+        left = f"substr(run, 1, (({place} // {power}) % 16) * 64)"
+        right = f"substr(run, (({place} // {power}) % 16 + 1) * 64 + 1)"
+        return (
+            f"{name} AS (SELECT b.* EXCLUDE (proof, folded), proof || {left} || {right} AS proof, "
+            f"CASE WHEN run = '' THEN folded ELSE sha256({left} || folded || {right}) END AS folded "
+            f"FROM {before} b JOIN {runs} r ON r.s = {tree} AND r.p = {place} // {power * 16})"
+        )
+
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(id, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {bits}), 4294967295)"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        "d AS (SELECT *, doc_id::VARCHAR AS id, n_chars::VARCHAR AS chars FROM documents)",
+        f"h AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, {leaf('text')} AS leaf, "
+        f"CASE WHEN {crc} % 5 = 0 THEN {leaf(lowered)} END AS changed FROM d)",
+        "l AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY s) AS size FROM h)",
+        "s0 AS (SELECT s, p, size, leaf AS digest FROM l)",
+        *(level(f"s{k}", f"s{k - 1}", 16 ** (k - 1)) for k in range(1, 7)),
+        "t0 AS (SELECT 0 AS s, s AS p, count(*) OVER () AS size, digest FROM s6)",
+        *(level(f"t{k}", f"t{k - 1}", 16 ** (k - 1)) for k in range(1, 5)),
+        "f0 AS (SELECT *, '' AS proof, coalesce(changed, leaf) AS folded FROM l)",
+        *(step(f"f{k}", f"f{k - 1}", f"s{k}", "b.s", "b.p", 16 ** (k - 1)) for k in range(1, 7)),
+        "g0 AS (SELECT * FROM f6)",
+        *(step(f"g{k}", f"g{k - 1}", f"t{k}", "0", "b.s", 16 ** (k - 1)) for k in range(1, 5)),
+    ]
+    return (
+        f"WITH {', '.join(parts)} SELECT doc_id, leaf, s6.digest AS subroot, t4.digest AS root, sha256(proof) AS proof_sha256, "
+        "folded AS folded_root, folded = t4.digest AS verified FROM g4 JOIN s6 USING (s) CROSS JOIN t4"
+    )
+
+
+def _vector_codes() -> str:
+    """Six rounds spelled out, distances over the components themselves."""
+    distance = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [
+        "kept AS (SELECT row_number() OVER () AS n, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v "
+        "FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "cut AS MATERIALIZED (SELECT n, vec_id, label, p, v[p * len(v) // 8 + 1:(p + 1) * len(v) // 8] AS x FROM kept, range(8) AS r(p))",
+        "c0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM cut "
+        "QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= 16)",
+    ]
+    for r in range(1, 8):
+        parts.append(
+            f"a{r} AS MATERIALIZED (SELECT n, p, any_value(v.x) AS x, arg_min(e, d * 16 + e) AS e, min(d) AS d FROM "
+            f"(SELECT v.n, v.p, v.x, c.e, {distance} AS d FROM cut v JOIN c{r - 1} c USING (p)) AS v GROUP BY n, p)"
+        )
+        if r < 7:
+            parts += [
+                f"m{r} AS (SELECT p, e, list((s - ((s % k) + k) % k) // k ORDER BY i) AS x FROM (SELECT p, e, i, sum(x[i])::BIGINT AS s, "
+                f"count(*) AS k FROM a{r}, unnest(range(1, len(x) + 1)) AS g(i) GROUP BY p, e, i) GROUP BY p, e)",
+                f"c{r} AS MATERIALIZED (SELECT p, e, coalesce(m.x, c.x) AS x FROM c{r - 1} c LEFT JOIN m{r} m USING (p, e))",
+            ]
+    parts += [
+        "coded AS (SELECT n, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a7 GROUP BY n)",
+        "book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c6)",
+    ]
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, "
+        "codebooks_sha256 FROM kept JOIN coded USING (n) CROSS JOIN book"
+    )
+
+
 def _escaped(column: str) -> str:
     sql = f"replace({column}, '\\', '\\\\')"
     for control in CONTROL:
@@ -144,5 +223,7 @@ ORACLE: dict[str, str] = {
     "op2_url_filters": _OP2,
     "op6_quality_rules": _OP6,
     "op8_chat_format": _OP8.replace("ESCAPED", _escaped("text")),
+    "op12_merkle_manifest": _merkle(),
+    "op13_vector_codes": _vector_codes(),
     "op11_license_scan": _OP11.replace("PATTERNS", _license_patterns()),
 }

@@ -105,7 +105,7 @@ def test_odd_rows_and_extra_columns(spark):
     found = by_text[None, 7]
     assert found.labels == "mit" and [(p.template, p.start, p.end) for p in found.places][0] == ("mit-reference", 4, 34)
     assert by_text[6, 4].n_base == 0 and by_text[7, 200_002].first_word == 200_000 and by_text[8, 2].n_base == 0
-    assert by_text[9, 5].labels == "bsd"
+    assert by_text[9, 6].labels == "bsd"
     assert rows.limit(0).select(scan(F.col("text")).alias("r")).count() == 0
 
 
