@@ -20,6 +20,7 @@ REJECTS = {
     "unknown_collection": (3, 404, "no specification covers this collection"),
     "invalid_body": (4, 400, "the body is not a list of operations"),
     "body_too_large": (4, 413, "the body is too large"),
+    "incomplete_batch": (4, 400, "operations of the batch are missing"),
     "batch_too_large": (5, 400, "the batch carries too many operations"),
     "missing_payload": (6, 400, "an upsert needs a payload"),
     "missing_id": (6, 400, "the operation has no usable record id"),

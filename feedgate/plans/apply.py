@@ -8,10 +8,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedgate.limits import MAX_BATCH_OPS, MAX_PAYLOAD_BYTES
+from feedgate.limits import EMPTY_DOCUMENT, EMPTY_DOCUMENT_HASH, MAX_BATCH_OPS, MAX_PAYLOAD_BYTES
 from feedgate.operators import gates, merge
 from feedgate.operators.indexing import with_index_columns
-from feedgate.operators.numbering import assign_sequence
+from feedgate.operators.numbering import assign_sequence, number_rows
 from feedgate.operators.release import release
 from feedgate.sources.scratch import save
 from feedgate.spec import SpecSet
@@ -106,21 +106,69 @@ def apply_ops(
     return Applied(records, changes, numbered.drop("content_hash"), rejects, staged)
 
 
-def reproject(records: DataFrame, specs: SpecSet, *, start: int | None = None) -> Applied:
-    """Stored live rows released once more, after a specification has become narrower.
+@dataclass(frozen=True)
+class Reprojected:
+    """A record table released once more."""
+
+    before: DataFrame
+    changes: DataFrame
+    """Rows written again: narrower documents, and tombstones of what could not be released."""
+    outcomes: DataFrame
+    """source, collection, id, outcome, code, seq of every live row of a declared collection."""
+    undeclared: DataFrame
+    """source, collection, rows: live rows that no specification covers."""
+
+    @cached_property
+    def records(self) -> DataFrame:
+        return merge.merge_records(self.before, self.changes)
+
+    def withheld(self) -> DataFrame:
+        """Rows that could not be released, with the code that says why."""
+        return self.outcomes.filter(F.col("code").isNotNull())
 
-    Rows that lose something are written again at new positions, the others stay as they are; running
-    it twice changes nothing the second time. Positions are unique, so they place the operations.
+
+def reproject(
+    records: DataFrame,
+    specs: SpecSet,
+    *,
+    start: int | None = None,
+    withhold_undeclared: bool = False,
+) -> Reprojected:
+    """Stored live rows released once more, after specifications have become narrower.
+
+    Rows that lose something are written again at new positions, in the order of their old ones; the
+    others stay as they are, so running it twice changes nothing the second time. Every row is judged by
+    itself: one that can no longer be released, whatever the reason, is withheld as a tombstone and never
+    kept as it was, and has no effect on others. Size is no reason: a row only gets smaller. Rows of collections that ``specs`` does not name are
+    reported and left alone, or withheld too. The rows' own digests tell what has changed, so nothing is
+    joined or grouped. Earlier commits of a table hold the wider rows until they are expired.
     """
-    ops = records.filter(F.col("deleted_at").isNull()).select(
-        F.concat(F.lit("reproject-"), F.floor(F.col("seq") / MAX_BATCH_OPS)).alias("batch_id"),
-        F.floor(F.col("seq") / MAX_BATCH_OPS).cast("long").alias("batch_seq"),
-        (F.col("seq") % MAX_BATCH_OPS).cast("int").alias("ord"),
-        "source",
-        "collection",
-        F.lit("upsert").alias("op"),
-        "id",
-        "payload",
-        F.col("ingested_at").alias("arrived_at"),
+    declared = F.col("collection").isin(list(specs))
+    alive = records.filter(F.col("deleted_at").isNull())
+    ops = alive.select(
+        *merge.KEY, F.lit("upsert").alias("op"), "payload",
+        F.col("seq").alias("_seq"), F.col("content_hash").alias("_before"), F.col("ingested_at").alias("_at"),
+    )
+    judged = judge(ops if withhold_undeclared else ops.filter(declared), specs, max_payload_bytes=2**31 - 1)
+    refused = F.col("code").isNotNull()
+    outcome = F.when(refused, "tombstoned").when(F.col("content_hash") == F.col("_before"), "unchanged").otherwise("stored")
+    columns = (*merge.KEY, "payload", "content_hash", "payload_bytes", "code", "_seq", "_at")
+    staged = save(judged.withColumn("outcome", outcome).select(*columns, "outcome"), "reprojected")
+    if start is None:
+        start = records.agg(F.max("seq")).first()[0] or 0
+    moved = staged.filter(F.col("outcome") != "unchanged")
+    places = number_rows(moved.select(*merge.KEY, F.col("_seq")), [F.col("_seq").asc()], "_number", "reprojected-places")
+    places = save(places.select(*merge.KEY, (F.col("_number") + start).cast("long").alias("seq")), "reprojected-seq")
+    outcomes = staged.select(*merge.KEY, "outcome", "code").join(places, merge.KEY, "left")
+    gone = F.col("outcome") == "tombstoned"
+    changes = moved.join(places, merge.KEY).select(
+        *merge.KEY,
+        "seq",
+        F.when(gone, EMPTY_DOCUMENT).otherwise(F.col("payload")).alias("payload"),
+        F.when(gone, EMPTY_DOCUMENT_HASH).otherwise(F.col("content_hash")).alias("content_hash"),
+        F.when(gone, len(EMPTY_DOCUMENT)).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.col("_at").alias("ingested_at"),
+        F.when(gone, F.coalesce("_at", F.current_timestamp())).alias("deleted_at"),
     )
-    return apply_ops(records, ops, specs, start=start)
+    undeclared = alive.filter(F.coalesce(~declared, F.lit(True))).groupBy("source", "collection").agg(F.count(F.lit(1)).alias("rows"))
+    return Reprojected(records, with_index_columns(changes, specs), outcomes, undeclared)

@@ -26,7 +26,8 @@ from feedgate.plans.apply import apply_ops, judge, reproject
 from feedgate.plans.inputs import only
 from feedgate.sources import envelopes
 from feedgate.sources.scratch import new_path, save
-from feedgate.sources.table import RecordTable
+from feedgate.sources.table import Expired, RecordTable
+from feedgate.streaming import outcomes
 from feedgate.streaming.apply import apply_stream, feed_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -246,6 +247,100 @@ def stream_onto_table(spark: SparkSession, folder: str) -> DataFrame:
     return kept.read().select(*FEED_COLUMNS, F.col("deleted_at").isNotNull().alias("deleted"))
 
 
+#: Of these batches, by number modulo seven, one piece never arrives; others come whole with the first pieces.
+LOST, AT_ONCE = 3, 5
+
+
+def split_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches whose thirds arrive in three micro-batches, some at once and some never whole; a fourth gives up on those."""
+    ops = inputs.event_ops(spark, folder)
+    kind, third = F.col("batch_seq") % 7, F.col("ord") % 3
+    turn = F.when(kind == AT_ONCE, 0).otherwise(third)
+    counts = ops.groupBy("batch_id").agg(F.count(F.lit(1)).cast("int").alias("batch_ops"))
+    pieces = save(ops.join(counts, "batch_id").withColumn("turn", turn), "pieces")
+    pieces = pieces.filter((F.col("turn") < 2) | (kind != LOST))
+    late = ops.limit(1).withColumns({"batch_id": F.lit("late"), "batch_seq": F.lit(-1).cast("long"), "batch_ops": F.lit(2)})
+    kept = RecordTable(spark, new_path(spark, "table"), ACTIVITY)
+    path, state = new_path(spark, "lines"), new_path(spark, "state")
+    for number in range(4):
+        envelopes.write_lines(pieces.filter(F.col("turn") == number).drop("turn") if number < 3 else late, path)
+        patience = 3600.0 if number < 3 else 0.0
+        apply_stream(envelopes.stream_lines(spark, path), kept, state, patience_seconds=patience).awaitTermination()
+    empty = {"batch_id": F.lit(None).cast("string"), "code": F.lit(None).cast("string")}
+    rows = kept.read().select(*FEED_COLUMNS, F.col("deleted_at").isNotNull().alias("deleted")).withColumns(empty)
+    refused = kept.reports("rejects").select("batch_id", "code")
+    return rows.unionByName(refused.filter("batch_id <> 'late'"), allowMissingColumns=True)
+
+
+def stateful_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the events as a snapshot, the rest through state kept in the stream, in three runs and one without news."""
+    ops = inputs.event_ops(spark, folder)
+    last = ops.agg(F.max("batch_seq")).first()[0]
+    part = F.floor(F.col("batch_seq") * 6 / (last + 1))
+    before = judge(ops.filter(part < 3), ACTIVITY)
+    first = merge.detect_outcomes(outcomes.accepted_upserts(before))
+    base = save(apply_ops(None, ops.filter(part < 3), ACTIVITY, start=0).records, "base")
+    path, out = new_path(spark, "lines"), new_path(spark, "outcomes")
+    key, provider = outcomes.STORE
+    setting = spark.conf.get(key, None)
+    spark.conf.set(key, provider)
+    try:
+        for number in (3, 4, 5, 6):
+            if number < 6:
+                envelopes.write_lines(ops.filter(part == number), path)
+            accepted = outcomes.accepted_upserts(judge(envelopes.stream_lines(spark, path), ACTIVITY))
+            writer = outcomes.stream_outcomes(accepted, base).writeStream.format("parquet").option("path", f"{out}/rows")
+            writer.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if setting is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, setting)
+    columns = ["batch_id", "ord", "id", "op", "outcome"]
+    return first.select(*columns).unionByName(spark.read.parquet(f"{out}/rows").select(*columns))
+
+
+def _event_commits(spark: SparkSession, folder: str, parts: int) -> RecordTable:
+    """The events as so many commits."""
+    ops = inputs.event_ops(spark, folder)
+    last = ops.agg(F.max("batch_seq")).first()[0]
+    kept = RecordTable(spark, new_path(spark, "table"), ACTIVITY)
+    part = F.floor(F.col("batch_seq") * parts / (last + 1))
+    for number in range(parts):
+        applied = apply_ops(kept.read(), ops.filter(part == number), ACTIVITY, start=kept.max_seq())
+        kept.commit(applied.changes)
+    return kept
+
+
+def read_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """Versions of a table after its log has been compacted and expired: those left are whole, the others refuse."""
+    kept = _event_commits(spark, folder, 3)
+    kept.compact()
+    kept.commit(apply_ops(kept.read(), inputs.event_ops(spark, folder).limit(0), ACTIVITY, start=kept.max_seq()).changes)
+    kept.compact()
+    kept.expire(keep_bases=2, keep_commits=1)
+    found = []
+    for version in (1, 2, 3, 4):
+        try:
+            rows = kept.read(upto=version).select(*FEED_COLUMNS, F.col("deleted_at").isNotNull().alias("deleted"))
+        except Expired:
+            rows = spark.range(1).select(F.lit("expired").alias("source"))
+        found.append(rows.withColumn("version", F.lit(version)))
+    whole = found[-1]
+    for rows in found[:-1]:
+        whole = whole.unionByName(rows, allowMissingColumns=True)
+    return whole
+
+
+def purge_after_lag(spark: SparkSession, folder: str) -> DataFrame:
+    """Deletions that a consumer three quarters through has read are gone from the table, later ones are there."""
+    kept = _event_commits(spark, folder, 4)
+    kept.register("quick", 4)
+    kept.register("slow", 3)
+    kept.purge_tombstones()
+    return kept.read().select(*FEED_COLUMNS, F.col("deleted_at").isNotNull().alias("deleted"))
+
+
 def faulty_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Batches of lines of which every fifth lacks places, repeats one, or lacks its own name."""
     path = new_path(spark, "lines")
@@ -342,6 +437,20 @@ def reprojection(spark: SparkSession, folder: str) -> DataFrame:
     return reproject(inputs.records(spark, folder, "order"), inputs.NARROWER).records.select(*FEED_COLUMNS)
 
 
+def reprojection_of_many(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders, products and activity under narrower specifications of the first two; one product in fifty is unreadable."""
+    broken = F.when((F.col("collection") == "part.sheet") & (F.col("id").cast("long") % 50 == 0), F.lit("[1]"))
+    rows = inputs.records(spark, folder, "order")
+    for name in ("part", "event"):
+        rows = rows.unionByName(inputs.records(spark, folder, name), allowMissingColumns=True)
+    rows = rows.withColumn("payload", F.coalesce(broken, "payload"))
+    done = reproject(rows, inputs.NARROWER_STILL, start=10_000_000)
+    why = done.withheld().select(*merge.KEY, "code")
+    out = done.records.join(why, merge.KEY, "left")
+    columns = [name for name in FEED_COLUMNS if name != "seq"]
+    return out.select(*columns, (F.col("seq") > 10_000_000).alias("moved"), F.col("deleted_at").isNotNull().alias("deleted"), "code")
+
+
 def byte_budget_pages(spark: SparkSession, folder: str) -> DataFrame:
     rows = inputs.records(spark, folder, "document")
     page = reads.first_pages(reads.live(rows), limit=20, max_bytes=40_000)
@@ -504,7 +613,8 @@ QUERIES: dict[str, Query] = {
         digest_listing, drift_report, freshness_check, served_changes, served_pages,
         dropped_totals, outcome_totals, stream_onto_table, faulty_lines, batch_files, ingest_answers,
         change_feed_page, digest_listing_after, manifest_bodies, complete_documents, bucket_digest,
-        replica_catch_up, sorted_page, reprojection,
+        replica_catch_up, sorted_page, reprojection, reprojection_of_many,
+        split_batches, stateful_outcomes, read_as_of, purge_after_lag,
     )
 }
 

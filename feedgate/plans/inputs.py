@@ -102,6 +102,28 @@ NARROWER = SpecSet.parse(
     ]
 )
 
+#: The same, and products without their names and traits.
+NARROWER_STILL = SpecSet.parse(
+    [
+        {
+            "collection": "sales.order",
+            "id": "$.key",
+            "fields": {"status": {"type": "string", "index": True}, "cents": {"type": "number"}},
+            "filters": ["status"],
+        },
+        {
+            "collection": "part.sheet",
+            "id": "$.id",
+            "fields": {
+                "brand": {"type": "string", "index": True},
+                "size": {"type": "number", "index": True},
+                "cents": {"type": "number"},
+            },
+            "filters": ["brand", "size"],
+        },
+    ]
+)
+
 TEXTS = ("text.de", "text.en", "text.es", "text.fr")
 
 

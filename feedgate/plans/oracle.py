@@ -235,6 +235,7 @@ payloads AS (
   FROM canonical GROUP BY vec_id)
 SELECT CAST(vec_id AS VARCHAR) AS doc_id, payload, sha256(payload) AS content_hash FROM payloads""",
     "outcome_detection": f"WITH {_EVENTS} SELECT batch_id, ord, id, op, outcome FROM outcomes",
+    "stateful_outcomes": f"WITH {_EVENTS} SELECT batch_id, ord, id, op, outcome FROM outcomes",
     "sequence_assignment": f"""
 WITH {_EVENTS}
 SELECT o.batch_id, o.ord, o.outcome, n.seq + 1000 AS seq
@@ -448,6 +449,37 @@ page AS (
 SELECT {_ROW}, (SELECT max(p_brand) FROM page) AS next_value,
   (SELECT arg_max(seq, (p_brand, seq)) FROM page) AS next_cursor
 FROM page""",
+    "split_batches": f"""
+WITH {_EVENTS.replace("ORDER BY event_id", "ORDER BY (batch_seq % 7 <> 5)::INTEGER, event_id").replace("FROM events)", "FROM events WHERE (event_id // 100) % 7 <> 3)")}
+SELECT {_ROW}, deleted, CAST(NULL AS VARCHAR) AS batch_id, CAST(NULL AS VARCHAR) AS code FROM event_rows
+UNION ALL
+SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'user.activity-' || (event_id // 100), 'incomplete_batch'
+FROM events WHERE (event_id // 100) % 7 = 3 GROUP BY event_id // 100
+  HAVING count(*) FILTER ((event_id % 100) % 3 = 2) > 0""",
+    "read_as_of": f"""
+WITH {_EVENTS}
+SELECT {_ROW}, deleted, version FROM event_rows, (VALUES (3), (4)) AS v(version)
+UNION ALL
+SELECT 'expired', NULL, NULL, NULL, NULL, NULL, NULL, NULL, version FROM (VALUES (1), (2)) AS v(version)""",
+    "purge_after_lag": f"""
+WITH {_EVENTS}, read_by_all AS (
+  SELECT max(seq) AS seq FROM numbered WHERE batch_seq * 4 // ((SELECT max(batch_seq) FROM ops) + 1) < 3)
+SELECT {_ROW}, deleted FROM event_rows WHERE NOT deleted OR seq > (SELECT seq FROM read_by_all)""",
+    "reprojection_of_many": f"""
+WITH {_PARTS}, {_ORDERS}, {_EVENTS}, kept AS (
+  SELECT 'erp' AS source, 'sales.order' AS collection, CAST(o.o_orderkey AS VARCHAR) AS id,
+    '{{"cents":' || CAST(round(o_totalprice * 100) AS BIGINT) || ',"status":"' || o.o_orderstatus || '"}}' AS payload,
+    TRUE AS moved, FALSE AS deleted, NULL AS code
+  FROM order_states s JOIN orders o USING (o_orderkey)
+  UNION ALL
+  SELECT 'erp', 'part.sheet', CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 50 = 0 THEN '{{}}' ELSE
+      '{{"brand":' || to_json(p_brand)::VARCHAR || ',"cents":' || CAST(round(p_retailprice * 100) AS BIGINT) || ',"size":' || p_size || '}}' END,
+    TRUE, p_partkey % 50 = 0, CASE WHEN p_partkey % 50 = 0 THEN 'invalid_payload' END
+  FROM part
+  UNION ALL
+  SELECT source, collection, id, payload, FALSE, deleted, NULL FROM event_rows)
+SELECT source, collection, id, payload, sha256(payload) AS content_hash,
+  CAST(strlen(payload) AS INTEGER) AS payload_bytes, moved, deleted, code FROM kept""",
     "reprojection": f"""
 WITH {_ORDERS}, kept AS (
   SELECT 'erp' AS source, 'sales.order' AS collection, CAST(o.o_orderkey AS VARCHAR) AS id, n + first_seq AS seq,

@@ -1,22 +1,23 @@
 """Reading operations: batch files, line-delimited streams and existing tables.
 
 A batch file is one JSON array of ``{"op", "id", "payload"}`` for one collection. A line file
-carries one operation per line together with ``batch_id, batch_seq, ord, collection`` and
-either ``token_hash`` or ``source``.
+carries one operation per line together with ``batch_id, batch_seq, ord, collection``, either
+``token_hash`` or ``source``, and in ``batch_ops`` the number of operations of its batch, by which a
+stream knows when a batch is whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from feedgate.limits import MAX_BODY_BYTES
 
 _ENVELOPE = ["op", "id", "payload"]
 _ENVELOPE_TYPE = "op string, id string, payload string"
-_LINE = ["batch_id", "batch_seq", "ord", "source", "token_hash", "collection", "arrived_at"]
+_LINE = ["batch_id", "batch_seq", "ord", "batch_ops", "source", "token_hash", "collection", "arrived_at"]
 _LINE_TYPE = (
-    "batch_id string, batch_seq long, ord int, source string, token_hash string, "
+    "batch_id string, batch_seq long, ord int, batch_ops int, source string, token_hash string, "
     f"collection string, arrived_at timestamp, {_ENVELOPE_TYPE}"
 )
 
@@ -60,10 +61,14 @@ def read_batches(
 
     Files are named ``…<collection>/<batch_seq>.json`` unless ``collection`` is given; one whose name
     is no number is ordered by its time. Files of equal number are ordered by path, their ``batch_id``. A file
-    over the size limit is reported without being read; one that is not an array of envelopes
+    over the size limit is reported without being read, however large: the limit is a filter on the listing,
+    and the scan that reports the others asks for no content. A file that is not an array of envelopes
     is reported as well. Both show up as a single row with ``envelope_error``.
     """
-    files = spark.read.format("binaryFile").load(path).select(
+    listing = spark.read.format("binaryFile").load(path)
+    small = listing.filter(F.col("length") <= max_body_bytes)
+    large = listing.filter(F.col("length") > max_body_bytes).drop("content").withColumn("content", F.lit(None).cast("binary"))
+    files = small.unionByName(large).select(
         F.col("path").alias("batch_id"),
         F.coalesce(
             F.regexp_extract("path", r"(\d+)\.json$", 1).try_cast("long"), F.unix_micros("modificationTime")
@@ -74,7 +79,7 @@ def read_batches(
         ).alias("collection"),
         F.col("modificationTime").alias("arrived_at"),
         (F.col("length") > max_body_bytes).alias("_large"),
-        F.when(F.col("length") <= max_body_bytes, F.try_validate_utf8(F.col("content").cast("string"))).alias("_text"),
+        F.try_validate_utf8(F.col("content").cast("string")).alias("_text"),
     )
     checked = files.withColumn(
         "_whole", F.try_parse_json(F.concat(F.lit("["), F.col("_text"), F.lit(","), F.xxhash64("_text"), F.lit("]")))
@@ -149,14 +154,19 @@ def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def write_lines(ops: DataFrame, path: str) -> None:
-    """Operations as line-delimited JSON that :func:`read_lines` reads back; a batch is in one file, in order."""
-    fields = [c for c in (*_LINE, "op", "id") if c in ops.columns]
+    """Operations as line-delimited JSON that :func:`read_lines` reads back; a batch is in one file, in order.
+
+    Without a column ``batch_ops`` the operations are taken to be whole batches, and are counted. To write
+    a piece of a batch, say in that column how many operations the batch has.
+    """
+    # A batch has one number, so its rows fall into one range, where they are counted without another exchange.
+    placed = ops.repartitionByRange("batch_seq", "batch_id")
+    if "batch_ops" not in ops.columns:
+        batch = Window.partitionBy("batch_seq", "batch_id")
+        placed = placed.withColumn("batch_ops", F.count(F.lit(1)).over(batch).cast("int"))
+    fields = [c for c in (*_LINE, "op", "id") if c in placed.columns]
     head = F.to_json(F.struct(*[F.col(c) for c in fields]))
-    line = F.when(F.col("payload").isNull(), head).otherwise(
-        F.concat(F.expr("left(_head, length(_head) - 1)"), F.lit(',"payload":'), F.col("payload"), F.lit("}"))
-    )
-    # A batch has one number, so its rows fall into one range.
-    placed = ops.repartitionByRange("batch_seq", "batch_id").sortWithinPartitions("batch_seq", "batch_id", "ord")
-    placed.withColumn("_head", head).select(
+    line = F.concat(F.expr("left(_head, length(_head) - 1)"), F.lit(',"payload":'), F.col("payload"), F.lit("}"))
+    placed.sortWithinPartitions("batch_seq", "batch_id", "ord").withColumn("_head", head).select(
         F.when(F.col("payload").isNull(), F.col("_head")).otherwise(line).alias("value")
     ).write.mode("append").text(path)

@@ -11,13 +11,22 @@ name has been committed already. There is one writer at a time.
 A commit writes what changed and nothing else. Readers lay the newest logged row per key over
 the base; ``compact`` writes a new base when the log has grown, and ``expire`` removes what no
 reader needs any more.
+
+``<path>/consumers/``      one marker per consumer: its name, the commit it has read up to, its lease
+
+Consumers that follow the feed register how far they have read, for a time. The lowest commit read by
+a consumer whose lease runs is the low watermark: neither a commit behind it nor a tombstone
+that came after it is removed. What has been removed is recorded first, and a read that would need it
+raises :class:`Expired` instead of returning fewer rows.
 """
 
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +41,26 @@ from feedgate.sources.scratch import delete, file_system
 from feedgate.spec import SpecSet
 
 
+#: How long a consumer's place is kept for it, unless it says otherwise.
+LEASE_SECONDS = 7 * 24 * 3600
+
+_NAME = re.compile(r"[A-Za-z0-9._]+")
+_CONSUMER = re.compile(r"/(?P<name>[A-Za-z0-9._]+)@(?P<commit>\d+)-(?P<until>\d+)$")
+
+
+class Expired(LookupError):
+    """What was asked for has been removed: start again from the current table."""
+
+
+@dataclass(frozen=True)
+class Consumer:
+    name: str
+    commit: int
+    """The last commit it has read."""
+    until: int
+    """When its lease ends, in milliseconds since 1970."""
+
+
 class RecordTable:
     def __init__(self, spark: SparkSession, path: str, specs: SpecSet):
         self.spark, self.path, self.specs = spark, path.rstrip("/"), specs
@@ -70,19 +99,45 @@ class RecordTable:
         paths = [f"{self.path}/log/commit={n}" for n in wanted]
         return self.spark.read.schema(self.schema).parquet(*paths)
 
+    def expired(self) -> int:
+        """The last commit that has been removed, 0 if none has."""
+        return max([0, *self._found("log/_expired-*", r"_expired-(\d+)-\d+$")])
+
+    def purged(self) -> int:
+        """The position up to which tombstones have been removed, 0 if none has."""
+        return max([0, *self._found("base/v=*/_purged-*", r"_purged-(\d+)$")])
+
+    def _known(self, upto: int | None) -> int:
+        last = self.last_commit()
+        if upto is not None and upto > last:
+            raise ValueError(f"there is no commit {upto}, the last one is {last}")
+        return last if upto is None else upto
+
     def feed(self, after: int = 0, upto: int | None = None) -> DataFrame:
-        """Rows as committed, possibly several per key."""
-        log = self._log(after, self.last_commit() if upto is None else upto)
+        """Rows as committed, possibly several per key; raises if some of them have been expired."""
+        upto = self._known(upto)
+        if after < upto and after < self.expired():
+            raise Expired(f"commits up to {self.expired()} have been removed, the feed cannot go on after {after}")
+        log = self._log(after, upto)
         return self.spark.createDataFrame([], self.schema) if log is None else log
 
+    def changed_since(self, seq: int) -> DataFrame:
+        """Current rows above a position, deletions included; raises if deletions above it have been purged."""
+        if seq < self.purged():
+            raise Expired(f"deletions up to position {self.purged()} have been removed, changes after {seq} are incomplete")
+        return self.read().filter(F.col("seq") > seq)
+
     def read(self, upto: int | None = None, collections: Iterable[str] | None = None) -> DataFrame:
         """The table as of a commit, the last one by default; of some collections, if they are named.
 
         Keys logged since the base hide their base row. They are broadcast if their bytes allow it, so
-        that reading a large base moves none of it. Only folders of named collections are scanned.
+        that reading a large base moves none of it. Only folders of named collections are scanned. A
+        version whose base and commits are not all there any more raises.
         """
-        upto = self.last_commit() if upto is None else upto
+        upto = self._known(upto)
         base_at = max([n for n in self.bases() if n <= upto], default=0)
+        if base_at < min(upto, self.expired()):
+            raise Expired(f"version {upto} has been removed: commits up to {self.expired()} are gone")
         wanted = F.lit(True) if collections is None else F.col("collection").isin(list(collections))
         log = self._log(base_at, upto)
         log = None if log is None else log.filter(wanted)
@@ -107,6 +162,13 @@ class RecordTable:
         found = [str(f.getPath()).removesuffix("/_SUCCESS") for f in system.globStatus(path) or []]
         return self.spark.read.parquet(*found) if found else None
 
+    def last_report(self, stream: str, kind: str) -> DataFrame | None:
+        """What a stream's last micro-batch reported next to its commit."""
+        found = self._found(f"log/commit=*/_batch-{stream}-*", r"commit=(\d+)/_batch-")
+        path = f"{self.path}/log/commit={max(found, default=0)}/_reports/{kind}"
+        there, system = file_system(self.spark, f"{path}/_SUCCESS")
+        return self.spark.read.parquet(path) if found and system.exists(there) else None
+
     # -- writing
 
     def _mark(self, folder: str, name: str) -> None:
@@ -161,31 +223,117 @@ class RecordTable:
             self._move(aside, f"{self.path}/base/v={upto}")
         return upto
 
-    def expire(self, keep_bases: int = 2, keep_commits: int = 1000) -> None:
+    def _waited_with(self) -> list[int]:
+        """Last commits of streams that left operations waiting."""
+        path, system = file_system(self.spark, f"{self.path}/log/commit=*/_batch-*")
+        last: dict[str, int] = {}
+        for status in system.globStatus(path) or []:
+            number, stream = re.search(r"commit=(\d+)/_batch-(.+)-\d+$", str(status.getPath())).groups()
+            last[stream] = max(last.get(stream, 0), int(number))
+        return [n for n in last.values() if self._found(f"log/commit={n}/_reports/waiting", r"commit=(\d+)/_reports")]
+
+    # -- consumers
+
+    def consumers(self) -> dict[str, Consumer]:
+        """Registered consumers by name, whether their leases run or not."""
+        path, system = file_system(self.spark, f"{self.path}/consumers/*")
+        found: dict[str, Consumer] = {}
+        for status in system.globStatus(path) or []:
+            match = _CONSUMER.search(str(status.getPath()))
+            if match:
+                one = Consumer(match["name"], int(match["commit"]), int(match["until"]))
+                # A marker is written before the one it replaces is removed: the lower commit is safe.
+                known = found.get(one.name)
+                commit = one.commit if known is None else min(one.commit, known.commit)
+                found[one.name] = Consumer(one.name, commit, max(one.until, known.until if known else 0))
+        return found
+
+    def register(self, name: str, commit: int, lease_seconds: float = LEASE_SECONDS, now: float | None = None) -> Consumer:
+        """Say that a consumer has read up to a commit, and keep what follows for it while its lease runs.
+
+        To be called after each stretch of the feed; each call begins the lease anew. A commit whose
+        successors have been removed already raises.
+        """
+        if not _NAME.fullmatch(name):
+            raise ValueError(f"no name for a consumer: {name!r}")
+        if commit < self.expired():
+            raise Expired(f"commits up to {self.expired()} have been removed, {name} cannot go on after {commit}")
+        self._known(commit)
+        until = int(((time.time() if now is None else now) + lease_seconds) * 1000)
+        before = self._markers(name)
+        marker = f"{name}@{commit}-{until}"
+        self._mark(f"{self.path}/consumers", marker)
+        for path in before:
+            if not path.endswith(f"/{marker}"):
+                delete(self.spark, path)
+        return Consumer(name, commit, until)
+
+    def unregister(self, name: str) -> None:
+        for path in self._markers(name):
+            delete(self.spark, path)
+
+    def _markers(self, name: str) -> list[str]:
+        path, system = file_system(self.spark, f"{self.path}/consumers/{name}@*")
+        return [str(status.getPath()) for status in system.globStatus(path) or []]
+
+    def low_watermark(self, now: float | None = None) -> int:
+        """The lowest commit a consumer whose lease runs has read; the last commit if there is none."""
+        at = (time.time() if now is None else now) * 1000
+        return min([self.last_commit(), *(c.commit for c in self.consumers().values() if c.until > at)])
+
+    def seq_of(self, commit: int) -> int:
+        """The highest position as of a commit."""
+        if commit < self.expired():
+            raise Expired(f"commit {commit} has been removed")
+        positions = [0]
+        for pattern in ("log/commit=*/_seq-*", "base/v=*/_seq-*", "log/_expired-*"):
+            path, system = file_system(self.spark, f"{self.path}/{pattern}")
+            for status in system.globStatus(path) or []:
+                number, seq = re.search(r"[=-](\d+)(?:/_seq)?-(\d+)$", str(status.getPath())).groups()
+                if int(number) <= commit:
+                    positions.append(int(seq))
+        return max(positions)
+
+    # -- removing
+
+    def expire(self, keep_bases: int = 2, keep_commits: int = 1000, now: float | None = None) -> None:
         """Remove bases but the newest, and commits that a base covers but the newest, and what crashed.
 
-        Feed readers that lag by more commits than are kept have to start from a base. The newest
-        commits stay, so a stream's last micro-batch still finds its name.
+        Commits after the low watermark stay, whatever their number: some consumer has yet to read them.
+        The newest commits stay, so a stream's last micro-batch still finds its name, as does every commit
+        from the last one of a stream on with which operations wait for the rest of their batch.
         """
         bases, commits = self.bases(), self.commits()
-        covered = max(bases, default=0)
+        covered = min(max(bases, default=0), self.low_watermark(now), *(n - 1 for n in self._waited_with()))
+        doomed = [number for number in commits[: -max(1, keep_commits)] if number <= covered]
+        if doomed:
+            # Recorded before anything goes: readers that come in between are refused, not misled.
+            self._mark(f"{self.path}/log", f"_expired-{max(doomed)}-{self.seq_of(max(doomed))}")
         for number in bases[: -max(1, keep_bases)]:
             delete(self.spark, f"{self.path}/base/v={number}")
-        for number in commits[: -max(1, keep_commits)]:
-            if number <= covered:
-                delete(self.spark, f"{self.path}/log/commit={number}")
+        for number in doomed:
+            delete(self.spark, f"{self.path}/log/commit={number}")
         delete(self.spark, f"{self.path}/staging")
 
-    def purge_tombstones(self, upto_seq: int) -> int:
-        """Write a base without the tombstones that every consumer has read, up to a position.
+    def purge_tombstones(self, upto_seq: int | None = None, now: float | None = None) -> int:
+        """Write a base without the tombstones every consumer has read, or of them those up to a position.
 
-        A later delete of such a record is unchanged, as one of a record that never was.
+        A position that a consumer whose lease runs has yet to reach is refused. A later delete of such a
+        record is unchanged, as one of a record that never was.
         """
+        safe = self.seq_of(self.low_watermark(now))
+        if upto_seq is None:
+            upto_seq = safe
+        elif upto_seq > safe and safe < self.max_seq():
+            late = [c.name for c in self.consumers().values() if c.commit == self.low_watermark(now)]
+            raise ValueError(f"deletions after position {safe} are still to be read by {', '.join(late)}")
+        upto_seq = min(upto_seq, self.max_seq())
         upto = self.last_commit() + 1
         order, aside = ["source", "collection", "seq"], f"{self.path}/staging/{uuid.uuid4().hex}"
         kept = self.read().filter(F.col("deleted_at").isNull() | (F.col("seq") > upto_seq))
         rows = kept.repartitionByRange(*order).sortWithinPartitions(*order)
         rows.write.partitionBy("source", "collection").parquet(aside)
         self._mark(aside, f"_seq-{self.max_seq()}")
+        self._mark(aside, f"_purged-{max(upto_seq, self.purged())}")
         self._move(aside, f"{self.path}/base/v={upto}")
         return upto

@@ -3,14 +3,51 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from feedgate.operators.gates import sized
 from feedgate.plans.apply import apply_ops
-from feedgate.sources.scratch import scoped
+from feedgate.sources.scratch import save, scoped
 from feedgate.sources.table import RecordTable
 
+#: How long operations wait for the rest of their batch.
+PATIENCE_SECONDS = 3600.0
+
+_SINCE = "_since"
+WAITING = "waiting"
+
+
+def split_whole(ops: DataFrame, now: float, patience: float) -> tuple[DataFrame, DataFrame]:
+    """Operations of batches that can be judged, and those that wait for the rest of their batch.
+
+    ``ops`` declare in ``batch_ops`` how many operations their batch has, and say ``_since`` when they
+    came. A batch is whole when that many are there. One that has waited too long, whose operations
+    disagree about the number, of which there are more, or that declares none, is judged as it is and marked, so
+    that all of it is refused. Sizes are counted on short rows; payloads are moved by their file and filtered.
+    """
+    count, least, most = F.count(F.lit(1)), F.min("batch_ops"), F.max("batch_ops")
+    sizes = ops.groupBy("batch_id").agg(
+        count.alias("n"), least.alias("least"), most.alias("most"), F.count("batch_ops").alias("declared"), F.min(_SINCE).alias("since")
+    )
+    n, agreed = F.col("n"), (F.col("declared") == F.col("n")) & (F.col("least") == F.col("most"))
+    verdict = (
+        F.when(F.col("batch_id").isNull(), "whole")  # refused for want of a name
+        .when(F.col("declared") == 0, "incomplete_batch")
+        .when(~agreed | (n > F.col("most")), "invalid_body")
+        .when(n == F.col("most"), "whole")
+        .when(F.col("since") <= now - patience, "incomplete_batch")
+        .otherwise("waits")
+    )
+    judged = sized(sizes.select(F.col("batch_id").alias("_batch"), verdict.alias("_verdict")), "batches")
+    joined = ops.join(judged, F.col("batch_id").eqNullSafe(F.col("_batch"))).drop("_batch")
+    error = F.coalesce("envelope_error", F.when(F.col("_verdict") != "whole", F.col("_verdict")))
+    ready = joined.filter(F.col("_verdict") != "waits").withColumn("envelope_error", error)
+    return ready.drop("_verdict", _SINCE, "batch_ops"), joined.filter(F.col("_verdict") == "waits").drop("_verdict")
+
 
 def apply_stream(
     ops: DataFrame,
@@ -20,6 +57,8 @@ def apply_stream(
     *,
     available_now: bool = True,
     on_applied=None,
+    patience_seconds: float = PATIENCE_SECONDS,
+    files_are_batches: bool = False,
 ) -> StreamingQuery:
     """Run the ingest job on every micro-batch and commit what it changes.
 
@@ -27,8 +66,14 @@ def apply_stream(
     is replayed after a failure finds its commit and is skipped, and other streams or earlier batches
     on the same table are never mistaken for it. The rejects and results of a micro-batch are part of
     its commit (``table.reports``), so they survive whatever happens after it; ``on_applied`` is a
-    convenience on top. A whole ingest batch has to arrive in one micro-batch: files are the unit of
-    arrival, and a batch lives in one file. Compaction is left to a job of its own.
+    convenience on top. Compaction is left to a job of its own.
+
+    Batches are all or nothing, however they arrive. Each operation declares the number of operations of
+    its batch; those of a batch that is not whole yet wait in the commit of their micro-batch, from where
+    the next one takes them, and are neither judged nor stored. After ``patience_seconds`` they are refused
+    as ``incomplete_batch``, as are batches that declare no number. A batch takes effect when it becomes
+    whole. With ``files_are_batches`` the caller states that no batch spans two files instead; then
+    numbers are not looked at, nothing waits, and a batch that does span files is judged piece by piece.
 
     Only collections that the micro-batch names are read, and what a step writes in between is removed
     at its end.
@@ -47,16 +92,32 @@ def apply_stream(
         if table.committed(stream, number) is not None:
             return
         with scoped(spark):
-            met = batch.select("collection").distinct()
+            waits = None
+            if files_are_batches:
+                ready = batch.drop("batch_ops")
+            else:
+                now = time.time()
+                arrived = batch.withColumn(_SINCE, F.lit(now))
+                before = table.last_report(stream, WAITING)
+                if before is not None:
+                    arrived = before.select(arrived.columns).unionByName(arrived)
+                ready, waits = split_whole(save(arrived, "arrived"), now, patience_seconds)
+            met = ready.select("collection").distinct()
             met = [row[0] for row in met.filter(met.collection.isin(list(table.specs))).collect()]
             applied = apply_ops(
-                table.read(collections=met), batch, table.specs, credentials, start=table.max_seq()
+                table.read(collections=met), ready, table.specs, credentials, start=table.max_seq()
             )
             reports = {"rejects": applied.rejects, "results": applied.results()}
+            if waits is not None and not waits.isEmpty():
+                reports[WAITING] = waits
             commit = table.commit(applied.changes, batch=(stream, number), reports=reports)
             if on_applied is not None:
                 on_applied(applied, commit)
 
+    if "batch_ops" not in ops.columns and not files_are_batches:
+        ops = ops.withColumn("batch_ops", F.lit(None).cast("int"))
+    if "envelope_error" not in ops.columns:
+        ops = ops.withColumn("envelope_error", F.lit(None).cast("string"))
     writer = ops.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -188,3 +188,50 @@ def test_reprojection_writes_what_changes_and_settles(spark):
     alive = {(r.source, r.collection, r.id) for r in first.collect() if r.deleted_at is None}
     assert {r.payload for r in rows.collect()} == {"{}"} and {tuple(r)[:3] for r in once.changes.collect()} == alive
     assert reproject(rows, narrow).changes.isEmpty()
+
+
+def test_reprojection_judges_rows_one_by_one(spark):
+    """Two collections, a narrower specification for one; one of its rows is broken, one too large."""
+    rows = apply_ops(None, frame(spark, random_ops(random.Random(9), 80)), SPECS).records.checkpoint()
+    one = rows.filter("collection = 'a.one' AND deleted_at IS NULL")
+    broken, large, *others = [r.id for r in one.orderBy("id").collect()]
+    assert others
+    spoiled = rows.withColumn(
+        "payload",
+        F.when(one_row(broken), "not json").when(one_row(large), F.concat(F.lit('{"sku":"'), F.repeat(F.lit("x"), 70_000), F.lit('"}'))).otherwise(F.col("payload")),
+    ).checkpoint()
+    narrow = SpecSet([CollectionSpec("a.one", ("id",), {"sku": FieldSpec.scalar("string", True)}, filters=("sku",))])
+    done = reproject(spoiled, narrow)
+    after = {(r.source, r.collection, r.id): r for r in done.records.collect()}
+    assert len(after) == rows.count()
+    assert {(r.id, r.code) for r in done.withheld().collect()} == {(broken, "invalid_body")}
+    for r in rows.collect():
+        now = after[r.source, r.collection, r.id]
+        if r.collection != "a.one" or r.deleted_at is not None:
+            assert (now.seq, now.payload) == (r.seq, r.payload)
+        else:
+            assert '"n"' not in now.payload and (now.deleted_at is not None) == (now.id == broken)
+            assert now.payload_bytes > 70_000 or now.id != large
+    left = {(r.source, r.collection): r.rows for r in done.undeclared.collect()}
+    assert left and all(name == "b.two" for _, name in left)
+    assert reproject(done.records.checkpoint(), narrow).changes.isEmpty()
+    gone = reproject(spoiled, narrow, withhold_undeclared=True).records
+    assert gone.filter("collection = 'b.two' AND deleted_at IS NULL").isEmpty()
+
+
+def one_row(name):
+    return (F.col("collection") == "a.one") & (F.col("id") == name) & F.col("deleted_at").isNull()
+
+
+def test_reprojection_moves_no_row_to_find_out(spark):
+    rows = apply_ops(None, frame(spark, random_ops(random.Random(8), 80)), SPECS).records.checkpoint()
+    seen = []
+    import feedgate.plans.apply as plan
+
+    real = plan.save
+    try:
+        plan.save = lambda f, label, *p: seen.append((label, f._jdf.queryExecution().executedPlan().toString())) or real(f, label, *p)
+        reproject(rows, SpecSet([SPECS["a.one"]]))
+    finally:
+        plan.save = real
+    assert "Exchange" not in dict(seen)["reprojected"]
