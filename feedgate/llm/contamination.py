@@ -1,14 +1,16 @@
 """Benchmark contamination with one Aho-Corasick automaton over normalised items.
 
 Items and documents are cut into words (runs of ASCII letters and digits and of everything beyond
-ASCII, A-Z lower-cased). Every window of an item is a pattern of the automaton; a document's words,
-joined by single spaces, are scanned once. Text is scanned as UTF-8 bytes, so a word boundary is a
-space on both sides and offsets are found by counting spaces; only documents with a match pay for
-the mapping back to code points of the original text.
+ASCII, A-Z lower-cased). A window is WINDOW consecutive words of an item, or a whole shorter item.
+Every window holds one of the item's blocks, which begin at multiples of half a window; so the
+automaton's patterns are the blocks, written with three characters per word from a small alphabet, and
+it grows by three states for each word of the benchmark. It scans a document's words once. Where a block stands, the words
+around it are compared with the item's, up to a window on each side: every window that occurs is
+found that way, and nothing else. Spans are mapped back to code points of the original text, for
+which only documents with a match pay.
 
 The benchmark, a stated set of queries, goes to every executor: its size is checked against
-MAX_BENCHMARK_BYTES. An automaton takes BLOCK_BYTES of item text; a larger benchmark is scanned in
-blocks, one automaton in memory at a time.
+MAX_BENCHMARK_BYTES. A worker process builds its automaton once, whatever the benchmark's size.
 
 Defined results: null and wordless texts have no words, no hits and are clean; an item without words
 has no window; items of equal id count once, a null id as `null`; an empty benchmark hits nothing.
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -33,8 +35,14 @@ from feedgate.llm.common import small_batches
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
 HIT_SHARE = 20
-BLOCK_BYTES = 400_000
-MAX_BENCHMARK_BYTES = 256_000_000
+#: A worker takes about 28 bytes for each of them.
+MAX_BENCHMARK_BYTES = 32_000_000
+#: Numbers for words; beyond them words share numbers, and are told apart where a block is compared.
+WORD_NUMBERS = 1_000_000
+#: A word's number is written in three digits of this base, the first from an alphabet of its own, so that
+#: blocks are found at words only and no state has many successors, which are searched one by one.
+_BASE, _DIGITS = 101, 3
+_UNKNOWN = "\0" * _DIGITS
 
 _SPACED = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -70,58 +78,100 @@ def normal_words(text: str | None) -> list[bytes]:
 
 
 class Matcher:
-    """The automaton of a block of items, given as (id, text)."""
+    """The automaton of a benchmark, given as (id, text) items."""
 
     def __init__(self, items: list[tuple[str, str]], window: int) -> None:
-        owners: dict[bytes, tuple[int, set[str]]] = {}
+        self.window, self.block = window, (window + 1) // 2
+        self.reach = window - self.block
+        self.number: dict[bytes, str] = {}
+        self.words: list[list[bytes]] = []
+        known: dict[bytes, bytes] = {}
+        names_at: dict[tuple, tuple[int, int, int, set[str]]] = {}
+        patterns: dict[str, list[tuple[int, int, int, set[str]]]] = {}
         for name, text in items:
-            words = normal_words(text)
-            for at in range(max(1, len(words) - window + 1) if words else 0):
-                part = words[at : at + window]
-                owners.setdefault(b" ".join(part), (len(part), set()))[1].add(name)
+            words = [known.setdefault(word, word) for word in normal_words(text)]
+            at = len(self.words)
+            self.words.append(words)
+            # A short item is one window, and its own block.
+            size = self.block if len(words) >= window else len(words)
+            for start in range(0, len(words) - size + 1, self.block) if words else ():
+                left, right = max(0, start - self.reach), start + size + self.reach
+                # Blocks amid equal words are compared once, for all items that have them.
+                context = (size, start - left, *words[left:right])
+                place = names_at.get(context)
+                if place is None:
+                    place = names_at[context] = (at, start, size, set())
+                    patterns.setdefault(self._written(words[start : start + size]), []).append(place)
+                place[3].add(name)
         self.automaton = ahocorasick.Automaton()
-        for pattern, owner in owners.items():
-            self.automaton.add_word(f" {pattern.decode('latin-1')} ", owner)
-        if owners:
+        for pattern, places in patterns.items():
+            self.automaton.add_word(pattern, places)
+        if patterns:
             self.automaton.make_automaton()
-        self.empty = not owners
-
-    def scan(self, joined: str) -> list[tuple[int, int, set[str]]]:
-        """(end, words, items) of every occurrence in space-enclosed text."""
-        return [] if self.empty else [(end, size, names) for end, (size, names) in self.automaton.iter(joined)]
-
-
-@lru_cache(maxsize=1)
-def _matcher(items: tuple[tuple[str, str], ...], window: int) -> Matcher:
-    return Matcher(list(items), window)
-
-
-def judge_texts(texts: list[str | None], blocks: list[tuple], window: int, share: int) -> list[dict]:
-    """One RESULT for each text; blocks: tuples of (id, text) items."""
-    found: list[list] = [[] for _ in texts]
-    counts: list[int] = []
-    for number, block in enumerate(blocks or [()]):
-        matcher = _matcher(block, window)
-        for i, text in enumerate(texts):
-            words = normal_words(text)
-            if number == 0:
-                counts.append(len(words))
-            if words:
-                found[i] += matcher.scan(f" {b' '.join(words).decode('latin-1')} ")
-    return [_result(text, n, hits, share) for text, n, hits in zip(texts, counts, found)]
-
-
-def _result(text: str | None, n_words: int, hits: list, share: int) -> dict:
+        self.empty = not patterns
+
+    def _written(self, words: list[bytes]) -> str:
+        return "".join(self._characters(word) for word in words)
+
+    def _characters(self, word: bytes) -> str:
+        if word not in self.number:
+            at = len(self.number) % WORD_NUMBERS
+            high, rest = divmod(at, _BASE * _BASE)
+            self.number[word] = chr(1 + _BASE + high) + chr(1 + rest // _BASE) + chr(1 + rest % _BASE)
+        return self.number[word]
+
+    def scan(self, words: list[bytes]) -> list[tuple[int, int, set[str]]]:
+        """(first word, word after the last, items) of stretches in which every window is an item's."""
+        if self.empty:
+            return []
+        number, found = self.number.get, []
+        for last, places in self.automaton.iter("".join([number(word, _UNKNOWN) for word in words])):
+            end = last // _DIGITS
+            for item, start, size, names in places:
+                theirs, first = self.words[item], end + 1 - size
+                if words[first : end + 1] != theirs[start : start + size]:
+                    continue  # words that share a number
+                need = min(self.window, len(theirs))
+                reach = self.reach if len(theirs) >= self.window else 0
+                before = _common(reversed(words[max(0, first - reach) : first]), reversed(theirs[max(0, start - reach) : start]))
+                after = _common(words[end + 1 : end + 1 + reach], islice(theirs, start + size, start + size + reach))
+                if before + size + after >= need:
+                    found.append((first - before, end + 1 + after, names))
+        return found
+
+
+def _common(one, other) -> int:
+    """Equal words at the beginning of both."""
+    count = 0
+    for a, b in zip(one, other):
+        if a != b:
+            break
+        count += 1
+    return count
+
+
+_built: dict[tuple[str, int], Matcher] = {}
+
+
+def matcher(items: tuple[tuple[str, str], ...], digest: str, window: int) -> Matcher:
+    """The automaton of a worker process, built for its first batch."""
+    if (digest, window) not in _built:
+        _built.clear()
+        _built[digest, window] = Matcher(list(items), window)
+    return _built[digest, window]
+
+
+def judge_text(text: str | None, found: Matcher, share: int) -> dict:
+    """One RESULT."""
+    words = normal_words(text)
+    hits = found.scan(words) if words else []
     items: set[str] = set()
     n_hit, spans = 0, []
     if hits:
-        joined = b" " + b" ".join(normal_words(text)) + b" "
-        spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        depth = np.zeros(n_words + 1, np.int64)
-        last = np.searchsorted(spaces, [end for end, _, _ in hits])
-        np.add.at(depth, last - [size for _, size, _ in hits], 1)
-        np.add.at(depth, last, -1)
-        hit = np.cumsum(depth)[:n_words] > 0
+        depth = np.zeros(len(words) + 1, np.int64)
+        np.add.at(depth, [first for first, _, _ in hits], 1)
+        np.add.at(depth, [after for _, after, _ in hits], -1)
+        hit = np.cumsum(depth)[:-1] > 0
         n_hit = int(hit.sum())
         edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
         places = [match.span() for match in _ORIGINAL_WORD.finditer(text)]
@@ -130,29 +180,29 @@ def _result(text: str | None, n_words: int, hits: list, share: int) -> dict:
         ]
         items.update(*(names for _, _, names in hits))
     return {
-        "n_words": n_words,
+        "n_words": len(words),
         "n_hit": n_hit,
         "n_items": len(items),
         "items_sha256": hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(),
-        "contaminated": n_hit > 0 and share * n_hit >= n_words,
+        "contaminated": n_hit > 0 and share * n_hit >= len(words),
         "spans": spans,
     }
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[tuple]:
-    size = benchmark.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
-    if (size[0] or 0) > MAX_BENCHMARK_BYTES:
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[tuple[tuple[str, str], ...], str]:
+    """Different (id, text) items of a benchmark that is small enough, and a digest that names them."""
+    size = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0]
+    if (size or 0) > MAX_BENCHMARK_BYTES:
         raise ValueError(f"the benchmark has over {MAX_BENCHMARK_BYTES} bytes; judge against parts of it")
     name = F.coalesce(F.col(item_col).cast("string"), F.lit("null"))
-    blocks, block, held = [], [], 0
-    rows = benchmark.where(F.col(text_col).isNotNull()).select(name, F.col(text_col)).distinct().toLocalIterator()
-    for item, text in rows:
-        if held + len(text) > BLOCK_BYTES and block:
-            blocks.append(tuple(block))
-            block, held = [], 0
-        block.append((item, text))
-        held += len(text)
-    return [*blocks, tuple(block)] if block else blocks
+    rows = benchmark.where(F.col(text_col).isNotNull()).select(name, F.col(text_col)).distinct()
+    items = tuple(sorted((item, text) for item, text in rows.toLocalIterator()))
+    digest = hashlib.sha256()
+    for item, text in items:
+        for part in (item, text):
+            data = part.encode("utf-8", "surrogatepass")
+            digest.update(b"%d:" % len(data) + data)
+    return items, digest.hexdigest()
 
 
 def contamination(
@@ -166,10 +216,11 @@ def contamination(
 ) -> Column:
     """A RESULT struct for each text: words, hit words, items, verdict, and hit spans in code points."""
     small_batches(benchmark.sparkSession)
-    shared = benchmark.sparkSession.sparkContext.broadcast(_blocks(benchmark, item_col, text_col))
+    shared = benchmark.sparkSession.sparkContext.broadcast(_items(benchmark, item_col, text_col))
 
     @F.arrow_udf(RESULT)
     def judged(texts: pa.Array) -> pa.Array:
-        return pa.array(judge_texts(texts.to_pylist(), shared.value, window, share), _ARROW)
+        found = matcher(*shared.value, window)
+        return pa.array([judge_text(text.as_py(), found, share) for text in texts], _ARROW)
 
     return judged(text)

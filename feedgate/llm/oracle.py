@@ -39,6 +39,35 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM marked
 """
 
+_OP5 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(13, len(w)) AS size, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS gram
+  FROM b, unnest(range(1, greatest(2, len(w) - 11))) AS r(i) WHERE len(w) > 0
+), places AS (
+  SELECT n, i, size, array_to_string(w[i:i + size - 1], ' ') AS gram
+  FROM d, (SELECT DISTINCT size FROM windows) AS s, unnest(range(1, len(w) - size + 2)) AS r(i)
+), found AS (
+  SELECT n, i, size, item FROM places JOIN windows USING (size, gram)
+), words AS (
+  SELECT n, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT n, i, size FROM found), unnest(range(size)) AS r(k) GROUP BY n
+), items AS (
+  SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT n, item FROM found) GROUP BY n
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (n) LEFT JOIN items USING (n)
+"""
+
 _OP6 = r"""
 WITH t AS (
   SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text,
@@ -221,6 +250,7 @@ def _escaped(column: str) -> str:
 ORACLE: dict[str, str] = {
     "op1_warc": _OP1,
     "op2_url_filters": _OP2,
+    "op5_benchmark_decontamination": _OP5,
     "op6_quality_rules": _OP6,
     "op8_chat_format": _OP8.replace("ESCAPED", _escaped("text")),
     "op12_merkle_manifest": _merkle(),

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -33,9 +34,46 @@ def judge(spark, docs, items):
     return [(r.doc_id, r.text, tuple(r.r)[:5], [tuple(s) for s in r.r.spans]) for r in got]
 
 
-@pytest.mark.parametrize("block", [400_000, 60])
-def test_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(c, "BLOCK_BYTES", block)
+def plain(text, items):
+    r = c.judge_text(text, c.Matcher([(str(i), t) for i, t in items if t is not None], 13), 20)
+    return tuple(r[name] for name in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
+
+
+@pytest.mark.parametrize("numbers", [1_000_000, 3, 1])
+def test_random_texts_of_few_words_against_brute_force(monkeypatch, numbers):
+    """Repeats, overlaps and near misses, also where words share numbers."""
+    monkeypatch.setattr(c, "WORD_NUMBERS", numbers)
+    rng = random.Random(numbers)
+    hits = 0
+    for _ in range(400):
+        size = rng.choice([2, 3, 6])
+        text = lambda n: " ".join(rng.choice("abcdef"[:size]) for _ in range(n))  # noqa: B023, E731
+        items = [(k % 5, text(rng.choice([0, 1, 5, 12, 13, 14, 20, 26, 40]))) for k in range(rng.randint(1, 7))]
+        source = rng.choice(items)[1].split()
+        cut = rng.randint(0, len(source))
+        doc = " ".join([text(rng.randint(0, 20)), *source[cut // 2 : cut + 15], text(rng.randint(0, 20))])
+        assert plain(doc, items) == brute(doc, items), (doc, items)
+        hits += plain(doc, items)[1] > 0
+    assert hits > 100
+
+
+def test_the_automaton_grows_with_the_words():
+    words = [f"w{i}" for i in range(13_000)]
+    items = [(str(k), " ".join(words[k * 130 : (k + 1) * 130])) for k in range(100)]
+    found = c.Matcher(items, 13)
+    assert found.automaton.get_stats()["nodes_count"] <= 3 * 13_000 + 1
+    assert c.matcher(tuple(items), "d", 13) is c.matcher(tuple(items), "d", 13)
+
+
+def test_a_large_benchmark_is_refused_and_not_cut(spark, monkeypatch):
+    monkeypatch.setattr(c, "MAX_BENCHMARK_BYTES", 10)
+    with pytest.raises(ValueError, match="10 bytes"):
+        judge(spark, [(1, "x", "k")], [(1, "é" * 6, "x")])
+
+
+@pytest.mark.parametrize("numbers", [1_000_000, 2])
+def test_against_brute_force(spark, monkeypatch, numbers):
+    monkeypatch.setattr(c, "WORD_NUMBERS", numbers)
     long = " ".join(f"w{i}" for i in range(30))
     items = [(2, long, "x"), (10, "Short Ünit, here!", "x"), (3, None, "x"), (4, " .,", "x"), (10, "Short Ünit, here!", "y"), (5, "w3 w4", "x")]
     docs = [
