@@ -3,13 +3,13 @@
 Every source's words, its documents in a seeded order, are one stream cut into blocks of equal
 length. Sainte-Lague's highest quotients weight / (2 q + 1) turn the sources' target sizes into
 whole numbers of blocks. A source's quota is some full passes over its stream and a rest of blocks,
-which is divided over shards of consecutive blocks (equal shards, so each gets the floor or the ceiling
-of its share) and in each shard a seeded permutation picks as many blocks. A document takes the
-words it has in picked blocks, plus its size for every full pass.
+which highest quotients turn into a quota for each shard of consecutive blocks; in each shard a seeded
+permutation picks as many blocks. A document takes the words it has in picked blocks, plus its
+size for every full pass. Quotas are whole numbers throughout.
 
 Only one row per source reaches the driver, and their number is checked. Positions in a stream
-come from sums over buckets of about BUCKET_WORDS words, and sums over groups of buckets, so a
-source that holds most rows is many tasks.
+come from sums over buckets of about BUCKET_WORDS words or BUCKET_ROWS rows, and sums over groups of
+buckets, so a source that holds most rows is many tasks, whether they have words or not.
 
 Defined results: null texts have size 0 and take nothing; a null source is a source, the last;
 equal rows are separate documents and interchangeable; an empty table gives no rows.
@@ -30,6 +30,7 @@ from feedgate.sources.scratch import save
 BLOCK_WORDS = 32
 SHARD_BLOCKS = 1024
 BUCKET_WORDS = 65_536
+BUCKET_ROWS = 65_536
 GROUP_BUCKETS = 1024
 MAX_SOURCES = 1_000_000
 WEIGHTS = (5, 2, 1)
@@ -80,10 +81,32 @@ def sainte_lague(weights: Sequence[float], seats: int, most: Sequence[int]) -> l
     return given
 
 
+def shard_quotas(blocks: int, seats: int, shard: int) -> tuple[int, int, int, int]:
+    """Sainte-Lague seats of a source's shards: (whole shards, seats of each, how many have one more, seats of the last).
+
+    All shards but the last hold `shard` blocks, so their quotients tie and the earlier ones come first;
+    the last holds the others. Its q-th seat is handed out once the whole shards have taken all quotients
+    that are as high, and still is one of `seats`. No shard gets more than it holds.
+    """
+    whole, rest = divmod(blocks, shard)
+    last = 0
+    while last < rest:
+        ahead = min(shard, (shard * (2 * last + 1) // rest + 1) // 2)
+        if whole * ahead + last >= seats:
+            break
+        last += 1
+    each, more = divmod(seats - last, whole) if whole else (0, 0)
+    return whole, each, more, last
+
+
 def plan_sources(
-    sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, passes: int = PASSES, block: int = BLOCK_WORDS
+    sizes: dict[str | None, int],
+    weights: Sequence[float] = WEIGHTS,
+    passes: int = PASSES,
+    block: int = BLOCK_WORDS,
+    counts: dict[str | None, int] | None = None,
 ) -> list[tuple]:
-    """(source, size, target, blocks, full passes, rest of blocks, buckets) of every source."""
+    """(source, size, target, blocks, full passes, rest of blocks, buckets, shard quotas) of every source."""
     names = sorted(sizes, key=lambda name: (name is None, name or ""))
     amounts = [sizes[name] for name in names]
     wanted = targets(amounts, [weights[i % len(weights)] for i in range(len(names))], passes)
@@ -92,7 +115,8 @@ def plan_sources(
     rows = []
     for name, amount, target, n, quota in zip(names, amounts, wanted, blocks, quotas):
         full, rest = passes_and_rest(quota, amount, passes, block)
-        rows.append((name, amount, target, n, full, rest, max(1, -(-amount // BUCKET_WORDS))))
+        buckets = max(1, -(-amount // BUCKET_WORDS), -(-(counts or {}).get(name, 0) // BUCKET_ROWS))
+        rows.append((name, amount, target, n, full, rest, buckets, *shard_quotas(n, rest, SHARD_BLOCKS)))
     return rows
 
 
@@ -141,18 +165,24 @@ def mix(
     if not kept:
         rows = short
 
-    totals = short.groupBy("__source").agg(F.sum("__size").alias("size"))
-    found = {row[0]: row[1] for row in totals.limit(MAX_SOURCES + 1).collect()}
+    totals = short.groupBy("__source").agg(F.sum("__size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    listed = totals.limit(MAX_SOURCES + 1).collect()
+    found, counts = {row[0]: row[1] for row in listed}, {row[0]: row[2] for row in listed}
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
-    plan = spark.createDataFrame(
-        [(number, *row) for number, row in enumerate(plan_sources(found, weights, passes, block))],
-        "s int, p_source string, source_size long, target double, n long, full long, rest long, buckets long",
+    # Written, so that its bytes are known: the planner broadcasts it or not.
+    plan = save(
+        spark.createDataFrame(
+            [(number, *row) for number, row in enumerate(plan_sources(found, weights, passes, block, counts))],
+            "s int, p_source string, source_size long, target double, n long, full long, rest long, buckets long, "
+            "whole long, each long, more long, last long",
+        ).coalesce(1),
+        "mix-plan",
     )
 
     def placed(frame: DataFrame) -> DataFrame:
         """Bucket and order within the source: both follow the same seeded hash."""
-        joined = frame.join(F.broadcast(plan), F.col("__source").eqNullSafe(F.col("p_source")))
+        joined = frame.join(plan, F.col("__source").eqNullSafe(F.col("p_source")))
         joined = joined.withColumn("h", F.xxhash64(F.lit(seed), "__id", "__size"))
         joined = joined.withColumn("u", F.shiftrightunsigned("h", 33))
         return joined.withColumn("bucket", F.shiftright(F.col("u") * F.col("buckets"), 31)).withColumn(
@@ -186,20 +216,15 @@ def mix(
 
 def _picked_words(block: int, seed: int) -> Column:
     """Words of [at, at + size) in picked blocks of the source's stream."""
-    n, rest = "n", "rest"
-
-    def share(blocks: str) -> str:
-        """Blocks the shards before this position get in all."""
-        return f"CASE WHEN {blocks} >= {n} THEN {rest} ELSE CAST(floor({rest} / {n} * ({blocks})) AS BIGINT) END"
-
     shard = f"(k div {SHARD_BLOCKS})"
     first, after = f"({shard} * {SHARD_BLOCKS})", f"(({shard} + 1) * {SHARD_BLOCKS})"
-    length = f"(least({after}, {n}) - {first})"
+    length = f"(least({after}, n) - {first})"
+    quota = f"(CASE WHEN {shard} >= whole THEN last WHEN {shard} < more THEN each + 1 ELSE each END)"
     steps = ", ".join(map(str, _STEPS))
     mixed = f"xxhash64({seed}, __source, {shard})"
     step = f"element_at(array({steps}), CAST(pmod({mixed}, {len(_STEPS)}) + 1 AS INT))"
     turn = f"pmod(shiftright({mixed}, 8), {SHARD_BLOCKS})"
-    picked = f"pmod((k - {first}) * {step} + {turn}, {length}) < ({share(after)}) - ({share(first)})"
+    picked = f"pmod((k - {first}) * {step} + {turn}, {length}) < {quota}"
     overlap = f"(least(at + __size, (k + 1) * {block}) - greatest(at, k * {block}))"
     return F.expr(
         f"CASE WHEN rest = 0 OR __size = 0 THEN 0 ELSE aggregate(sequence(at div {block}, (at + __size - 1) div {block}), "

@@ -65,9 +65,9 @@ def brute_mix(rows, block=mixing.BLOCK_WORDS, seed=mixing.SEED):
         if n and rest >= n:
             full, rest = full + 1, 0
         picked = set()
-        for shard in range(-(-n // mixing.SHARD_BLOCKS)):
+        lengths = [min(mixing.SHARD_BLOCKS, n - first) for first in range(0, n, mixing.SHARD_BLOCKS)]
+        for shard, take in enumerate(brute_seats(lengths, rest, lengths)):
             first, after = shard * mixing.SHARD_BLOCKS, min((shard + 1) * mixing.SHARD_BLOCKS, n)
-            take = (rest if after == n else int(rest / n * after)) - int(rest / n * first)
             h = spark_hash(("i", seed), ("s", source), ("l", shard))
             step, turn = mixing._STEPS[h % len(mixing._STEPS)], (h >> 8) % mixing.SHARD_BLOCKS
             picked |= {k for k in range(first, after) if ((k - first) * step + turn) % (after - first) < take}
@@ -92,6 +92,33 @@ def test_seats_equal_the_greedy_sequence():
         assert mixing.sainte_lague(weights, seats, [m if w else 0 for m, w in zip(most, weights)]) == want
 
 
+def test_shard_quotas_equal_the_greedy_sequence():
+    draw = random.Random(7)
+    for _ in range(400):
+        shard = draw.choice([1, 2, 7, 16])
+        blocks = draw.randint(0, 60)
+        seats = draw.randint(0, blocks)
+        lengths = [min(shard, blocks - first) for first in range(0, blocks, shard)]
+        whole, each, more, last = mixing.shard_quotas(blocks, seats, shard)
+        got = [each + (i < more) for i in range(whole)] + ([last] if blocks % shard else [])
+        assert got == brute_seats(lengths, seats, lengths), (blocks, seats, shard)
+        assert sum(got) == seats and last * (blocks % shard == 0) == 0
+
+
+def test_a_source_of_empty_texts_is_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 100)
+    rows = mixing.plan_sources({"empty": 0, "a": 50}, counts={"empty": 1001, "a": 1})
+    assert {r[0]: r[6] for r in rows} == {"empty": 11, "a": 1}
+    seen = []
+    real = mixing.save
+    monkeypatch.setattr(mixing, "save", lambda frame, label, *p: seen.append(label) or real(frame, label, *p))
+    docs = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'a b c', '') AS text", "IF(id % 3 = 0, 'w', 'empty') AS source")
+    out = mixing.mix(docs)
+    assert out.count() == 3000 and out.where("source_size = 0 AND taken <> 0").isEmpty() and "mix-plan" in seen
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan
+
+
 def test_targets_share_everything():
     draw = random.Random(5)
     for _ in range(100):
