@@ -13,10 +13,12 @@ from feedgate.operators import (
     gates,
     integrity,
     merge,
+    positions,
     reads,
     replica,
     shapes,
     summary,
+    tree,
     walk,
 )
 from feedgate.operators.numbering import assign_sequence
@@ -547,16 +549,36 @@ def complete_documents(spark: SparkSession, folder: str) -> DataFrame:
     return coverage(release(mixed, ACTIVITY)).unionByName(coverage(release(inputs.event_ops(spark, folder), ACTIVITY)))
 
 
-def drift_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Our orders against a sender whose urgent orders moved on and whose list is its own."""
+def _their_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of a sender whose urgent orders moved on and whose list is its own."""
     moved = release(inputs.order_ops(spark, folder, run=2), ORDERS)
-    theirs = moved.select(
+    return moved.select(
         "source", "collection",
         F.when(F.col("payload").contains('"5-LOW"'), F.concat("doc_id", F.lit("x")))
         .otherwise(F.col("doc_id")).alias("id"),
         "content_hash",
     )
-    return summary.drift_report(inputs.records(spark, folder, "order"), theirs)
+
+
+def drift_report(spark: SparkSession, folder: str) -> DataFrame:
+    return summary.drift_report(inputs.records(spark, folder, "order"), _their_orders(spark, folder))
+
+
+def tree_drift(spark: SparkSession, folder: str) -> DataFrame:
+    """The same drift by descending two stored trees."""
+    ours = tree.Listing.write(summary.live(inputs.records(spark, folder, "order")), new_path(spark, "ours"))
+    theirs = tree.Listing.write(_their_orders(spark, folder), new_path(spark, "theirs"))
+    return tree.tree_drift(ours, theirs)
+
+
+def position_bitmaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Positions of an unchecked import that occur in several rows, or in none, by bitmaps per commit."""
+    lines = inputs.table(spark, folder, "lineitem").select((F.col("l_partkey") * 3 + 1).alias("seq"), F.col("l_linenumber").alias("commit"))
+    kept = save(positions.position_bitmaps(lines, F.col("commit")), "bitmaps")
+    highest = lines.agg(F.max("seq")).first()[0]
+    twice = positions.repeated(kept, lines).withColumn("fault", F.lit("repeated"))
+    never = positions.gaps(kept, highest).select("seq", F.lit(0).cast("long").alias("rows"), F.lit("missing").alias("fault"))
+    return twice.unionByName(never)
 
 
 def freshness_check(spark: SparkSession, folder: str) -> DataFrame:
@@ -589,7 +611,8 @@ def served_pages(spark: SparkSession, folder: str) -> DataFrame:
 def dropped_totals(spark: SparkSession, folder: str) -> DataFrame:
     ops = inputs.line_documents(spark, folder)
     by_source = {"batch_id": F.col("source"), "ord": F.col("batch_seq").cast("int")}
-    judged = save(judge(ops.withColumns(by_source), LINES, max_payload_bytes=20_000), "judged")
+    judged = judge(ops.withColumns(by_source), LINES, max_payload_bytes=20_000)
+    judged = save(judged.select("batch_id", "ord", "collection", "code", "dropped"), "judged")
     refused = gates.batch_verdicts(judged)
     parts = judge(inputs.part_ops(spark, folder), PRODUCT)
     return counters.dropped_totals(judged, refused).unionByName(counters.dropped_totals(parts))
@@ -614,7 +637,8 @@ QUERIES: dict[str, Query] = {
         dropped_totals, outcome_totals, stream_onto_table, faulty_lines, batch_files, ingest_answers,
         change_feed_page, digest_listing_after, manifest_bodies, complete_documents, bucket_digest,
         replica_catch_up, sorted_page, reprojection, reprojection_of_many,
-        split_batches, stateful_outcomes, read_as_of, purge_after_lag,
+        split_batches, stateful_outcomes, read_as_of, purge_after_lag, tree_drift,
+        position_bitmaps,
     )
 }
 

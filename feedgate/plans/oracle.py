@@ -486,4 +486,10 @@ WITH {_ORDERS}, kept AS (
     '{{"cents":' || CAST(round(o_totalprice * 100) AS BIGINT) || ',"status":"' || o.o_orderstatus || '"}}' AS payload
   FROM order_states s JOIN orders o USING (o_orderkey))
 SELECT {_HASHED} FROM kept""",
+    "position_bitmaps": """
+WITH held AS (SELECT l_partkey * 3 + 1 AS seq, count(*) AS n FROM lineitem GROUP BY l_partkey)
+SELECT seq, n AS rows, 'repeated' AS fault FROM held WHERE n > 1
+UNION ALL
+SELECT i, 0, 'missing' FROM range(1, (SELECT max(seq) + 1 FROM held)) AS r(i) WHERE i NOT IN (SELECT seq FROM held)""",
 }
+ORACLE["tree_drift"] = ORACLE["drift_report"]

@@ -62,8 +62,9 @@ class Consumer:
 
 
 class RecordTable:
-    def __init__(self, spark: SparkSession, path: str, specs: SpecSet):
-        self.spark, self.path, self.specs = spark, path.rstrip("/"), specs
+    def __init__(self, spark: SparkSession, path: str, specs: SpecSet, row_group_bytes: int | None = None):
+        """``row_group_bytes`` sets the size of the base's row groups, of which reads skip whole ones."""
+        self.spark, self.path, self.specs, self.row_group_bytes = spark, path.rstrip("/"), specs, row_group_bytes
         empty = spark.createDataFrame([], RECORD)
         self.schema: T.StructType = with_index_columns(empty, specs).schema
 
@@ -208,6 +209,20 @@ class RecordTable:
         if not system.rename(start, end):
             raise OSError(f"{source} could not be moved to {target}")
 
+    def _write_base(self, rows: DataFrame, path: str) -> None:
+        """Files by source and collection, with Bloom filters of the ids and of every filterable field.
+
+        A row group covers a stretch of the feed, so a read after a position skips by its bounds; ids and
+        field values are spread over all of them, and a read for one of these skips by the filters.
+        """
+        writer = rows.write.partitionBy("source", "collection").option("parquet.bloom.filter.adaptive.enabled", "true")
+        for name in ("id", *(n for n in self.schema.names if n.startswith("idx_"))):
+            if not isinstance(self.schema[name].dataType, T.BooleanType):
+                writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true")
+        if self.row_group_bytes:
+            writer = writer.option("parquet.block.size", str(self.row_group_bytes))
+        writer.parquet(path)
+
     def compact(self) -> int:
         """Write the current state as a new base.
 
@@ -218,7 +233,7 @@ class RecordTable:
         if upto not in self.bases():
             order, aside = ["source", "collection", "seq"], f"{self.path}/staging/{uuid.uuid4().hex}"
             rows = self.read(upto).repartitionByRange(*order).sortWithinPartitions(*order)
-            rows.write.partitionBy("source", "collection").parquet(aside)
+            self._write_base(rows, aside)
             self._mark(aside, f"_seq-{self.max_seq()}")
             self._move(aside, f"{self.path}/base/v={upto}")
         return upto
@@ -332,7 +347,7 @@ class RecordTable:
         order, aside = ["source", "collection", "seq"], f"{self.path}/staging/{uuid.uuid4().hex}"
         kept = self.read().filter(F.col("deleted_at").isNull() | (F.col("seq") > upto_seq))
         rows = kept.repartitionByRange(*order).sortWithinPartitions(*order)
-        rows.write.partitionBy("source", "collection").parquet(aside)
+        self._write_base(rows, aside)
         self._mark(aside, f"_seq-{self.max_seq()}")
         self._mark(aside, f"_purged-{max(upto_seq, self.purged())}")
         self._move(aside, f"{self.path}/base/v={upto}")
