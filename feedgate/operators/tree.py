@@ -107,18 +107,32 @@ def differing_leaves(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return differ.withColumnRenamed("_above", "leaf")
 
 
+def _within(numbers: list[int]) -> Column:
+    """A filter on folder and leaf for ascending leaves, neighbours joined into one range."""
+    ranges: list[list[int]] = []
+    for number in numbers:
+        if ranges and number == ranges[-1][1] + 1:
+            ranges[-1][1] = number
+        else:
+            ranges.append([number, number])
+    folders = sorted({number // _FOLDER for number in numbers})
+    if not ranges:
+        return F.lit(False)
+    stretches = " OR ".join(f"leaf BETWEEN {first} AND {last}" for first, last in ranges)
+    return F.expr(f"folder IN ({', '.join(map(str, folders))}) AND ({stretches})")
+
+
 def tree_drift(ours: Listing, theirs: Listing) -> DataFrame:
     """What :func:`~feedgate.operators.summary.drift_report` finds, reading only stretches that differ.
 
-    Their numbers, of which there are at most LEAVES however large the listings are, become a filter that
-    skips the folders and row groups of all others.
+    Their numbers, of which there are at most LEAVES however large the listings are, become ranges that
+    skip the folders and row groups of all others.
     """
     differ = differing_leaves(ours.leaves(), theirs.leaves())
-    numbers = sorted(row[0] for row in differ.select("leaf").distinct().collect())
-    folders = sorted({number // _FOLDER for number in numbers})
+    wanted = _within(sorted(row[0] for row in differ.select("leaf").distinct().collect()))
 
     def read(listing: Listing, name: str) -> DataFrame:
-        rows = listing.rows().filter(F.col("folder").isin(folders) & F.col("leaf").isin(numbers))
+        rows = listing.rows().filter(wanted)
         rows = rows.join(differ, [*COLLECTION, "leaf"], "left_semi")
         return rows.select(*COLLECTION, "id", F.col("content_hash").alias(name))
 

@@ -25,6 +25,8 @@ from feedgate.operators.numbering import assign_sequence
 from feedgate.operators.release import coverage, dropped_fields, fingerprint, release
 from feedgate.plans import inputs
 from feedgate.plans.apply import apply_ops, judge, reproject
+from feedgate.plans.backfill import RawZone
+from feedgate.plans.backfill import backfill as backfilled
 from feedgate.plans.inputs import only
 from feedgate.sources import envelopes
 from feedgate.sources.scratch import new_path, save
@@ -453,6 +455,16 @@ def reprojection_of_many(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(*columns, (F.col("seq") > 10_000_000).alias("moved"), F.col("deleted_at").isNotNull().alias("deleted"), "code")
 
 
+def backfill(spark: SparkSession, folder: str) -> DataFrame:
+    """Products whose grade was no text, after grades may be numbers: released again from the raw documents kept."""
+    ops = inputs.part_ops(spark, folder)
+    zone = RawZone(spark, new_path(spark, "zone"))
+    applied = apply_ops(None, ops, PRODUCT, start=0)
+    rows = save(applied.records, "records")
+    zone.keep(applied, ops)
+    return backfilled(rows, zone, PRODUCT, inputs.NUMBERED_GRADES).records.select(*FEED_COLUMNS)
+
+
 def byte_budget_pages(spark: SparkSession, folder: str) -> DataFrame:
     rows = inputs.records(spark, folder, "document")
     page = reads.first_pages(reads.live(rows), limit=20, max_bytes=40_000)
@@ -638,7 +650,7 @@ QUERIES: dict[str, Query] = {
         change_feed_page, digest_listing_after, manifest_bodies, complete_documents, bucket_digest,
         replica_catch_up, sorted_page, reprojection, reprojection_of_many,
         split_batches, stateful_outcomes, read_as_of, purge_after_lag, tree_drift,
-        position_bitmaps,
+        position_bitmaps, backfill,
     )
 }
 

@@ -124,6 +124,25 @@ NARROWER_STILL = SpecSet.parse(
     ]
 )
 
+#: Products whose grade is a number instead of a text.
+NUMBERED_GRADES = SpecSet.parse(
+    [
+        {
+            "collection": "part.sheet",
+            "id": "$.id",
+            "fields": {
+                "name": {"type": "string", "index": True},
+                "brand": {"type": "string", "index": True},
+                "size": {"type": "number", "index": True},
+                "cents": {"type": "number"},
+                "grade": {"type": "number"},
+                "traits": {"type": "object", "allow": ["type", "shelf"]},
+            },
+            "filters": ["name", "brand", "size"],
+        }
+    ]
+)
+
 TEXTS = ("text.de", "text.en", "text.es", "text.fr")
 
 

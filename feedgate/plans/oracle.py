@@ -486,6 +486,14 @@ WITH {_ORDERS}, kept AS (
     '{{"cents":' || CAST(round(o_totalprice * 100) AS BIGINT) || ',"status":"' || o.o_orderstatus || '"}}' AS payload
   FROM order_states s JOIN orders o USING (o_orderkey))
 SELECT {_HASHED} FROM kept""",
+    "backfill": f"""
+WITH {_PARTS}, graded AS (
+  SELECT id, replace(payload, ',"name":', ',"grade":' || p_size || ',"name":') AS payload,
+    (SELECT count(*) FROM part) + row_number() OVER (ORDER BY seq) AS seq
+  FROM part_rows WHERE p_size % 2 <> 0)
+SELECT {_ROW} FROM part_rows WHERE p_size % 2 = 0
+UNION ALL
+SELECT 'erp', 'part.sheet', id, seq, payload, sha256(payload), CAST(strlen(payload) AS INTEGER) FROM graded""",
     "position_bitmaps": """
 WITH held AS (SELECT l_partkey * 3 + 1 AS seq, count(*) AS n FROM lineitem GROUP BY l_partkey)
 SELECT seq, n AS rows, 'repeated' AS fault FROM held WHERE n > 1
