@@ -1,6 +1,7 @@
 """The record table as a folder: a base, and the changes committed since.
 
-``<path>/base/v=<n>/``     whole table as of commit n, by source and collection, sorted by seq
+``<path>/base/v=<n>/``     table as of commit n, by source and collection, sorted by seq; a base marked
+                           ``_partial`` holds the collections that changed, the others stay in the one before
 ``<path>/log/commit=<n>/`` rows written by commit n, one per changed key
 
 A folder counts once its ``_SUCCESS`` marker exists. A commit is written aside, with its reports, and
@@ -27,6 +28,8 @@ import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,12 +149,39 @@ class RecordTable:
         current = current.select(self.schema.names)
         if not base_at:
             return current
-        base = self.spark.read.schema(self.schema).parquet(f"{self.path}/base/v={base_at}").filter(wanted)
+        base = self._base(base_at).filter(wanted)
         if log is None:
             return base
         changed = sized(log.select(*KEY).distinct(), "logged")
         return base.join(changed, KEY, "left_anti").select(self.schema.names).unionByName(current)
 
+    def _places(self, base: int) -> dict[str, int]:
+        """``source=…/collection=…`` of a base, and the version whose folder has it: the newest up to the last full one."""
+        partial = set(self._found("base/v=*/_partial", r"v=(\d+)/_partial$"))
+        chain = [n for n in self.bases() if n <= base]
+        first = max((n for n in chain if n not in partial), default=0)
+        path, system = file_system(self.spark, f"{self.path}/base/v=*/source=*/collection=*")
+        found: dict[str, int] = {}
+        for status in system.globStatus(path) or []:
+            version, place = re.search(r"/v=(\d+)/(source=[^/]+/collection=[^/]+)$", str(status.getPath())).groups()
+            if first <= int(version) <= base and int(version) in chain:
+                found[place] = max(found.get(place, 0), int(version))
+        return found
+
+    def _base(self, number: int) -> DataFrame:
+        """The rows of a base, each collection from the version that wrote it last."""
+        versions: dict[int, list[str]] = {}
+        for place, version in sorted(self._places(number).items()):
+            versions.setdefault(version, []).append(place)
+        rows = self.spark.createDataFrame([], self.schema)
+        if set(versions) == {number} and not self._found(f"base/v={number}/_partial", r"v=(\d+)/"):
+            return self.spark.read.schema(self.schema).parquet(f"{self.path}/base/v={number}")
+        for version, places in versions.items():
+            root = f"{self.path}/base/v={version}"
+            reader = self.spark.read.schema(self.schema).option("basePath", root)
+            rows = rows.unionByName(reader.parquet(*(f"{root}/{place}" for place in places)).select(self.schema.names))
+        return rows
+
     def max_seq(self) -> int:
         """Highest position ever given out; every commit and base has it in a name, so none is read."""
         logged = self._found("log/commit=*/_seq-*", r"_seq-(\d+)$")
@@ -224,18 +254,32 @@ class RecordTable:
         writer.parquet(path)
 
     def compact(self) -> int:
-        """Write the current state as a new base.
+        """Write the current state of the collections that changed since the last base as a new one.
 
-        Rows are spread by position within collections, so a large collection becomes many
-        files of similar size, each covering a stretch of the feed.
+        Collections without a change keep their files: the new base is marked as partial and read together
+        with those before it. Rows are spread by position within collections, so a large collection becomes
+        many files of similar size, each covering a stretch of the feed.
         """
         upto = self.last_commit()
-        if upto not in self.bases():
-            order, aside = ["source", "collection", "seq"], f"{self.path}/staging/{uuid.uuid4().hex}"
-            rows = self.read(upto).repartitionByRange(*order).sortWithinPartitions(*order)
-            self._write_base(rows, aside)
-            self._mark(aside, f"_seq-{self.max_seq()}")
-            self._move(aside, f"{self.path}/base/v={upto}")
+        before = max([n for n in self.bases() if n <= upto], default=0)
+        if before == upto:
+            return upto
+        order, aside = ["source", "collection", "seq"], f"{self.path}/staging/{uuid.uuid4().hex}"
+        log = self._log(before, upto)
+        # One row per collection.
+        touched = [] if not before or log is None else log.select("source", "collection").distinct().collect()
+        rows = self.read(upto, [row.collection for row in touched] if before else None)
+        if before:
+            pairs = [(F.col("source") == row.source) & (F.col("collection") == row.collection) for row in touched]
+            rows = rows.filter(reduce(or_, pairs, F.lit(False)))
+        self._write_base(rows.repartitionByRange(*order).sortWithinPartitions(*order), aside)
+        self._mark(aside, f"_seq-{self.max_seq()}")
+        if before:
+            self._mark(aside, "_partial")
+            # A collection that has no rows left says so, or the base before would be read for it.
+            for row in touched:
+                self._mark(f"{aside}/source={row.source}/collection={row.collection}", "_touched")
+        self._move(aside, f"{self.path}/base/v={upto}")
         return upto
 
     def _waited_with(self) -> list[int]:
@@ -324,12 +368,22 @@ class RecordTable:
         if doomed:
             # Recorded before anything goes: readers that come in between are refused, not misled.
             self._mark(f"{self.path}/log", f"_expired-{max(doomed)}-{self.seq_of(max(doomed))}")
-        for number in bases[: -max(1, keep_bases)]:
-            delete(self.spark, f"{self.path}/base/v={number}")
+        kept = bases[-max(1, keep_bases) :]
+        needed = {*kept, *(version for number in kept for version in self._places(number).values())}
+        # The full base that a partial one goes back to stays, or later ones would be read past it.
+        for number in bases:
+            if number not in needed and not self._between(number, kept):
+                delete(self.spark, f"{self.path}/base/v={number}")
         for number in doomed:
             delete(self.spark, f"{self.path}/log/commit={number}")
         delete(self.spark, f"{self.path}/staging")
 
+    def _between(self, number: int, kept: list[int]) -> bool:
+        """Whether a base is the full one that the oldest kept base, being partial, is read from."""
+        partial = set(self._found("base/v=*/_partial", r"v=(\d+)/_partial$"))
+        full = [n for n in self.bases() if n not in partial]
+        return any(number == max((n for n in full if n <= k), default=0) for k in kept)
+
     def purge_tombstones(self, upto_seq: int | None = None, now: float | None = None) -> int:
         """Write a base without the tombstones every consumer has read, or of them those up to a position.
 

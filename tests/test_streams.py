@@ -17,6 +17,8 @@ from feedgate.streaming.apply import apply_stream
 from feedgate.streaming import outcomes
 from test_merge import SPECS, frame, op, random_ops
 
+WHEN = datetime(2024, 1, 1)
+
 
 def history(spark, path, runs=4, seed=21):
     """A table of so many commits of rows made by hand, and what it held after each."""
@@ -110,6 +112,48 @@ def test_consumers_hold_back_what_they_have_to_read(spark, tmp_path):
         table.register("a/b", 4)
 
 
+def files_of(tmp_path, version):
+    root = tmp_path / "t" / "base" / f"v={version}"
+    return {str(f.relative_to(root)): f.stat().st_mtime_ns for f in root.rglob("*.parquet")}
+
+
+def test_compaction_rewrites_only_collections_that_changed(spark, tmp_path):
+    table = RecordTable(spark, str(tmp_path / "t"), SPECS)
+
+    def commit(*rows):
+        full = [("erp", c, i, s, "{}" if gone else '{"sku":"x"}', "h", 2, WHEN, WHEN if gone else None) for c, i, s, gone in rows]
+        table.commit(with_index_columns(spark.createDataFrame(full, RECORD), SPECS))
+
+    def now():
+        return {(r.collection, r.id): r.seq for r in table.read().collect()}
+
+    commit(("a.one", "x", 1, False), ("b.two", "y", 2, False), ("b.two", "z", 3, False))
+    assert table.compact() == 1
+    before = files_of(tmp_path, 1)
+    commit(("b.two", "y", 4, False))
+    assert table.compact() == 2 == table.compact()
+    assert files_of(tmp_path, 1) == before and all("collection=b.two" in name for name in files_of(tmp_path, 2))
+    assert now() == {("a.one", "x"): 1, ("b.two", "y"): 4, ("b.two", "z"): 3}
+    assert {r.seq for r in table.read(upto=1).collect()} == {1, 2, 3}
+    table.expire(keep_bases=1, keep_commits=1)
+    assert table.bases() == [1, 2] and now() == {("a.one", "x"): 1, ("b.two", "y"): 4, ("b.two", "z"): 3}
+    commit(("a.one", "x", 5, True))
+    assert now()["a.one", "x"] == 5
+    table.compact()
+    commit(("a.one", "x", 6, False))
+    table.compact()
+    assert table.bases() == [1, 2, 3, 4] and now() == {("a.one", "x"): 6, ("b.two", "y"): 4, ("b.two", "z"): 3}
+    table.expire(keep_bases=1, keep_commits=1)
+    assert table.bases() == [1, 2, 4] and now() == {("a.one", "x"): 6, ("b.two", "y"): 4, ("b.two", "z"): 3}
+    assert table.max_seq() == 6 and {r.id for r in table.read(collections=["a.one"]).collect()} == {"x"}
+    # A purge writes all of the table, and nothing before it is needed any more.
+    commit(("b.two", "y", 7, True), ("b.two", "z", 8, True))
+    table.purge_tombstones()
+    assert now() == {("a.one", "x"): 6}
+    table.expire(keep_bases=1, keep_commits=1)
+    assert len(table.bases()) == 1 and now() == {("a.one", "x"): 6}
+
+
 def pieces(spark, path, *parts):
     """Line files as they come: each part a list of (batch, ops of it that are there, number it declares)."""
     for part in parts:
