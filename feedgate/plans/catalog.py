@@ -368,9 +368,10 @@ def batch_files(spark: SparkSession, folder: str) -> DataFrame:
     """Files of two collections, of which some are no list, have a stray key, trailing text, or are too large."""
     path = inputs.batch_files(spark, folder)
     specs = only("part.sheet", "sales.order")
-    ops = envelopes.read_batches(spark, f"{path}/*/*.json", source="erp", max_body_bytes=inputs.BODY_BYTES)
+    ops = envelopes.read_batches(spark, f"{path}/*/*/part-*", source="erp", max_body_bytes=inputs.BODY_BYTES)
     applied = apply_ops(None, ops, specs)
-    name = F.regexp_extract("batch_id", r"([^/]+/\d+)\.json$", 1).alias("file")
+    place = r"/collection=([^/]+)/batch_seq=(\d+)/"
+    name = F.concat_ws("/", F.regexp_extract("batch_id", place, 1), F.regexp_extract("batch_id", place, 2)).alias("file")
     refused = applied.rejects.select(name, "code", F.lit(0).cast("long").alias("stored"))
     stored = applied.outcomes.filter("outcome = 'stored'").groupBy("batch_id").agg(F.count("*").alias("stored"))
     return refused.unionByName(stored.select(name, F.lit(None).cast("string").alias("code"), "stored"))
@@ -406,6 +407,16 @@ def integrity_check(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- reads
 
 
+def stored_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Records as they are stored, deleted ones as tombstones."""
+    keys = inputs.table(spark, folder, "customer").select(
+        F.lit("app").alias("source"), F.lit("user.activity").alias("collection"),
+        F.col("c_custkey").cast("string").alias("id"),
+    )
+    found = reads.lookup_many(inputs.records(spark, folder, "event"), keys, served=False)
+    return found.select(*FEED_COLUMNS, F.col("deleted_at").isNotNull().alias("deleted"))
+
+
 def keyed_lookup(spark: SparkSession, folder: str) -> DataFrame:
     keys = inputs.table(spark, folder, "customer").select(
         F.lit("app").alias("source"), F.lit("user.activity").alias("collection"),
@@ -530,6 +541,20 @@ def chained_checksum(spark: SparkSession, folder: str) -> DataFrame:
     return summary.collection_checksums(rows)
 
 
+def bucketed_checksum(spark: SparkSession, folder: str) -> DataFrame:
+    """The parallel checksum of a collection: one digest over those of its buckets."""
+    return summary.bucketed_checksums(summary.bucket_digests(inputs.records(spark, folder, "line"), buckets=64))
+
+
+def drift_of_some(spark: SparkSession, folder: str) -> DataFrame:
+    """Drift of two collections of texts, two more being skipped because their checksums agree."""
+    rows = inputs.records(spark, folder, "document")
+    lang = F.col("collection")
+    changed = lang.isin("text.de", "text.fr") & (F.col("id").cast("long") % 10 == 0)
+    theirs = summary.live(rows).withColumn("content_hash", F.when(changed, F.sha2("id", 256)).otherwise(F.col("content_hash")))
+    return summary.drift_report(rows, theirs, summary.collection_checksums(theirs))
+
+
 def bucket_digest(spark: SparkSession, folder: str) -> DataFrame:
     return summary.bucket_digests(inputs.records(spark, folder, "line"), buckets=64)
 
@@ -650,7 +675,7 @@ QUERIES: dict[str, Query] = {
         change_feed_page, digest_listing_after, manifest_bodies, complete_documents, bucket_digest,
         replica_catch_up, sorted_page, reprojection, reprojection_of_many,
         split_batches, stateful_outcomes, read_as_of, purge_after_lag, tree_drift,
-        position_bitmaps, backfill,
+        position_bitmaps, backfill, stored_lookup, bucketed_checksum, drift_of_some,
     )
 }
 

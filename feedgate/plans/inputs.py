@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedgate.operators.numbering import number_rows
 from feedgate.plans.apply import apply_ops
-from feedgate.sources.scratch import file_system, new_path, save
+from feedgate.sources.scratch import new_path, save
 from feedgate.spec import SpecSet
 
 SPECS = SpecSet.parse(
@@ -326,7 +326,7 @@ BODY_BYTES = 300_000
 
 
 def batch_files(spark: SparkSession, folder: str) -> str:
-    """A folder of ``<collection>/<batch_seq>.json`` files, each a JSON array of operations.
+    """A folder of ``collection=…/batch_seq=…/`` files, each a JSON array of operations, as Spark writes them.
 
     Of every seven files one is not an array, one has a stray key, one trailing text, one is too large.
     """
@@ -345,15 +345,7 @@ def batch_files(spark: SparkSession, folder: str) -> str:
         .otherwise(body)
     )
     rows = listed.select("collection", "batch_seq", text.alias("value"))
-    rows.write.partitionBy("collection", "batch_seq").text(f"{path}-parts")
-    # Spark names its files itself; they are given the names of the layout, without being read.
-    found, system = file_system(spark, f"{path}-parts/*/*/part-*")
-    for status in system.globStatus(found) or []:
-        where = str(status.getPath()).split("/")
-        collection, number = (part.split("=", 1)[1] for part in where[-3:-1])
-        target, _ = file_system(spark, f"{path}/{collection}/{number}.json")
-        system.mkdirs(target.getParent())
-        system.rename(status.getPath(), target)
+    rows.write.partitionBy("collection", "batch_seq").text(path)
     return path
 
 

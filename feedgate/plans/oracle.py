@@ -259,6 +259,13 @@ UNION ALL SELECT 'source_grammar', count(*) FILTER (WHERE c = 'page') FROM facts
 UNION ALL SELECT 'collection_grammar', CAST(0 AS BIGINT)
 UNION ALL SELECT 'key_unique', count(*) FROM (SELECT c, id FROM facts GROUP BY c, id HAVING count(*) > 1)
 UNION ALL SELECT 'seq_unique', count(*) FROM (SELECT seq FROM facts GROUP BY seq HAVING count(*) > 1)""",
+    "stored_lookup": f"""
+WITH {_EVENTS}
+SELECT {_ROW}, deleted FROM event_rows WHERE id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer)""",
+    "drift_of_some": f"""
+WITH {_DOCUMENTS}
+SELECT source, collection, id, 'changed' AS drift FROM document_rows
+WHERE collection IN ('text.de', 'text.fr') AND doc_id % 10 = 0""",
     "keyed_lookup": f"""
 WITH {_EVENTS}
 SELECT {_ROW} FROM event_rows WHERE NOT deleted AND id IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer)""",
@@ -501,3 +508,7 @@ UNION ALL
 SELECT i, 0, 'missing' FROM range(1, (SELECT max(seq) + 1 FROM held)) AS r(i) WHERE i NOT IN (SELECT seq FROM held)""",
 }
 ORACLE["tree_drift"] = ORACLE["drift_report"]
+ORACLE["bucketed_checksum"] = f"""
+WITH digests AS ({ORACLE["bucket_digest"]})
+SELECT source, collection, sha256(string_agg(bucket || ':' || digest, ',' ORDER BY bucket)) AS digest
+FROM digests GROUP BY source, collection"""

@@ -59,8 +59,8 @@ def read_batches(
 ) -> DataFrame:
     """Batch files as operations, ``ord`` being the position in the array.
 
-    Files are named ``…<collection>/<batch_seq>.json`` unless ``collection`` is given; one whose name
-    is no number is ordered by its time. Files of equal number are ordered by path, their ``batch_id``. A file
+    Files are named ``…<collection>/<batch_seq>.json`` unless ``collection`` is given, or lie in folders
+    ``…collection=<name>/batch_seq=<n>/`` as Spark writes them; one whose name is no number is ordered by its time. Files of equal number are ordered by path, their ``batch_id``. A file
     over the size limit is reported without being read, however large: the limit is a filter on the listing,
     and the scan that reports the others asks for no content. A file that is not an array of envelopes
     is reported as well. Both show up as a single row with ``envelope_error``.
@@ -68,15 +68,17 @@ def read_batches(
     listing = spark.read.format("binaryFile").load(path)
     small = listing.filter(F.col("length") <= max_body_bytes)
     large = listing.filter(F.col("length") > max_body_bytes).drop("content").withColumn("content", F.lit(None).cast("binary"))
+    foldered = F.nullif(F.regexp_extract("path", r"/collection=([^/]+)/batch_seq=\d+/[^/]*$", 1), F.lit(""))
+    named = F.coalesce(foldered, F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
     files = small.unionByName(large).select(
         F.col("path").alias("batch_id"),
         F.coalesce(
-            F.regexp_extract("path", r"(\d+)\.json$", 1).try_cast("long"), F.unix_micros("modificationTime")
+            F.regexp_extract("path", r"/batch_seq=(\d+)/[^/]*$", 1).try_cast("long"),
+            F.regexp_extract("path", r"(\d+)\.json$", 1).try_cast("long"),
+            F.unix_micros("modificationTime"),
         ).alias("batch_seq"),
         F.lit(source).cast("string").alias("source"),
-        (
-            F.lit(collection) if collection else F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-        ).alias("collection"),
+        (F.lit(collection) if collection else named).alias("collection"),
         F.col("modificationTime").alias("arrived_at"),
         (F.col("length") > max_body_bytes).alias("_large"),
         F.try_validate_utf8(F.col("content").cast("string")).alias("_text"),
