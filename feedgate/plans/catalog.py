@@ -32,7 +32,7 @@ from feedgate.sources import envelopes
 from feedgate.sources.scratch import new_path, save
 from feedgate.sources.table import Expired, RecordTable
 from feedgate.streaming import outcomes
-from feedgate.streaming.apply import apply_stream, feed_stream
+from feedgate.streaming.apply import apply_stream, feed_stream, follow_feed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -508,6 +508,19 @@ def change_feed_stream(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(*FEED_COLUMNS, F.col("deleted_at").isNotNull().alias("deleted"))
 
 
+def feed_from_position(spark: SparkSession, folder: str) -> DataFrame:
+    """The feed after the first of four commits, a commit per micro-batch, for a consumer that registers."""
+    kept, out = _event_commits(spark, folder, 4), new_path(spark, "feed")
+    begin = kept.seq_of(1)
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/turn={number}")
+
+    follow_feed(kept, "copy", f"{out}/state", store, after_seq=begin, files_per_trigger=1).awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows/*")
+    return rows.select(*FEED_COLUMNS, F.col("deleted_at").isNotNull().alias("deleted"))
+
+
 def replica_fold(spark: SparkSession, folder: str) -> DataFrame:
     before = inputs.records(spark, folder, "order")
     after = apply_ops(before, inputs.order_ops(spark, folder, run=2), ORDERS)
@@ -676,6 +689,7 @@ QUERIES: dict[str, Query] = {
         replica_catch_up, sorted_page, reprojection, reprojection_of_many,
         split_batches, stateful_outcomes, read_as_of, purge_after_lag, tree_drift,
         position_bitmaps, backfill, stored_lookup, bucketed_checksum, drift_of_some,
+        feed_from_position,
     )
 }
 

@@ -501,6 +501,13 @@ WITH {_PARTS}, graded AS (
 SELECT {_ROW} FROM part_rows WHERE p_size % 2 = 0
 UNION ALL
 SELECT 'erp', 'part.sheet', id, seq, payload, sha256(payload), CAST(strlen(payload) AS INTEGER) FROM graded""",
+    "feed_from_position": f"""
+WITH {_EVENTS}, parted AS (
+  SELECT *, batch_seq * 4 // ((SELECT max(batch_seq) FROM ops) + 1) AS part FROM numbered)
+SELECT 'app' AS source, 'user.activity' AS collection, id, seq, coalesce(payload, '{{}}') AS payload,
+  sha256(coalesce(payload, '{{}}')) AS content_hash, CAST(strlen(coalesce(payload, '{{}}')) AS INTEGER) AS payload_bytes,
+  op = 'delete' AS deleted
+FROM parted WHERE part > 0 QUALIFY seq = max(seq) OVER (PARTITION BY id, part)""",
     "position_bitmaps": """
 WITH held AS (SELECT l_partkey * 3 + 1 AS seq, count(*) AS n FROM lineitem GROUP BY l_partkey)
 SELECT seq, n AS rows, 'repeated' AS fault FROM held WHERE n > 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from feedgate.operators.gates import sized
 from feedgate.plans.apply import apply_ops
 from feedgate.sources.scratch import save, scoped
-from feedgate.sources.table import RecordTable
+from feedgate.sources.table import LEASE_SECONDS, Expired, RecordTable
 
 #: How long operations wait for the rest of their batch.
 PATIENCE_SECONDS = 3600.0
@@ -124,13 +125,69 @@ def apply_stream(
     return writer.start()
 
 
-def feed_stream(table: RecordTable, files_per_trigger: int | None = None) -> DataFrame:
-    """The change feed as a stream: every commit's rows as they are appended to the log.
-
-    A commit is moved into the log as a whole, so none is seen half written. A consumer's streaming
-    checkpoint plays the part of its cursor.
+def feed_stream(
+    table: RecordTable,
+    files_per_trigger: int | None = None,
+    *,
+    after_seq: int = 0,
+    bytes_per_trigger: str | None = None,
+) -> DataFrame:
+    """The change feed as a stream: every commit's rows above a position, as they are appended to the log.
+
+    A commit is moved into the log as a whole, so none is seen half written. The position is where a new
+    consumer begins; from then on its streaming checkpoint plays the part of its cursor. A position whose
+    commits have been removed in part raises, and files or bytes limit what a micro-batch takes.
     """
+    gone = table.expired()
+    if gone and after_seq < table.seq_of(gone):
+        raise Expired(f"positions up to {table.seq_of(gone)} have been removed, the feed cannot go on after {after_seq}")
     reader = table.spark.readStream.schema(table.schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{table.path}/log/commit=*")
+    if bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
+    rows = reader.parquet(f"{table.path}/log/commit=*")
+    return rows.filter(F.col("seq") > after_seq) if after_seq else rows
+
+
+def follow_feed(
+    table: RecordTable,
+    consumer: str,
+    checkpoint: str,
+    step: Callable[[DataFrame, int], None],
+    *,
+    after_seq: int = 0,
+    files_per_trigger: int | None = None,
+    lease_seconds: float = LEASE_SECONDS,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Give a consumer the feed in micro-batches, and keep its place in the table's register.
+
+    After each step the consumer is registered with the last commit it has read to the end, so that what
+    it has yet to read is neither expired nor purged while its lease runs. A consumer that comes back after
+    its lease, when commits it has not read are gone, gets :class:`Expired`, not a feed with a gap.
+    ``step`` may see a micro-batch again after a failure, with the same number.
+    """
+    known = table.consumers().get(consumer)
+    if known is None:
+        rows = feed_stream(table, files_per_trigger, after_seq=after_seq)
+        table.register(consumer, table.expired(), lease_seconds)
+    else:
+        if known.commit < table.expired():
+            raise Expired(f"commits up to {table.expired()} have been removed, {consumer} had read {known.commit}")
+        rows = feed_stream(table, files_per_trigger, after_seq=max(after_seq, table.seq_of(table.expired())))
+    place = F.regexp_extract("_metadata.file_path", r"/commit=(\d+)/", 1).cast("long")
+    placed = rows.select("*", place.alias("_commit"))
+
+    def read(batch: DataFrame, number: int) -> None:
+        step(batch.drop("_commit"), number)
+        # Files come in the order of their commits; of the last one there may be more to come.
+        last = batch.agg(F.max("_commit")).first()[0]
+        if last is not None:
+            done = max(last - 1, table.consumers()[consumer].commit)
+            table.register(consumer, done, lease_seconds)
+
+    writer = placed.writeStream.foreachBatch(read).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()

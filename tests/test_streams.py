@@ -13,7 +13,7 @@ from feedgate.operators.replica import fold_feed
 from feedgate.plans.apply import RECORD, apply_ops, judge
 from feedgate.sources import envelopes, scratch
 from feedgate.sources.table import Expired, RecordTable
-from feedgate.streaming.apply import apply_stream
+from feedgate.streaming.apply import apply_stream, follow_feed
 from feedgate.streaming import outcomes
 from test_merge import SPECS, frame, op, random_ops
 
@@ -229,6 +229,38 @@ def test_waiting_operations_outlive_expiry_and_failures(spark, tmp_path):
     assert table.commits() == [max(table.commits())]
 
 
+def test_followers_are_waited_for_and_told_of_gaps(spark, tmp_path):
+    table, _ = history(spark, tmp_path / "t")
+    seen = []
+
+    def step(batch, number):
+        seen.extend(r.seq for r in batch.collect())
+
+    def follow(name, **options):
+        seen.clear()
+        follow_feed(table, name, str(tmp_path / f"cp-{name}"), step, files_per_trigger=1, **options).awaitTermination(300)
+        return sorted(seen)
+
+    whole = sorted(r.seq for r in table.feed().collect())
+    assert follow("all") == whole and table.consumers()["all"].commit == 3
+    begin = table.seq_of(2)
+    assert follow("late", after_seq=begin) == [seq for seq in whole if seq > begin]
+    table.compact()
+    table.expire(keep_commits=1)
+    assert table.commits() == [4] and follow("all") == []
+    with pytest.raises(Expired):
+        follow("new")
+    assert follow("from3", after_seq=table.seq_of(3)) == [seq for seq in whole if seq > table.seq_of(3)]
+    # A consumer whose lease is over is not waited for.
+    table.unregister("all"), table.unregister("late"), table.unregister("from3")
+    table.register("lost", 3, lease_seconds=-1)
+    more(spark, table, random.Random(9), {}, table.max_seq())
+    table.compact()
+    table.expire(keep_commits=1)
+    with pytest.raises(Expired):
+        follow("lost")
+
+
 def test_oversized_files_are_never_read(spark, tmp_path):
     folder = tmp_path / "a.one"
     folder.mkdir()
