@@ -274,11 +274,12 @@ class RecordTable:
             rows = rows.filter(reduce(or_, pairs, F.lit(False)))
         self._write_base(rows.repartitionByRange(*order).sortWithinPartitions(*order), aside)
         self._mark(aside, f"_seq-{self.max_seq()}")
-        if before:
+        written = [f"source={row.source}/collection={row.collection}" for row in touched]
+        if before and set(self._places(before)) - set(written):
             self._mark(aside, "_partial")
             # A collection that has no rows left says so, or the base before would be read for it.
-            for row in touched:
-                self._mark(f"{aside}/source={row.source}/collection={row.collection}", "_touched")
+            for place in written:
+                self._mark(f"{aside}/{place}", "_touched")
         self._move(aside, f"{self.path}/base/v={upto}")
         return upto
 
