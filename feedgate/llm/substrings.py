@@ -1,23 +1,26 @@
-"""Repeated passages: candidates by content-defined chunking with a gear rolling hash, decided by exact windows.
+"""Repeated passages by content-defined chunking with a gear rolling hash; exact windows decide.
 
 A text's words, A-Z lower-cased and joined by single spaces, are one byte string. A gear hash
 h = 2 h + gear[byte] rolls over it, and is kept to the last 16 bytes. A word end is a cut where its
-hash is the smallest (the last of equal ones) among some REACH word ends that follow each other, so a
-chunk has at most REACH words. A cut's key is a 128-bit digest of the SPAN words that end there.
-
-PASSAGE words hold REACH word ends that have SPAN words before them inside the passage. The smallest of
-these is a cut whose hash and key depend on the passage alone: two copies have a key in common, always.
-A key found in more than one document is a candidate and nothing more. Every window of PASSAGE words
-with such a cut as its smallest is digested, and windows found in more than one document are reported,
-joined where they overlap. So each reported word lies in PASSAGE words that another document has too, if not always the
-same document along one passage.
-
-Keys and windows are counted by partial aggregation, so a passage that a third of all documents share is
+hash is the smallest (the last of equal ones) among some REACH word ends that follow each other; a chunk
+runs from cut to cut, so an insertion changes only the chunks around it. Chunks are deduplicated by a
+digest of their words; one of fewer than LEAST words is digested together with the chunks after it, up
+to that many.
+
+From the ninth word on a passage's hashes depend on the passage alone. The first REACH of these word ends have
+a smallest one and so have the last REACH; these are cuts wherever the passage stands, as are those
+between them and no others, and they lie at least LEAST words apart. So two copies of PASSAGE words
+have a digested chunk in common, always, and every chunk between these two cuts is in both. Windows of
+PASSAGE words all of whose chunks are repeated, in any documents, are digested (128 bits) in turn, and those found in more than one
+document are reported, joined where they overlap. So each reported word lies in PASSAGE words that
+another document has too, if not always the same document along one passage.
+
+Chunks and windows are counted by partial aggregation, so a passage that a third of all documents share is
 one short row for each task; the joins back are ones that adaptive execution splits.
 
 Defined results: null texts and texts of fewer than PASSAGE words have no passages. Rows with equal id
 and text are one document. Passages inside one document only are not reported. An empty table gives no
-rows.
+rows. Ids are whole numbers or null; a column of another type is refused with TypeError.
 """
 
 from __future__ import annotations
@@ -36,14 +39,17 @@ from feedgate.sources.scratch import new_path, save, scoped
 
 #: Words of a passage: over fifty.
 PASSAGE = 51
-#: Words of a key, and word ends of which the smallest is a cut: a passage holds REACH keys.
-SPAN = 26
-REACH = PASSAGE - SPAN + 1
+#: Words of the shortest digest of a chunk.
+LEAST = 8
 _HASH_BYTES = 16
+#: Words of a passage before the first whose hash depends on the passage alone: each has a byte and a space at least.
+_UNSURE = _HASH_BYTES // 2
+#: Word ends of which the smallest is a cut: the first and the last so many of a passage are LEAST words apart.
+REACH = (PASSAGE - _UNSURE - LEAST + 1) // 2
 
 _GEAR = np.random.default_rng(9).integers(0, 1 << 32, 256, dtype=np.uint32)
 
-_KEYS = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("after", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+_CHUNKS = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("after", pa.int32()), ("d1", pa.int64())])
 _WINDOWS = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("first", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
 _BATCH = 50_000
 
@@ -92,22 +98,39 @@ def _digests(joined: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray
     return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
 
 
+def _reached(places: np.ndarray) -> np.ndarray:
+    """For each chunk: the first cut at least LEAST words from its beginning, or the end of the text."""
+    firsts = np.r_[0, places[:-1]]
+    return places[np.minimum(np.searchsorted(places, firsts + LEAST), len(places) - 1)]
+
+
 def chunks(text: str | None) -> tuple[int, list[tuple[int, int, int, int]]]:
-    """A digest of the text, and (first word, words, key, key) of each chunk."""
+    """A digest of the text, and (first word, words, digest, digest) of each chunk."""
     joined, begins, ends = _joined(text)
     if not len(ends):
         return 0, []
     places = cuts(joined, ends)
     firsts = np.r_[0, places[:-1]]
-    keys = _digests(joined, begins[np.maximum(places - SPAN, 0)], ends[places - 1])
-    result = list(zip(firsts.tolist(), (places - firsts).tolist(), keys[:, 0].tolist(), keys[:, 1].tolist()))
+    digests = _digests(joined, begins[firsts], ends[_reached(places) - 1])
+    result = list(zip(firsts.tolist(), (places - firsts).tolist(), digests[:, 0].tolist(), digests[:, 1].tolist()))
     return int(np.uint64(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))).view(np.int64)), result
 
 
 def windows(text: str, afters: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the windows whose own cut, the smallest of their REACH word ends, is one of these; their digests."""
+    """First words of the windows all of whose chunks are repeated, and the windows' digests.
+
+    `afters`: the cuts that end repeated chunks. A window's chunks are those digested between the first and
+    the last of the cuts that it has wherever it stands.
+    """
     joined, begins, ends = _joined(text)
-    firsts = np.flatnonzero(np.isin(smallest(joined, ends)[SPAN - 1 :] + 1, afters))
+    places, lowest = cuts(joined, ends), smallest(joined, ends) + 1
+    starts = np.arange(len(ends) - PASSAGE + 1)
+    since, until = lowest[starts + _UNSURE], lowest[starts + PASSAGE - REACH]
+    low, high = np.searchsorted(places, since) + 1, np.searchsorted(_reached(places), until, "right")
+    # Digests that the text's end cut short are not the passage's.
+    high = np.minimum(high, np.searchsorted(places, len(ends) - LEAST, "right") + 1)
+    repeated = np.r_[0, np.cumsum(np.isin(places, afters))]
+    firsts = starts[repeated[high] - repeated[low] == high - low]
     return firsts, _digests(joined, begins[firsts], ends[firsts + PASSAGE - 1])
 
 
@@ -122,7 +145,7 @@ def _batches(parts: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBat
         versions = np.repeat(np.array([version for _, version, _, _ in held], np.int64), sizes)
         numbers = np.concatenate([numbers for _, _, numbers, _ in held]).astype(np.int32)
         digests = np.concatenate([digests for _, _, _, digests in held])
-        columns = [ids, *map(pa.array, (versions, numbers, np.ascontiguousarray(digests[:, 0]), np.ascontiguousarray(digests[:, 1])))]
+        columns = [ids, *map(pa.array, (versions, numbers, *map(np.ascontiguousarray, digests.T)))]
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     for part in parts:
@@ -135,16 +158,17 @@ def _batches(parts: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBat
         yield batch()
 
 
-def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def parts() -> Iterator[tuple]:
         for name, version, text in arrow_rows(batches, "id", "version", "text"):
             found = np.array(chunks(text)[1], np.int64).reshape(-1, 4)
             afters = found[:, 0] + found[:, 1]
             if len(afters) and afters[-1] >= PASSAGE:
-                found, afters = found[afters >= SPAN], afters[afters >= SPAN]
-                yield name, version, afters, found[:, 2:]
+                # The first chunk begins at no cut, the last ones may be cut short. Half a digest will do where windows decide.
+                whole = (found[:, 0] > 0) & (found[:, 0] + LEAST <= afters[-1])
+                yield name, version, afters[whole], found[whole, 2:3]
 
-    return _batches(parts(), _KEYS)
+    return _batches(parts(), _CHUNKS)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,14 +193,13 @@ def join_windows(firsts: list[int]) -> list[tuple[int, int]]:
     return [(first, after - first) for first, after in runs]
 
 
-def _of_two(rows: DataFrame, label: str) -> DataFrame:
+def _of_two(rows: DataFrame, label: str, *digest: str) -> DataFrame:
     """The rows whose digest more than one document has."""
     # One number for a document, so that the counts stay fixed-width rows in a hash table.
     owner = F.xxhash64("id", "version")
-    counted = rows.groupBy("d1", "d2").agg(F.min(owner).alias("low"), F.max(owner).alias("high"))
-    repeated = counted.where("low <> high").select(F.col("d1").alias("r1"), F.col("d2").alias("r2"))
-    repeated = save(repeated, label)
-    return rows.join(repeated, (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2")), "left_semi")
+    counted = rows.groupBy(*digest).agg(F.min(owner).alias("low"), F.max(owner).alias("high"))
+    repeated = save(counted.where("low <> high").select(*(F.col(name).alias(f"r_{name}") for name in digest)), label)
+    return rows.join(repeated, [F.col(name) == F.col(f"r_{name}") for name in digest], "left_semi")
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,20 +208,23 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     id, passages (array of first word and number of words), repeated_words.
     """
     spark = docs.sparkSession
+    kind = docs.select(id_col).schema[0].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{id_col} is {kind.simpleString()}, not a whole number")
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # So many words have as many characters, and one between each two.
     rows = rows.where(F.length("text") >= 2 * PASSAGE - 1).select("id", F.xxhash64("text").alias("version"), "text")
     place = new_path(spark, "windows")
     with scoped(spark):
-        keys = save(rows.mapInArrow(_key_rows, "id long, version long, after int, d1 long, d2 long"), "keys")
-        candidates = _of_two(keys, "repeated-keys").groupBy("id", "version").agg(F.collect_set("after").alias("afters"))
+        cut = save(rows.mapInArrow(_chunk_rows, "id long, version long, after int, d1 long"), "chunks")
+        candidates = _of_two(cut, "repeated-chunks", "d1").groupBy("id", "version").agg(F.collect_set("after").alias("afters"))
         candidates = save(candidates, "candidates").select(F.col("id").alias("c_id"), F.col("version").alias("c_version"), "afters")
         around = rows.join(candidates, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("version") == F.col("c_version")))
         around = around.select("id", "version", "text", "afters")
         around.mapInArrow(_window_rows, "id long, version long, first int, d1 long, d2 long").write.parquet(place)
     found = spark.read.schema("id long, version long, first int, d1 long, d2 long").parquet(place)
-    by_document = _of_two(found, "repeated-windows").groupBy("id", "version").agg(F.collect_set("first").alias("found"))
+    by_document = _of_two(found, "repeated-windows", "d1", "d2").groupBy("id", "version").agg(F.collect_set("first").alias("found"))
 
     @F.arrow_udf(_PASSAGES)
     def joined(found: pa.Array) -> pa.Array:

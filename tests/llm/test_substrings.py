@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from feedgate.llm import substrings as s
 
@@ -132,3 +133,25 @@ def test_copies_that_runs_of_chunks_lost(spark):
         rows += [(len(rows) + copy, " ".join(words(draw, 20) + passage + words(draw, 20))) for copy in (0, 1)]
     got = reported_words(spark.createDataFrame(rows, "doc_id long, text string"))
     assert got == [((False, i), list(range(20, 71))) for i in range(10)]
+
+
+def test_every_window_of_a_copy_is_a_candidate():
+    """Few different words make many equal hashes and short chunks; no window that two texts share is lost."""
+    draw = random.Random(7)
+    for _ in range(500):
+        letters = draw.choice([["a"], ["a", "b"], ["a", "b", "c", "dd"], [f"w{i}" for i in range(200)]])
+        some = lambda n: [draw.choice(letters) for _ in range(n)]
+        passage = some(draw.randint(51, 60))
+        texts = [some(draw.randint(0, 40)) + passage + some(draw.randint(0, 40)) for _ in (0, 1)]
+        held = [s.chunks(" ".join(text))[1] for text in texts]
+        both = {c[2:] for c in held[0]} & {c[2:] for c in held[1]}
+        shared = set.intersection(*({tuple(text[i : i + 51]) for i in range(len(text) - 50)} for text in texts))
+        for text, found in zip(texts, held):
+            firsts, _ = s.windows(" ".join(text), [c[0] + c[1] for c in found if c[2:] in both])
+            assert {i for i in range(len(text) - 50) if tuple(text[i : i + 51]) in shared} <= set(firsts.tolist())
+
+
+def test_ids_that_are_no_numbers_are_refused(spark):
+    frame = spark.createDataFrame([("a", "one two")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="doc_id is string"):
+        s.repeated_passages(frame)
