@@ -15,6 +15,7 @@ PASSAGE words all of whose chunks are repeated, in any documents, are digested (
 document are reported, joined where they overlap. So each reported word lies in PASSAGE words that
 another document has too, if not always the same document along one passage.
 
+Of the documents that have one text, only the one with the smallest id has its windows digested; the passages are all of theirs.
 Chunks and windows are counted by partial aggregation, so a passage that a third of all documents share is
 one short row for each task; the joins back are ones that adaptive execution splits.
 
@@ -50,7 +51,7 @@ REACH = (PASSAGE - _UNSURE - LEAST + 1) // 2
 _GEAR = np.random.default_rng(9).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 _CHUNKS = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("after", pa.int32()), ("d1", pa.int64())])
-_WINDOWS = pa.schema([("id", pa.int64()), ("version", pa.int64()), ("first", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+_WINDOWS = pa.schema([("version", pa.int64()), ("mark", pa.int64()), ("several", pa.bool_()), ("first", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
 _BATCH = 50_000
 
 
@@ -135,22 +136,21 @@ def windows(text: str, afters: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _batches(parts: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(id, version, numbers, digests) of each document as batches of many."""
+    """(names, numbers, digests) of each text as batches of many; the names are repeated for each number."""
     held: list[tuple] = []
     count = 0
 
     def batch() -> pa.RecordBatch:
-        sizes = [len(numbers) for _, _, numbers, _ in held]
-        ids = pa.array([name for name, _, _, _ in held], pa.int64()).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
-        versions = np.repeat(np.array([version for _, version, _, _ in held], np.int64), sizes)
-        numbers = np.concatenate([numbers for _, _, numbers, _ in held]).astype(np.int32)
-        digests = np.concatenate([digests for _, _, _, digests in held])
-        columns = [ids, *map(pa.array, (versions, numbers, *map(np.ascontiguousarray, digests.T)))]
+        each = pa.array(np.repeat(np.arange(len(held)), [len(numbers) for _, numbers, _ in held]))
+        names = [pa.array(column, field.type).take(each) for field, column in zip(schema, zip(*(names for names, _, _ in held)))]
+        numbers = np.concatenate([numbers for _, numbers, _ in held]).astype(np.int32)
+        digests = np.concatenate([digests for _, _, digests in held])
+        columns = [*names, *map(pa.array, (numbers, *map(np.ascontiguousarray, digests.T)))]
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     for part in parts:
         held.append(part)
-        count += len(part[2])
+        count += len(part[1])
         if count >= _BATCH:
             yield batch()
             held, count = [], 0
@@ -166,15 +166,15 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(afters) and afters[-1] >= PASSAGE:
                 # The first chunk begins at no cut, the last ones may be cut short. Half a digest will do where windows decide.
                 whole = (found[:, 0] > 0) & (found[:, 0] + LEAST <= afters[-1])
-                yield name, version, afters[whole], found[whole, 2:3]
+                yield (name, version), afters[whole], found[whole, 2:3]
 
     return _batches(parts(), _CHUNKS)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def parts() -> Iterator[tuple]:
-        for name, version, text, afters in arrow_rows(batches, "id", "version", "text", "afters"):
-            yield name, version, *windows(text, afters)
+        for *names, text, afters in arrow_rows(batches, "version", "mark", "several", "text", "afters"):
+            yield names, *windows(text, afters)
 
     return _batches(parts(), _WINDOWS)
 
@@ -193,15 +193,20 @@ def join_windows(firsts: list[int]) -> list[tuple[int, int]]:
     return [(first, after - first) for first, after in runs]
 
 
-def _of_two(rows: DataFrame, label: str, *digest: str) -> DataFrame:
-    """The rows whose digest more than one document has."""
-    # One number for a document, so that the counts stay fixed-width rows in a hash table.
-    owner = F.xxhash64("id", "version")
-    counted = rows.groupBy(*digest).agg(F.min(owner).alias("low"), F.max(owner).alias("high"))
+def _repeated(rows: DataFrame, counted: DataFrame, label: str, *digest: str) -> DataFrame:
+    """The rows whose digest is counted as one that more than one document has."""
     repeated = save(counted.where("low <> high").select(*(F.col(name).alias(f"r_{name}") for name in digest)), label)
     return rows.join(repeated, [F.col(name) == F.col(f"r_{name}") for name in digest], "left_semi")
 
 
+def _distinct_texts(candidates: DataFrame) -> DataFrame:
+    """A row for each text of the candidates: the smallest id that has it, and whether several have it."""
+    some, all_of_them = F.count("id"), F.count(F.lit(1))
+    several = F.coalesce(F.min("id") < F.max("id"), F.lit(False)) | ((some > 0) & (some < all_of_them))
+    texts = candidates.groupBy("version", "mark").agg(F.min("id").alias("t_id"), several.alias("several"), F.first("afters").alias("afters"))
+    return texts.withColumnRenamed("version", "t_version")
+
+
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document that shares passages with others.
 
@@ -215,16 +220,27 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # So many words have as many characters, and one between each two.
     rows = rows.where(F.length("text") >= 2 * PASSAGE - 1).select("id", F.xxhash64("text").alias("version"), "text")
-    place = new_path(spark, "windows")
+    found_kind = "version long, mark long, several boolean, first int, d1 long, d2 long"
+    holders, place = new_path(spark, "holders"), new_path(spark, "windows")
     with scoped(spark):
         cut = save(rows.mapInArrow(_chunk_rows, "id long, version long, after int, d1 long"), "chunks")
-        candidates = _of_two(cut, "repeated-chunks", "d1").groupBy("id", "version").agg(F.collect_set("after").alias("afters"))
-        candidates = save(candidates, "candidates").select(F.col("id").alias("c_id"), F.col("version").alias("c_version"), "afters")
-        around = rows.join(candidates, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("version") == F.col("c_version")))
-        around = around.select("id", "version", "text", "afters")
-        around.mapInArrow(_window_rows, "id long, version long, first int, d1 long, d2 long").write.parquet(place)
-    found = spark.read.schema("id long, version long, first int, d1 long, d2 long").parquet(place)
-    by_document = _of_two(found, "repeated-windows", "d1", "d2").groupBy("id", "version").agg(F.collect_set("first").alias("found"))
+        # One number for a document, so that the counts stay fixed-width rows in a hash table.
+        owner = F.xxhash64("id", "version")
+        counted = cut.groupBy("d1").agg(F.min(owner).alias("low"), F.max(owner).alias("high"))
+        repeated = _repeated(cut, counted, "repeated-chunks", "d1")
+        # Copies of a text have the same repeated chunks; its hash and the least digest of these tell texts apart.
+        marked = repeated.groupBy("id", "version").agg(F.collect_set("after").alias("afters"), F.min("d1").alias("mark"))
+        candidates = save(marked, "candidates")
+        candidates.select("id", "version", "mark").write.parquet(holders)
+        texts = save(_distinct_texts(candidates), "texts")
+        around = rows.join(texts, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("version") == F.col("t_version")))
+        around = around.select("version", "mark", "several", "text", "afters")
+        around.mapInArrow(_window_rows, found_kind).write.parquet(place)
+    found = spark.read.schema(found_kind).parquet(place)
+    # One number for a text, even; the odd one after it stands for its other copies.
+    owner = F.xxhash64("version", "mark").bitwiseAND(F.lit(-2))
+    counted = found.groupBy("d1", "d2").agg(F.min(owner).alias("low"), F.max(owner + F.col("several").cast("long")).alias("high"))
+    by_text = _repeated(found, counted, "repeated-windows", "d1", "d2").groupBy("version", "mark").agg(F.collect_set("first").alias("found"))
 
     @F.arrow_udf(_PASSAGES)
     def joined(found: pa.Array) -> pa.Array:
@@ -232,6 +248,8 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         lists = [[{"first": a, "n": n} for a, n in join_windows(one)] for one in found.to_pylist()]
         return pa.array(lists, kind)
 
-    result = by_document.select(F.col("id").alias(id_col), joined("found").alias("passages"))
+    passages = by_text.select("version", "mark", joined("found").alias("passages"))
+    held = spark.read.schema("id long, version long, mark long").parquet(holders)
+    result = held.join(passages, ["version", "mark"]).select(F.col("id").alias(id_col), "passages")
     words = F.aggregate("passages", F.lit(0).cast("long"), lambda total, p: total + p["n"])
     return result.withColumn("repeated_words", words)
