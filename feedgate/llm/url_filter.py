@@ -8,7 +8,10 @@ table. URLs and boundaries are sorted together and swept once; every URL takes t
 last boundary before it, and from this stack the longest rule whose path starts its own.
 
 The sweep is cut into lanes by a hash of the URL rows, so no host, however frequent, decides the
-size of a task; only the boundaries, which do not grow with the URLs, go to every lane.
+size of a task. Long rule lists are cut into blocks first: a boundary whose key's hash says so begins one, about
+every BLOCK_MARKS boundaries. A first sweep over these beginnings alone gives each URL and each boundary its block;
+the second sweeps each block by itself, a block of many URLs in several lanes. So the lanes share the few
+beginnings, and a boundary is repeated only as often as the URLs around it fill lanes.
 
 Defined results: a null URL or one without `://` has empty host and path and fits no rule. Equal
 rules with different verdicts: block wins. Repeated rows stay repeated. Rules with a null or empty
@@ -24,10 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from feedgate.llm.common import ascii_lower, literal_rows
+from feedgate.sources.scratch import save
 
 #: URLs of one lane of the sweep, and lanes at least.
 LANE_ROWS = 1_000_000
 MIN_LANES = 64
+#: Boundaries of a block, on average.
+BLOCK_MARKS = 256
 
 _STACK = "array<struct<length:int,host_length:int,rule:string,path:string,verdict:string>>"
 
@@ -104,6 +110,37 @@ def boundaries(rules: DataFrame) -> DataFrame:
     ).select("b.key", "b.stack")
 
 
+def _last_before(rows: DataFrame, marks: DataFrame, value: str, *lane: str) -> DataFrame:
+    """The rows, each with the value of the last of the marks in its lane whose key is not behind its own."""
+    kind = marks.schema[value].dataType
+    sweep = Window.partitionBy(*lane).orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.withColumn("kind", F.lit(1)).withColumn("mark", F.lit(None).cast(kind)).unionByName(
+        marks.select(*lane, "key", F.lit(0).alias("kind"), F.col(value).alias("mark")), allowMissingColumns=True
+    )
+    swept = both.withColumn(value, F.last("mark", ignorenulls=True).over(sweep))
+    return swept.where(F.col("kind") == 1).drop("kind", "mark")
+
+
+def _in_lanes(marks: DataFrame, lanes: Column) -> DataFrame:
+    """The marks once for each lane."""
+    return marks.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), lanes.cast("long") - 1)))
+
+
+def _in_blocks(urls: DataFrame, marks: DataFrame, starts: DataFrame, lanes: int) -> tuple[DataFrame, DataFrame]:
+    """URLs and marks with their block, and lanes within it."""
+    row_hash = F.xxhash64("id", "host", "path")
+    begun = starts.select("key", F.col("key").alias("block"))
+    placed = _last_before(urls, _in_lanes(begun, F.lit(lanes)), "block", "lane").withColumn("block", F.coalesce("block", F.lit("")))
+    # One row for each block that has URLs: far fewer than there are rules.
+    sizes = placed.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / LANE_ROWS).alias("lanes"))
+    sizes = save(sizes, "url-blocks")
+    urls = placed.join(sizes, "block").withColumn("lane", F.pmod(row_hash, F.col("lanes"))).drop("lanes")
+    spread = marks.withColumn("lane", F.pmod(F.xxhash64("key"), F.lit(MIN_LANES)))
+    marks = _last_before(spread, _in_lanes(begun, F.lit(MIN_LANES)), "block", "lane").drop("lane")
+    marks = marks.withColumn("block", F.coalesce("block", F.lit(""))).join(sizes, "block")
+    return urls, _in_lanes(marks, F.col("lanes")).drop("lanes")
+
+
 def judge_urls(
     pages: DataFrame,
     rules: DataFrame,
@@ -118,32 +155,16 @@ def judge_urls(
     urls = (
         pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
         .withColumn("lane", F.pmod(F.xxhash64("id", "host", "path"), F.lit(lanes)))
-        .select(
-            "lane",
-            _key(_labels(F.col("host"))).alias("key"),
-            F.lit(1).alias("kind"),
-            "id",
-            "host",
-            "path",
-            F.lit(None).cast(_STACK).alias("stack"),
-        )
-    )
-    marks = boundaries(rules).select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"),
-        "key",
-        F.lit(0).alias("kind"),
-        F.lit(None).cast(urls.schema["id"].dataType).alias("id"),
-        F.lit(None).cast("string").alias("host"),
-        F.lit(None).cast("string").alias("path"),
-        "stack",
-    )
-    sweep = Window.partitionBy("lane").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = (
-        urls.unionByName(marks)
-        .withColumn("active", F.last("stack", ignorenulls=True).over(sweep))
-        .where(F.col("kind") == 1)
+        .withColumn("key", _key(_labels(F.col("host"))))
     )
-    best = F.array_max(F.filter("active", lambda rule: F.startswith(F.col("path"), rule["path"])))
+    marks = save(boundaries(rules), "url-boundaries")
+    starts = marks.where(F.pmod(F.xxhash64("key"), F.lit(BLOCK_MARKS)) == 0)
+    if starts.isEmpty():
+        swept = _last_before(urls, _in_lanes(marks, F.lit(lanes)), "stack", "lane")
+    else:
+        urls, marks = _in_blocks(urls, marks, starts, lanes)
+        swept = _last_before(urls, marks, "stack", "block", "lane")
+    best = F.array_max(F.filter("stack", lambda rule: F.startswith(F.col("path"), rule["path"])))
     return swept.withColumn("best", best).select(
         F.col("id").alias(id_col),
         "host",

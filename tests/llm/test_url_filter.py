@@ -43,3 +43,20 @@ def test_whole_table(spark):
     pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
     got = {tuple(r) for r in QUERIES["op2_url_filters"](spark, folder).collect()}
     assert got == {(p.page_id, *brute(p.url, URL_RULES)) for p in pages}
+
+
+def test_long_rule_lists_in_blocks(spark, monkeypatch):
+    """Blocks and lanes of few rows give what the rules give one by one; boundaries are not sent to every lane."""
+    monkeypatch.setattr(u, "BLOCK_MARKS", 16)
+    monkeypatch.setattr(u, "LANE_ROWS", 40)
+    draw = random.Random(9)
+    host = lambda n: ".".join(draw.choice("abcdefgh") for _ in range(n))
+    rules = sorted({(draw.choice(["block", "allow"]), host(draw.randint(1, 4)), draw.choice(["", "/", "/x"])) for _ in range(400)})
+    urls = [f"http://{host(draw.randint(1, 5))}{draw.choice(['', '/', '/x/y'])}" for _ in range(300)]
+    urls += ["http://a.b/x"] * 200 + [None, "", "http://"]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = u.judge_urls(frame, u.rules_frame(spark, rules))
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(str((i, *brute(x, rules))) for i, x in enumerate(urls))
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert u.judge_urls(frame.limit(0), u.rules_frame(spark, rules)).count() == 0
