@@ -247,12 +247,37 @@ def _escaped(column: str) -> str:
     return sql
 
 
+_OP9 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS d, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)
+), windows AS (
+  SELECT d, doc_id, unnest(range(0, len(w) - 50)) AS i,
+    unnest(list_transform(range(0, len(w) - 50), lambda i: array_to_string(w[i + 1 : i + 51], ' '))) AS words
+  FROM texts WHERE len(w) > 50
+), shared AS (
+  SELECT words FROM windows GROUP BY words HAVING min(d) < max(d)
+), begun AS (
+  SELECT d, doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY d ORDER BY i) >= 51, true) AS begins
+  FROM windows SEMI JOIN shared USING (words)
+), runs AS (
+  SELECT d, doc_id, i, count(*) FILTER (begins) OVER (PARTITION BY d ORDER BY i) AS run FROM begun
+), passages AS (
+  SELECT d, doc_id, min(i) AS first, max(i) + 51 - min(i) AS n FROM runs GROUP BY d, doc_id, run
+)
+SELECT doc_id, count(*) AS n_passages, CAST(sum(n) AS BIGINT) AS repeated_words,
+  string_agg(first || ':' || n, ',' ORDER BY first) AS passages
+FROM passages GROUP BY d, doc_id
+"""
+
 ORACLE: dict[str, str] = {
     "op1_warc": _OP1,
     "op2_url_filters": _OP2,
     "op5_benchmark_decontamination": _OP5,
     "op6_quality_rules": _OP6,
     "op8_chat_format": _OP8.replace("ESCAPED", _escaped("text")),
+    "op9_substring_dedup": _OP9,
     "op12_merkle_manifest": _merkle(),
     "op13_vector_codes": _vector_codes(),
     "op11_license_scan": _OP11.replace("PATTERNS", _license_patterns()),
