@@ -1,14 +1,20 @@
 """Quality scores from random-indexing word vectors and a two-layer network.
 
 Tokens are runs of letters, of digits and of other signs, so a word and the signs on it are
-neighbours. Every token falls into one of BUCKETS buckets; a bucket has a sparse random index vector
-of +1 and -1, and its word vector is the sum of the index vectors of all neighbours its tokens have
-in the whole corpus. Sums are of integers, so neither order nor repetition of tasks changes them.
-A document is the mean of its tokens' unit word vectors, weighted by their rarity, with three counts.
+neighbours. Every token has a sparse random index vector of +1 and -1, drawn from its hash, and its word
+vector is the sum of the index vectors of all neighbours it has in the whole corpus: partial sums per
+partition, added up by token in one exchange. A document is the mean of its tokens' unit word vectors,
+weighted by their rarity, with three counts.
+
+Pooling takes two ways that give the same sums. A token that makes up at least one in FREQUENT of all
+occurrences is looked up in a broadcast table; there can be no more than FREQUENT of these, whatever the
+corpus. All others are joined by token, and none of them is a hot key, by the same bound. Sums of neighbours
+and of vectors are of integers (vectors are rounded to 1 / SCALE), so neither the order nor the
+repetition of tasks changes them, nor which of the two ways a token took.
 
 Two layers in numpy are fitted on a bounded sample of labelled rows (TRAIN_ROWS); a temperature,
-fitted on rows kept from it, calibrates the probability. What a fit collects is bounded by BUCKETS,
-DIMENSIONS and TRAIN_ROWS; counts and scores cover all rows.
+fitted on rows kept from it, calibrates the probability. What is collected is bounded by FREQUENT,
+DIMENSIONS and TRAIN_ROWS; word vectors, counts and scores cover all tokens of all rows.
 
 Defined results: a null text is an empty one; texts without tokens are pooled to zeros and scored
 like any other; rows are scored one by one, so repeated rows and ids stay; labels that are null do
@@ -19,134 +25,175 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedgate.llm.common import arrow_rows, small_batches
 from feedgate.sources.scratch import save
 
-BUCKETS = 1 << 13
 DIMENSIONS = 32
-NONZERO = 2
+NONZERO = 4
+#: A token is frequent if it makes up one in this many occurrences: so many are broadcast at most.
+FREQUENT = 1 << 16
+SCALE = 1 << 20
 TRAIN_ROWS = 20_000
 HIDDEN = 24
 EXTRA = 3
 SEED = 3
 
 _TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\x00-\x20A-Za-z0-9\x80-\xff]+")
-_KNOWN_TOKENS = 500_000
+#: Tokens whose partial sums a task holds before it hands them on, and tokens added to them at once.
+_HELD_TOKENS = 100_000
+_AT_ONCE = 250_000
 
+_SUMS = [f"s{i}" for i in range(DIMENSIONS)]
 
-class _Buckets(dict):
-    """Token to bucket, remembered for as many tokens as fit."""
 
-    def __missing__(self, token: bytes) -> int:
-        if len(self) > _KNOWN_TOKENS:
-            self.clear()
-        bucket = self[token] = zlib.crc32(token) % BUCKETS
-        return bucket
+def tokens_of(text: str | None) -> list[bytes]:
+    return _TOKEN.findall((text or "").encode("utf-8", "surrogatepass"))
 
 
-_buckets = _Buckets()
+def index_vector(token: bytes) -> list[tuple[int, int]]:
+    """Places and signs of the entries of a token's index vector; equal places add up."""
+    drawn = zlib.crc32(token, SEED)
+    return [((drawn >> 8 * k) % DIMENSIONS, 1 - 2 * (drawn >> 8 * k + 7 & 1)) for k in range(NONZERO)]
 
 
-def token_buckets(text: str | None) -> np.ndarray:
-    tokens = _TOKEN.findall((text or "").encode("utf-8", "surrogatepass"))
-    return np.fromiter(map(_buckets.__getitem__, tokens), np.int64, len(tokens))
+class _Held(dict):
+    """Tokens of a task numbered as they come, with their index vectors, counts and sums of neighbours."""
 
+    def __init__(self) -> None:
+        self.places, self.signs = [], []
+        self.counts, self.sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the nonzero entries of every bucket's index vector."""
-    draw = np.random.default_rng(SEED)
-    return draw.integers(0, DIMENSIONS, (BUCKETS, NONZERO)), draw.choice([-1, 1], (BUCKETS, NONZERO))
-
+    def __missing__(self, token: bytes) -> int:
+        number = self[token] = len(self)
+        places, signs = zip(*index_vector(token))
+        self.places.append(places)
+        self.signs.append(signs)
+        return number
+
+    def add(self, ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+        """Occurrences, and pairs of neighbours."""
+        size = max(len(self), len(self.counts))
+        if size > len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros(size - len(self.counts), np.int64)])
+            self.sums = np.concatenate([self.sums, np.zeros(size * DIMENSIONS - len(self.sums), np.int64)])
+        self.counts += np.bincount(ids, minlength=size)
+        places, signs = np.array(self.places, np.int64), np.array(self.signs, np.int64)
+        for k in range(NONZERO):
+            np.add.at(self.sums, left * DIMENSIONS + places[right, k], signs[right, k])
+            np.add.at(self.sums, right * DIMENSIONS + places[left, k], signs[left, k])
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of neighbours' index vectors over a partition: one row per bucket that occurs."""
-    places, signs = index_vectors()
-    sums, counts = np.zeros(BUCKETS * DIMENSIONS, np.int64), np.zeros(BUCKETS, np.int64)
-    left, right, held = [], [], 0
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        tokens, sums = list(self), self.sums.reshape(-1, DIMENSIONS)
+        for at in range(0, len(tokens), 10_000):
+            some = slice(at, at + 10_000)
+            columns = [pa.array(tokens[some], pa.binary()), pa.array(self.counts[some])]
+            columns += [pa.array(np.ascontiguousarray(sums[some, i])) for i in range(DIMENSIONS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "count", *_SUMS])
 
-    def add() -> None:
-        one, other = np.concatenate(left), np.concatenate(right)
-        for k in range(NONZERO):
-            for at, by in ((one, other), (other, one)):
-                spot = at * DIMENSIONS + places[by, k]
-                plus = signs[by, k] > 0
-                np.add(sums, np.bincount(spot[plus], minlength=len(sums)), out=sums)
-                np.subtract(sums, np.bincount(spot[~plus], minlength=len(sums)), out=sums)
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts and sums of neighbours' index vectors over a task: one row or more per token that occurs."""
+    held, ids, left, right, waiting = _Held(), [], [], [], 0
     for (text,) in arrow_rows(batches, "text"):
-        ids = token_buckets(text)
-        np.add.at(counts, ids, 1)
-        left.append(ids[:-1])
-        right.append(ids[1:])
-        held += len(ids)
-        if held >= 1_000_000:
-            add()
-            left, right, held = [], [], 0
-    if left:
-        add()
-    seen = np.flatnonzero(counts)
-    rows = [pa.array(seen), pa.array(counts[seen]), pa.array(sums.reshape(BUCKETS, DIMENSIONS)[seen].tolist(), pa.list_(pa.int64()))]
-    yield pa.RecordBatch.from_arrays(rows, names=["bucket", "count", "sums"])
-
-
-_CONTEXTS = "bucket long, count long, sums array<long>"
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up rows of the same bucket; a partition has whole buckets."""
-    sums, counts = np.zeros((BUCKETS, DIMENSIONS), np.int64), np.zeros(BUCKETS, np.int64)
+        tokens = tokens_of(text)
+        for at in range(0, len(tokens), _AT_ONCE):
+            # The token before the stretch is a neighbour of its first, and counted with its own stretch.
+            begin = max(at - 1, 0)
+            some = np.fromiter(map(held.__getitem__, tokens[begin : at + _AT_ONCE]), np.int64)
+            ids.append(some[at - begin :])
+            left.append(some[:-1])
+            right.append(some[1:])
+            waiting += len(some)
+            if waiting >= _AT_ONCE:
+                held.add(*map(np.concatenate, (ids, left, right)))
+                ids, left, right, waiting = [], [], [], 0
+                if len(held) >= _HELD_TOKENS:
+                    yield from held.rows()
+                    held = _Held()
+    if ids:
+        held.add(*map(np.concatenate, (ids, left, right)))
+    yield from held.rows()
+
+
+def word_vectors(docs: DataFrame, *, text_col: str = "text") -> tuple[DataFrame, int]:
+    """token, count and the word vector times SCALE in whole numbers, of every token; and all occurrences."""
+    types = ", ".join(f"{name} long" for name in ("count", *_SUMS))
+    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_contexts, f"token binary, {types}")
+    sums = save(parts.groupBy("token").agg(*(F.sum(name).alias(name) for name in ("count", *_SUMS))), "contexts")
+    total = sums.agg(F.sum("count")).first()[0] or 0
+    length = F.sqrt(reduce(add, (F.col(name).cast("double") * F.col(name) for name in _SUMS)))
+    weight = F.log1p(F.lit(float(total)) / F.col("count")) / F.greatest(length, F.lit(1e-9)) * SCALE
+    return sums.select("token", "count", *(F.round(F.col(name) * weight).cast("long").alias(name) for name in _SUMS)), total
+
+
+def _counted(batches: Iterator[pa.RecordBatch], known: dict[bytes, int], vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Per row its tokens, different ones, the sum of frequent tokens' vectors, and how often it has each other token."""
     for batch in batches:
-        bucket = batch.column("bucket").to_numpy()
-        np.add.at(counts, bucket, batch.column("count").to_numpy())
-        np.add.at(sums, bucket, batch.column("sums").flatten().to_numpy().reshape(-1, DIMENSIONS))
-    seen = np.flatnonzero(counts)
-    rows = [pa.array(seen), pa.array(counts[seen]), pa.array(sums[seen].tolist(), pa.list_(pa.int64()))]
-    yield pa.RecordBatch.from_arrays(rows, names=["bucket", "count", "sums"])
-
-
-def word_vectors(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
-    """BUCKETS unit vectors times their rarity, float32; from all rows."""
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_contexts, _CONTEXTS)
-    whole = save(parts.repartition("bucket").mapInArrow(_summed, _CONTEXTS), "contexts")
-    vectors = np.zeros((BUCKETS, DIMENSIONS), np.float32)
-    rows = whole.collect()  # at most BUCKETS
-    total = sum(row["count"] for row in rows)
-    for row in rows:
-        sums = np.array(row["sums"], float)
-        length = np.sqrt((sums * sums).sum())
-        vectors[row["bucket"]] = sums / max(length, 1e-9) * np.log1p(total / row["count"])
-    return vectors
-
-
-def pooled(text: Column, vectors: np.ndarray) -> Column:
-    """A document's mean token vector, then log of its tokens, share of different ones, and spread."""
-    shared = SparkSession.active().sparkContext.broadcast(vectors)
-
-    @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def pool(texts: pa.Array) -> pa.Array:
-        table, rows = shared.value, np.zeros((len(texts), DIMENSIONS + EXTRA), np.float32)
-        for i, one in enumerate(texts.to_pylist()):
-            ids = token_buckets(one)
-            if len(ids):
-                found = np.zeros(DIMENSIONS)
-                for at in range(0, len(ids), 100_000):
-                    found += table[ids[at : at + 100_000]].sum(0, dtype=np.float64)
-                found /= len(ids)
-                extra = np.log1p(len(ids)), len(np.unique(ids)) / len(ids), np.sqrt((found * found).sum())
-                rows[i] = [*found, *extra]
-        offsets = pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32())
-        return pa.ListArray.from_arrays(offsets, pa.array(rows.ravel()))
-
-    return pool(text)
+        sums, sizes, others = [], [], []
+        for text in batch.column("text").to_pylist():
+            found = Counter(tokens_of(text))
+            sizes.append((found.total(), len(found)))
+            places = np.fromiter((known.get(token, -1) for token in found), np.int64, len(found))
+            often = np.fromiter(found.values(), np.int64, len(found))
+            others.append([(token, n) for (token, n), place in zip(found.items(), places) if place < 0])
+            places, often = places[places >= 0], often[places >= 0]
+            sums.append(sum((often[at : at + 10_000] @ vectors[places[at : at + 10_000]] for at in range(0, len(often), 10_000)), np.zeros(DIMENSIONS, np.int64)))
+        table, n = np.array(sums, np.int64).reshape(-1, DIMENSIONS), np.array(sizes, np.int64).reshape(-1, 2)
+        offsets = pa.array(np.cumsum([0, *map(len, others)]), pa.int32())
+        flat = [pair for pairs in others for pair in pairs]
+        pairs = pa.StructArray.from_arrays(
+            [pa.array([token for token, _ in flat], pa.binary()), pa.array([n for _, n in flat], pa.int64())], names=["token", "often"]
+        )
+        columns = [batch.column("row"), batch.column("id"), pa.array(n[:, 0]), pa.array(n[:, 1])]
+        columns += [pa.array(np.ascontiguousarray(table[:, i])) for i in range(DIMENSIONS)]
+        columns.append(pa.ListArray.from_arrays(offsets, pairs))
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "n", "different", *_SUMS, "others"])
+
+
+def pooled(docs: DataFrame, vectors: DataFrame, total: int, *, frequent: int | None = None) -> DataFrame:
+    """id and x of ``docs`` (id, text): the mean token vector, then log of its tokens, share of different ones, and length.
+
+    Ids may be repeated or null: rows are numbered as they are written, and joined by their numbers. Rows of
+    frequent tokens only take no part in the join.
+    """
+    often = F.col("count") * F.lit(frequent or FREQUENT) >= total
+    top = vectors.where(often).collect()  # at most FREQUENT, since their shares add up to one at most
+    known = {bytes(row["token"]): i for i, row in enumerate(top)}
+    matrix = np.array([[row[name] for name in _SUMS] for row in top], np.int64).reshape(-1, DIMENSIONS)
+    shared = docs.sparkSession.sparkContext.broadcast((known, matrix))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _counted(batches, *shared.value)
+
+    types = T.StructType().add("row", T.LongType()).add("id", docs.schema["id"].dataType)
+    for name in ("n", "different", *_SUMS):
+        types = types.add(name, T.LongType())
+    pair = T.StructType().add("token", T.BinaryType()).add("often", T.LongType())
+    types = types.add("others", T.ArrayType(pair))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    first = save(numbered.mapInArrow(counted, types), "counted")
+    words = first.select("row", F.explode("others").alias("other")).select("row", "other.token", "other.often")
+    joined = words.join(vectors.where(~often).drop("count"), "token")
+    more = joined.groupBy("row").agg(*(F.sum(F.col("often") * F.col(name)).alias(f"{name}_more") for name in _SUMS))
+    both = first.drop("others").join(more, "row", "left")
+    per = F.greatest("n", F.lit(1)).cast("double")
+    mean = [(F.col(name) + F.coalesce(f"{name}_more", F.lit(0))) / SCALE / per for name in _SUMS]
+    rows = both.select("id", "n", "different", F.array(*mean).alias("mean"))
+    length = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda found, one: found + one * one))
+    extra = F.array(F.log1p(F.col("n").cast("double")), F.col("different") / per, length)
+    return rows.select("id", F.concat("mean", extra).cast("array<float>").alias("x"))
 
 
 # ---------------------------------------------------------------- the network
@@ -217,8 +264,8 @@ def score_documents(
     held = lambda name: F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % 3 == 1
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    vectors = word_vectors(rows)
-    points = save(rows.select("id", pooled(F.col("text"), vectors).alias("x")), "pooled")
+    vectors, total = word_vectors(rows)
+    points = save(pooled(rows, vectors, total), "pooled")
 
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held(id_col))
     known = known.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("double").alias("y"))

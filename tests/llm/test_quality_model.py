@@ -1,6 +1,9 @@
+import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from feedgate.llm import quality_model as q
 
@@ -45,19 +48,105 @@ def test_rows_of_every_kind(spark):
     assert q.score_documents(docs.limit(0), labels).count() == 0
 
 
-def test_word_vectors_are_sums_over_neighbours(spark):
-    texts = ["a b!! c", "b c 12", None, "", "a"]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
-    places, signs = q.index_vectors()
-    sums, counts = np.zeros((q.BUCKETS, q.DIMENSIONS)), np.zeros(q.BUCKETS)
-    for tokens in (["a", "b", "!!", "c"], ["b", "c", "12"], ["a"]):
-        ids = [zlib.crc32(t.encode()) % q.BUCKETS for t in tokens]
-        for i, at in enumerate(ids):
-            counts[at] += 1
+def plain_vectors(texts):
+    """Word vectors and counts one neighbour at a time."""
+    sums, counts = {}, {}
+    for text in texts:
+        tokens = q.tokens_of(text)
+        for i, token in enumerate(tokens):
+            counts[token] = counts.get(token, 0) + 1
+            own = sums.setdefault(token, [0] * q.DIMENSIONS)
             for j in (i - 1, i + 1):
-                if 0 <= j < len(ids):
-                    for k in range(q.NONZERO):
-                        sums[at, places[ids[j], k]] += signs[ids[j], k]
-    length = np.maximum(np.sqrt((sums**2).sum(1)), 1e-9)[:, None]
-    want = sums / length * np.log1p(np.divide(counts.sum(), counts, out=np.zeros_like(counts), where=counts > 0))[:, None]
-    assert np.allclose(q.word_vectors(docs), want, atol=1e-5)
+                if 0 <= j < len(tokens):
+                    for place, sign in q.index_vector(tokens[j]):
+                        own[place] += sign
+    total, found = sum(counts.values()), {}
+    for token, own in sums.items():
+        weight = math.log1p(total / counts[token]) / max(math.sqrt(sum(v * v for v in own)), 1e-9) * q.SCALE
+        found[token] = [v * weight for v in own]
+    return found, counts, total
+
+
+def plain_pool(text, vectors):
+    tokens = q.tokens_of(text)
+    if not tokens:
+        return [0.0] * (q.DIMENSIONS + q.EXTRA)
+    mean = [sum(vectors[t][i] for t in tokens) / q.SCALE / len(tokens) for i in range(q.DIMENSIONS)]
+    return [*mean, math.log1p(len(tokens)), len(set(tokens)) / len(tokens), math.sqrt(sum(v * v for v in mean))]
+
+
+ODD = ["a b!! c", "b c 12", None, "", "a", "  ", "😀 über 7-7-7", "same same same " * 50]
+
+
+def test_word_vectors_are_sums_over_neighbours(spark, monkeypatch):
+    # Small stretches and few tokens held: partial sums of one token come from many places.
+    monkeypatch.setattr(q, "_AT_ONCE", 3)
+    monkeypatch.setattr(q, "_HELD_TOKENS", 2)
+    docs = spark.createDataFrame([(t,) for t in ODD], "text string").repartition(3)
+    want, counts, total = plain_vectors(ODD)
+    # The same stretches in this process, where the patches hold: partial rows add up to the whole sums.
+    parts = list(q._contexts(iter([pa.RecordBatch.from_pydict({"text": pa.array(ODD, pa.string())})])))
+    rows = [row for part in parts for row in part.to_pylist()]
+    assert len(rows) > len(counts)
+    for token in counts:
+        assert sum(r["count"] for r in rows if r["token"] == token) == counts[token]
+    got, found_total = q.word_vectors(docs)
+    got = {bytes(r.token): r for r in got.collect()}
+    assert found_total == total and set(got) == set(want)
+    for token, vector in want.items():
+        assert got[token]["count"] == counts[token]
+        whole = [sum(r[f"s{i}"] for r in rows if r["token"] == token) for i in range(q.DIMENSIONS)]
+        size = max(math.sqrt(sum(v * v for v in whole)), 1e-9)
+        weight = math.log1p(total / counts[token]) / size * q.SCALE
+        for i in range(q.DIMENSIONS):
+            assert abs(got[token][f"s{i}"] - vector[i]) <= 0.51
+            assert abs(whole[i] * weight - vector[i]) <= 1e-6
+
+
+def test_pooling_equals_the_plain_mean_whichever_way_a_token_takes(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ODD
+    rows = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "id long, text string").repartition(4)
+    vectors, total = q.word_vectors(rows)
+    plain, counts, _ = plain_vectors(texts)
+    want = sorted((i // 2, *plain_pool(t, plain)) for i, t in enumerate(texts))
+    ways = [sorted((r.id, *r.x) for r in q.pooled(rows, vectors, total, frequent=n).collect()) for n in (1, 50, 1 << 30)]
+    # All tokens joined, some of either kind, all looked up: the same bits.
+    assert ways[0] == ways[1] == ways[2]
+    assert not any(n >= total for n in counts.values())
+    for got, exact in zip(ways[0], want):
+        assert got[0] == exact[0] and np.allclose(got[1:], exact[1:], atol=2e-5)
+
+
+def test_no_more_frequent_tokens_than_the_bound(spark):
+    texts = [f"w{i} common" for i in range(40)]
+    vectors, total = q.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
+    for frequent in (1, 3, 7, 1000):
+        assert vectors.where(F.col("count") * frequent >= total).count() <= frequent
+
+
+def test_network_and_temperature_equal_plain_loops():
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(600, 6))
+    chance = 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1] * x[:, 2])))
+    y, spare = (draw.random(600) < chance).astype(float), draw.random(600) < 0.25
+    net = q.fit(x, y, spare)
+
+    def logit(row):
+        hidden = []
+        for j in range(len(net.b1)):
+            z = net.b1[j] + sum((row[i] - net.mean[i]) / net.scale[i] * net.w1[i][j] for i in range(len(row)))
+            hidden.append(math.tanh(z))
+        return net.b2 + sum(h * w for h, w in zip(hidden, net.w2))
+
+    logits = [logit(row) for row in x]
+    assert np.allclose(net.score(x), [1 / (1 + math.exp(-z / net.temperature)) for z in logits])
+
+    def loss(t):
+        return sum(math.log1p(math.exp(-(z if w else -z) / t)) for z, w, s in zip(logits, y, spare) if s)
+
+    # No temperature of a finer grid is better by more than what a step of the fit's grid can cost.
+    best = min(loss(math.exp(v)) for v in np.linspace(math.log(0.25), math.log(8), 400))
+    assert loss(net.temperature) <= best + 0.05 * spare.sum() / 100
+    # It learns: better than always the share, on rows the weights have not seen.
+    share = y[~spare].mean()
+    assert loss(net.temperature) < -sum(math.log(share if w else 1 - share) for w, s in zip(y, spare) if s) * 0.9
