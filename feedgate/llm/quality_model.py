@@ -1,20 +1,21 @@
 """Quality scores from random-indexing word vectors and a two-layer network.
 
 Tokens are runs of letters, of digits and of other signs, so a word and the signs on it are
-neighbours. Every token has a sparse random index vector of +1 and -1, drawn from its hash, and its word
-vector is the sum of the index vectors of all neighbours it has in the whole corpus: partial sums per
-partition, added up by token in one exchange. A document is the mean of its tokens' unit word vectors,
-weighted by their rarity, with three counts.
-
-Pooling takes two ways that give the same sums. A token that makes up at least one in FREQUENT of all
-occurrences is looked up in a broadcast table; there can be no more than FREQUENT of these, whatever the
-corpus. All others are joined by token, and none of them is a hot key, by the same bound. Sums of neighbours
-and of vectors are of integers (vectors are rounded to 1 / SCALE), so neither the order nor the
-repetition of tasks changes them, nor which of the two ways a token took.
+neighbours. Every token has a sparse random index vector of +1 and -1, drawn from its hash. A unit's vector is
+the sum of the index vectors of all neighbours its tokens have in the whole corpus, of unit length, times
+its rarity. A token that makes up at least one in FREQUENT of all tokens is a unit of its own. Rarer ones have
+too few neighbours for that: their units are their pieces (three bytes, with the edges as bytes), whose
+vectors are averaged; pieces rarer than one in FREQUENT are one unit together. Tokens and pieces are counted
+exactly, over all rows, so what is a unit does not depend on how rows are spread.
+
+There can be no more than FREQUENT units of either kind, whatever the corpus, so their vectors are
+broadcast, and none is shared by accident. Sums of neighbours and of vectors are of integers (vectors are
+rounded to 1 / SCALE), so neither the order nor the repetition of tasks changes them. A document is the
+mean of its tokens' vectors, with three counts.
 
 Two layers in numpy are fitted on a bounded sample of labelled rows (TRAIN_ROWS); a temperature,
 fitted on rows kept from it, calibrates the probability. What is collected is bounded by FREQUENT,
-DIMENSIONS and TRAIN_ROWS; word vectors, counts and scores cover all tokens of all rows.
+DIMENSIONS and TRAIN_ROWS; counts, vectors and scores cover all tokens of all rows.
 
 Defined results: a null text is an empty one; texts without tokens are pooled to zeros and scored
 like any other; rows are scored one by one, so repeated rows and ids stay; labels that are null do
@@ -28,8 +29,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from operator import add
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +42,7 @@ from feedgate.sources.scratch import save
 
 DIMENSIONS = 32
 NONZERO = 4
-#: A token is frequent if it makes up one in this many occurrences: so many are broadcast at most.
+#: A token, or a piece, is frequent if it makes up one in this many: so many units there are at most.
 FREQUENT = 1 << 16
 SCALE = 1 << 20
 TRAIN_ROWS = 20_000
@@ -51,8 +51,8 @@ EXTRA = 3
 SEED = 3
 
 _TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\x00-\x20A-Za-z0-9\x80-\xff]+")
-#: Tokens whose partial sums a task holds before it hands them on, and tokens added to them at once.
-_HELD_TOKENS = 100_000
+#: Different tokens a task keeps in mind, and tokens it works on at once.
+_HELD_TOKENS = 200_000
 _AT_ONCE = 250_000
 
 _SUMS = [f"s{i}" for i in range(DIMENSIONS)]
@@ -62,49 +62,129 @@ def tokens_of(text: str | None) -> list[bytes]:
     return _TOKEN.findall((text or "").encode("utf-8", "surrogatepass"))
 
 
-def index_vector(token: bytes) -> list[tuple[int, int]]:
-    """Places and signs of the entries of a token's index vector; equal places add up."""
-    drawn = zlib.crc32(token, SEED)
-    return [((drawn >> 8 * k) % DIMENSIONS, 1 - 2 * (drawn >> 8 * k + 7 & 1)) for k in range(NONZERO)]
+def index_places(drawn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the entries of index vectors, by the tokens' hashes; equal places add up."""
+    turns = 8 * np.arange(NONZERO)
+    return drawn[:, None] >> turns & DIMENSIONS - 1, 1 - 2 * (drawn[:, None] >> turns + 7 & 1)
+
+
+def pieces_of(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Every piece of every token as a number, and the place of its token in the list.
+
+    A token has as many pieces as bytes. Zero, which no token has, stands for the edges.
+    """
+    joined = np.frombuffer(b"\0" + b"\0".join(tokens) + b"\0", np.uint8).astype(np.int64)
+    middle = np.flatnonzero(joined[1:-1]) + 1
+    numbers = joined[middle - 1] << 16 | joined[middle] << 8 | joined[middle + 1]
+    return numbers, np.repeat(np.arange(len(tokens)), [len(token) for token in tokens])
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens and pieces of a task with counts; a piece is told by its leading zero."""
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        tokens, often = list(found), np.fromiter(found.values(), np.int64, len(found))
+        numbers, owner = pieces_of(tokens)
+        different, place = np.unique(numbers, return_inverse=True)
+        whole = np.bincount(place, often[owner], len(different)).astype(np.int64)
+        names = [int(number).to_bytes(4, "big") for number in different]
+        for units, counts in ((tokens, often), (names, whole)):
+            for at in range(0, len(units), 10_000):
+                columns = [pa.array(units[at : at + 10_000], pa.binary()), pa.array(counts[at : at + 10_000])]
+                yield pa.RecordBatch.from_arrays(columns, names=["unit", "count"])
+
+    found: Counter[bytes] = Counter()
+    for (text,) in arrow_rows(batches, "text"):
+        found.update(tokens_of(text))
+        if len(found) >= _HELD_TOKENS:
+            yield from rows()
+            found.clear()
+    if found:
+        yield from rows()
+
+
+@dataclass(frozen=True)
+class Units:
+    """What has a vector: frequent tokens, then frequent pieces, then all other pieces together."""
+
+    words: list[bytes]
+    pieces: np.ndarray
+    """Numbers of pieces, ascending."""
+
+    @cached_property
+    def place(self) -> dict[bytes, int]:
+        return {word: i for i, word in enumerate(self.words)}
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.pieces) + 1
+
+    def of_pieces(self, numbers: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.pieces, numbers)
+        known = at < len(self.pieces)
+        known[known] = self.pieces[at[known]] == numbers[known]
+        return np.where(known, len(self.words) + at, len(self) - 1)
+
+
+def find_units(docs: DataFrame, *, frequent: int = FREQUENT) -> tuple[Units, int]:
+    """Frequent tokens and pieces of all rows of ``docs`` (text), and the number of all tokens."""
+    parts = docs.select("text").mapInArrow(_tally, "unit binary, count long")
+    counts = save(parts.groupBy("unit").agg(F.sum("count").alias("count")), "tokens")
+    piece = F.startswith("unit", F.lit(b"\0"))
+    sums = {row.piece: row.total for row in counts.groupBy(piece.alias("piece")).agg(F.sum("count").alias("total")).collect()}
+    least = F.when(piece, sums.get(True, 0)).otherwise(sums.get(False, 0))
+    # Shares add up to one, so there are at most `frequent` of either kind.
+    top = [bytes(row.unit) for row in counts.where(F.col("count") * frequent >= least).select("unit").collect()]
+    words = sorted(unit for unit in top if unit[0])
+    pieces = np.array(sorted(int.from_bytes(unit, "big") for unit in top if not unit[0]), np.int64)
+    return Units(words, pieces), sums.get(False, 0)
 
 
 class _Held(dict):
-    """Tokens of a task numbered as they come, with their index vectors, counts and sums of neighbours."""
+    """Tokens of a task numbered as they come, with their counts and sums of neighbours' index vectors."""
 
     def __init__(self) -> None:
-        self.places, self.signs = [], []
+        self.drawn: list[int] = []
         self.counts, self.sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __missing__(self, token: bytes) -> int:
         number = self[token] = len(self)
-        places, signs = zip(*index_vector(token))
-        self.places.append(places)
-        self.signs.append(signs)
+        self.drawn.append(zlib.crc32(token, SEED))
         return number
 
-    def add(self, ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    def add(self, ids: list[np.ndarray], left: list[np.ndarray], right: list[np.ndarray]) -> None:
         """Occurrences, and pairs of neighbours."""
-        size = max(len(self), len(self.counts))
-        if size > len(self.counts):
-            self.counts = np.concatenate([self.counts, np.zeros(size - len(self.counts), np.int64)])
-            self.sums = np.concatenate([self.sums, np.zeros(size * DIMENSIONS - len(self.sums), np.int64)])
-        self.counts += np.bincount(ids, minlength=size)
-        places, signs = np.array(self.places, np.int64), np.array(self.signs, np.int64)
-        for k in range(NONZERO):
-            np.add.at(self.sums, left * DIMENSIONS + places[right, k], signs[right, k])
-            np.add.at(self.sums, right * DIMENSIONS + places[left, k], signs[left, k])
-
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        tokens, sums = list(self), self.sums.reshape(-1, DIMENSIONS)
-        for at in range(0, len(tokens), 10_000):
-            some = slice(at, at + 10_000)
-            columns = [pa.array(tokens[some], pa.binary()), pa.array(self.counts[some])]
-            columns += [pa.array(np.ascontiguousarray(sums[some, i])) for i in range(DIMENSIONS)]
-            yield pa.RecordBatch.from_arrays(columns, names=["token", "count", *_SUMS])
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts and sums of neighbours' index vectors over a task: one row or more per token that occurs."""
+        more = len(self) - len(self.counts)
+        self.counts = np.concatenate([self.counts, np.zeros(more, np.int64)])
+        self.sums = np.concatenate([self.sums, np.zeros(more * DIMENSIONS, np.int64)])
+        self.counts += np.bincount(np.concatenate(ids), minlength=len(self))
+        one, other = np.concatenate(left), np.concatenate(right)
+        places, signs = index_places(np.array(self.drawn, np.int64))
+        for at, by in ((one, other), (other, one)):
+            for k in range(NONZERO):
+                np.add.at(self.sums, at * DIMENSIONS + places[by, k], signs[by, k])
+
+    def hand_over(self, units: Units, counts: np.ndarray, sums: np.ndarray) -> None:
+        """Adds what is held to the units: to a token's own, or to all its pieces'."""
+        if not self:
+            return
+        own = self.sums.reshape(-1, DIMENSIONS)
+        place = np.fromiter((units.place.get(token, -1) for token in self), np.int64, len(self))
+        words = np.flatnonzero(place >= 0)
+        counts[place[words]] += self.counts[words]
+        sums[place[words]] += own[words]
+        rest = np.flatnonzero(place < 0)
+        tokens = list(self)
+        numbers, owner = pieces_of([tokens[i] for i in rest])
+        unit, source = units.of_pieces(numbers), rest[owner]
+        # Whole numbers below 2 ** 53 are exact as weights.
+        counts += np.bincount(unit, self.counts[source], len(counts)).astype(np.int64)
+        for i in range(DIMENSIONS):
+            sums[:, i] += np.bincount(unit, own[source, i], len(counts)).astype(np.int64)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBatch]:
+    """Occurrences and sums of neighbours' index vectors over a task: one row per unit that occurs."""
+    counts, sums = np.zeros(len(units), np.int64), np.zeros((len(units), DIMENSIONS), np.int64)
     held, ids, left, right, waiting = _Held(), [], [], [], 0
     for (text,) in arrow_rows(batches, "text"):
         tokens = tokens_of(text)
@@ -117,83 +197,103 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             right.append(some[1:])
             waiting += len(some)
             if waiting >= _AT_ONCE:
-                held.add(*map(np.concatenate, (ids, left, right)))
+                held.add(ids, left, right)
                 ids, left, right, waiting = [], [], [], 0
                 if len(held) >= _HELD_TOKENS:
-                    yield from held.rows()
+                    held.hand_over(units, counts, sums)
                     held = _Held()
     if ids:
-        held.add(*map(np.concatenate, (ids, left, right)))
-    yield from held.rows()
+        held.add(ids, left, right)
+    held.hand_over(units, counts, sums)
+    seen = np.flatnonzero(counts)
+    for at in range(0, len(seen), 10_000):
+        some = seen[at : at + 10_000]
+        columns = [pa.array(some), pa.array(counts[some]), *(pa.array(sums[some, i]) for i in range(DIMENSIONS))]
+        yield pa.RecordBatch.from_arrays(columns, names=["unit", "count", *_SUMS])
+
 
+def unit_vectors(docs: DataFrame, units: Units, total: int) -> np.ndarray:
+    """The units' vectors times rarity and SCALE in whole numbers, from all rows of ``docs`` (text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(units)
 
-def word_vectors(docs: DataFrame, *, text_col: str = "text") -> tuple[DataFrame, int]:
-    """token, count and the word vector times SCALE in whole numbers, of every token; and all occurrences."""
-    types = ", ".join(f"{name} long" for name in ("count", *_SUMS))
-    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_contexts, f"token binary, {types}")
-    sums = save(parts.groupBy("token").agg(*(F.sum(name).alias(name) for name in ("count", *_SUMS))), "contexts")
-    total = sums.agg(F.sum("count")).first()[0] or 0
-    length = F.sqrt(reduce(add, (F.col(name).cast("double") * F.col(name) for name in _SUMS)))
-    weight = F.log1p(F.lit(float(total)) / F.col("count")) / F.greatest(length, F.lit(1e-9)) * SCALE
-    return sums.select("token", "count", *(F.round(F.col(name) * weight).cast("long").alias(name) for name in _SUMS)), total
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _contexts(batches, shared.value)
 
+    types = ", ".join(f"{name} long" for name in ("unit", "count", *_SUMS))
+    parts = docs.select("text").mapInArrow(contexts, types)
+    vectors = np.zeros((len(units), DIMENSIONS), np.int64)
+    rows = parts.groupBy("unit").agg(*(F.sum(name).alias(name) for name in ("count", *_SUMS))).collect()  # a row per unit
+    for row in rows:
+        sums = np.array(row[2:], float)
+        length = max(np.sqrt((sums * sums).sum()), 1e-9)
+        vectors[row["unit"]] = np.rint(sums / length * np.log1p(total / row["count"]) * SCALE)
+    return vectors
+
+
+class _Vectors(dict):
+    """Tokens numbered as they come, and their vectors in whole numbers."""
+
+    def __init__(self, units: Units, vectors: np.ndarray) -> None:
+        self.units, self.vectors = units, vectors
+        self.rows = np.zeros((0, DIMENSIONS), np.int64)
+
+    def __missing__(self, token: bytes) -> int:
+        number = self[token] = len(self)
+        return number
+
+    def complete(self) -> np.ndarray:
+        """Vectors of all tokens numbered so far; of a rare token its pieces' mean, rounded down."""
+        fresh = list(self)[len(self.rows) :]
+        if fresh:
+            place = np.fromiter((self.units.place.get(token, -1) for token in fresh), np.int64, len(fresh))
+            rows, rest = self.vectors[place], np.flatnonzero(place < 0)
+            tokens = [fresh[i] for i in rest]
+            numbers, owner = pieces_of(tokens)
+            unit, sizes = self.units.of_pieces(numbers), np.array([len(token) for token in tokens], np.int64)
+            for i in range(DIMENSIONS):
+                rows[rest, i] = np.bincount(owner, self.vectors[unit, i], len(rest)).astype(np.int64) // sizes
+            self.rows = np.concatenate([self.rows, rows])
+        return self.rows
+
+
+def _pooled(batches: Iterator[pa.RecordBatch], units: Units, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+    held = _Vectors(units, vectors)
+
+    def pool(some: list[tuple[np.ndarray, int]]) -> Iterator[list[float]]:
+        table = held.complete()
+        for ids, different in some:
+            found, n = np.zeros(DIMENSIONS, np.int64), max(len(ids), 1)
+            for at in range(0, len(ids), 100_000):
+                found += table[ids[at : at + 100_000]].sum(0)
+            mean = found / SCALE / n
+            yield [*mean, np.log1p(len(ids)), different / n, np.sqrt((mean * mean).sum())]
 
-def _counted(batches: Iterator[pa.RecordBatch], known: dict[bytes, int], vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Per row its tokens, different ones, the sum of frequent tokens' vectors, and how often it has each other token."""
     for batch in batches:
-        sums, sizes, others = [], [], []
+        rows, some, waiting = [], [], 0
         for text in batch.column("text").to_pylist():
-            found = Counter(tokens_of(text))
-            sizes.append((found.total(), len(found)))
-            places = np.fromiter((known.get(token, -1) for token in found), np.int64, len(found))
-            often = np.fromiter(found.values(), np.int64, len(found))
-            others.append([(token, n) for (token, n), place in zip(found.items(), places) if place < 0])
-            places, often = places[places >= 0], often[places >= 0]
-            sums.append(sum((often[at : at + 10_000] @ vectors[places[at : at + 10_000]] for at in range(0, len(often), 10_000)), np.zeros(DIMENSIONS, np.int64)))
-        table, n = np.array(sums, np.int64).reshape(-1, DIMENSIONS), np.array(sizes, np.int64).reshape(-1, 2)
-        offsets = pa.array(np.cumsum([0, *map(len, others)]), pa.int32())
-        flat = [pair for pairs in others for pair in pairs]
-        pairs = pa.StructArray.from_arrays(
-            [pa.array([token for token, _ in flat], pa.binary()), pa.array([n for _, n in flat], pa.int64())], names=["token", "often"]
-        )
-        columns = [batch.column("row"), batch.column("id"), pa.array(n[:, 0]), pa.array(n[:, 1])]
-        columns += [pa.array(np.ascontiguousarray(table[:, i])) for i in range(DIMENSIONS)]
-        columns.append(pa.ListArray.from_arrays(offsets, pairs))
-        yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "n", "different", *_SUMS, "others"])
-
-
-def pooled(docs: DataFrame, vectors: DataFrame, total: int, *, frequent: int | None = None) -> DataFrame:
-    """id and x of ``docs`` (id, text): the mean token vector, then log of its tokens, share of different ones, and length.
-
-    Ids may be repeated or null: rows are numbered as they are written, and joined by their numbers. Rows of
-    frequent tokens only take no part in the join.
-    """
-    often = F.col("count") * F.lit(frequent or FREQUENT) >= total
-    top = vectors.where(often).collect()  # at most FREQUENT, since their shares add up to one at most
-    known = {bytes(row["token"]): i for i, row in enumerate(top)}
-    matrix = np.array([[row[name] for name in _SUMS] for row in top], np.int64).reshape(-1, DIMENSIONS)
-    shared = docs.sparkSession.sparkContext.broadcast((known, matrix))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _counted(batches, *shared.value)
-
-    types = T.StructType().add("row", T.LongType()).add("id", docs.schema["id"].dataType)
-    for name in ("n", "different", *_SUMS):
-        types = types.add(name, T.LongType())
-    pair = T.StructType().add("token", T.BinaryType()).add("often", T.LongType())
-    types = types.add("others", T.ArrayType(pair))
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text")
-    first = save(numbered.mapInArrow(counted, types), "counted")
-    words = first.select("row", F.explode("others").alias("other")).select("row", "other.token", "other.often")
-    joined = words.join(vectors.where(~often).drop("count"), "token")
-    more = joined.groupBy("row").agg(*(F.sum(F.col("often") * F.col(name)).alias(f"{name}_more") for name in _SUMS))
-    both = first.drop("others").join(more, "row", "left")
-    per = F.greatest("n", F.lit(1)).cast("double")
-    mean = [(F.col(name) + F.coalesce(f"{name}_more", F.lit(0))) / SCALE / per for name in _SUMS]
-    rows = both.select("id", "n", "different", F.array(*mean).alias("mean"))
-    length = F.sqrt(F.aggregate("mean", F.lit(0.0), lambda found, one: found + one * one))
-    extra = F.array(F.log1p(F.col("n").cast("double")), F.col("different") / per, length)
-    return rows.select("id", F.concat("mean", extra).cast("array<float>").alias("x"))
+            tokens = tokens_of(text)
+            some.append((np.fromiter(map(held.__getitem__, tokens), np.int64, len(tokens)), len(set(tokens))))
+            waiting += len(tokens)
+            if waiting >= _AT_ONCE:
+                rows.extend(pool(some))
+                some, waiting = [], 0
+                if len(held) >= _HELD_TOKENS:
+                    held = _Vectors(units, vectors)
+        rows.extend(pool(some))
+        flat = np.array(rows, np.float32).reshape(-1, DIMENSIONS + EXTRA)
+        offsets = pa.array(np.arange(0, flat.size + 1, flat.shape[1]), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], names=["id", "x"])
+
+
+def pooled(docs: DataFrame, units: Units, vectors: np.ndarray) -> DataFrame:
+    """id and x of ``docs`` (id, text): the mean token vector, then log of its tokens, share of different ones, and length."""
+    shared = docs.sparkSession.sparkContext.broadcast((units, vectors))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pooled(batches, *shared.value)
+
+    types = T.StructType().add("id", docs.schema["id"].dataType).add("x", T.ArrayType(T.FloatType()))
+    return docs.select("id", "text").mapInArrow(rows, types)
 
 
 # ---------------------------------------------------------------- the network
@@ -264,8 +364,8 @@ def score_documents(
     held = lambda name: F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % 3 == 1
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    vectors, total = word_vectors(rows)
-    points = save(pooled(rows, vectors, total), "pooled")
+    units, total = find_units(rows)
+    points = save(pooled(rows, units, unit_vectors(rows, units, total)), "pooled")
 
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held(id_col))
     known = known.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("double").alias("y"))

@@ -1,9 +1,9 @@
+import collections
 import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 from feedgate.llm import quality_model as q
 
@@ -48,80 +48,89 @@ def test_rows_of_every_kind(spark):
     assert q.score_documents(docs.limit(0), labels).count() == 0
 
 
-def plain_vectors(texts):
-    """Word vectors and counts one neighbour at a time."""
-    sums, counts = {}, {}
-    for text in texts:
-        tokens = q.tokens_of(text)
-        for i, token in enumerate(tokens):
-            counts[token] = counts.get(token, 0) + 1
-            own = sums.setdefault(token, [0] * q.DIMENSIONS)
-            for j in (i - 1, i + 1):
-                if 0 <= j < len(tokens):
-                    for place, sign in q.index_vector(tokens[j]):
-                        own[place] += sign
-    total, found = sum(counts.values()), {}
-    for token, own in sums.items():
-        weight = math.log1p(total / counts[token]) / max(math.sqrt(sum(v * v for v in own)), 1e-9) * q.SCALE
-        found[token] = [v * weight for v in own]
-    return found, counts, total
+def index_vector(token):
+    drawn = zlib.crc32(token, q.SEED)
+    return [((drawn >> 8 * k) % q.DIMENSIONS, 1 - 2 * (drawn >> 8 * k + 7 & 1)) for k in range(q.NONZERO)]
 
 
-def plain_pool(text, vectors):
-    tokens = q.tokens_of(text)
-    if not tokens:
-        return [0.0] * (q.DIMENSIONS + q.EXTRA)
-    mean = [sum(vectors[t][i] for t in tokens) / q.SCALE / len(tokens) for i in range(q.DIMENSIONS)]
-    return [*mean, math.log1p(len(tokens)), len(set(tokens)) / len(tokens), math.sqrt(sum(v * v for v in mean))]
+def pieces(token):
+    edged = b"\0" + token + b"\0"
+    return [edged[i : i + 3] for i in range(len(token))]
 
 
-ODD = ["a b!! c", "b c 12", None, "", "a", "  ", "😀 über 7-7-7", "same same same " * 50]
+def plain_points(texts, frequent):
+    """Units, vectors and pooled texts, one token at a time."""
+    split = [q.tokens_of(t) for t in texts]
+    words = collections.Counter(t for tokens in split for t in tokens)
+    parts = collections.Counter(p for tokens in split for t in tokens for p in pieces(t))
+    known = {w for w, n in words.items() if n * frequent >= words.total()}
+    known_parts = {p for p, n in parts.items() if n * frequent >= parts.total()}
 
+    def units(token):
+        return [token] if token in known else [("piece", p if p in known_parts else None) for p in pieces(token)]
 
-def test_word_vectors_are_sums_over_neighbours(spark, monkeypatch):
-    # Small stretches and few tokens held: partial sums of one token come from many places.
+    sums, counts = {}, collections.Counter()
+    for tokens in split:
+        for i, token in enumerate(tokens):
+            for unit in units(token):
+                counts[unit] += 1
+                own = sums.setdefault(unit, [0] * q.DIMENSIONS)
+                for j in (i - 1, i + 1):
+                    if 0 <= j < len(tokens):
+                        for place, sign in index_vector(tokens[j]):
+                            own[place] += sign
+    vectors = {}
+    for unit, own in sums.items():
+        length = max(math.sqrt(sum(v * v for v in own)), 1e-9)
+        vectors[unit] = [v / length * math.log1p(words.total() / counts[unit]) for v in own]
+    points = []
+    for tokens in split:
+        n = max(len(tokens), 1)
+        mean = [sum(sum(vectors[u][i] for u in units(t)) / len(units(t)) for t in tokens) / n for i in range(q.DIMENSIONS)]
+        points.append([*mean, math.log1p(len(tokens)), len(set(tokens)) / n, math.sqrt(sum(v * v for v in mean))])
+    return points, known, known_parts
+
+
+ODD = ["a b!! c", "b c 12", None, "", "a", "  ", "😀 über 7-7-7", "same same same " * 50, "y" * 5000, "\0\0a\0"]
+
+
+def points_of(spark, texts, frequent, parts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(parts)
+    units, total = q.find_units(rows, frequent=frequent)
+    found = q.pooled(rows, units, q.unit_vectors(rows, units, total)).collect()
+    return units, [list(r.x) for r in sorted(found, key=lambda r: r.id)]
+
+
+def test_vectors_and_pooling_equal_plain_loops(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(15).collect()] + ODD
+    for frequent in (1, 300, 1 << 30):
+        units, got = points_of(spark, texts, frequent, 3)
+        want, words, parts = plain_points(texts, frequent)
+        assert units.words == sorted(words)
+        assert [int(n).to_bytes(3, "big") for n in units.pieces] == sorted(parts)
+        assert len(units.words) <= frequent and len(units.pieces) <= frequent
+        assert np.allclose(got, want, atol=3e-5)
+        # How rows are spread changes no bit.
+        assert got == points_of(spark, texts, frequent, 1)[1]
+
+
+def test_small_stretches_give_the_same_sums(spark, monkeypatch):
+    texts = pa.RecordBatch.from_pydict({"id": pa.array(range(len(ODD))), "text": pa.array(ODD, pa.string())})
+    units, _ = points_of(spark, ODD, 20, 1)
+    vectors = np.arange(len(units) * q.DIMENSIONS).reshape(len(units), q.DIMENSIONS) * 1000
+
+    def run():
+        tally = collections.Counter()
+        for part in q._tally(iter([texts])):
+            for row in part.to_pylist():
+                tally[row["unit"]] += row["count"]
+        sums = sorted(tuple(row.values()) for part in q._contexts(iter([texts]), units) for row in part.to_pylist())
+        return tally, sums, [row["x"] for part in q._pooled(iter([texts]), units, vectors) for row in part.to_pylist()]
+
+    whole = run()
     monkeypatch.setattr(q, "_AT_ONCE", 3)
     monkeypatch.setattr(q, "_HELD_TOKENS", 2)
-    docs = spark.createDataFrame([(t,) for t in ODD], "text string").repartition(3)
-    want, counts, total = plain_vectors(ODD)
-    # The same stretches in this process, where the patches hold: partial rows add up to the whole sums.
-    parts = list(q._contexts(iter([pa.RecordBatch.from_pydict({"text": pa.array(ODD, pa.string())})])))
-    rows = [row for part in parts for row in part.to_pylist()]
-    assert len(rows) > len(counts)
-    for token in counts:
-        assert sum(r["count"] for r in rows if r["token"] == token) == counts[token]
-    got, found_total = q.word_vectors(docs)
-    got = {bytes(r.token): r for r in got.collect()}
-    assert found_total == total and set(got) == set(want)
-    for token, vector in want.items():
-        assert got[token]["count"] == counts[token]
-        whole = [sum(r[f"s{i}"] for r in rows if r["token"] == token) for i in range(q.DIMENSIONS)]
-        size = max(math.sqrt(sum(v * v for v in whole)), 1e-9)
-        weight = math.log1p(total / counts[token]) / size * q.SCALE
-        for i in range(q.DIMENSIONS):
-            assert abs(got[token][f"s{i}"] - vector[i]) <= 0.51
-            assert abs(whole[i] * weight - vector[i]) <= 1e-6
-
-
-def test_pooling_equals_the_plain_mean_whichever_way_a_token_takes(spark):
-    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ODD
-    rows = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "id long, text string").repartition(4)
-    vectors, total = q.word_vectors(rows)
-    plain, counts, _ = plain_vectors(texts)
-    want = sorted((i // 2, *plain_pool(t, plain)) for i, t in enumerate(texts))
-    ways = [sorted((r.id, *r.x) for r in q.pooled(rows, vectors, total, frequent=n).collect()) for n in (1, 50, 1 << 30)]
-    # All tokens joined, some of either kind, all looked up: the same bits.
-    assert ways[0] == ways[1] == ways[2]
-    assert not any(n >= total for n in counts.values())
-    for got, exact in zip(ways[0], want):
-        assert got[0] == exact[0] and np.allclose(got[1:], exact[1:], atol=2e-5)
-
-
-def test_no_more_frequent_tokens_than_the_bound(spark):
-    texts = [f"w{i} common" for i in range(40)]
-    vectors, total = q.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string"))
-    for frequent in (1, 3, 7, 1000):
-        assert vectors.where(F.col("count") * frequent >= total).count() <= frequent
+    assert run() == whole
 
 
 def test_network_and_temperature_equal_plain_loops():
