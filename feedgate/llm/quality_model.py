@@ -30,6 +30,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from feedgate.llm.common import arrow_rows, small_batches
 from feedgate.sources.scratch import save
 
 DIMENSIONS = 32
-NONZERO = 4
+NONZERO = 2
 #: A token, or a piece, is frequent if it makes up one in this many: so many units there are at most.
 FREQUENT = 1 << 16
 SCALE = 1 << 20
@@ -52,8 +53,10 @@ SEED = 3
 
 _TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\x00-\x20A-Za-z0-9\x80-\xff]+")
 #: Different tokens a task keeps in mind, and tokens it works on at once.
-_HELD_TOKENS = 200_000
+_HELD_TOKENS = 300_000
 _AT_ONCE = 250_000
+#: Occurrences after which sums are handed over: each adds 2 * NONZERO at most, so 32 bits hold them.
+_HELD_OCCURRENCES = 1 << 27
 
 _SUMS = [f"s{i}" for i in range(DIMENSIONS)]
 
@@ -73,7 +76,7 @@ def pieces_of(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
     A token has as many pieces as bytes. Zero, which no token has, stands for the edges.
     """
-    joined = np.frombuffer(b"\0" + b"\0".join(tokens) + b"\0", np.uint8).astype(np.int64)
+    joined = np.frombuffer(b"\0" + b"\0".join(tokens) + b"\0", np.uint8).astype(np.int32)
     middle = np.flatnonzero(joined[1:-1]) + 1
     numbers = joined[middle - 1] << 16 | joined[middle] << 8 | joined[middle + 1]
     return numbers, np.repeat(np.arange(len(tokens)), [len(token) for token in tokens])
@@ -112,17 +115,25 @@ class Units:
     """Numbers of pieces, ascending."""
 
     @cached_property
-    def place(self) -> dict[bytes, int]:
+    def _by_word(self) -> dict[bytes, int]:
         return {word: i for i, word in enumerate(self.words)}
 
+    def places(self, tokens: list[bytes]) -> np.ndarray:
+        """Units of tokens, -1 for rare ones."""
+        return np.fromiter(map(self._by_word.get, tokens, repeat(-1)), np.int64, len(tokens))
+
     def __len__(self) -> int:
         return len(self.words) + len(self.pieces) + 1
 
+    @cached_property
+    def _by_number(self) -> np.ndarray:
+        """Unit by number of the piece; pages that no piece falls on take no memory."""
+        table = np.zeros(1 << 24, np.int32)
+        table[self.pieces] = np.arange(len(self.pieces)) - len(self.pieces)
+        return table
+
     def of_pieces(self, numbers: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.pieces, numbers)
-        known = at < len(self.pieces)
-        known[known] = self.pieces[at[known]] == numbers[known]
-        return np.where(known, len(self.words) + at, len(self) - 1)
+        return self._by_number[numbers] + (len(self) - 1)
 
 
 def find_units(docs: DataFrame, *, frequent: int = FREQUENT) -> tuple[Units, int]:
@@ -135,56 +146,68 @@ def find_units(docs: DataFrame, *, frequent: int = FREQUENT) -> tuple[Units, int
     # Shares add up to one, so there are at most `frequent` of either kind.
     top = [bytes(row.unit) for row in counts.where(F.col("count") * frequent >= least).select("unit").collect()]
     words = sorted(unit for unit in top if unit[0])
-    pieces = np.array(sorted(int.from_bytes(unit, "big") for unit in top if not unit[0]), np.int64)
+    pieces = np.array(sorted(int.from_bytes(unit, "big") for unit in top if not unit[0]), np.int32)
     return Units(words, pieces), sums.get(False, 0)
 
 
+def _grown(table: np.ndarray, size: int) -> np.ndarray:
+    """The table with room for so many rows, at least twice what it had if that is not enough."""
+    if size <= len(table):
+        return table
+    more = np.zeros((max(size, 2 * len(table)), *table.shape[1:]), table.dtype)
+    more[: len(table)] = table
+    return more
+
+
 class _Held(dict):
     """Tokens of a task numbered as they come, with their counts and sums of neighbours' index vectors."""
 
     def __init__(self) -> None:
-        self.drawn: list[int] = []
-        self.counts, self.sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.fresh: list[int] = []
+        self.seen = self.drawn = 0
+        self.counts, self.sums = np.zeros(1 << 16, np.int64), np.zeros((1 << 16, DIMENSIONS), np.int32)
+        self.places, self.signs = np.zeros((1 << 16, NONZERO), np.int64), np.zeros((1 << 16, NONZERO), np.int32)
 
     def __missing__(self, token: bytes) -> int:
         number = self[token] = len(self)
-        self.drawn.append(zlib.crc32(token, SEED))
+        self.fresh.append(zlib.crc32(token, SEED))
         return number
 
     def add(self, ids: list[np.ndarray], left: list[np.ndarray], right: list[np.ndarray]) -> None:
         """Occurrences, and pairs of neighbours."""
-        more = len(self) - len(self.counts)
-        self.counts = np.concatenate([self.counts, np.zeros(more, np.int64)])
-        self.sums = np.concatenate([self.sums, np.zeros(more * DIMENSIONS, np.int64)])
-        self.counts += np.bincount(np.concatenate(ids), minlength=len(self))
-        one, other = np.concatenate(left), np.concatenate(right)
-        places, signs = index_places(np.array(self.drawn, np.int64))
+        for name in ("counts", "sums", "places", "signs"):
+            setattr(self, name, _grown(getattr(self, name), len(self)))
+        self.places[self.drawn : len(self)], self.signs[self.drawn : len(self)] = index_places(np.array(self.fresh, np.int64))
+        self.drawn, self.fresh = len(self), []
+        own, one, other = np.concatenate(ids), np.concatenate(left), np.concatenate(right)
+        self.seen += len(own)
+        self.counts += np.bincount(own, minlength=len(self.counts))
+        flat = self.sums.reshape(-1)
         for at, by in ((one, other), (other, one)):
+            places, signs = self.places[by], self.signs[by]
             for k in range(NONZERO):
-                np.add.at(self.sums, at * DIMENSIONS + places[by, k], signs[by, k])
+                np.add.at(flat, at * DIMENSIONS + places[:, k], signs[:, k])
 
     def hand_over(self, units: Units, counts: np.ndarray, sums: np.ndarray) -> None:
-        """Adds what is held to the units: to a token's own, or to all its pieces'."""
+        """Adds what is held to the units, ``sums`` by dimension: to a token's own, or to all its pieces'."""
         if not self:
             return
-        own = self.sums.reshape(-1, DIMENSIONS)
-        place = np.fromiter((units.place.get(token, -1) for token in self), np.int64, len(self))
-        words = np.flatnonzero(place >= 0)
-        counts[place[words]] += self.counts[words]
-        sums[place[words]] += own[words]
-        rest = np.flatnonzero(place < 0)
-        tokens = list(self)
+        tokens, own = list(self), np.ascontiguousarray(self.sums[: len(self)].T)
+        place = units.places(tokens)
+        words, rest = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
         numbers, owner = pieces_of([tokens[i] for i in rest])
         unit, source = units.of_pieces(numbers), rest[owner]
-        # Whole numbers below 2 ** 53 are exact as weights.
+        # Tokens are different, so no place comes twice. Whole numbers below 2 ** 53 are exact as weights.
+        counts[place[words]] += self.counts[words]
         counts += np.bincount(unit, self.counts[source], len(counts)).astype(np.int64)
         for i in range(DIMENSIONS):
-            sums[:, i] += np.bincount(unit, own[source, i], len(counts)).astype(np.int64)
+            sums[i, place[words]] += own[i, words]
+            sums[i] += np.bincount(unit, own[i][source], len(counts)).astype(np.int64)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.RecordBatch]:
     """Occurrences and sums of neighbours' index vectors over a task: one row per unit that occurs."""
-    counts, sums = np.zeros(len(units), np.int64), np.zeros((len(units), DIMENSIONS), np.int64)
+    counts, sums = np.zeros(len(units), np.int64), np.zeros((DIMENSIONS, len(units)), np.int64)
     held, ids, left, right, waiting = _Held(), [], [], [], 0
     for (text,) in arrow_rows(batches, "text"):
         tokens = tokens_of(text)
@@ -199,7 +222,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.Re
             if waiting >= _AT_ONCE:
                 held.add(ids, left, right)
                 ids, left, right, waiting = [], [], [], 0
-                if len(held) >= _HELD_TOKENS:
+                if len(held) >= _HELD_TOKENS or held.seen >= _HELD_OCCURRENCES:
                     held.hand_over(units, counts, sums)
                     held = _Held()
     if ids:
@@ -208,7 +231,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], units: Units) -> Iterator[pa.Re
     seen = np.flatnonzero(counts)
     for at in range(0, len(seen), 10_000):
         some = seen[at : at + 10_000]
-        columns = [pa.array(some), pa.array(counts[some]), *(pa.array(sums[some, i]) for i in range(DIMENSIONS))]
+        columns = [pa.array(some), pa.array(counts[some]), *(pa.array(sums[i, some]) for i in range(DIMENSIONS))]
         yield pa.RecordBatch.from_arrays(columns, names=["unit", "count", *_SUMS])
 
 
@@ -234,8 +257,12 @@ class _Vectors(dict):
     """Tokens numbered as they come, and their vectors in whole numbers."""
 
     def __init__(self, units: Units, vectors: np.ndarray) -> None:
-        self.units, self.vectors = units, vectors
-        self.rows = np.zeros((0, DIMENSIONS), np.int64)
+        self.units, self.vectors, self.columns = units, vectors, np.ascontiguousarray(vectors.T.astype(float))
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.done, self.rows = 0, np.zeros((1 << 16, DIMENSIONS), np.int32)
 
     def __missing__(self, token: bytes) -> int:
         number = self[token] = len(self)
@@ -243,42 +270,47 @@ class _Vectors(dict):
 
     def complete(self) -> np.ndarray:
         """Vectors of all tokens numbered so far; of a rare token its pieces' mean, rounded down."""
-        fresh = list(self)[len(self.rows) :]
-        if fresh:
-            place = np.fromiter((self.units.place.get(token, -1) for token in fresh), np.int64, len(fresh))
+        if self.done < len(self):
+            fresh = list(islice(self, self.done, None))
+            place = self.units.places(fresh)
             rows, rest = self.vectors[place], np.flatnonzero(place < 0)
             tokens = [fresh[i] for i in rest]
             numbers, owner = pieces_of(tokens)
             unit, sizes = self.units.of_pieces(numbers), np.array([len(token) for token in tokens], np.int64)
-            for i in range(DIMENSIONS):
-                rows[rest, i] = np.bincount(owner, self.vectors[unit, i], len(rest)).astype(np.int64) // sizes
-            self.rows = np.concatenate([self.rows, rows])
+            means = [np.bincount(owner, column[unit], len(rest)).astype(np.int64) // sizes for column in self.columns]
+            rows[rest] = np.array(means).T
+            self.rows = _grown(self.rows, len(self))
+            # A component is at most the rarity times SCALE, far below 2 ** 31.
+            self.rows[self.done : len(self)] = rows
+            self.done = len(self)
         return self.rows
 
 
 def _pooled(batches: Iterator[pa.RecordBatch], units: Units, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
     held = _Vectors(units, vectors)
 
-    def pool(some: list[tuple[np.ndarray, int]]) -> Iterator[list[float]]:
-        table = held.complete()
-        for ids, different in some:
-            found, n = np.zeros(DIMENSIONS, np.int64), max(len(ids), 1)
+    def pool(some: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+        table, row = held.complete(), np.zeros(DIMENSIONS + EXTRA)
+        for ids, often in some:
+            found, n = np.zeros(DIMENSIONS, np.int64), int(often.sum())
             for at in range(0, len(ids), 100_000):
-                found += table[ids[at : at + 100_000]].sum(0)
-            mean = found / SCALE / n
-            yield [*mean, np.log1p(len(ids)), different / n, np.sqrt((mean * mean).sum())]
+                found += often[at : at + 100_000] @ table[ids[at : at + 100_000]]
+            row[:DIMENSIONS] = found / SCALE / max(n, 1)
+            row[DIMENSIONS:] = np.log1p(n), len(ids) / max(n, 1), np.sqrt((row[:DIMENSIONS] ** 2).sum())
+            yield row.astype(np.float32)
 
     for batch in batches:
         rows, some, waiting = [], [], 0
         for text in batch.column("text").to_pylist():
-            tokens = tokens_of(text)
-            some.append((np.fromiter(map(held.__getitem__, tokens), np.int64, len(tokens)), len(set(tokens))))
-            waiting += len(tokens)
+            found = Counter(tokens_of(text))
+            ids = np.fromiter(map(held.__getitem__, found), np.int64, len(found))
+            some.append((ids, np.fromiter(found.values(), np.int64, len(found))))
+            waiting += len(found)
             if waiting >= _AT_ONCE:
                 rows.extend(pool(some))
                 some, waiting = [], 0
                 if len(held) >= _HELD_TOKENS:
-                    held = _Vectors(units, vectors)
+                    held.forget()
         rows.extend(pool(some))
         flat = np.array(rows, np.float32).reshape(-1, DIMENSIONS + EXTRA)
         offsets = pa.array(np.arange(0, flat.size + 1, flat.shape[1]), pa.int32())
