@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from feedgate.functions.labels import label_path
@@ -32,5 +34,37 @@ def dropped_totals(judged: DataFrame, refused: DataFrame | None = None) -> DataF
     ).agg(F.count(F.lit(1)).alias("total"))
 
 
+#: The outcomes an accepted operation can have.
+OUTCOMES = ("stored", "unchanged", "tombstoned")
+TOTALS = "collection string, outcome string, total long"
+
+
+class OutcomeCounter:
+    """Outcomes by collection, counted while the rows that are watched are written, without a pass of their own.
+
+    Counts are taken in the tasks that write. Each partition is written by one successful task, so one that is
+    run again after a loss is not counted twice, as long as no exchange stands between ``watch`` and the write.
+    There are three numbers for each collection named; rows of others are not counted.
+    """
+
+    def __init__(self, collections: Iterable[str]):
+        self._labels = [(collection, outcome) for collection in sorted(collections) for outcome in OUTCOMES]
+        self._observed = Observation()
+
+    def watch(self, outcomes: DataFrame) -> DataFrame:
+        """The same rows; to be written once."""
+        counts = [
+            F.count_if((F.col("collection") == collection) & (F.col("outcome") == outcome)).alias(f"n{i}")
+            for i, (collection, outcome) in enumerate(self._labels)
+        ]
+        return outcomes.observe(self._observed, F.count(F.lit(1)).alias("rows"), *counts)
+
+    def totals(self) -> list[tuple[str, str, int]]:
+        """Collection, outcome and number of rows where there are any, once the rows have been written."""
+        found = self._observed.get
+        counted = [(*label, found.get(f"n{i}", 0)) for i, label in enumerate(self._labels)]
+        return [row for row in counted if row[2]]
+
+
 def outcome_totals(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("collection", "outcome").agg(F.count(F.lit(1)).alias("total"))

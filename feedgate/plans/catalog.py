@@ -668,6 +668,20 @@ def dropped_totals(spark: SparkSession, folder: str) -> DataFrame:
     return counters.dropped_totals(judged, refused).unionByName(counters.dropped_totals(parts))
 
 
+def committed_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Outcomes of the events by collection, as four micro-batches counted them while they were committed."""
+    ops = inputs.event_ops(spark, folder)
+    last = ops.agg(F.max("batch_seq")).first()[0]
+    counts = ops.groupBy("batch_id").agg(F.count(F.lit(1)).cast("int").alias("batch_ops"))
+    ops = save(ops.join(counts, "batch_id").withColumn("turn", F.floor(F.col("batch_seq") * 4 / (last + 1))), "turns")
+    kept = RecordTable(spark, new_path(spark, "table"), ACTIVITY)
+    path, state = new_path(spark, "lines"), new_path(spark, "state")
+    for number in range(4):
+        envelopes.write_lines(ops.filter(F.col("turn") == number).drop("turn"), path)
+        apply_stream(envelopes.stream_lines(spark, path), kept, state).awaitTermination()
+    return kept.outcome_totals().groupBy("collection", "outcome").agg(F.sum("total").alias("total"))
+
+
 def outcome_totals(spark: SparkSession, folder: str) -> DataFrame:
     return counters.outcome_totals(_event_outcomes(spark, folder))
 
@@ -689,7 +703,7 @@ QUERIES: dict[str, Query] = {
         replica_catch_up, sorted_page, reprojection, reprojection_of_many,
         split_batches, stateful_outcomes, read_as_of, purge_after_lag, tree_drift,
         position_bitmaps, backfill, stored_lookup, bucketed_checksum, drift_of_some,
-        feed_from_position,
+        feed_from_position, committed_totals,
     )
 }
 

@@ -386,6 +386,9 @@ UNION ALL SELECT 'part.sheet', 'internal_code', 'unknown_key', count(*) FROM par
 UNION ALL SELECT 'part.sheet', 'grade', 'type_mismatch', count(*) FROM part WHERE p_size % 2 <> 0""",
     "outcome_totals": f"""
 WITH {_EVENTS}
+SELECT 'user.activity' AS collection, outcome, count(*) AS total FROM outcomes GROUP BY outcome""",
+    "committed_totals": f"""
+WITH {_EVENTS}
 SELECT 'user.activity' AS collection, outcome, count(*) AS total FROM outcomes GROUP BY outcome""",
     "stream_onto_table": _EVENT_STATE,
     "faulty_lines": """

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedgate.operators.counters import TOTALS, OutcomeCounter
 from feedgate.operators.gates import sized
 from feedgate.operators.indexing import with_index_columns
 from feedgate.operators.merge import KEY
@@ -47,6 +48,7 @@ from feedgate.spec import SpecSet
 #: How long a consumer's place is kept for it, unless it says otherwise.
 LEASE_SECONDS = 7 * 24 * 3600
 
+_OUTCOME_TOTALS = "outcome_totals"
 _NAME = re.compile(r"[A-Za-z0-9._]+")
 _CONSUMER = re.compile(r"/(?P<name>[A-Za-z0-9._]+)@(?P<commit>\d+)-(?P<until>\d+)$")
 
@@ -193,6 +195,14 @@ class RecordTable:
         found = [str(f.getPath()).removesuffix("/_SUCCESS") for f in system.globStatus(path) or []]
         return self.spark.read.parquet(*found) if found else None
 
+    def outcome_totals(self) -> DataFrame:
+        """commit, collection, outcome, total: what each commit in the log counted while it was written."""
+        kept = self.reports(_OUTCOME_TOTALS)
+        if kept is None:
+            return self.spark.createDataFrame([], f"commit long, {TOTALS}")
+        number = F.regexp_extract("_metadata.file_path", r"/commit=(\d+)/", 1).cast("long")
+        return kept.select(number.alias("commit"), "collection", "outcome", "total")
+
     def last_report(self, stream: str, kind: str) -> DataFrame | None:
         """What a stream's last micro-batch reported next to its commit."""
         found = self._found(f"log/commit=*/_batch-{stream}-*", r"commit=(\d+)/_batch-")
@@ -212,11 +222,13 @@ class RecordTable:
         *,
         batch: tuple[str, int] | None = None,
         reports: dict[str, DataFrame] | None = None,
+        counter: OutcomeCounter | None = None,
     ) -> int:
         """Append one run's changes and reports as the next commit.
 
         ``batch`` names the stream and micro-batch they come from; one that has been committed is left
-        as it is, and its number returned.
+        as it is, and its number returned. What ``counter`` saw while a report it watches was written is
+        kept with the commit, for :meth:`outcome_totals`.
         """
         if batch is not None and (done := self.committed(*batch)) is not None:
             return done
@@ -224,6 +236,9 @@ class RecordTable:
         changes.select(self.schema.names).write.parquet(aside)
         for kind, rows in (reports or {}).items():
             rows.write.parquet(f"{aside}/_reports/{kind}")
+        if counter is not None:
+            totals = self.spark.createDataFrame(counter.totals(), TOTALS).coalesce(1)
+            totals.write.parquet(f"{aside}/_reports/{_OUTCOME_TOTALS}")
         written = self.spark.read.schema(self.schema).parquet(aside)
         highest = written.agg(F.max("seq")).first()[0]
         self._mark(aside, f"_seq-{max(highest or 0, self.max_seq())}")

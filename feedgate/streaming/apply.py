@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from feedgate.operators.counters import OutcomeCounter
 from feedgate.operators.gates import sized
 from feedgate.plans.apply import apply_ops
 from feedgate.sources.scratch import save, scoped
@@ -66,7 +67,8 @@ def apply_stream(
     A commit carries the stream's own id, from its checkpoint, and the micro-batch's number: one that
     is replayed after a failure finds its commit and is skipped, and other streams or earlier batches
     on the same table are never mistaken for it. The rejects and results of a micro-batch are part of
-    its commit (``table.reports``), so they survive whatever happens after it; ``on_applied`` is a
+    its commit (``table.reports``), so they survive whatever happens after it, and so are the outcomes by
+    collection, counted as the results are written (``table.outcome_totals``); ``on_applied`` is a
     convenience on top. Compaction is left to a job of its own.
 
     Batches are all or nothing, however they arrive. Each operation declares the number of operations of
@@ -108,10 +110,11 @@ def apply_stream(
             applied = apply_ops(
                 table.read(collections=met), ready, table.specs, credentials, start=table.max_seq()
             )
-            reports = {"rejects": applied.rejects, "results": applied.results()}
+            counter = OutcomeCounter(met)
+            reports = {"rejects": applied.rejects, "results": counter.watch(applied.results())}
             if waits is not None and not waits.isEmpty():
                 reports[WAITING] = waits
-            commit = table.commit(applied.changes, batch=(stream, number), reports=reports)
+            commit = table.commit(applied.changes, batch=(stream, number), reports=reports, counter=counter)
             if on_applied is not None:
                 on_applied(applied, commit)
 

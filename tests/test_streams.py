@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from feedgate.operators.counters import OutcomeCounter
 from feedgate.operators.indexing import with_index_columns
 from feedgate.operators.merge import detect_outcomes
 from feedgate.operators.replica import fold_feed
@@ -306,3 +307,33 @@ def test_state_in_the_stream_equals_the_batch_and_reads_the_base_once(spark, tmp
             shutil.rmtree(where)  # nothing may read the base again
     got = {(r.batch_id, r.ord): r.outcome for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == expected
+
+
+def test_commits_keep_the_outcomes_they_counted(spark, tmp_path):
+    table = RecordTable(spark, str(tmp_path / "t"), SPECS)
+    assert table.outcome_totals().count() == 0
+    rng = random.Random(8)
+    refused = [op(900, 0, "k1", collection="a.none")]
+    for ops in (random_ops(rng, 60), random_ops(rng, 80, first_batch=300), refused, []):
+        if ops:
+            envelopes.write_lines(frame(spark, ops).coalesce(1), str(tmp_path / "lines"))
+        # The last run finds nothing new, and counts nothing twice.
+        lines = envelopes.stream_lines(spark, str(tmp_path / "lines"))
+        apply_stream(lines, table, str(tmp_path / "state")).awaitTermination()
+    want = {}
+    for number in table.commits():
+        for row in spark.read.parquet(f"{table.path}/log/commit={number}/_reports/results").collect():
+            key = number, row.collection, row.outcome
+            want[key] = want.get(key, 0) + 1
+    assert len({number for number, *_ in want}) == 2 and len(table.commits()) == 3
+    assert {(r.commit, r.collection, r.outcome): r.total for r in table.outcome_totals().collect()} == want
+
+
+def test_outcomes_are_counted_as_they_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "stored"), ("a", "stored"), ("b", "tombstoned"), ("c", "stored"), (None, None)], "collection string, outcome string")
+    counter = OutcomeCounter(["a", "b", "x"])
+    counter.watch(rows.repartition(3)).write.parquet(str(tmp_path / "out"))
+    assert counter.totals() == [("a", "stored", 2), ("b", "tombstoned", 1)]
+    nothing = OutcomeCounter([])
+    nothing.watch(rows.limit(0)).write.parquet(str(tmp_path / "none"))
+    assert nothing.totals() == []
