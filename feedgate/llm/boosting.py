@@ -1,4 +1,4 @@
-"""Small gradient-boosted trees: fitted on a bounded sample in numpy, scored as SQL expressions."""
+"""Small gradient-boosted trees: fitted in numpy on counted rows, scored as SQL expressions."""
 
 from __future__ import annotations
 
@@ -18,26 +18,37 @@ class Split:
     high: "Split | float"
 
 
-def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 20, depth: int = 2, rate: float = 0.4) -> list[Split | float]:
-    """Trees whose summed values are log odds; x: rows by features, y: 0 or 1."""
+def fit(
+    x: np.ndarray, y: np.ndarray, n: np.ndarray | None = None, *, trees: int = 20, depth: int = 2, rate: float = 0.4
+) -> list[Split | float]:
+    """Trees whose summed values are log odds; x: rows by features, y: 0 or 1, n: how often each row occurs."""
+    n = np.ones(len(y)) if n is None else n
     model: list[Split | float] = []
     score = np.zeros(len(y))
     for _ in range(trees):
         chance = 1 / (1 + np.exp(-score))
-        tree = _grow(x, y - chance, chance * (1 - chance), depth, rate)
+        tree = _grow(x, n * (y - chance), n * chance * (1 - chance), n, depth, rate)
         model.append(tree)
         score += _values(tree, x)
     return model
 
 
-def _grow(x: np.ndarray, slope: np.ndarray, curve: np.ndarray, depth: int, rate: float) -> Split | float:
+def _quantiles(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The values at 16 equal steps through all rows, each counted n times."""
+    order = np.argsort(x, kind="stable")
+    upto = np.cumsum(n[order])
+    places = np.floor(np.linspace(0, 1, 17)[:-1] * (upto[-1] - 1))
+    return np.unique(x[order][np.searchsorted(upto, places, side="right")])
+
+
+def _grow(x: np.ndarray, slope: np.ndarray, curve: np.ndarray, n: np.ndarray, depth: int, rate: float) -> Split | float:
     leaf = float(rate * slope.sum() / (curve.sum() + 1.0))
-    if depth == 0 or len(x) < 8:
+    if depth == 0 or n.sum() < 8:
         return leaf
     gain = lambda g, h: g * g / (h + 1.0)
     whole, best = gain(slope.sum(), curve.sum()), (1e-6, -1, 0.0)
     for feature in range(x.shape[1]):
-        for most in np.unique(np.quantile(x[:, feature], np.linspace(0, 1, 17)[:-1], method="lower")):
+        for most in _quantiles(x[:, feature], n):
             low = x[:, feature] <= most
             if low.all():
                 continue
@@ -51,8 +62,8 @@ def _grow(x: np.ndarray, slope: np.ndarray, curve: np.ndarray, depth: int, rate:
     return Split(
         feature,
         most,
-        _grow(x[low], slope[low], curve[low], depth - 1, rate),
-        _grow(x[~low], slope[~low], curve[~low], depth - 1, rate),
+        _grow(x[low], slope[low], curve[low], n[low], depth - 1, rate),
+        _grow(x[~low], slope[~low], curve[~low], n[~low], depth - 1, rate),
     )
 
 
@@ -77,12 +88,13 @@ def score_column(model: list[Split | float], feature: Callable[[int], Column]) -
     return sum((column(tree) for tree in model), F.lit(0.0))
 
 
-def threshold(score: np.ndarray, y: np.ndarray, precision: float) -> float:
+def threshold(score: np.ndarray, y: np.ndarray, precision: float, n: np.ndarray | None = None) -> float:
     """The least held-out score from which on at least this share is positive; infinite if none."""
+    n = np.ones(len(y)) if n is None else n
     if not len(y):
         return float("inf")
     order = np.argsort(-score, kind="stable")
-    share = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+    share = np.cumsum((n * y)[order]) / np.cumsum(n[order])
     last = np.r_[score[order][1:] != score[order][:-1], True]  # equal scores stand or fall together
     good = np.flatnonzero((share >= precision) & last)
     return float(score[order][good[-1]]) if len(good) else float("inf")

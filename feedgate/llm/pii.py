@@ -2,8 +2,8 @@
 
 The base kinds (email, ip, card, phone) are patterns with a check. Beside them, generators of high
 recall propose overlapping spans: number-like, handle-like and token-like ones. Trees boosted on
-the candidates of a bounded sample score each by its format and the text before it; what they learn
-is to tell candidates that cover a checked base span, or that the text itself names as a secret, from
+all candidates of all texts score each by its format and the text before it; candidates of equal
+features and label are counted, and weigh as many. What the trees learn is to tell candidates that cover a checked base span, or that the text itself names as a secret, from
 those that do not. A threshold for each
 generator is calibrated on held-out candidates, and selected candidates that overlap no base span
 are added. Everything that reads texts is SQL functions.
@@ -21,16 +21,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedgate.llm import boosting
 from feedgate.llm.common import quoted
 
-#: Bounds of the sample that the trees are fitted on.
-TRAIN_DOCS = 20_000
-TRAIN_ROWS = 20_000
+#: Features are counts. Up to so many they are exact; larger ones are rounded down to five binary digits, so
+#: that long random tokens share their features and the rows that the trees are fitted on stay few.
+EXACT = 32
 PRECISION = 0.95
 
 BASE = ("email", "ip", "card", "phone")
@@ -129,7 +128,7 @@ def _overlap(a: Column, b: Column) -> Column:
 
 def _feature(span: Column, name: str) -> Column:
     m, before = span["m"], span["before"]
-    return {
+    value = {
         "digits": lambda: F.length(_digits(m)),
         "letters": lambda: F.length(F.regexp_replace(m, "[^A-Za-z]", "")),
         "length": lambda: F.length(m),
@@ -141,6 +140,8 @@ def _feature(span: Column, name: str) -> Column:
         "digits_before": lambda: F.length(_digits(before)),
         "assigned": lambda: F.when(F.rlike(before, F.lit(r"[=:][\s\"']*$")), 1).otherwise(0),
     }[name]()
+    step = F.pow(F.lit(2.0), F.floor(F.log2(value.cast("double"))) - 4)
+    return F.when(value <= EXACT, value.cast("double")).otherwise(F.floor(value / step) * step)
 
 
 @dataclass(frozen=True)
@@ -169,37 +170,38 @@ def _base() -> Column:
 
 
 def fit_selector(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Selector:
-    """Trees and thresholds from the candidates of a hashed sample of at most about TRAIN_DOCS rows."""
-    every = max(1, docs.count() // TRAIN_DOCS)
+    """Trees and thresholds from the candidates of all rows; half of them, by hash, are held out for the thresholds.
+
+    The driver receives a row for each different combination of features and label, with its count.
+    """
     key = F.xxhash64(F.col(quoted(id_col)), F.col(quoted(text_col)))
-    sample = docs.select(key.alias("__key"), F.col(quoted(text_col)).alias("text"))
-    sample = sample.where(F.pmod("__key", F.lit(every)) == 0)
-    found = _with_matches(sample, "text", [*BASE, *ADDED]).withColumn("__base", _base())
+    texts = docs.select(key.alias("__key"), F.col(quoted(text_col)).alias("text"))
+    found = _with_matches(texts, "text", [*BASE, *ADDED]).withColumn("__base", _base())
     rows = None
     for kind in ADDED:
         named = (lambda span: F.rlike(span["before"], F.lit(_NAMED))) if kind == "token" else (lambda span: F.lit(False))
         spans = F.transform(
             f"__{kind}",
             lambda span: F.struct(
-                *(_feature(span, name).cast("double").alias(name) for name in FEATURES),
+                *(_feature(span, name).alias(name) for name in FEATURES),
                 (F.exists("__base", lambda base: _overlap(base, span)) | named(span)).cast("int").alias("label"),
                 span["start"].alias("start"),
             ),
         )
         part = found.select("__key", F.lit(kind).alias("kind"), F.explode(spans).alias("c"))
         rows = part if rows is None else rows.unionByName(part)
-    rows = rows.withColumn("order", F.xxhash64("__key", "kind", "c.start"))
-    collected = rows.select("kind", "order", "c.*").orderBy("order", "kind", "start").limit(TRAIN_ROWS).collect()
+    held_out = F.pmod(F.xxhash64("__key", "kind", "c.start"), F.lit(2)) == 1
+    counted = rows.groupBy("kind", held_out.alias("held"), *(F.col(f"c.{name}") for name in (*FEATURES, "label")))
+    cells = counted.agg(F.count(F.lit(1)).alias("n")).toArrow().to_pandas().sort_values(["kind", "held", "label", *FEATURES])
     models, least = {}, {}
     for kind in ADDED:
-        own = [row for row in collected if row["kind"] == kind]
-        x = np.array([[row[name] for name in FEATURES] for row in own], float).reshape(-1, len(FEATURES))
-        y = np.array([row["label"] for row in own], float)
-        held = np.array([row["order"] % 2 for row in own], bool)
+        own = cells[cells["kind"] == kind]
+        x, y, n = own[list(FEATURES)].to_numpy(float), own["label"].to_numpy(float), own["n"].to_numpy(float)
+        held = own["held"].to_numpy(bool)
         models[kind], least[kind] = [], float("inf")
         if 0 < y[~held].sum() < len(y[~held]) or (len(y) and y[~held].all()):
-            models[kind] = boosting.fit(x[~held], y[~held])
-            least[kind] = boosting.threshold(boosting.scores(models[kind], x[held]), y[held], PRECISION)
+            models[kind] = boosting.fit(x[~held], y[~held], n[~held])
+            least[kind] = boosting.threshold(boosting.scores(models[kind], x[held]), y[held], PRECISION, n[held])
     return Selector(models, least)
 
 

@@ -109,3 +109,44 @@ def test_whole_table(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k) for s in want) for k in pii.BASE]
         assert [s for s in r.spans.split(",") if s.split(":")[0] in pii.BASE] == want
+
+
+def test_all_candidates_teach(spark):
+    # Secrets that only a few of many texts name; a sample of 20,000 candidates missed most of them.
+    docs = spark.range(30_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 1000 == 7, F.concat(F.lit("password="), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 24)))
+        .otherwise(F.concat(F.lit("see abcdefghijkl"), F.col("id") % 10, F.lit(" there")))
+        .alias("text"),
+    )
+    seen = []
+    fit = pii.boosting.fit
+
+    def spy(x, y, n, **how):
+        seen.append((n.sum(), (n * y).sum()))
+        return fit(x, y, n, **how)
+
+    threshold = pii.boosting.threshold
+
+    def held(score, y, precision, n):
+        seen.append((n.sum(), (n * y).sum()))
+        return threshold(score, y, precision, n)
+
+    pii.boosting.fit, pii.boosting.threshold = spy, held
+    try:
+        pii.fit_selector(docs)
+    finally:
+        pii.boosting.fit, pii.boosting.threshold = fit, threshold
+    assert [sum(x) for x in zip(*seen)] == [30_000, 30]
+
+
+def test_counted_rows_grow_the_trees_of_repeated_ones():
+    draw = random.Random(5)
+    np = pii.boosting.np
+    x = np.array([[draw.randint(0, 9), draw.randint(0, 40)] for _ in range(60)], float)
+    y, n = (x[:, 0] + x[:, 1] / 9 > 7).astype(float), np.array([draw.randint(1, 5) for _ in range(60)], float)
+    again = np.repeat(np.arange(60), n.astype(int))
+    one, many = pii.boosting.fit(x, y, n), pii.boosting.fit(x[again], y[again])
+    assert np.allclose(pii.boosting.scores(one, x), pii.boosting.scores(many, x))
+    score = np.round(pii.boosting.scores(one, x), 1)
+    assert pii.boosting.threshold(score, y, 0.9, n) == pii.boosting.threshold(score[again], y[again], 0.9)
