@@ -29,6 +29,8 @@ REJECTS = {
     "payload_on_delete": (6, 400, "a delete carries no payload"),
 }
 OPERATION_RANK = 6
+# Places of a batch that are marked in one word.
+_WORD = 64
 
 def rank_of(code: Column) -> Column:
     return _lookup(code, 0).cast("int")
@@ -132,9 +134,10 @@ def size_error(payload_bytes: Column, limit: int = MAX_PAYLOAD_BYTES) -> Column:
 def batch_verdicts(judged: DataFrame, max_ops: int = MAX_BATCH_OPS) -> DataFrame:
     """One row per refused batch: the code that refuses it and the position it was found at.
 
-    Two operations in the same place of a batch refuse it, because their order is unknown. Counts
-    and first errors combine before each exchange, and places are summed up before batches are, so
-    a batch of any size is cheap.
+    Two operations in the same place of a batch refuse it, because their order is unknown. Places are
+    marked in words of 64 bits, so what is exchanged is a row per 64 places and not per operation; a word
+    with fewer marks than operations has places that repeat, and only those words are looked at again.
+    Counts, marks and first errors combine before each exchange, so a batch of any size is cheap.
     """
     rank = rank_of(F.col("code"))
     at = F.when(rank == OPERATION_RANK, F.col("ord")).otherwise(F.lit(-1))
@@ -142,16 +145,24 @@ def batch_verdicts(judged: DataFrame, max_ops: int = MAX_BATCH_OPS) -> DataFrame
         F.col("code").isNotNull(),
         F.struct(rank.alias("rank"), at.alias("at"), F.col("ord"), F.col("code")),
     )
-    places = judged.groupBy("batch_id", "ord").agg(F.count(F.lit(1)).alias("n"), F.min(error).alias("first"))
-    twice = F.when(
-        F.col("n") > 1,
-        F.struct(
+    word = F.floor(F.col("ord") / _WORD).alias("word")
+    mark = F.expr(f"shiftleft(1L, CAST(pmod(ord, {_WORD}) AS INT))")
+    words = judged.groupBy("batch_id", word).agg(F.count(F.lit(1)).alias("n"), F.bit_or(mark).alias("marks"))
+    words = sized(words, "places")
+    errors = judged.filter(F.col("code").isNotNull()).groupBy("batch_id").agg(F.min(error).alias("first"))
+    found = words.select("batch_id", "n").unionByName(errors, allowMissingColumns=True)
+    # Operations without a place have no marks; two of them are in the same place.
+    crowded = words.filter(F.col("n") > F.coalesce(F.bit_count("marks"), F.lit(1)))
+    if not crowded.isEmpty():
+        crowded = crowded.select(F.col("batch_id").alias("_batch"), F.col("word").alias("_word"))
+        here = F.col("batch_id").eqNullSafe(F.col("_batch")) & F.col("word").eqNullSafe(F.col("_word"))
+        places = judged.select("batch_id", "ord", word).join(crowded, here, "left_semi").groupBy("batch_id", "ord").count()
+        twice = F.struct(
             F.lit(REJECTS["invalid_body"][0]).alias("rank"), F.lit(-1).alias("at"), F.col("ord"), F.lit("invalid_body").alias("code")
-        ),
-    )
-    totals = places.groupBy("batch_id").agg(
-        F.sum("n").alias("ops"), F.min(F.least("first", twice)).alias("first")
-    )
+        )
+        repeated = places.filter(F.col("count") > 1).select("batch_id", twice.alias("first"))
+        found = found.unionByName(repeated, allowMissingColumns=True)
+    totals = found.groupBy("batch_id").agg(F.sum("n").alias("ops"), F.min("first").alias("first"))
     too_many = (F.col("ops") > max_ops) & (
         F.col("first").isNull() | (F.col("first.rank") > REJECTS["batch_too_large"][0])
     )

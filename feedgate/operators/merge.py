@@ -13,6 +13,8 @@ KEY = ["source", "collection", "id"]
 # A key with more operations than this in one run is cut into blocks of batches.
 HOT_KEY_OPS = 500_000
 BATCHES_PER_BLOCK = 256
+# Keys are counted in so many buckets before they are counted one by one.
+KEY_BUCKETS = 8192
 
 
 def _outcome(previous: Column) -> Column:
@@ -35,6 +37,11 @@ def base_states(records: DataFrame) -> DataFrame:
     )
 
 
+def packed(digest: Column) -> Column:
+    """A SHA-256 in hex as its bytes, half as long to move; NULL for any other text."""
+    return F.when(digest.rlike("^[0-9a-f]{64}$"), F.unhex(digest))
+
+
 def touched(records: DataFrame, ops: DataFrame) -> DataFrame:
     """Base rows an operation addresses. The keys are written first, so that the planner knows
     their size: a small run's keys are broadcast and thin out the base before any exchange."""
@@ -42,7 +49,18 @@ def touched(records: DataFrame, ops: DataFrame) -> DataFrame:
 
 
 def hot_keys(ops: DataFrame, threshold: int = HOT_KEY_OPS) -> DataFrame:
-    counts = ops.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
+    """Keys with more operations than the threshold.
+
+    Operations are counted by buckets of keys first, a short list whatever their number: a hot key's
+    bucket is hot too, and usually none is. Only the keys of hot buckets are counted one by one.
+    """
+    bucket = F.pmod(F.xxhash64(*KEY), F.lit(KEY_BUCKETS)).cast("int")
+    counts = ops.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    hot = [row[0] for row in counts.filter(F.col("_n") > threshold).select("_bucket").collect()]
+    if not hot:
+        return ops.select(*KEY).limit(0)
+    within = F.array_contains(F.lit(hot), bucket) if len(hot) < KEY_BUCKETS // 2 else F.lit(True)
+    counts = ops.filter(within).groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"))
     return counts.filter(F.col("_n") > threshold).drop("_n")
 
 
@@ -51,6 +69,7 @@ def detect_outcomes(
     records: DataFrame | None = None,
     hot_threshold: int = HOT_KEY_OPS,
     batches_per_block: int = BATCHES_PER_BLOCK,
+    mark_last: bool = False,
 ) -> DataFrame:
     """Add ``outcome``: ``stored``, ``tombstoned`` or ``unchanged``, in order of arrival.
 
@@ -61,11 +80,16 @@ def detect_outcomes(
     Keys with very many operations are cut into blocks of batches. Inside a block ``lag``
     works as before; the state before a block is the last operation of the block before it,
     taken from one short row per key and block.
+
+    With ``mark_last``, ``_last`` marks the last operation that changed its key, as long as no key is
+    hot; it comes from the same exchange. Digests may be texts, or bytes as :func:`packed` makes them.
     """
     columns = ops.columns
     frame = ops.withColumn("_base", F.lit(False))
     if records is not None:
         base = base_states(touched(records, ops)).withColumn("_base", F.lit(True))
+        if dict(ops.dtypes)["content_hash"] == "binary":
+            base = base.withColumn("content_hash", packed(F.col("content_hash")))
         frame = frame.unionByName(base, allowMissingColumns=True)
     real = ~F.col("_base")
     # Batches of one number, which several collections may send, are ordered by name.
@@ -74,12 +98,16 @@ def detect_outcomes(
 
     hot = hot_keys(ops, hot_threshold)
     if hot.isEmpty():
-        previous = F.lag(state).over(Window.partitionBy(*KEY).orderBy(*order))
-        return (
-            frame.withColumn("_previous", previous)
-            .filter(real)
-            .select(*columns, _outcome(F.col("_previous")).alias("outcome"))
-        )
+        within = Window.partitionBy(*KEY).orderBy(*order)
+        if not mark_last:
+            lagged = frame.withColumn("_previous", F.lag(state).over(within))
+            return lagged.filter(real).select(*columns, _outcome(F.col("_previous")).alias("outcome"))
+        judged = frame.withColumns({"_previous": F.lag(state).over(within), "_at": F.row_number().over(within)})
+        judged = judged.withColumn("outcome", _outcome(F.col("_previous")))
+        whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        changed = F.when(real & (F.col("outcome") != "unchanged"), F.col("_at"))
+        judged = judged.withColumn("_last", F.col("_at").eqNullSafe(F.last(changed, ignorenulls=True).over(whole)))
+        return judged.filter(real).select(*columns, "outcome", "_last")
 
     marked = frame.join(hot.withColumn("_hot", F.lit(True)), KEY, "left")
     block = F.when(F.col("_base"), -1).otherwise(F.floor(F.col("batch_seq") / batches_per_block))
@@ -103,7 +131,10 @@ def detect_outcomes(
 
 
 def last_changes(numbered: DataFrame) -> DataFrame:
-    """Per key the last operation that changed it; combines before the exchange."""
+    """Per key the last operation that changed it, as marked, or else found by an aggregate that combines before
+    the exchange."""
+    if "_last" in numbered.columns:
+        return numbered.filter("_last").select(*KEY, "seq", "op", "batch_id", "ord")
     latest = F.max(F.struct("seq", "op", "batch_id", "ord")).alias("_last")
     return (
         numbered.filter(F.col("seq").isNotNull()).groupBy(*KEY).agg(latest).select(*KEY, "_last.*")
@@ -112,9 +143,8 @@ def last_changes(numbered: DataFrame) -> DataFrame:
 
 def changed_records(numbered: DataFrame, staged: DataFrame) -> DataFrame:
     """The rows a run writes: full records for last upserts, tombstones for last deletes."""
-    documents = staged.select(
-        "batch_id", "ord", "payload", "content_hash", "payload_bytes", "arrived_at"
-    )
+    # The digest of a payload is taken again where it has arrived, which costs less than moving it.
+    documents = staged.select("batch_id", "ord", "payload", "payload_bytes", "arrived_at")
     # The few short rows that won are written first: if they are small they are broadcast, and the
     # payloads of operations that lost or changed nothing are never moved.
     winners = sized(last_changes(numbered), "winners")
@@ -124,7 +154,7 @@ def changed_records(numbered: DataFrame, staged: DataFrame) -> DataFrame:
         *KEY,
         "seq",
         F.when(delete, EMPTY_DOCUMENT).otherwise(F.col("payload")).alias("payload"),
-        F.when(delete, EMPTY_DOCUMENT_HASH).otherwise(F.col("content_hash")).alias("content_hash"),
+        F.when(delete, EMPTY_DOCUMENT_HASH).otherwise(F.sha2("payload", 256)).alias("content_hash"),
         F.when(delete, len(EMPTY_DOCUMENT)).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.col("arrived_at").alias("ingested_at"),
         F.when(delete, F.col("arrived_at")).alias("deleted_at"),

@@ -10,8 +10,10 @@ from feedgate.sources.scratch import save
 _PART_BITS = 33
 
 
-def number_rows(frame: DataFrame, order: list[Column], column: str, label: str) -> DataFrame:
-    """Add ``column``: 1, 2, 3 … in the given total order.
+def number_rows(
+    frame: DataFrame, order: list[Column], column: str, label: str, keep: list[str] | None = None
+) -> DataFrame:
+    """Add ``column``: 1, 2, 3 … in the given total order. ``keep`` names the columns needed afterwards.
 
     One range exchange puts the rows in order; the position inside a range is known when the
     sorted rows are written, and the number of earlier rows is a running sum over one row per
@@ -21,7 +23,7 @@ def number_rows(frame: DataFrame, order: list[Column], column: str, label: str)
     ordered = (
         frame.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_at", F.monotonically_increasing_id())
+        .select(*(keep or frame.columns), F.monotonically_increasing_id().alias("_at"))
     )
     saved = save(ordered, label).withColumns(
         {
@@ -34,7 +36,7 @@ def number_rows(frame: DataFrame, order: list[Column], column: str, label: str)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     return saved.join(F.broadcast(offsets), "_part").select(
-        *frame.columns, (F.col("_before") + F.col("_local") + 1).alias(column)
+        *(keep or frame.columns), (F.col("_before") + F.col("_local") + 1).alias(column)
     )
 
 

@@ -26,6 +26,8 @@ DEPTH = 3
 LEAVES = 16**DEPTH
 #: Leaves that share a folder of the stored listing.
 _FOLDER = 256
+#: Rows of a page, the least that is read of a file, however many stretches the file holds.
+_PAGE_ROWS = 256
 _LANES = ("x1", "x2")
 
 
@@ -72,7 +74,9 @@ class Listing:
         kept = cls(listing.sparkSession, path)
         order = ["folder", "leaf", *COLLECTION, "id"]
         rows = _pairs(listing).withColumn("folder", F.floor(F.col("leaf") / _FOLDER).cast("int"))
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("folder").parquet(f"{kept.path}/rows")
+        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("folder").option(
+            "parquet.page.row.count.limit", _PAGE_ROWS
+        ).parquet(f"{kept.path}/rows")
         leaf_digests(kept.rows()).write.parquet(f"{kept.path}/leaves")
         return kept
 

@@ -83,11 +83,12 @@ def apply_ops(
 
     ``batch_seq`` orders batches, ``batch_id`` those of one number; ``ord`` orders the operations
     of one batch. An operation without any of them refuses its batch. Two intermediate tables are written: the judged operations, read once for
-    their short columns and once for the payloads that win, and the numbered outcomes.
+    their short columns and once for the payloads that win, and the numbered outcomes. Beside them, tables
+    of short rows: refused batches, marked places, and the operations that win.
     ``start`` is the highest position used so far, looked up in ``records`` if not given.
     """
     staged = save(judge(ops, specs, credentials, max_payload_bytes), "staged")
-    rejects = gates.batch_verdicts(staged, max_batch_ops)
+    rejects = gates.sized(gates.batch_verdicts(staged, max_batch_ops), "rejects")
     accepted = gates.accept_batches(staged, rejects).select(
         "source",
         "collection",
@@ -96,14 +97,14 @@ def apply_ops(
         "batch_seq",
         "ord",
         "op",
-        F.when(F.col("op") == "upsert", F.col("content_hash")).alias("content_hash"),
+        F.when(F.col("op") == "upsert", merge.packed(F.col("content_hash"))).alias("content_hash"),
     )
-    outcomes = merge.detect_outcomes(accepted, records, hot_threshold=hot_threshold)
+    outcomes = merge.detect_outcomes(accepted, records, hot_threshold=hot_threshold, mark_last=True)
     if start is None:
         start = 0 if records is None else records.agg(F.max("seq")).first()[0] or 0
-    numbered = assign_sequence(outcomes, start)
+    numbered = assign_sequence(outcomes.drop("content_hash"), start)
     changes = with_index_columns(merge.changed_records(numbered, staged), specs)
-    return Applied(records, changes, numbered.drop("content_hash"), rejects, staged)
+    return Applied(records, changes, numbered.drop("_last"), rejects, staged)
 
 
 @dataclass(frozen=True)
@@ -156,12 +157,14 @@ def reproject(
     staged = save(judged.withColumn("outcome", outcome).select(*columns, "outcome"), "reprojected")
     if start is None:
         start = records.agg(F.max("seq")).first()[0] or 0
-    moved = staged.filter(F.col("outcome") != "unchanged")
-    places = number_rows(moved.select(*merge.KEY, F.col("_seq")), [F.col("_seq").asc()], "_number", "reprojected-places")
-    places = save(places.select(*merge.KEY, (F.col("_number") + start).cast("long").alias("seq")), "reprojected-seq")
-    outcomes = staged.select(*merge.KEY, "outcome", "code").join(places, merge.KEY, "left")
+    # Numbered together with their documents, rows need no join to meet their positions.
+    moved = number_rows(staged.filter(F.col("outcome") != "unchanged"), [F.col("_seq").asc()], "_number", "reprojected-places")
+    moved = moved.withColumn("seq", (F.col("_number") + start).cast("long"))
+    short = [*merge.KEY, "outcome", "code"]
+    stayed = staged.filter(F.col("outcome") == "unchanged").select(*short, F.lit(None).cast("long").alias("seq"))
+    outcomes = stayed.unionByName(moved.select(*short, "seq"))
     gone = F.col("outcome") == "tombstoned"
-    changes = moved.join(places, merge.KEY).select(
+    changes = moved.select(
         *merge.KEY,
         "seq",
         F.when(gone, EMPTY_DOCUMENT).otherwise(F.col("payload")).alias("payload"),
