@@ -148,12 +148,12 @@ def reproject(
     alive = records.filter(F.col("deleted_at").isNull())
     ops = alive.select(
         *merge.KEY, F.lit("upsert").alias("op"), "payload",
-        F.col("seq").alias("_seq"), F.col("content_hash").alias("_before"), F.col("ingested_at").alias("_at"),
+        F.col("seq").alias("_seq"), F.col("content_hash").alias("_before"), F.col("ingested_at").alias("_since"),
     )
     judged = judge(ops if withhold_undeclared else ops.filter(declared), specs, max_payload_bytes=2**31 - 1)
     refused = F.col("code").isNotNull()
     outcome = F.when(refused, "tombstoned").when(F.col("content_hash") == F.col("_before"), "unchanged").otherwise("stored")
-    columns = (*merge.KEY, "payload", "content_hash", "payload_bytes", "code", "_seq", "_at")
+    columns = (*merge.KEY, "payload", "content_hash", "payload_bytes", "code", "_seq", "_since")
     staged = save(judged.withColumn("outcome", outcome).select(*columns, "outcome"), "reprojected")
     if start is None:
         start = records.agg(F.max("seq")).first()[0] or 0
@@ -170,8 +170,8 @@ def reproject(
         F.when(gone, EMPTY_DOCUMENT).otherwise(F.col("payload")).alias("payload"),
         F.when(gone, EMPTY_DOCUMENT_HASH).otherwise(F.col("content_hash")).alias("content_hash"),
         F.when(gone, len(EMPTY_DOCUMENT)).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.col("_at").alias("ingested_at"),
-        F.when(gone, F.coalesce("_at", F.current_timestamp())).alias("deleted_at"),
+        F.col("_since").alias("ingested_at"),
+        F.when(gone, F.coalesce("_since", F.current_timestamp())).alias("deleted_at"),
     )
     undeclared = alive.filter(F.coalesce(~declared, F.lit(True))).groupBy("source", "collection").agg(F.count(F.lit(1)).alias("rows"))
     return Reprojected(records, with_index_columns(changes, specs), outcomes, undeclared)
