@@ -31,6 +31,8 @@ REJECTS = {
 OPERATION_RANK = 6
 # Places of a batch that are marked in one word.
 _WORD = 64
+# A side of more bytes than this, counted by rows as they are in memory, is not broadcast.
+MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
 def rank_of(code: Column) -> Column:
     return _lookup(code, 0).cast("int")
@@ -42,8 +44,19 @@ def _lookup(code: Column, field: int) -> Column:
 
 
 def sized(frame: DataFrame, label: str = "side") -> DataFrame:
-    """A side of short rows, written first: the planner then knows its bytes and broadcasts it or not."""
-    return save(frame, label)
+    """A side of short rows, written first: the planner then knows its bytes and broadcasts it or not.
+
+    It knows those of the files, in which keys that are in order take a byte or less each. A side of so many
+    rows that the driver could not hold it, however small its files, is marked to be joined by a shuffle.
+    """
+    saved = save(frame, label)
+    rows = saved.count()  # from the footers
+    return saved.hint("merge") if rows * row_bytes(saved) > MAX_BROADCAST_BYTES else saved
+
+
+def row_bytes(frame: DataFrame) -> int:
+    """Bytes the planner takes a row in memory for: eight, and for each column what its type has by default."""
+    return 8 + frame._jdf.schema().defaultSize()
 
 
 def identifier_gate(frame: DataFrame, column: str = "id", grammar: str = "id") -> DataFrame:

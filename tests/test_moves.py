@@ -77,6 +77,21 @@ def test_reprojected_rows_meet_their_positions_without_a_join(spark):
     assert {r.id: r.seq for r in done.outcomes.collect()} == {str(n): 31 + n for n in range(30)}
 
 
+def broadcasts(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("BroadcastHashJoin")
+
+
+def test_many_keys_in_small_files_are_not_broadcast(spark):
+    """Half a million keys in order take a byte or two each in their files, and a hundred in the driver."""
+    keys = [F.lit("erp").alias("source"), F.lit("sales.order").alias("collection"), F.col("id").cast("string").alias("id")]
+    rows = spark.range(600_000).select(*keys, (F.col("id") + 1).alias("seq"))
+    changed = rows.filter("seq % 6 > 0").withColumn("seq", F.col("seq") + 1_000_000)
+    after = merge.merge_records(rows, changed)
+    assert broadcasts(after) == 0
+    assert after.agg(F.count("id"), F.countDistinct("id"), F.count_if(F.col("seq") > 1_000_000)).first() == (600_000, 600_000, 500_000)
+    assert broadcasts(merge.merge_records(rows, changed.limit(1000))) == 1
+
+
 def test_checksums_by_pieces(spark, monkeypatch):
     monkeypatch.setattr(summary, "PIECE_BYTES", 300)
     rows = [(s, "c", f"{n}\"\\x", hashlib.sha256(str(n).encode()).hexdigest() if n % 7 else f"odd{n}", WHEN if n % 11 == 0 else None) for s in "ab" for n in range(400)]
