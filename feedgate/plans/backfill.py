@@ -78,17 +78,18 @@ class RawZone:
 
         Positions and reports are short rows; they are written first and thin out the documents.
         """
-        stored = applied.outcomes.filter("outcome = 'stored'").select("batch_id", "ord", *AT)
-        lost = applied.staged.filter(F.size("dropped") > 0).select("batch_id", "ord", "dropped")
+        # Either side is a part of a written table, whose bytes say little of its rows: both are told the planner anew.
+        stored = sized(applied.outcomes.filter("outcome = 'stored'").select("batch_id", "ord", *AT), "kept")
+        lost = sized(applied.staged.filter(F.size("dropped") > 0).select("batch_id", "ord", "dropped"), "reports")
         self._write(
-            save(stored.join(lost, ["batch_id", "ord"]), "lost"),
+            sized(stored.join(lost, ["batch_id", "ord"]), "lost"),
             ops.select("batch_id", "ord", "payload", "arrived_at"),
             ["batch_id", "ord"],
         )
 
     def _write(self, lost: DataFrame, documents: DataFrame, on: list[str]) -> None:
         """``lost``: on, key, seq, dropped; ``documents``: on, payload, arrived_at."""
-        rows = save(lost.drop("dropped").join(documents, on), "raw").withColumn("day", F.to_date("arrived_at"))
+        rows = sized(lost.drop("dropped").join(documents, on), "raw").withColumn("day", F.to_date("arrived_at"))
         columns = [name.split()[0] for name in _RAW.split(", ")]
         rows.select(columns).write.mode("append").partitionBy("day").parquet(f"{self.path}/raw")
         labels = F.array_distinct(F.transform("dropped", lambda report: label_path(report["path"])))
@@ -116,7 +117,7 @@ class RawZone:
         moved = self.raw().drop("day").join(sized(moves.select(*AT, "new_seq"), "moves"), AT)
         moved = moved.drop("seq").withColumnRenamed("new_seq", "seq").withColumn("op", F.lit("upsert"))
         judged = judge(moved, specs, max_payload_bytes=2**31 - 1)
-        lost = save(judged.filter(F.size("dropped") > 0).select(*AT, "dropped"), "lost")
+        lost = sized(judged.filter(F.size("dropped") > 0).select(*AT, "dropped"), "lost")
         if not lost.isEmpty():
             self._write(lost, moved.select(*AT, "payload", "arrived_at"), AT)
 
@@ -150,7 +151,7 @@ def backfill(records: DataFrame, zone: RawZone, before: SpecSet, after: SpecSet,
         start = records.agg(F.max("seq")).first()[0] or 0
     moved = staged.filter("outcome = 'stored'")
     numbered = number_rows(moved.select(*merge.KEY, "_seq"), [F.col("_seq").asc()], "_number", "backfilled-places")
-    numbered = save(numbered.select(*merge.KEY, (F.col("_number") + start).cast("long").alias("seq")), "backfilled-seq")
+    numbered = sized(numbered.select(*merge.KEY, (F.col("_number") + start).cast("long").alias("seq")), "backfilled-seq")
     changes = moved.join(numbered, merge.KEY).select(
         *merge.KEY, "seq", "payload", "content_hash", "payload_bytes",
         F.col("_at").alias("ingested_at"), F.lit(None).cast("timestamp").alias("deleted_at"),
@@ -163,4 +164,4 @@ def backfill(records: DataFrame, zone: RawZone, before: SpecSet, after: SpecSet,
 def moves(done: Reprojected) -> DataFrame:
     """Key, old and new position of the records a reprojection or backfill wrote again."""
     new = done.outcomes.filter("outcome = 'stored'").select(*merge.KEY, F.col("seq").alias("new_seq"))
-    return done.before.select(*AT).join(new, merge.KEY)
+    return done.before.select(*AT).join(sized(new, "moved"), merge.KEY)

@@ -2,8 +2,10 @@
 
 from datetime import date
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from feedgate.operators import gates
 from feedgate.operators.merge import merge_records
 from feedgate.plans.apply import apply_ops
 from feedgate.plans.backfill import RawZone, backfill, moves, newly_declared
@@ -67,3 +69,22 @@ def test_expired_documents_do_not_come_back(spark, tmp_path):
     zone.expire(date(2999, 1, 1))
     assert zone.raw().isEmpty() and zone.index().isEmpty()
     assert backfill(records, zone, NARROW, WIDE).changes.isEmpty()
+
+
+def test_no_side_that_grows_is_broadcast(spark, tmp_path, monkeypatch):
+    """Every side that has a row per document is joined by a shuffle, from its rows and not its files."""
+    monkeypatch.setattr(gates, "MAX_BROADCAST_BYTES", 1000, raising=False)
+    plans, real = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda w, *a, **k: plans.append(w._df._jdf.queryExecution().executedPlan().toString()) or real(w, *a, **k))
+    sent = frame(spark, [op(1, n, f"k{n}", payload=f'{{"sku":"x","n":{n}}}') for n in range(200)])
+    applied = apply_ops(None, sent, NARROW)
+    zone, records = RawZone(spark, str(tmp_path / "zone")), applied.records.checkpoint()
+    plans.clear()
+    zone.keep(applied, sent)
+    done = backfill(records, zone, NARROW, WIDE)
+    got = {r.id: (r.payload, r.seq) for r in done.records.collect()}
+    assert got == {f"k{n}": (f'{{"n":{n},"sku":"x"}}', 201 + n) for n in range(200)}
+    zone.follow(moves(done), WIDE)
+    plans += [f._jdf.queryExecution().executedPlan().toString() for f in (done.changes, done.outcomes, done.records)]
+    # What is left is the numbers of earlier rows, one per range.
+    assert not [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line and "_part" not in line]
