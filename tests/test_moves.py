@@ -92,6 +92,16 @@ def test_many_keys_in_small_files_are_not_broadcast(spark):
     assert broadcasts(merge.merge_records(rows, changed.limit(1000))) == 1
 
 
+def test_reprojected_collections_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(gates, "MAX_BROADCAST_BYTES", 1000, raising=False)
+    names = ["sales.order", "part.sheet", "user.activity"]
+    rows = [("erp", name, str(n), 3 * n + at + 1, '{"name":"x"}', "0" * 64, 12, WHEN, None) for n in range(40) for at, name in enumerate(names)]
+    done = reproject(spark.createDataFrame(rows, RECORD).checkpoint(), inputs.NARROWER_STILL, start=1000)
+    assert broadcasts(done.records) == 1  # the numbers of earlier rows, one per range
+    got = {(r.collection, r.id): (r.payload, r.seq > 1000) for r in done.records.collect()}
+    assert got == {(c, i): (p if c == "user.activity" else "{}", c != "user.activity") for _, c, i, _, p, *_ in rows}
+
+
 def test_checksums_by_pieces(spark, monkeypatch):
     monkeypatch.setattr(summary, "PIECE_BYTES", 300)
     rows = [(s, "c", f"{n}\"\\x", hashlib.sha256(str(n).encode()).hexdigest() if n % 7 else f"odd{n}", WHEN if n % 11 == 0 else None) for s in "ab" for n in range(400)]
